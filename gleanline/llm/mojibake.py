@@ -22,6 +22,7 @@ WRONG_FOR_UTF8 = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250",
 WRONG_WIDE = ["cp932"]
 # Fixed values: (encoding wrongly used, encoding meant) where the meant one isn't UTF-8.
 OTHER_PAIRS = [
+    *[("latin-1", right) for right in ("cp1252", "cp1250", "cp1251", "cp932", "koi8-r")],
     *[(wrong, "cp1251") for wrong in ("cp1252", "mac_roman", "koi8-r", "cp866", "cp850", "cp437", "cp1250")],
     *[(wrong, "koi8-r") for wrong in ("cp1252", "cp1251", "mac_roman", "cp866")],
     *[(wrong, "cp866") for wrong in ("cp1252", "cp1251", "koi8-r", "mac_roman")],
@@ -267,7 +268,7 @@ def _repair_line(line: str) -> tuple[str, int]:
             new = data.decode(right)
         except UnicodeDecodeError:
             continue
-        if new == line or right == "cp1250" and any(a != b and not (a.isalpha() or a < "\xa0") for a, b in zip(line, new)):
+        if new == line or right == "cp1250" and any(a != b and not (a.isalpha() or b in "„“”‚‘’–—…•š žŠŽťŤśŚźŹ") for a, b in zip(line, new)):
             continue
         after = cost(new)
         same = sum(char_cost(a) for a, b in zip(line, new) if a == b) if len(line) == len(new) else 0.0
