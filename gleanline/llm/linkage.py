@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -75,6 +76,7 @@ def title_parts(title: str | None) -> tuple[str, str, list[str]]:
     return " ".join(words), named, versions
 
 
+@lru_cache(maxsize=1 << 15)
 def _artists(artist: str | None) -> list[str]:
     """What an artist field may name: the whole, or the one before a guest."""
     if not artist or not artist.strip():
@@ -112,21 +114,36 @@ def prepare(rows: DataFrame) -> DataFrame:
     return rows.select("id", "reading", "title", "artist", "qualifiers", "length_s").mapInPandas(run, _SIDE)
 
 
-def _keys(side: DataFrame, both: bool) -> DataFrame:
-    """The side with a row for each blocking key; ``both`` also gives the neighbouring length buckets."""
+def _keys(side: DataFrame, asking: bool) -> DataFrame:
+    """The side with a row for each blocking key.
+
+    A title is a key as a whole, by either half and by its two outer thirds, together with its length; an
+    asking title tries the lengths beside its own, since one slip spoils one half, or both only in the
+    middle, and moves the length by one at most.  Titles
+    alone are common, so every key is refined with an artist (its core's first or last letters) or with a
+    length bucket, the neighbouring ones too when asking.  Halves meet by length only for asking rows
+    without an artist, and then with the first letter.  Asking rows with neither field use the whole title.
+    """
+    size, tight = F.length("tight"), F.col("tight")
+    lengths = F.filter(F.array(size - 1, size, size + 1), lambda n: n >= 3) if asking else F.array(size)
+    half = lambda n: F.ceil(n / 2).cast("int")
+    head = F.transform(lengths, lambda n: F.concat(F.lit("<"), tight.substr(F.lit(1), half(n)), F.lit("|"), n.cast("string")))
+    tail = F.transform(lengths, lambda n: F.concat(F.lit(">"), F.right(tight, half(n)), F.lit("|"), n.cast("string")))
+    third = lambda n: F.ceil(n / 3).cast("int")
+    rim = F.transform(lengths, lambda n: F.concat(F.lit("~"), tight.substr(F.lit(1), third(n)), F.lit("~"), F.right(tight, third(n)), F.lit("|"), n.cast("string")))
+    whole = F.array(F.concat(F.lit("="), tight))
     core = F.transform("artists", lambda a: F.element_at(F.split(a, r"\|"), 2))
-    size = F.length("tight")
-    half = F.greatest(F.lit(3), F.ceil(size / 2).cast("int"))
-    halves = F.array_distinct(F.flatten(F.transform(F.array(half - 1, half), lambda k: F.array(F.concat(F.lit("<"), F.col("tight").substr(F.lit(1), k)), F.concat(F.lit(">"), F.col("tight").substr(F.greatest(size - k + 1, F.lit(1)), k))))))
-    buckets = F.floor(F.col("length_s") / BUCKET_S).cast("int")
-    near = F.when(buckets.isNotNull(), F.array(buckets - 1, buckets, buckets + 1) if both else F.array(buckets)).otherwise(F.array().cast("array<int>"))
-    ends = F.array_distinct(F.flatten(F.transform(core, lambda c: F.array(F.concat(F.lit("^"), F.substring(c, 1, 4)), F.concat(F.lit("$"), c.substr(F.greatest(F.length(c) - 3, F.lit(1)), F.lit(4)))))))
-    parts = F.concat(F.array(F.concat(F.lit("="), F.col("tight"))), halves)
-    by_artist = F.flatten(F.transform(parts, lambda p: F.transform(ends, lambda e: F.concat_ws("\u0001", p, e))))
-    by_length = F.flatten(F.transform(parts, lambda p: F.transform(near, lambda n: F.concat_ws("\u0001", p, n.cast("string")))))
-    alone = F.array(F.concat_ws("\u0001", F.concat(F.lit("="), F.col("tight")), F.lit("?")))
-    lone = (F.size("artists") == 0) & F.col("length_s").isNull() if both else F.lit(True)
-    keys = F.concat(by_artist, by_length, F.when(lone, alone).otherwise(F.array().cast("array<string>")))
+    ends = F.array_distinct(F.flatten(F.transform(core, lambda c: F.array(F.concat(F.lit("^"), F.left(c, F.lit(4))), F.concat(F.lit("$"), F.right(c, F.lit(4)))))))
+    bucket = F.floor(F.col("length_s") / BUCKET_S).cast("int")
+    near = F.when(bucket.isNotNull(), F.array(bucket - 1, bucket, bucket + 1) if asking else F.array(bucket)).otherwise(F.array().cast("array<int>"))
+    crossed = lambda parts, others: F.flatten(F.transform(parts, lambda p: F.transform(others, lambda o: F.concat_ws("\u0001", p, o.cast("string")))))
+    none = F.array().cast("array<string>")
+    lonely = F.size("artists") == 0 if asking else F.lit(True)
+    first = F.transform(tail, lambda t: F.concat(t, F.left(tight, F.lit(1))))
+    keys = F.concat(
+        crossed(F.concat(whole, head, tail, rim), ends), crossed(whole, near), F.when(lonely, crossed(F.concat(head, first, rim), near)).otherwise(none),
+        F.when(lonely & (bucket.isNull() if asking else F.lit(True)), F.transform(whole, lambda w: F.concat(w, F.lit("?")))).otherwise(none),
+    )
     return side.where("tight <> ''").select("id", "reading", F.explode(F.array_distinct(keys)).alias("key"))
 
 
@@ -260,7 +277,10 @@ def link(inputs: DataFrame, candidates: DataFrame) -> DataFrame:
     )
     a = left.select(F.col("id").alias("input_id"), "reading", F.col("base").alias("base_a"), F.col("artists").alias("artists_a"), F.col("length_s").alias("length_a"), F.col("versions").alias("versions_a"), F.col("named").alias("named_a"))
     b = right.select(F.col("id").alias("candidate_id"), F.col("base").alias("base_b"), F.col("artists").alias("artists_b"), F.col("length_s").alias("length_b"), F.col("versions").alias("versions_b"), F.col("named").alias("named_b"))
-    compared = cut(compare(proposed.join(a, ["input_id", "reading"]).join(b, "candidate_id")))
+    pairs = proposed.join(a, ["input_id", "reading"]).join(b, "candidate_id")
+    # Titles further apart than this are of the last level, which no match has; a swap counts twice here.
+    near = F.levenshtein(F.replace(F.col("base_a"), F.lit(" "), F.lit("")), F.replace(F.col("base_b"), F.lit(" "), F.lit("")), 5) >= 0
+    compared = cut(compare(pairs.where(near)))
     patterns = compared.groupBy(*LEVELS).agg(F.count("*").alias("n")).toPandas()  # bounded: 240 patterns
     m, u, share = fit(patterns)
     odds = F.exp(_looked_up(m, u) + float(np.log(share / (1 - share))))
