@@ -24,8 +24,8 @@ def _composed(text: pd.Series) -> pd.Series:
 
 def compact(text: Column) -> Column:
     """Letters and digits of a text in order, without case: 'Grüße, Straße!' and 'GRÜSSE STRASSE' are one."""
-    bare = F.regexp_replace(F.lower(F.upper(text)), r"[^\p{L}\p{N}]+", "")
-    return F.translate(bare, "ς", "σ")
+    bare = F.regexp_replace(F.upper(text), r"[^\p{L}\p{N}]+", "")  # stands between the two, which the optimizer would make one
+    return F.translate(F.lower(bare), "ς", "σ")
 
 
 def canonical(rows: DataFrame) -> DataFrame:

@@ -121,6 +121,8 @@ def cost(text: str) -> float:
                 total += 0.6 if before.islower() else 0.5 if now == "C" else 0.0
             if now in "lL" and last >= "\x80" and char >= "\x80":
                 total += 0.8
+        elif last and (before and "─" <= char <= "▟" or now and "─" <= last <= "▟"):
+            total += 1.5
         elif last and char >= "\x80" and (before or now) and char in SIGNS_INSIDE | {last} & SIGNS_INSIDE:
             total += 0.3
         before, last = now, char
@@ -177,17 +179,21 @@ def _better(text: str, start: int, end: int, new: str, share: float = 0.75) -> b
     return cost(left + new + right) < share * cost(left + text[start:end] + right)
 
 
-@lru_cache(maxsize=1 << 16)
-def _repair_run(run: str, left: str, right: str) -> tuple[str, int]:
+def _repair_run(run: str, left: str, right: str) -> tuple[str, int, str]:
+    """As ``_run_repaired``; short runs recur and are remembered."""
+    return (_run_remembered if len(run) <= 100 else _run_repaired)(run, left, right)
+
+
+def _run_repaired(run: str, left: str, right: str) -> tuple[str, int, str]:
     """One layer of UTF-8 read as a one-byte encoding undone in a run of characters beyond ASCII, by the encoding that leaves the least cost."""
-    text, best, least, done = left + run + right, run, float("inf"), 0
+    text, best, least, done, by = left + run + right, run, float("inf"), 0, ""
     for wrong in WRONG_FOR_UTF8:
         count = 0
 
         def fix(match: re.Match, wrong: str = wrong) -> str:
             nonlocal count
             own, start, end = match.group(), match.start(), match.end()
-            if _DRAWN.fullmatch(own) and not (text[max(0, start - 1) : start].isalpha() and (text[end : end + 1] or "a").isalpha()):
+            if _DRAWN.fullmatch(own) and not (text[max(0, start - 1) : start].isalpha() or text[end : end + 1].isalpha()):
                 return own
             try:
                 new = recode(own, wrong).decode("utf-8")
@@ -200,25 +206,40 @@ def _repair_run(run: str, left: str, right: str) -> tuple[str, int]:
 
         new = _utf8_runs(wrong).sub(fix, text)
         if count and (now := cost(new)) < least - 1e-9:
-            best, least, done = new[len(left) : len(new) - len(right)], now, count
-    return best, done
+            best, least, done, by = new[len(left) : len(new) - len(right)], now, count, wrong
+    return best, done, by
 
 
+_run_remembered = lru_cache(maxsize=1 << 16)(_run_repaired)
 _LONG_RUN = re.compile(r"[^\x00-\x7f]{2,}")
 
 
 def _repair_utf8(text: str) -> tuple[str, int]:
-    """One layer of UTF-8 read as a one-byte encoding undone, run by run."""
-    done = 0
+    """One layer of UTF-8 read as a one-byte encoding undone, run by run.
+
+    What proved to be the wrong encoding of a run is taken for it in the text's other runs too, however
+    little they gain.
+    """
+    done, used = 0, set()
 
     def fix(match: re.Match) -> str:
         nonlocal done
         start, end = match.span()
-        new, count = _repair_run(match.group(), text[max(0, start - 1) : start], text[end : end + 1])
+        new, count, by = _repair_run(match.group(), text[max(0, start - 1) : start], text[end : end + 1])
         done += count
+        used.update({by} - {""})
         return new
 
-    return _LONG_RUN.sub(fix, text), done
+    def take(match: re.Match) -> str:
+        try:
+            return recode(match.group(), wrong).decode("utf-8")
+        except UnicodeDecodeError:
+            return match.group()
+
+    new = _LONG_RUN.sub(fix, text)
+    if len(used) == 1 and (wrong := used.pop()) in ("cp437", "cp850", "mac_roman"):
+        new = _utf8_runs(wrong).sub(lambda m: take(m) if len(m.group()) <= 3 else m.group(), new)
+    return new, done
 
 
 @lru_cache(maxsize=None)
@@ -283,12 +304,12 @@ _LOST = re.compile(r"(?<![^\W\d_]/)(?<=[a-zß-ÿа-я])\?(?=[a-zß-ÿа-я]+(?![
 SUSPECT = r"[^\x00-\x7F]|[a-z]\?[a-z](?s:.*)[a-z]\?[a-z]"
 
 
-@lru_cache(maxsize=1 << 12)
-def _repair_layers(line: str) -> tuple[str, int]:
-    """A line with all layers undone, and their number."""
-    whole, done = _repair_line(line)
-    if done and cost(whole) < 0.6 * cost(line):
-        return whole, 1
+def _layers_undone(line: str) -> tuple[str, int]:
+    """A line with all layers undone, and their number.
+
+    Runs of UTF-8 come first; where they leave something odd, the whole line under another pair of
+    encodings is weighed against them.
+    """
     now, layers = line, 0
     for _ in range(LAYERS):
         now, done = _repair_utf8(now)
@@ -296,12 +317,23 @@ def _repair_layers(line: str) -> tuple[str, int]:
         if not done + more:
             break
         layers += 1
-    if layers and whole != line and cost(whole) < cost(now):
+    if layers and not _odd_line(now) and not _pattern_odd().search(now):
+        return now, layers
+    whole, done = _repair_line(line)
+    if layers and done and cost(whole) < cost(now):
         return whole, 1
     now, done = _repair_line(now)
     return now, layers + done
 
 
+_layers_remembered = lru_cache(maxsize=1 << 12)(_layers_undone)
+
+
+def _repair_layers(line: str) -> tuple[str, int]:
+    """As ``_layers_undone``; lines of usual length recur and are remembered."""
+    return (_layers_remembered if len(line) <= 1000 else _layers_undone)(line)
+
+
 def repair(text: str | None) -> tuple[bool, str | None, int, bool]:
     """Whether a text is garbled, its best restoration, the layers undone, and whether nothing odd is left.
 
