@@ -334,6 +334,15 @@ def _repair_layers(line: str) -> tuple[str, int]:
     return (_layers_remembered if len(line) <= 1000 else _layers_undone)(line)
 
 
+#: Lines of these characters alone, without a pair that UTF-8 read wrongly makes, show no garbling; most lines are.
+_PLAIN = re.compile("[\x00-\x7fáéíóúýàâêôèëîïûœäöüßñçãõÁÉÍÓÚÀÂÊÈÄÖÜÑÇÃÕěščřžůťďň«»¿¡“”„’–—…€♭♯→]*")
+_PAIRED = re.compile("[À-ÿ][\x80-\xbf‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸ€]")
+
+
+def _is_plain(line: str) -> bool:
+    return line.isascii() or _PLAIN.fullmatch(line) is not None and not _PAIRED.search(line)
+
+
 def repair(text: str | None) -> tuple[bool, str | None, int, bool]:
     """Whether a text is garbled, its best restoration, the layers undone, and whether nothing odd is left.
 
@@ -343,12 +352,12 @@ def repair(text: str | None) -> tuple[bool, str | None, int, bool]:
         return False, text, 0, True
     lines, layers = [], 0
     for line in text.split("\n"):
-        new, done = _repair_layers(line) if not line.isascii() else (line, 0)
+        new, done = (line, 0) if _is_plain(line) else _repair_layers(line)
         lines.append(new)
         layers = max(layers, done)
     now = "\n".join(lines)
     lost = len(_LOST.findall(now)) > 1
-    left = lost or bool(_pattern_odd().search(now)) or any(_odd_line(line) for line in now.split("\n") if not line.isascii())
+    left = lost or bool(_pattern_odd().search(now)) or any(_odd_line(line) for line in now.split("\n") if not _is_plain(line))
     return bool(layers or left), now, layers, not left
 
 
