@@ -12,11 +12,14 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 FRAGMENT = 512
 #: Fragments a worker remembers: at most about 100 MB.
 MEMO = 20_000
+#: Characters after which a worker hands its ids on.
+BATCH_CHARS = 4_000_000
 
 
 def vocabulary_folder() -> str:
@@ -105,36 +110,45 @@ def encode(text: str | None, path: str, memo: dict[str, list[int]] | None = None
     return out[0] if len(out) == 1 else list(chain.from_iterable(out))
 
 
-def _worker(path: str, counts: bool):
+def _counter(path: str):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo: dict[str, list[int]] = {}
         for batch in batches:
-            ids = (encode(text, path, memo) for text in batch)
-            yield pd.Series([len(x) for x in ids] if counts else list(ids), index=batch.index, dtype="int32" if counts else object)
+            yield pd.Series([len(encode(text, path, memo)) for text in batch], index=batch.index, dtype="int32")
 
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return run
 
 
-def token_ids(text: Column, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> Column:
-    """array<int> of a text's ids, without special tokens; empty for empty and null texts."""
-    path = os.path.join(folder or vocabulary_folder(), vocabulary)
-    return F.pandas_udf(_typed(_worker(path, False)), "array<int>")(text)
-
-
 def token_count(text: Column, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> Column:
     """Number of a text's ids; 0 for empty and null texts."""
     path = os.path.join(folder or vocabulary_folder(), vocabulary)
-    return F.pandas_udf(_typed(_worker(path, True)), "int")(text)
-
-
-def _typed(run):
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return run
+    return F.pandas_udf(_counter(path), "int")(text)
 
 
 def encode_corpus(documents: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> DataFrame:
-    """``doc_id, ids`` of every row; repeated rows stay repeated, null ids stay null, other columns are left out.
+    """``doc_id, ids`` of every row, ids without special tokens and empty for empty and null texts.
 
-    Narrow: no shuffle.
+    Repeated rows stay repeated, null ids of documents stay null, other columns are left out.  Narrow: no
+    shuffle.  Ids leave the worker as flat Arrow buffers, a bounded number of characters at a time.
     """
-    return documents.select("doc_id", token_ids(F.col("text"), vocabulary, folder).alias("ids"))
+    path = os.path.join(folder or vocabulary_folder(), vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, list[int]] = {}
+        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+        for batch in batches:
+            keys, texts, start = batch.column(0), batch.column(1), 0
+            while start < len(texts):
+                flat, ends, chars, at = array("i"), [0], 0, start
+                while at < len(texts) and chars < BATCH_CHARS:
+                    text = texts[at].as_py()
+                    flat.extend(encode(text, path, memo))
+                    ends.append(len(flat))
+                    chars += len(text or "")
+                    at += 1
+                ids = pa.ListArray.from_arrays(pa.array(np.array(ends, "int32")), pa.array(np.frombuffer(flat, "int32") if flat else np.empty(0, "int32")))
+                yield pa.RecordBatch.from_arrays([keys.slice(start, at - start), ids], schema=schema)
+                start = at
+
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>")
