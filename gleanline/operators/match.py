@@ -90,7 +90,7 @@ def resolve(items: DataFrame, catalog: DataFrame, cache: DataFrame | None = None
     reading is searched both ways; one way must lead by a margin, else the better stays for review.
     Items without any candidate are 'not_found'; null titles have none.
     """
-    known = _folded(items, "title", "artist", "f").withColumn("isrc", T.isrc(F.col("isrc")))
+    known = _folded(items.select("item_id", "title", "artist", "isrc", "duration_s", "qualifiers", "alternate"), "title", "artist", "f").withColumn("isrc", T.isrc(F.col("isrc")))
     listed = _folded(catalog, "title", "artist", "f").withColumn("isrc", T.isrc(F.col("isrc")))
     spare = _folded(fallback, "title", "artist", "f").withColumn("isrc", T.isrc(F.col("isrc"))) if fallback is not None else None
     stages = []

@@ -88,14 +88,23 @@ def _match(parser: str, peeled: Column, artist: Column, ambiguous: Column, left:
     return F.when((peeled["base"] != "") & (T.word_count(peeled["base"]) <= TITLE_WORDS), made)
 
 
+def _once(row: Column) -> Column:
+    """A struct's fields as columns, by a generator of one row: filters on them stay above it.
+
+    Pushed further down, a filter would repeat the whole parser's expression wherever a field is named.
+    """
+    return F.inline(F.array(row))
+
+
 def parse_lines(triaged: DataFrame) -> DataFrame:
     """Content lines with ``consumed, position, timestamp_s, duration_s, isrc, core, strict, bare``.
 
     ``strict`` is the first of tab, quoted, by and dash that claims the line, ``bare`` the line as a
     title alone.  Only texts with something to peel go through Python.
     """
-    rows = triaged.where("not noise").withColumn("pre", strip_prefixes(F.col("line"))).withColumn("suf", strip_suffixes(F.col("pre.rest")))
-    rows = rows.select("doc_id", "line_no", "line", "line_offset", "pre.consumed", "pre.position", "pre.timestamp_s", "suf.duration_s", "suf.isrc", F.col("suf.rest").alias("core")).where("core rlike '\\\\S'")
+    keys = ("doc_id", "line_no", "line", "line_offset")
+    rows = triaged.where("not noise").select(*keys, _once(strip_prefixes(F.col("line"))))
+    rows = rows.select(*keys, "consumed", "position", "timestamp_s", _once(strip_suffixes(F.col("rest")))).withColumnRenamed("rest", "core").where("core rlike '\\\\S'")
     core = F.col("core")
     tab = core.rlike(TAB)
     tab_left, tab_right = T.strip(_group(core, TAB, 1)), T.strip(_group(core, TAB, 2))
@@ -132,4 +141,4 @@ def parse_lines(triaged: DataFrame) -> DataFrame:
         dash,
     )
     bare = _match("bare", p["bare_title"], null, F.lit(False))
-    return rows.select("doc_id", "line_no", "line", "line_offset", "consumed", "position", "timestamp_s", "duration_s", "isrc", "core", strict.alias("strict"), bare.alias("bare"))
+    return rows.select(*keys, "consumed", "position", "timestamp_s", "duration_s", "isrc", "core", _once(F.struct(strict.alias("strict"), bare.alias("bare"))))
