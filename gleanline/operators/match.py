@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanline.functions import score as S
 from gleanline.functions import text as T
 from gleanline.functions.normalize import fold
+from gleanline.session import cut
 
 MARGIN = 0.10
 CACHE_DAYS = 30
@@ -17,7 +18,7 @@ def _folded(rows: DataFrame, title: str, artist: str, prefix: str) -> DataFrame:
     return rows.withColumns({f"{prefix}title": fold(F.col(title)), f"{prefix}artist": fold(F.col(artist))})
 
 
-def search(items: DataFrame, catalog: DataFrame, common: float = 0.01) -> DataFrame:
+def search(items: DataFrame, catalog: DataFrame, common: float = 0.002) -> DataFrame:
     """Pairs of items and recordings that share a title token, or all title text, or a title token and an artist token.
 
     ``items``: ``item_id, ftitle, fartist``; ``catalog``: ``recording_id, ftitle, fartist``.  A title token
@@ -27,7 +28,7 @@ def search(items: DataFrame, catalog: DataFrame, common: float = 0.01) -> DataFr
     """
     size = catalog.agg(F.count("*").alias("catalog_n"))
     words = catalog.select("recording_id", F.explode(F.array_distinct(T.tokens(F.col("ftitle")))).alias("token"))
-    often = words.groupBy("token").agg(F.count("*").alias("n")).crossJoin(size).where((F.col("n") > F.col("catalog_n") * common) & (F.col("n") > 50)).select("token", F.lit(True).alias("often"))
+    often = words.groupBy("token").agg(F.count("*").alias("n")).crossJoin(size).where((F.col("n") > F.col("catalog_n") * common) & (F.col("n") > 20)).select("token", F.lit(True).alias("often"))
 
     def keys(rows: DataFrame, key: str) -> DataFrame:
         split = rows.select(key, "ftitle", "fartist", F.explode(F.array_distinct(T.tokens(F.col("ftitle")))).alias("token")).join(often, "token", "left")
@@ -72,7 +73,7 @@ def by_isrc(items: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def by_text(items: DataFrame, primary: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
     """Best text match of each item; the fallback catalog serves items for which the primary proposes nothing."""
-    pairs = search(items, primary)
+    pairs = cut(search(items, primary))
     best = best_match(score_pairs(pairs, items, primary)).withColumn("source", F.lit("text"))
     if fallback is None:
         return best
@@ -90,8 +91,9 @@ def resolve(items: DataFrame, catalog: DataFrame, cache: DataFrame | None = None
     reading is searched both ways; one way must lead by a margin, else the better stays for review.
     Items without any candidate are 'not_found'; null titles have none.
     """
-    known = _folded(items.select("item_id", "title", "artist", "isrc", "duration_s", "qualifiers", "alternate"), "title", "artist", "f").withColumn("isrc", T.isrc(F.col("isrc")))
-    listed = _folded(catalog, "title", "artist", "f").withColumn("isrc", T.isrc(F.col("isrc")))
+    # Both sides serve several joins; folded once, they are kept.
+    known = cut(_folded(items.select("item_id", "title", "artist", "isrc", "duration_s", "qualifiers", "alternate"), "title", "artist", "f").withColumn("isrc", T.isrc(F.col("isrc"))))
+    listed = cut(_folded(catalog, "title", "artist", "f").withColumn("isrc", T.isrc(F.col("isrc"))))
     spare = _folded(fallback, "title", "artist", "f").withColumn("isrc", T.isrc(F.col("isrc"))) if fallback is not None else None
     stages = []
     rest = known

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,23 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once a session, so that they need no installation of it."""
+    context = spark.sparkContext
+    if getattr(context, "_gleanline", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    packed = os.path.join(tempfile.mkdtemp(prefix="gleanline-"), "gleanline.zip")
+    with zipfile.ZipFile(packed, "w") as file:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    file.write(path, os.path.relpath(path, os.path.dirname(here)))
+    context.addPyFile(packed)
+    context._gleanline = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a test-data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
