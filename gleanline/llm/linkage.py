@@ -284,7 +284,8 @@ def link(inputs: DataFrame, candidates: DataFrame) -> DataFrame:
     patterns = compared.groupBy(*LEVELS).agg(F.count("*").alias("n")).toPandas()  # bounded: 240 patterns
     m, u, share = fit(patterns)
     odds = F.exp(_looked_up(m, u) + float(np.log(share / (1 - share))))
-    scored = compared.where("title < 3 and artist < 2").withColumn("odds", odds)
+    # The same recording has the same version, and a title without a mark is the studio version.
+    scored = compared.where("title < 3 and artist < 2 and version < 2").withColumn("odds", odds)
     per_pair = scored.groupBy("input_id", "candidate_id").agg(F.max("odds").alias("odds"), F.min("gap").alias("gap"))
     best = per_pair.groupBy("input_id").agg(
         F.sum("odds").alias("all_odds"),
