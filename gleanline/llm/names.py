@@ -37,7 +37,9 @@ PARTNERS = [
 ]
 AND = {"&", "and", "n", "w", "+", "with", "und", "et", "y"}
 MIN_SUFFIX = 3
-MIN_RATIO = 0.8
+MIN_RATIO = 0.7
+# By-names that stand in quotes beside a given name, or in its place.
+BYNAMES = {"static", "sparks", "duke", "moth", "fuzz", "pepper", "tumbler", "sugar"}
 
 
 def fold(text: str) -> str:
@@ -116,7 +118,7 @@ def given_names(token: str, dotted: bool = False) -> tuple[str, ...]:
         return tuple(sorted(_NICK[word]))
     if len(word) <= 4 and (dotted or len(word) == 1):
         return tuple(sorted(name for name in GIVEN if smooth(name).startswith(word)))
-    near = [(min(distance(word, smooth(name)), distance(token, name)), name) for name in GIVEN if abs(len(name) - len(word)) <= 2]
+    near = [(min(distance(word, smooth(name)), distance(token, name)), name) for name in GIVEN if min(abs(len(name) - len(word)), abs(len(name) - len(token))) <= 2]
     if near and (best := min(near))[0] <= (1 if len(token) < 6 else 2):
         return tuple(sorted(name for d, name in near if d == best[0]))
     return ()
@@ -138,6 +140,10 @@ def _kind_at(tokens: list[str]) -> tuple[int, int, str] | None:
         for i in range(len(tokens) - 1):
             if _is_word(tokens[i], words[0]) and _is_word(tokens[i + 1], words[1]):
                 return i, i + 2, kind
+    if len(tokens) == 2 and len(tokens[1]) > 4:
+        for kind in KINDS:
+            if " " in kind and len(kind.split()[1]) > 4 and distance(tokens[1], kind.split()[1]) <= 1:
+                return 1, 2, kind
     return None
 
 
@@ -151,8 +157,8 @@ def _partner(token: str) -> str | None:
 def apart(artist: str | None) -> tuple[str, str, list[str], list[str]] | None:
     """``family, core, given, refine`` of a spelling; None for null and for text without letters.
 
-    ``given`` are the full names its given name may stand for, ``refine`` the values of the other field
-    of which one must be shared.
+    ``given`` are the full names its given name may stand for (none for a by-name in its place), ``refine``
+    the values of the other field of which one must be shared.
     """
     if not artist or not artist.strip():
         return None
@@ -206,6 +212,9 @@ def apart(artist: str | None) -> tuple[str, str, list[str], list[str]] | None:
             rank = 0 if exact else 1
         ranked.append((rank, i if not comma else -i, i, names))
     best = min(ranked)
+    bynames = [t for t in words if t in BYNAMES]
+    if best[0] >= 4 and len(words) == 2 and len(bynames) == 1:
+        return "person", smooth(next(t for t in words if t not in BYNAMES)), [], []
     if best[0] >= 4:
         best = ranked[-1] if comma else ranked[0]
     at = best[2]
@@ -255,7 +264,10 @@ def nodes_of(parts: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a suffix of the core, from either end, and an other field."""
+    """Pairs of nodes that share a suffix of the core, from either end, and an other field.
+
+    Suffixes are about half the core long, so that one slip leaves one of the two whole.
+    """
     half = F.ceil(F.length("core") / 2).cast("int")
     lengths = F.array_distinct(F.transform(F.array(half - 1, half), lambda k: F.least(F.greatest(k, F.lit(MIN_SUFFIX)), F.length("core"))))
     keyed = nodes.select("node", "family", "core", "given", F.explode("refine").alias("other"), lengths.alias("lengths"))
@@ -265,10 +277,19 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
         F.concat(F.lit(">"), F.expr("left(core, k)")),  # suffix of the core read backwards
     )
     keyed = keyed.select("node", "family", "other", "core", "given", F.explode(ends).alias("suffix"))
+    # Slips in both halves: the first or last three letters with the letter at the other end.
+    rims = F.array(
+        F.concat(F.lit("<<"), F.expr("left(core, 1)"), F.expr("right(core, 3)")),
+        F.concat(F.lit(">>"), F.expr("right(core, 1)"), F.expr("left(core, 3)")),
+    )
+    keyed = keyed.unionByName(nodes.select("node", "family", F.explode("refine").alias("other"), "core", "given", rims.alias("r")).select("node", "family", "other", "core", "given", F.explode("r").alias("suffix")))
+    # A by-name says nothing of the given name: it meets persons with the whole core only.
+    whole = nodes.where("family = 'person'").select("node", "family", F.lit("*").alias("other"), "core", "given", F.concat(F.lit("="), "core").alias("suffix"))
+    keyed = keyed.unionByName(whole)
     left = keyed.select("family", "other", "suffix", F.col("node").alias("a"), F.col("core").alias("core_a"), F.col("given").alias("given_a"))
     right = keyed.select("family", "other", "suffix", F.col("node").alias("b"), F.col("core").alias("core_b"), F.col("given").alias("given_b"))
     pairs = left.join(right, ["family", "other", "suffix"]).where("a < b")
-    pairs = pairs.where((F.size("given_a") == 0) | F.arrays_overlap("given_a", "given_b"))
+    pairs = pairs.where((F.size("given_a") == 0) | (F.size("given_b") == 0) | F.arrays_overlap("given_a", "given_b"))
     pairs = pairs.where("levenshtein(core_a, core_b, 4) between 0 and 4")
     return pairs.groupBy("a", "b").agg(F.first("core_a").alias("core_a"), F.first("core_b").alias("core_b"))
 

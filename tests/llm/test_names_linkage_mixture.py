@@ -18,6 +18,7 @@ SAME = [
     ["The Lidadelins", "Lidadelins, The", "Thee Lidadelins", "the Lidadelins band", "The Lidadelinz", "Lydadeilns"],
     ["Rosíjovolt & the Weathervanes", "Rosijovolt and the Weathervanes", "Weathervanes, Rosíjovolt and the", "The Weathervanes & Rosíjovolt", "Rosíjovolt w/ the Weathervanes", "Rosíjovolt + Weathervanes"],
     ["Hemözesinne Chamber Orchestra", "Hemözesinne C.O.", "Chamber Orchestra of Hemözesinne", "Hemozesine Chmbr Orchestra", "The Hemözesinne Chamber Orch."], ["Rebecca Fibedobo", "Rebecca Fibdeobo"],
+    ["Vincent Pahovenen", "Sparks Pahovenen"], ["Kebihiwird String Quartet", "Kebihiwird Quartet"], ["Zamevenon, Isabella", "Isabella Zamvrnon"],
     ["Richard Giwetomolt", "Dick Giwetomolt"], ["Christopher Giwetomolt", "Chri. Gwyetomolt"],
 ]
 
