@@ -75,7 +75,11 @@ def artist(text: Column) -> Column:
 
 def credits(text: Column) -> Column:
     """``struct<primary, featured>``: the artist before an inline or bracketed "feat." and those after it."""
-    clean = artist(text)
+    return credits_of(artist(text))
+
+
+def credits_of(clean: Column) -> Column:
+    """As ``credits``, of an artist that is already without list punctuation."""
     inline = r"(?i)^(.*?)\s+(?:feat\.|ft\.|featuring)\s+(.+)$"
     bracket = r"(?i)^(.*?)\s*[(\[]\s*(?:feat\.?|ft\.?|featuring|w\.?/)\s+([^()\[\]]+?)\s*[)\]]\s*$"
     none = F.array().cast("array<string>")

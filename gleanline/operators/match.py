@@ -26,9 +26,9 @@ def search(items: DataFrame, catalog: DataFrame, common: float = 0.002) -> DataF
     title of only such tokens is one as a whole, so no pair with an equal title is lost and no token
     grows into a block of the whole catalog.
     """
-    size = catalog.agg(F.count("*").alias("catalog_n"))
+    most = max(20, int(catalog.count() * common))
     words = catalog.select("recording_id", F.explode(F.array_distinct(T.tokens(F.col("ftitle")))).alias("token"))
-    often = words.groupBy("token").agg(F.count("*").alias("n")).crossJoin(size).where((F.col("n") > F.col("catalog_n") * common) & (F.col("n") > 20)).select("token", F.lit(True).alias("often"))
+    often = words.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > most).select("token", F.lit(True).alias("often"))
 
     def keys(rows: DataFrame, key: str) -> DataFrame:
         split = rows.select(key, "ftitle", "fartist", F.explode(F.array_distinct(T.tokens(F.col("ftitle")))).alias("token")).join(often, "token", "left")

@@ -76,18 +76,22 @@ def _marked(peeled: Column) -> Column:
 
 
 def _match(parser: str, peeled: Column, artist: Column, ambiguous: Column, left: Column | None = None, right: Column | None = None) -> Column:
-    """A parser's struct, or null where no title is left or it is too long."""
-    none = F.array().cast("array<string>")
-    credit = T.credits(artist)
+    """A parser's struct with the artist as written, or null where no title is left or it is too long."""
     text = lambda c: F.lit(None).cast("string") if c is None else c
     made = F.struct(
-        peeled["base"].alias("title"), F.nullif(credit["primary"], F.lit("")).alias("artist"), F.lit(parser).alias("parser"), ambiguous.alias("ambiguous"),
-        F.array_distinct(F.concat(peeled["featured"], F.coalesce(credit["featured"], none))).alias("featured"),
+        peeled["base"].alias("title"), artist.alias("artist"), F.lit(parser).alias("parser"), ambiguous.alias("ambiguous"), peeled["featured"].alias("featured"),
         peeled["qualifiers"].alias("qualifiers"), peeled["version_label"].alias("version_label"), text(left).alias("left"), text(right).alias("right"),
     )
     return F.when((peeled["base"] != "") & (T.word_count(peeled["base"]) <= TITLE_WORDS), made)
 
 
+def _credited(match: Column, credit: Column) -> Column:
+    """A match with its artist's credits told apart."""
+    none = F.array().cast("array<string>")
+    named = match.withField("artist", F.nullif(credit["primary"], F.lit("")))
+    return F.when(match.isNotNull(), named.withField("featured", F.array_distinct(F.concat(match["featured"], F.coalesce(credit["featured"], none)))))
+
+
 def _once(row: Column) -> Column:
     """A struct's fields as columns, by a generator of one row: filters on them stay above it.
 
@@ -141,4 +145,9 @@ def parse_lines(triaged: DataFrame) -> DataFrame:
         dash,
     )
     bare = _match("bare", p["bare_title"], null, F.lit(False))
-    return rows.select(*keys, "consumed", "position", "timestamp_s", "duration_s", "isrc", "core", _once(F.struct(strict.alias("strict"), bare.alias("bare"))))
+    hints = (*keys, "consumed", "position", "timestamp_s", "duration_s", "isrc", "core")
+    # The winner's artist is cleaned and split once, after the choice.
+    chosen = rows.select(*hints, _once(F.struct(strict.alias("strict"), bare.alias("bare"))))
+    cleaned = chosen.select(*hints, "strict", "bare", _once(F.struct(T.artist(F.col("strict.artist")).alias("clean"))))
+    credited = cleaned.select(*hints, "strict", "bare", _once(F.struct(T.credits_of(F.col("clean")).alias("credit"))))
+    return credited.select(*hints, _once(F.struct(_credited(F.col("strict"), F.col("credit")).alias("strict"), F.col("bare").alias("bare"))))
