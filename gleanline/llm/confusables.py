@@ -34,6 +34,8 @@ FROM_LATIN = {"Cyrillic": {}, "Greek": {}}
 for _name, _table in (("Cyrillic", CYRILLIC), ("Greek", GREEK)):
     for _own, _latin in _table.items():
         FROM_LATIN[_name].setdefault(_latin, _own)
+#: Latin letters that everyday Cyrillic or Greek letters look like; any other Latin letter shows that its word is Latin.
+SHARED = frozenset("ABCEHIKMNOPTXYZaceopxyv")
 #: Characters without a width that are taken away; joiners and variation selectors stay beside emoji.
 _JOINERS = "‌‍︎️"
 _FILLERS = "͏ᅟᅠㅤﾠ឴឵᠎"
@@ -101,7 +103,7 @@ def _verdict(word: str) -> str | None:
         if not own:
             continue
         if own == "Latin":
-            clear = char not in FROM_LATIN["Cyrillic"] and char not in FROM_LATIN["Greek"]
+            clear = char not in SHARED
         else:
             clear = char not in TO_LATIN
         if clear:

@@ -11,7 +11,7 @@ from gleanline.llm import mojibake as M
     ("odd", "plain"),
     [
         ("Chasing the Enginе", "Chasing the Engine"), ("Mirro‎r", "Mirror"), ("Ｑuiet Ｐａｖｉｌｉｏｎ！", "Quiet Pavilion!"), ("The 𝐊𝐢𝐥𝐞𝐦𝐚", "The Kilema"), ("Beﬁbe", "Befibe"),
-        ("Borroweⅾ", "Borrowed"), ("A b　c d", "A b c d"), ("Théâtre", "Théâtre"), ("Lɑ Forêt", "La Forêt"), ("Notopa Ісесар", "Notopa Icecap"),
+        ("Borroweⅾ", "Borrowed"), ("A b　c d", "A b c d"), ("Théâtre", "Théâtre"), ("Lɑ Forêt", "La Forêt"), ("Notopa Ісесар", "Notopa Icecap"), ("Hollow Арех", "Hollow Apex"), ("Tidal Сорѕе", "Tidal Copse"),
         ("Xάρτιvη πόλη", "Χάρτινη πόλη"), ("Зимняя плoщaдь", "Зимняя площадь"), ("\U0001d53aopse", "Copse"), ("Kelvin", "Kelvin"), ("su­per", "super"),
     ],
 )
