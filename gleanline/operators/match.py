@@ -22,19 +22,26 @@ def search(items: DataFrame, catalog: DataFrame, common: float = 0.002) -> DataF
     """Pairs of items and recordings that share a title token, or all title text, or a title token and an artist token.
 
     ``items``: ``item_id, ftitle, fartist``; ``catalog``: ``recording_id, ftitle, fartist``.  A title token
-    in more than ``common`` of the catalog is no key alone; it is one together with an artist token, and a
-    title of only such tokens is one as a whole, so no pair with an equal title is lost and no token
+    in more than ``common`` of the catalog is no key alone; it is one together with an artist token that is
+    rare itself, and every title is one as a whole, so no pair with an equal title is lost and no token
     grows into a block of the whole catalog.
     """
     most = max(20, int(catalog.count() * common))
-    words = catalog.select("recording_id", F.explode(F.array_distinct(T.tokens(F.col("ftitle")))).alias("token"))
-    often = words.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > most).select("token", F.lit(True).alias("often"))
+
+    def split(rows: DataFrame, key: str, column: str) -> DataFrame:
+        return rows.select(key, F.explode(F.array_distinct(T.tokens(F.col(column)))).alias("token"))
+
+    def often(column: str, most: int) -> DataFrame:
+        return cut(split(catalog, "recording_id", column).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > most).select("token", F.lit(True).alias("often")))
+
+    often_title, often_artist = often("ftitle", most), often("fartist", 10 * most)  # a pair of tokens is rarer than either
 
     def keys(rows: DataFrame, key: str) -> DataFrame:
-        split = rows.select(key, "ftitle", "fartist", F.explode(F.array_distinct(T.tokens(F.col("ftitle")))).alias("token")).join(often, "token", "left")
-        rare = split.where("often is null").select(key, F.concat(F.lit("t|"), "token").alias("block"))
-        pairs = split.where("often").select(key, "token", F.explode(T.tokens(F.col("fartist"))).alias("who")).select(key, F.concat_ws("|", F.lit("a"), "token", "who").alias("block"))
-        whole = rows.select(key, F.concat(F.lit("w|"), "ftitle").alias("block"))
+        titles = split(rows, key, "ftitle").join(often_title, "token", "left")
+        artists = split(rows, key, "fartist").join(often_artist, "token", "left_anti").withColumnRenamed("token", "who")
+        rare = titles.where("often is null").select(key, F.concat(F.lit("t|"), "token").alias("block"))
+        pairs = titles.where("often").join(artists, key).select(key, F.concat_ws("|", F.lit("a"), "token", "who").alias("block"))
+        whole = rows.where("ftitle is not null").select(key, F.concat(F.lit("w|"), "ftitle").alias("block"))
         return rare.unionByName(pairs).unionByName(whole)
 
     left, right = keys(items, "item_id"), keys(catalog, "recording_id")
