@@ -64,7 +64,7 @@ def n17_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 def n18_merged_hints(spark: SparkSession, folder: str) -> DataFrame:
     """Hints of consecutive lines of a list merged, the earlier line's first."""
-    rows = _list(spark, folder).where("list_id <> 1").select("list_id", "line_no", F.col("hints").alias("h"))
+    rows = _list(spark, folder).select("list_id", "line_no", F.col("hints").alias("h"))
     later = rows.select("list_id", (F.col("line_no") - 1).alias("line_no"), F.col("h").alias("g"))
     merged = T.merge_structs(F.col("h"), F.col("g"), ["album", "isrc", "release_year", "list_pos"], ["featured_artists", "qualifiers"])
     out = rows.join(later, ["list_id", "line_no"]).select("list_id", "line_no", merged.alias("m"))
