@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,34 +22,105 @@ def _folded(rows: DataFrame, title: str, artist: str, prefix: str) -> DataFrame:
     return rows.withColumns({f"{prefix}title": fold(F.col(title)), f"{prefix}artist": fold(F.col(artist))})
 
 
-def search(items: DataFrame, catalog: DataFrame, common: float = 0.002) -> DataFrame:
-    """Pairs of items and recordings that share a title token, or all title text, or a title token and an artist token.
-
-    ``items``: ``item_id, ftitle, fartist``; ``catalog``: ``recording_id, ftitle, fartist``.  A title token
-    in more than ``common`` of the catalog is no key alone; it is one together with an artist token that is
-    rare itself, and every title is one as a whole, so no pair with an equal title is lost and no token
-    grows into a block of the whole catalog.
+ITEM_BLOCK, CATALOG_BLOCK = 16_384, 65_536  # rows of a block: what one task holds and searches
+
+
+def _postings(rows: Iterable[str | None]) -> dict[str, np.ndarray]:
+    """Row numbers of each token; an empty text has the empty token."""
+    found: dict[str, list[int]] = {}
+    for i, text in enumerate(rows):
+        if text is not None:
+            for token in set(text.split(" ")):
+                found.setdefault(token, []).append(i)
+    return {token: np.array(rows, dtype=np.int32) for token, rows in found.items()}
+
+
+def _shared(postings: dict[str, np.ndarray], text: str | None, n: int) -> np.ndarray:
+    """How many tokens of a text each row has."""
+    hit = [postings[token] for token in set(text.split(" ")) if token in postings] if text else []
+    return np.bincount(np.concatenate(hit), minlength=n) if hit else np.zeros(n, dtype=np.int64)
+
+
+def _first_best(score: np.ndarray, popularity: np.ndarray) -> int:
+    """Where ``score.best_of`` ends over rows in order of ``pos``."""
+    near = np.flatnonzero(score >= score.max() - 1e-6)  # lower ones never stay
+    if np.ptp(score[near]) <= S.TIE:
+        return near[np.argmax(popularity[near])]
+    best = near[0]
+    for i in near[1:]:
+        gap = score[i] - score[best]
+        if gap > S.TIE or (abs(gap) <= S.TIE and popularity[i] > popularity[best]):
+            best = i
+    return best
+
+
+def _best_in_block(items: pd.DataFrame, catalog: pd.DataFrame) -> pd.DataFrame:
+    """Each item's best recording of a block of the catalog, by the scores of ``score_pairs``."""
+    catalog = catalog.sort_values(["pos", "recording_id"], na_position="first")
+    n, w = len(catalog), S.WEIGHTS
+    title_of, artist_of = _postings(catalog["ftitle"]), _postings(t or None for t in catalog["fartist"])
+    sizes = lambda column: np.array([len(set(t.split(" "))) if t else 0 for t in column])
+    n_title, n_artist = np.maximum(sizes(catalog["ftitle"]), 1), sizes(catalog["fartist"])
+    unknown = catalog["fartist"].isna().to_numpy()
+    same_artist = {name: np.asarray(rows) for name, rows in catalog.reset_index(drop=True).groupby("fartist").indices.items()}
+    length, popularity = catalog["duration_s"].to_numpy(dtype=float), catalog["popularity"].fillna(0.0).to_numpy(dtype=float)
+    kinds: dict[frozenset, int] = {}
+    kind = np.array([kinds.setdefault(frozenset(q if q is not None else ()), len(kinds)) for q in catalog["qualifiers"]], dtype=np.int32)
+    number, agreed, enough = catalog["recording_id"].to_numpy(), {}, {}
+    out = []
+    for item, title, artist, seconds, wanted in zip(items["item_id"], items["ftitle"], items["fartist"], items["duration_s"], items["qualifiers"]):
+        wanted = frozenset(wanted if wanted is not None else ())
+        if wanted not in agreed:
+            agreed[wanted] = np.array([max(0.0, 1 - 0.25 * len(wanted - k) - 0.5 * len(k - wanted)) for k in kinds])
+        titles = _shared(title_of, title, n) if title else np.bincount(title_of.get("", np.array([], dtype=np.int32)), minlength=n)
+        keep = titles > 0
+        if artist:
+            artists, k = _shared(artist_of, artist, n), len(set(artist.split(" ")))
+            if k not in enough:
+                enough[k] = np.maximum(np.minimum(n_artist, k), 1)
+            keep |= artists >= enough[k]  # may reach 'review' without the title
+        elif artist is not None:
+            artists = np.zeros(n, dtype=np.int64)
+            keep[same_artist.get(artist, [])] = True
+        rows = np.flatnonzero(keep)
+        if not len(rows):
+            continue
+        title_sim = titles[rows] / np.minimum(n_title[rows], max(len(set(title.split(" "))), 1))
+        if artist is None:
+            artist_sim = np.full(len(rows), 0.5)
+        else:
+            least = np.minimum(n_artist[rows], len(set(artist.split(" "))) if artist else 0)
+            artist_sim = np.where(unknown[rows], 0.5, artists[rows] / np.maximum(least, 1))
+            if not artist:
+                artist_sim[np.isin(rows, same_artist.get(artist, []))] = 1.0
+        gap = np.abs(seconds - length[rows])
+        length_sim = np.where(np.isnan(gap), 0.5, np.clip(1 - (gap - 3.0) / 9.0, 0.0, 1.0))
+        score = w["title"] * title_sim + w["artist"] * artist_sim + w["length"] * length_sim + w["qualifiers"] * agreed[wanted][kind[rows]]
+        fit = (titles[rows] > 0) | (score >= S.NOT_FOUND - S.TIE)
+        if fit.any():
+            rows, score = rows[fit], score[fit]
+            out.append((item, number[rows[_first_best(score, popularity[rows])]]))
+    return pd.DataFrame(out, columns=["item_id", "recording_id"])
+
+
+def search(items: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Pairs of each item and its best recording in every block of the catalog; the best of all is among them.
+
+    ``items``: ``item_id, ftitle, fartist, duration_s, qualifiers``; ``catalog``: ``recording_id, ftitle,
+    fartist, duration_s, qualifiers, popularity, pos``.  A recording is a candidate if it shares a title
+    token, however common, or if its score is enough for 'review' without one.  Every block of items meets
+    every block of the catalog, so no token needs to be rare; in a task, lists of rows by token keep the work
+    to the recordings that share one.
     """
-    most = max(20, int(catalog.count() * common))
-
-    def split(rows: DataFrame, key: str, column: str) -> DataFrame:
-        return rows.select(key, F.explode(F.array_distinct(T.tokens(F.col(column)))).alias("token"))
-
-    def often(column: str, most: int) -> DataFrame:
-        return cut(split(catalog, "recording_id", column).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > most).select("token", F.lit(True).alias("often")))
-
-    often_title, often_artist = often("ftitle", most), often("fartist", 10 * most)  # a pair of tokens is rarer than either
-
-    def keys(rows: DataFrame, key: str) -> DataFrame:
-        titles = split(rows, key, "ftitle").join(often_title, "token", "left")
-        artists = split(rows, key, "fartist").join(often_artist, "token", "left_anti").withColumnRenamed("token", "who")
-        rare = titles.where("often is null").select(key, F.concat(F.lit("t|"), "token").alias("block"))
-        pairs = titles.where("often").join(artists, key).select(key, F.concat_ws("|", F.lit("a"), "token", "who").alias("block"))
-        whole = rows.where("ftitle is not null").select(key, F.concat(F.lit("w|"), "ftitle").alias("block"))
-        return rare.unionByName(pairs).unionByName(whole)
-
-    left, right = keys(items, "item_id"), keys(catalog, "recording_id")
-    return left.join(right, "block").select("item_id", "recording_id").distinct()
+    left = items.where("ftitle is not null").select("item_id", "ftitle", "fartist", F.col("duration_s").cast("double").alias("duration_s"), "qualifiers")
+    right = catalog.where("ftitle is not null").select("recording_id", "ftitle", "fartist", F.col("duration_s").cast("double").alias("duration_s"), "qualifiers", F.col("popularity").cast("double").alias("popularity"), "pos")
+    down = max(1, -(-right.count() // CATALOG_BLOCK))
+    across = max(-(-left.count() // ITEM_BLOCK), -(-items.sparkSession.sparkContext.defaultParallelism // down))
+    left = left.withColumns({"a": F.pmod(F.xxhash64("item_id"), F.lit(across)), "b": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(down - 1).cast("bigint")))})
+    right = right.withColumns({"b": F.pmod(F.xxhash64("recording_id"), F.lit(down)), "a": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(across - 1).cast("bigint")))})
+    kinds = {f.name: f.dataType.simpleString() for f in [*items.schema, *catalog.schema]}
+    blocks = [rows.repartition(across * down, "a", "b").groupBy("a", "b") for rows in (left, right)]
+    return blocks[0].cogroup(blocks[1]).applyInPandas(_best_in_block, f"item_id {kinds['item_id']}, recording_id {kinds['recording_id']}")
 
 
 def score_pairs(pairs: DataFrame, items: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -1,6 +1,11 @@
 """Queries against brute force over whole tables: no list, script or spelling is left out."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from gleanline.functions.score import NOT_FOUND
+from gleanline.operators import match as M
+from gleanline.plans import entities as E
 
 
 def test_merged_hints_of_every_list(spark, small):
@@ -15,3 +20,27 @@ def test_merged_hints_of_every_list(spark, small):
     got = {(r.list_id, r.line_no): tuple(r)[2:] for r in entry.queries()["n18_merged_hints"](spark, small).collect()}
     assert sum(key[0] == 1 for key in want) > 10
     assert got == want
+
+
+ITEM = "item_id bigint, title string, artist string, isrc string, duration_s double, qualifiers array<string>, alternate struct<title:string,artist:string>"
+RECORDING = "recording_id bigint, title string, artist string, isrc string, duration_s double, qualifiers array<string>, popularity double, pos bigint"
+
+
+def test_titles_of_common_words_meet_their_recording(spark):
+    """Words of every title, with a missing, mistyped or common artist and another wording."""
+    listed = [(n, f"The Glacier {'Bell' * (n % 3)} of {n}", f"The Band {n}", None, 100.0 + 40 * n, [], 0.5, n) for n in range(90)] + [(900, "The Glacier", "Overcoat Keep", None, 50.0, [], 0.5, 900), (901, "Solitude", "Marta Quill", None, 77.0, [], 0.5, 901)]
+    rows = [(1, "The Glacier Live", None, None, 50.0, [], None), (2, "Glacier", "Ovrcoat Kep", None, 50.0, [], None), (3, "The Glcier", "Overcoat Keep", None, 50.0, [], None), (4, "Solitud", "Marta Quill", None, 77.0, [], None), (5, "Glacier Bell", "The", None, 5.0, [], None)]
+    got = {r.item_id: (r.recording_id, r.verdict) for r in M.resolve(spark.createDataFrame(rows, ITEM), spark.createDataFrame(listed, RECORDING)).collect()}
+    assert got[1] == (900, "auto_accept") or got[1] == (900, "review")
+    assert [got[n][0] for n in (2, 3, 4)] == [900, 900, 901] and all(got[n][1] != "not_found" for n in (2, 3, 4, 5))
+
+
+def test_search_equals_all_pairs(spark, small, monkeypatch):
+    """The best of all pairs that share a title token or are good enough for 'review', over several blocks."""
+    monkeypatch.setattr(M, "ITEM_BLOCK", 70)
+    monkeypatch.setattr(M, "CATALOG_BLOCK", 50)
+    items, listed = (M._folded(rows, "title", "artist", "f").cache() for rows in (E._items(spark, small), E._catalog(spark, small)))
+    every = M.score_pairs(items.select("item_id").crossJoin(listed.select("recording_id")), items, listed)
+    want = M.best_match(every.where((F.size(F.array_intersect(F.split("q_title", " "), F.split("c_title", " "))) > 0) | (F.col("score") >= NOT_FOUND)))
+    got = M.best_match(M.score_pairs(M.search(items, listed), items, listed))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
