@@ -32,12 +32,21 @@ def n2_strip(spark: SparkSession, folder: str) -> DataFrame:
     return _list(spark, folder).select("line_id", T.strip(F.col("title")).alias("title"), T.strip(F.col("artist")).alias("artist"))
 
 
-def n3_document(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where("text rlike '^[\\\\n -~]+$'")
+def _document(docs: DataFrame) -> DataFrame:
     text = N.normalize_document(F.col("text"))
     return docs.select("doc_id", F.char_length("text").alias("raw_length"), F.sha2(text, 256).alias("digest"), T.strip(text).alias("text"))
 
 
+def n3_document(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that its SQL can express; ``n3_document_all`` has every one."""
+    return _document(table(spark, folder, "documents").where("text rlike '^[\\\\n -~]+$'"))
+
+
+def n3_document_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text in its normal form; empty ones too, null ones have none."""
+    return _document(table(spark, folder, "documents").where("text is not null"))
+
+
 def n10_credits(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "seed_row").select("row_id", T.credits(F.col("artist")).alias("c"))
     return rows.select("row_id", F.col("c.primary").alias("primary_name"), F.array_join("c.featured", ";").alias("featured"))
@@ -360,7 +369,7 @@ def f13_seed_worthy(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        n2_strip, n3_document, n10_credits, n11_marked_titles, n15_strip_chars, n16_sha256, n17_spans, n18_merged_hints, n20_canonical_json, n29_share_pct, n31_in_basis, n33_large_events, n35_field_checks,
+        n2_strip, n3_document, n3_document_all, n10_credits, n11_marked_titles, n15_strip_chars, n16_sha256, n17_spans, n18_merged_hints, n20_canonical_json, n29_share_pct, n31_in_basis, n33_large_events, n35_field_checks,
         a1_prefixes, a2_suffixes, a9_truth_first, t1_cells, t2_header_fields, v1_coverage, v2_grounded, k4_artist_similarity, k7_match_score, j2_cache_lookup, j4_fallback, j6_nearest_before, j7_alias_lookup,
         j12_semi, j14_absorb, j15_set_difference, f9_residual_text, f10_review_queue, f11_alternates, f13_seed_worthy, f16_needs_fallback, f19_view, g9_over_budget, g20_tally, g22_status_counts, s17_report_rows,
         w9_alarm_ordinals, w10_first_match, l4_binds_first, o1_array_sets, o5_corpora, x2_cache_expiry, x8_error_kinds, x9_batches, x14_noise, x18_due,

@@ -1,8 +1,11 @@
 """Queries against brute force over whole tables: no list, script or spelling is left out."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from gleanline.functions import normalize as N
 from gleanline.functions.score import NOT_FOUND
 from gleanline.operators import match as M
 from gleanline.plans import entities as E
@@ -44,3 +47,15 @@ def test_search_equals_all_pairs(spark, small, monkeypatch):
     want = M.best_match(every.where((F.size(F.array_intersect(F.split("q_title", " "), F.split("c_title", " "))) > 0) | (F.col("score") >= NOT_FOUND)))
     got = M.best_match(M.score_pairs(M.search(items, listed), items, listed))
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_every_document_in_its_normal_form(spark, small, tmp_path):
+    got = {r.doc_id: (r.raw_length, r.digest, r.text) for r in entry.queries()["n3_document_all"](spark, small).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r.text is not None}
+    made = {i: N.normalize_text(text) for i, text in texts.items()}
+    assert got == {i: (len(texts[i]), hashlib.sha256(text.encode()).hexdigest(), text.strip()) for i, text in made.items()}
+    assert any(made[i] != text for i, text in texts.items())
+    by_hand = [(1, "a\r\nb\rc"), (2, "\uff21\u200bB\x07\tfi\ufb01"), (3, "e\u0301"), (4, ""), (5, None), (6, " plain ")]
+    spark.createDataFrame(by_hand, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in entry.queries()["n3_document_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: "a\nb\nc", 2: "AB\tfifi", 3: "\u00e9", 4: "", 6: "plain"}
