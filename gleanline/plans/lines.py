@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanline.functions import normalize as N
@@ -83,9 +85,18 @@ def n13_clock(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "list_line").select("line_id", T.clock_seconds(F.col("hints.duration_s")).alias("seconds"))
 
 
+def _recording_key(rows: DataFrame, fold: Callable[[Column], Column]) -> DataFrame:
+    return rows.select("line_id", T.recording_key(fold(F.col("title")), fold(F.col("artist")), F.col("hints.qualifiers")).alias("key"))
+
+
 def n14_recording_key(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "list_line").where("title rlike '^[ -~]*$' and coalesce(artist, '') rlike '^[ -~]*$'")
-    return rows.select("line_id", T.recording_key(T.fold_ascii(F.col("title")), T.fold_ascii(F.col("artist")), F.col("hints.qualifiers")).alias("key"))
+    """The lines that its SQL can express, as in all queries here with a sibling ``..._all`` over the whole table."""
+    return _recording_key(table(spark, folder, "list_line").where("title rlike '^[ -~]*$' and coalesce(artist, '') rlike '^[ -~]*$'"), T.fold_ascii)
+
+
+def n14_recording_key_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of every line with a title."""
+    return _recording_key(table(spark, folder, "list_line").where("title is not null"), N.fold)
 
 
 def n19_copies(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,10 +111,18 @@ def n25_words(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).where("text is not null").select("doc_id", T.word_count(F.col("text")).alias("n_words"), F.char_length(T.collapse(F.col("text"))).alias("n_collapsed"))
 
 
+def _keys(rows: DataFrame, fold: Callable[[Column], Column]) -> DataFrame:
+    key = F.coalesce(T.isrc_key(F.col("isrc")), T.text_key(fold(F.col("title")), fold(F.col("artist"))))
+    return rows.select("input_id", key.alias("cache_key")).distinct().withColumn("neutral", T.is_neutral_key(F.col("cache_key")))
+
+
 def n26_keys(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "match_input").where("title rlike '^[ -~]*$' and coalesce(artist, '') rlike '^[ -~]*$'")
-    key = F.coalesce(T.isrc_key(F.col("isrc")), T.text_key(T.fold_ascii(F.col("title")), T.fold_ascii(F.col("artist"))))
-    return rows.select("input_id", key.alias("cache_key"), T.is_neutral_key(key).alias("neutral")).distinct()
+    return _keys(table(spark, folder, "match_input").where("title rlike '^[ -~]*$' and coalesce(artist, '') rlike '^[ -~]*$'"), T.fold_ascii)
+
+
+def n26_keys_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of every input with a title or a code."""
+    return _keys(table(spark, folder, "match_input").where(F.col("title").isNotNull() | T.isrc(F.col("isrc")).isNotNull()), N.fold)
 
 
 def n34_month(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,7 +186,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         s1_admit, f1_split_lines, f2_noise, f3_sentence_break, f5_list_shape, f7_first_content, n1_normalized, n4_fold, n5_token_counts, n6_split_names, n7_peeled, n9_artist, n12_isrc,
-        n13_clock, n14_recording_key, n19_copies, n21_non_latin, n25_words, n26_keys, n34_month, a10_parsed_lines, a6_dash_sides, t3_tables, t7_table_rows, x0_extract_items,
+        n13_clock, n14_recording_key, n14_recording_key_all, n19_copies, n21_non_latin, n25_words, n26_keys, n26_keys_all, n34_month, a10_parsed_lines, a6_dash_sides, t3_tables, t7_table_rows, x0_extract_items,
         x0_extract_stats, f8_residual, r4_orientation, g3_dedupe_lines,
     )
 }

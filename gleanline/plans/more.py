@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanline.functions import normalize as N
@@ -58,8 +60,17 @@ def n11_marked_titles(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "candidate").select("candidate_id", (marked & (peeled["base"] != "")).alias("marked"))
 
 
+def _strip_chars(rows: DataFrame) -> DataFrame:
+    return rows.select("line_id", T.strip_chars(F.col("artist"), " -;.*").alias("artist"))
+
+
 def n15_strip_chars(spark: SparkSession, folder: str) -> DataFrame:
-    return _ascii(_list(spark, folder), "artist").select("line_id", T.strip_chars(F.col("artist"), " -;.*").alias("artist"))
+    """The lines that its SQL can express, as in all queries here with a sibling ``..._all`` over the whole table."""
+    return _strip_chars(_ascii(_list(spark, folder), "artist"))
+
+
+def n15_strip_chars_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _strip_chars(_list(spark, folder))
 
 
 def n16_sha256(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,27 +169,45 @@ def v1_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(after, "p_partkey").select("p_partkey", extract.coverage(T.tokens(F.col("p_name")), T.tokens(F.col("source"))).alias("coverage"))
 
 
-def v2_grounded(spark: SparkSession, folder: str) -> DataFrame:
-    """List lines checked against their own text without its first letters."""
-    rows = _ascii(_list(spark, folder).where("title is not null"), "title", "artist")
-    folded = rows.select(
-        "line_id", "title", "artist", T.fold_ascii(F.col("title")).alias("ftitle"), T.fold_ascii(F.col("artist")).alias("fartist"),
-        T.fold_ascii(F.substring(F.concat_ws(" ", "title", "artist"), 4, 100000)).alias("fspan"), F.lit(0).alias("span_start"), (F.col("line_no") * 40).alias("span_end"), F.lit(2000).alias("n_chars"),
+def _grounded(rows: DataFrame, fold: Callable[[Column], Column]) -> DataFrame:
+    folded = rows.where("title is not null").select(
+        "line_id", "title", "artist", fold(F.col("title")).alias("ftitle"), fold(F.col("artist")).alias("fartist"),
+        fold(F.substring(F.concat_ws(" ", "title", "artist"), 4, 100000)).alias("fspan"), F.lit(0).alias("span_start"), (F.col("line_no") * 40).alias("span_end"), F.lit(2000).alias("n_chars"),
     )
     return extract.reject_reason(folded).select("line_id", "reason")
 
 
+def v2_grounded(spark: SparkSession, folder: str) -> DataFrame:
+    """List lines checked against their own text without its first letters."""
+    return _grounded(_ascii(_list(spark, folder), "title", "artist"), T.fold_ascii)
+
+
+def v2_grounded_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _grounded(_list(spark, folder), N.fold)
+
+
 def k7_match_score(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("t"), (F.col("l_tax") * 12).alias("a"), (F.col("l_quantity") / 50).cast("double").alias("d"))
     score = S.match_score(F.col("t"), F.col("a"), F.col("d"), F.lit(1.0))
     return rows.select("l_orderkey", "l_linenumber", F.round(score, 9).alias("score"), S.verdict(F.round(score, 9), F.col("l_linenumber") == 1).alias("verdict"))
 
 
-def k4_artist_similarity(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _ascii(table(spark, folder, "match_input").select("input_id", T.fold_ascii(F.col("artist")).alias("a"), T.fold_ascii(F.col("alternate.title")).alias("b")).distinct(), "a", "b")
+def _folded_artists(spark: SparkSession, folder: str, fold: Callable[[Column], Column]) -> DataFrame:
+    return table(spark, folder, "match_input").select("input_id", fold(F.col("artist")).alias("a"), fold(F.col("alternate.title")).alias("b")).distinct()
+
+
+def _artist_similarity(rows: DataFrame) -> DataFrame:
     return rows.select("input_id", F.round(S.artist_similarity(F.col("a"), F.col("b"), T.tokens(F.col("a")), T.tokens(F.col("b"))), 9).alias("similarity"))
 
 
+def k4_artist_similarity(spark: SparkSession, folder: str) -> DataFrame:
+    return _artist_similarity(_ascii(_folded_artists(spark, folder, T.fold_ascii), "a", "b"))
+
+
+def k4_artist_similarity_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _artist_similarity(_folded_artists(spark, folder, N.fold))
+
+
 # Joins.
 
 
@@ -218,13 +247,21 @@ def j12_semi(spark: SparkSession, folder: str) -> DataFrame:
     return customers.join(open_orders, customers["c_custkey"] == open_orders["o_custkey"], "left_semi").select("c_custkey", "c_name")
 
 
-def j14_absorb(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines without an artist and the one attributed line of their list with the same title."""
-    rows = _ascii(_list(spark, folder), "title", "artist").select("list_id", "line_id", T.fold_ascii(F.col("title")).alias("ftitle"), T.fold_ascii(F.col("artist")).alias("fartist")).where("ftitle <> ''")
+def _absorb(lines: DataFrame, fold: Callable[[Column], Column]) -> DataFrame:
+    rows = lines.select("list_id", "line_id", fold(F.col("title")).alias("ftitle"), fold(F.col("artist")).alias("fartist")).where("ftitle <> ''")
     hosts = rows.where("fartist is not null").groupBy("list_id", "ftitle").agg(F.countDistinct("fartist").alias("n"), F.min("line_id").alias("host_id")).where("n = 1")
     return rows.where("fartist is null").join(hosts, ["list_id", "ftitle"]).select("line_id", "host_id")
 
 
+def j14_absorb(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines without an artist and the one attributed line of their list with the same title."""
+    return _absorb(_ascii(_list(spark, folder), "title", "artist"), T.fold_ascii)
+
+
+def j14_absorb_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _absorb(_list(spark, folder), N.fold)
+
+
 def j15_set_difference(spark: SparkSession, folder: str) -> DataFrame:
     """Customers' nations: in orders only, in both, or without orders."""
     have = table(spark, folder, "customer").select("c_custkey").distinct()
@@ -369,9 +406,9 @@ def f13_seed_worthy(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        n2_strip, n3_document, n3_document_all, n10_credits, n11_marked_titles, n15_strip_chars, n16_sha256, n17_spans, n18_merged_hints, n20_canonical_json, n29_share_pct, n31_in_basis, n33_large_events, n35_field_checks,
-        a1_prefixes, a2_suffixes, a9_truth_first, t1_cells, t2_header_fields, v1_coverage, v2_grounded, k4_artist_similarity, k7_match_score, j2_cache_lookup, j4_fallback, j6_nearest_before, j7_alias_lookup,
-        j12_semi, j14_absorb, j15_set_difference, f9_residual_text, f10_review_queue, f11_alternates, f13_seed_worthy, f16_needs_fallback, f19_view, g9_over_budget, g20_tally, g22_status_counts, s17_report_rows,
+        n2_strip, n3_document, n3_document_all, n10_credits, n11_marked_titles, n15_strip_chars, n15_strip_chars_all, n16_sha256, n17_spans, n18_merged_hints, n20_canonical_json, n29_share_pct, n31_in_basis, n33_large_events, n35_field_checks,
+        a1_prefixes, a2_suffixes, a9_truth_first, t1_cells, t2_header_fields, v1_coverage, v2_grounded, v2_grounded_all, k4_artist_similarity, k4_artist_similarity_all, k7_match_score, j2_cache_lookup, j4_fallback, j6_nearest_before, j7_alias_lookup,
+        j12_semi, j14_absorb, j14_absorb_all, j15_set_difference, f9_residual_text, f10_review_queue, f11_alternates, f13_seed_worthy, f16_needs_fallback, f19_view, g9_over_budget, g20_tally, g22_status_counts, s17_report_rows,
         w9_alarm_ordinals, w10_first_match, l4_binds_first, o1_array_sets, o5_corpora, x2_cache_expiry, x8_error_kinds, x9_batches, x14_noise, x18_due,
     )
 }
