@@ -78,15 +78,16 @@ def landing(chance: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def texts_of(documents: DataFrame) -> DataFrame:
-    """Distinct texts with tokens: ``doc_id`` (the smallest), ``source``, ``n_tokens``.
+    """Distinct texts with tokens: ``doc_id``, ``source``, ``n_tokens``.
 
     Null and empty texts have no tokens and are left out.  A text under several ids or sources is one
-    text, under its smallest id and that row's source.  Copies meet by the text's digest, after partial
+    text, under the smallest id that has a source and that row's source; if no copy has one, under the
+    smallest id.  Copies meet by the text's digest, after partial
     aggregation, so a hot text is one row a task.
     """
     rows = documents.where("text is not null and text <> ''").select("doc_id", "source", "text")
     digest = F.sha2(F.col("text"), 256)
-    first = rows.groupBy(digest.alias("digest")).agg(F.min(F.struct("doc_id", "source")).alias("first")).select("first.*")
+    first = rows.groupBy(digest.alias("digest")).agg(F.min(F.struct(F.col("source").isNull().alias("unknown"), "doc_id", "source")).alias("first")).select("first.doc_id", "first.source")
     counted = documents.select("doc_id", token_count(F.col("text")).alias("n_tokens")).groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
     return first.join(counted, "doc_id").where("n_tokens > 0")
 
