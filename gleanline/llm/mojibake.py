@@ -34,7 +34,6 @@ OTHER_PAIRS = [
     *[(wrong, "cp1252") for wrong in ("mac_roman", "cp437", "cp850", "cp1251", "cp1253", "cp1250", "cp932")],
     *[(wrong, right) for right in ("mac_roman", "cp437", "cp850") for wrong in ("cp1252",)],
 ]
-LAYERS = 4
 # Letters that are rare in running text, and frequent ones of Central Europe.
 LATIN_ODD = {"ì": 2.5, "ò": 2.0, "Ì": 2.5, "Ò": 2.0, "Ù": 2.0, "ù": 1.2, "ø": 1.2, "Ø": 1.2, "ï": 1.3, "ÿ": 2.0, "ð": 1.4, "þ": 1.4, "Ð": 1.6, "Þ": 1.4, "õ": 1.1, "Ï": 1.8, "Ë": 1.6, "Û": 1.6, "Î": 1.6, "Ý": 1.4, "Å": 1.3, "å": 1.2, "æ": 1.3, "Æ": 1.6}
 CENTRAL = frozenset("ěščřžůťďňĚŠČŘŽŤĎŇŮąęłńśźżćőűŁŚŻŹĆŐŰğışœŒ")
@@ -100,7 +99,7 @@ def char_cost(char: str) -> float:
     if 0x370 <= c < 0x400 or 0x410 <= c < 0x450 or c in (0x401, 0x451):
         return 1.0
     if 0x400 <= c < 0x530:
-        return 2.5
+        return 1.4 if char in "іїєґІЇЄҐ" else 2.5
     if kind in ("Ll", "Lu", "Lo", "Lt"):
         return 4.0
     if kind in ("So", "Sm", "Sc", "Sk", "Lm", "Po", "Pf", "Pi", "Ps", "Pe", "Pd", "No", "Nl"):
@@ -171,12 +170,44 @@ def _utf8_runs(wrong: str) -> re.Pattern:
 
 
 _DRAWN = re.compile("[─-▟]+")
+# The letters that Cyrillic alphabets have beside the Russian ones (Russian, Ukrainian, Belarusian, Serbian, Macedonian).
+CYRILLIC_ALPHABETS = [frozenset(""), frozenset("іїєґ"), frozenset("іў"), frozenset("ђјљњћџ"), frozenset("ѓѕјљњќџ")]
+_RUSSIAN = frozenset("абвгдежзийклмнопрстуфхцчшщъыьэюяё")
+
+
+def _is_spelt(run: str) -> bool:
+    """Whether a run reads as part of a Cyrillic word: letters of one alphabet, cased as words are, with a vowel.
+
+    UTF-8 read as a Cyrillic encoding has signs, stray capitals or letters of several alphabets in it; only a lone
+    ideograph can come out like this, and then nothing tells it from a word.
+    """
+    if not run.isalpha() or not (run.islower() or run.isupper() or run.istitle()):
+        return False
+    others = frozenset(run.lower()) - _RUSSIAN
+    return any(others <= alphabet for alphabet in CYRILLIC_ALPHABETS) and bool(_VOWEL.search(run)) and not _HARD.search("а" + run)
+
+
+def _word_around(text: str, start: int, end: int) -> tuple[str, str]:
+    """The letters beside a run, and one character where there are none; a word longer than any language's is seen in part."""
+    first, last = start, end
+    while first > 0 and start - first < 40 and text[first - 1].isalpha():
+        first -= 1
+    while last < len(text) and last - end < 40 and text[last].isalpha():
+        last += 1
+    return text[min(first, max(0, start - 1)) : start], text[end : max(last, end + 1)]
 
 
 def _better(text: str, start: int, end: int, new: str, share: float = 0.75) -> bool:
-    """Whether putting ``new`` for a run lowers the cost, seen with the characters beside the run."""
-    left, right = text[max(0, start - 1) : start], text[end : end + 1]
-    return cost(left + new + right) < share * cost(left + text[start:end] + right)
+    """Whether putting ``new`` for a run lowers the cost, both beside the next characters and in the word around it, whose own cost counts on neither side."""
+    own = text[start:end]
+    left, right = _word_around(text, start, end)
+    near = {_kind(c) for c in left[-1:] + right[:1]} - {""}
+    if _is_spelt(own) and near <= {"c", "C"} and (near or not _is_spelt(new)):
+        return False
+    if cost(left[-1:] + new + right[:1]) >= share * cost(left[-1:] + own + right[:1]):
+        return False
+    beside = cost(left) + cost(right)
+    return cost(left + new + right) - beside < share * (cost(left + own + right) - beside)
 
 
 def _repair_run(run: str, left: str, right: str) -> tuple[str, int, str]:
@@ -265,11 +296,7 @@ def _repair_wide(text: str) -> tuple[str, int]:
                 return new
         return run
 
-    return (_WIDE.sub(fix, text), done) if _WIDE_SIGN.search(text) else (text, 0)
-
-
-_WIDE = re.compile(r"[^\x00-\x7f]{2,}")
-_WIDE_SIGN = re.compile("[縺繧繝ﾃﾂﾅﾄﾐﾑﾎﾏ窶莠蜀蝮]")
+    return _LONG_RUN.sub(fix, text), done
 
 
 def _repair_line(line: str) -> tuple[str, int]:
@@ -311,7 +338,7 @@ def _layers_undone(line: str) -> tuple[str, int]:
     encodings is weighed against them.
     """
     now, layers = line, 0
-    for _ in range(LAYERS):
+    while True:  # ends: every layer undone leaves fewer characters
         now, done = _repair_utf8(now)
         now, more = _repair_wide(now)
         if not done + more:
@@ -334,19 +361,37 @@ def _repair_layers(line: str) -> tuple[str, int]:
     return (_layers_remembered if len(line) <= 1000 else _layers_undone)(line)
 
 
-#: Lines of these characters alone, without a pair that UTF-8 read wrongly makes, show no garbling; most lines are.
+#: Lines of these characters alone, without a pair that UTF-8 read wrongly makes and without four accented letters
+#: side by side, show no garbling; most lines are.
 _PLAIN = re.compile("[\x00-\x7fáéíóúýàâêôèëîïûœäöüßñçãõÁÉÍÓÚÀÂÊÈÄÖÜÑÇÃÕěščřžůťďň«»¿¡“”„’–—…€♭♯→]*")
-_PAIRED = re.compile("[À-ÿ][\x80-\xbf‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸ€]")
+_PAIRED = re.compile("[À-ÿ][\x80-\xbf‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸ€]|[à-ÿÀ-ß]{4}")
 
 
 def _is_plain(line: str) -> bool:
     return line.isascii() or _PLAIN.fullmatch(line) is not None and not _PAIRED.search(line)
 
 
+#: What is left where only part of a run could be restored: the start of a UTF-8 sequence without its end.
+_REST = re.compile("[ÃÂ](?![a-zà-ÿ])(?=[^\\x00-\\x7f])|(?<![^\\W\\d_])Ã(?=[^\\W\\d_]?[^\\x00-\\x7f])|â€|[ÐÑ][^\\x00-\\x7fa-zð-ÿ]|ГЂ|вЂ|├[^\\x00-\\x7f─-▟]|‚Ä")
+
+
+def shows_loss(text: str) -> bool:
+    """Whether a text shows bytes that a wrong decoding lost or could not read.
+
+    A rule of its own beside the round trip, which needs every byte: replacement characters, controls and
+    private characters, letters inside words that became question marks (two or more), or a line whose
+    characters beyond ASCII cost more than ``ODD_MEAN`` on average.
+    """
+    if len(_LOST.findall(text)) > 1 or _pattern_odd().search(text):
+        return True
+    return any(_odd_line(line) for line in text.split("\n") if not _is_plain(line))
+
+
 def repair(text: str | None) -> tuple[bool, str | None, int, bool]:
     """Whether a text is garbled, its best restoration, the layers undone, and whether nothing odd is left.
 
-    Null and empty texts are not garbled.  Characters that no garbling explains are kept.
+    A text is garbled when a round trip lowers its cost, or when it shows bytes that were lost
+    (``shows_loss``).  Null and empty texts are not garbled.  Characters that no garbling explains are kept.
     """
     if not text or text.isascii() and len(_LOST.findall(text)) < 2:
         return False, text, 0, True
@@ -356,9 +401,8 @@ def repair(text: str | None) -> tuple[bool, str | None, int, bool]:
         lines.append(new)
         layers = max(layers, done)
     now = "\n".join(lines)
-    lost = len(_LOST.findall(now)) > 1
-    left = lost or bool(_pattern_odd().search(now)) or any(_odd_line(line) for line in now.split("\n") if not _is_plain(line))
-    return bool(layers or left), now, layers, not left
+    lost = shows_loss(now)
+    return bool(layers or lost), now, layers, not (lost or layers and _REST.search(now))
 
 
 def _odd_line(line: str) -> bool:

@@ -1,3 +1,4 @@
+import itertools
 import unicodedata
 
 import pytest
@@ -90,3 +91,41 @@ def test_table(spark):
 
 def test_normal_forms_are_stable():
     assert all(unicodedata.normalize("NFC", C.consistent(t)) == C.consistent(t) for t in TEXTS)
+
+
+def test_no_spelt_cyrillic_word_is_garbled():
+    letters = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
+    bad = []
+    for first, second, third in itertools.product(letters, repeat=3):
+        word = first + second + third
+        if M._VOWEL.search(word) and not M._HARD.search(word):
+            bad += [text for text in (word, word.title(), word.upper(), "по" + word, f"слово {word} в ряду") if M.repair(text)[0]]
+    assert not bad, bad[:20]
+
+
+@pytest.mark.parametrize("text", ["Переход вышел смелым", "шёл час, ход чем её", "Італії мрії дії надії мої", "БЕРЁТ ТРЁХ ВПЕРЁД", "Її ґанок", "Њујорк, љубав, џеп", "Тихая рыбака мыла"])
+def test_cyrillic_words_stay(text):
+    assert M.repair(text)[:2] == (False, text)
+
+
+def test_layers_have_no_limit():
+    text = "Déjà vu à l’été"
+    for depth in range(1, 8):
+        text = text.encode("utf-8").decode("latin-1")
+        assert M.repair(text) == (True, "Déjà vu à l’été", depth, True)
+
+
+def test_wide_and_unaccented_gates():
+    wide = "音楽".encode().decode("cp932", "ignore")
+    assert wide == "髻ｳ讌ｽ" and M.repair(wide)[:2] == (True, "音楽")
+    assert M.repair("никогда никогда".encode("cp1251").decode("cp1252"))[:2] == (True, "никогда никогда")
+
+
+def test_what_is_half_restored_is_not_complete():
+    assert M.repair("Ã©tÃ© â€œlanternâ€ at nine")[3] is False
+    assert M.repair("Ã©tÃ© dÃ©jÃ\xa0")[3] is True
+
+
+def test_loss_is_a_rule_of_its_own():
+    assert M.shows_loss("d?j? vu caf?s na?ve gar?on") is True and M.shows_loss("why? not") is False
+    assert M.shows_loss("D�j� vu") and M.shows_loss("a\x81\x8db") and not M.shows_loss("Déjà vu")
