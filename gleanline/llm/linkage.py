@@ -1,8 +1,9 @@
 """Lines matched to a provider's recordings without a key: probabilistic record linkage.
 
 Several blocking passes propose pairs; title, artist, length and version are compared at a few
-agreement levels; expectation-maximisation over the counts of level patterns gives match and
-non-match probabilities; a pair's confidence is its posterior among all pairs of its input.
+agreement levels; expectation-maximisation over the counts of level patterns gives the probabilities
+of levels among matches and non-matches, where non-matches are a mixture of other recordings of a song,
+songs of one title and unrelated ones; a pair's confidence is its posterior among all pairs of its input.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanline.llm.names import alike, apart, distance, fold
+from gleanline.llm.names import Lexicon, alike, distance, fold, learn
 from gleanline.operators.units import resolve_lengths
 from gleanline.session import cut
 
@@ -29,13 +30,15 @@ STUDIO = ["remaster", "remastered", "album", "original", "mono", "stereo", "stud
 NOISE = ["official", "video", "audio", "lyrics", "lyric", "hq", "hd", "visualizer", "full", "song"]
 BUCKET_S = 4.0
 LEVELS = {"title": 4, "artist": 3, "length": 5, "version": 4}
-#: Where the first probabilities of EM start; levels run from agreement to disagreement.
-START_M = {"title": [0.85, 0.12, 0.025, 0.005], "artist": [0.92, 0.075, 0.005], "length": [0.55, 0.12, 0.01, 0.005, 0.315], "version": [0.987, 0.01, 0.002, 0.001]}
-START_U = {"title": [0.4, 0.1, 0.1, 0.4], "artist": [0.3, 0.1, 0.6], "length": [0.05, 0.1, 0.2, 0.5, 0.15], "version": [0.5, 0.05, 0.35, 0.1]}
-
-#: Levels that speak against a match keep their starting match probability (a field's error rate): left free,
-#: EM would take "same song, other version" for the matching class, which is large and clear-cut too.
-HELD = {"title": [3], "artist": [2], "length": [2, 3], "version": [2, 3]}
+#: Where EM starts, levels from agreement to disagreement (a missing artist is 1, a missing length 4): matches, other
+#: recordings of the same song, songs of the same title by others, and unrelated ones; with their shares.
+START = {
+    "title": [[0.85, 0.12, 0.025, 0.005], [0.85, 0.12, 0.025, 0.005], [0.9, 0.07, 0.02, 0.01], [0.05, 0.05, 0.3, 0.6]],
+    "artist": [[0.92, 0.075, 0.005], [0.92, 0.075, 0.005], [0.02, 0.08, 0.9], [0.2, 0.1, 0.7]],
+    "length": [[0.55, 0.12, 0.01, 0.005, 0.315], [0.03, 0.07, 0.15, 0.5, 0.25], [0.1, 0.2, 0.2, 0.3, 0.2], [0.05, 0.15, 0.2, 0.4, 0.2]],
+    "version": [[0.98, 0.01, 0.005, 0.005], [0.02, 0.08, 0.6, 0.3], [0.6, 0.05, 0.25, 0.1], [0.6, 0.05, 0.25, 0.1]],
+}
+SHARES = [0.3, 0.2, 0.2, 0.3]
 
 
 def _mark(text: str) -> tuple[str, str | None] | None:
@@ -56,10 +59,14 @@ def _mark(text: str) -> tuple[str, str | None] | None:
     return None
 
 
+#: Titles without any of these have no annotation.
+_MARKED = re.compile(r"[()\[\]~|/–—]| -\S*\s|\s(?:feat|ft|featuring|hq|hd|lyrics)\b", re.I)
+
+
 def title_parts(title: str | None) -> tuple[str, str, list[str]]:
     """A title's words without annotations, the name of its remix or place, and its versions."""
     text, versions, named = (title or "").strip(), [], ""
-    while True:
+    while _MARKED.search(text):
         tail = re.search(r"\s*[(\[]([^()\[\]]*)[)\]]\s*$", text) or re.search(r"\s+[-–—~|/]\s+([^-–—~|/]+)$", text) or re.search(r"\s+((?:feat\.?|ft\.?|featuring)\s.*)$", text, re.I) or re.search(r"\s+(HQ|HD|lyrics)$", text, re.I)
         if not tail or not text[: tail.start()].strip():
             break
@@ -76,30 +83,38 @@ def title_parts(title: str | None) -> tuple[str, str, list[str]]:
     return " ".join(words), named, versions
 
 
-@lru_cache(maxsize=1 << 15)
-def _artists(artist: str | None) -> list[str]:
-    """What an artist field may name: the whole, or the one before a guest."""
+_GUEST = r"(?i)\s*[(\[]?\b(?:feat\.?|ft\.?|featuring)\s"
+
+
+def _credits(artist: Column) -> Column:
+    """The names in an artist field, as far as its form tells: guests apart, and at commas where every part has two words or more."""
+    sides = F.split(artist, _GUEST)
+    apart = lambda side: F.when(F.forall(F.split(side, ", "), lambda p: F.trim(p).contains(" ")), F.split(side, ", ")).otherwise(F.array(side))
+    return F.flatten(F.transform(sides, apart))
+
+
+def _readings(artist: str | None, lexicon: Lexicon) -> list[str]:
+    """What an artist field may name, the whole or the one before a guest, each as ``core|others|by``."""
     if not artist or not artist.strip():
         return []
-    text = re.split(r"\s*[(\[]?\b(?:feat\.?|ft\.?|featuring)\s", artist, maxsplit=1, flags=re.I)[0].strip() or artist
-    readings = [text]
-    if ", " in text:
-        readings.append(text.split(", ")[0])
+    text = re.split(_GUEST, artist, maxsplit=1)[0].strip() or artist
+    texts = [text, text.split(", ")[0]] if ", " in text else [text]
     out = []
-    for i, reading in enumerate(readings):
-        parts = apart(reading)
-        if parts and parts[1] and (i == 0 or parts[0] != "single" or parts[3]):
-            out.append("|".join((parts[0], parts[1], ",".join(parts[2]), ",".join(parts[3]))))
+    for i, reading in enumerate(texts):
+        parts = lexicon.apart(reading)
+        if parts and (i == 0 or len(re.findall(r"[^\W_]+", reading)) > 1):
+            out.append(f"{parts[0]}|{','.join(parts[1])}|{'b' if parts[2] else ''}")
     return list(dict.fromkeys(out))
 
 
 _SIDE = "id bigint, reading int, base string, tight string, named string, versions array<string>, artists array<string>, length_s double"
 
 
-def prepare(rows: DataFrame) -> DataFrame:
+def prepare(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``id, reading, title, artist, qualifiers, length_s`` taken apart for comparison."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        named_by = lru_cache(maxsize=1 << 15)(lambda artist: _readings(artist, lexicon))
         for batch in batches:
             out = []
             for key, reading, title, artist, qualifiers, length in batch.itertuples(index=False):
@@ -108,160 +123,176 @@ def prepare(rows: DataFrame) -> DataFrame:
                     mark = _mark(word) if word else None
                     if mark and mark[0] == "version":
                         versions.append(mark[1])
-                out.append((key, reading, base, base.replace(" ", ""), named, sorted(set(versions)), _artists(artist), length))
+                out.append((key, reading, base, base.replace(" ", ""), named, sorted(set(versions)), named_by(artist), length))
             yield pd.DataFrame(out, columns=["id", "reading", "base", "tight", "named", "versions", "artists", "length_s"])
 
     return rows.select("id", "reading", "title", "artist", "qualifiers", "length_s").mapInPandas(run, _SIDE)
 
 
 def _keys(side: DataFrame, asking: bool) -> DataFrame:
-    """The side with a row for each blocking key.
-
-    A title is a key as a whole, by either half and by its two outer thirds, together with its length; an
-    asking title tries the lengths beside its own, since one slip spoils one half, or both only in the
-    middle, and moves the length by one at most.  Titles
-    alone are common, so every key is refined with an artist (its core's first or last letters) or with a
-    length bucket, the neighbouring ones too when asking.  Halves meet by length only for asking rows
-    without an artist, and then with the first letter.  Asking rows with neither field use the whole title.
+    """The side with a row for each blocking key, a hash (a collision only proposes a pair more).
+
+    A title is a key by either half and by its two outer thirds, since one slip spoils one half, or both
+    only in the middle; an asking title also tries the halves of a title one shorter or longer.  Parts of
+    titles are common, so every key is refined: with the first or last letters of an artist's core, with
+    the length bucket (asking rows try the neighbouring ones) where the asking row names no artist, and
+    the whole title with the length bucket in any case.  An asking row with neither field uses the whole
+    title refined by its versions, all that it has.
     """
     size, tight = F.length("tight"), F.col("tight")
     lengths = F.filter(F.array(size - 1, size, size + 1), lambda n: n >= 3) if asking else F.array(size)
-    half = lambda n: F.ceil(n / 2).cast("int")
-    head = F.transform(lengths, lambda n: F.concat(F.lit("<"), tight.substr(F.lit(1), half(n)), F.lit("|"), n.cast("string")))
-    tail = F.transform(lengths, lambda n: F.concat(F.lit(">"), F.right(tight, half(n)), F.lit("|"), n.cast("string")))
-    third = lambda n: F.ceil(n / 3).cast("int")
-    rim = F.transform(lengths, lambda n: F.concat(F.lit("~"), tight.substr(F.lit(1), third(n)), F.lit("~"), F.right(tight, third(n)), F.lit("|"), n.cast("string")))
-    whole = F.array(F.concat(F.lit("="), tight))
-    core = F.transform("artists", lambda a: F.element_at(F.split(a, r"\|"), 2))
+    part = lambda n, k: F.ceil(n / k).cast("int")
+    halves = F.array_distinct(F.transform(lengths, lambda n: part(n, 2)))
+    heads = F.transform(halves, lambda k: F.concat(F.lit("<"), F.left(tight, k)))
+    tails = F.transform(halves, lambda k: F.concat(F.lit(">"), F.right(tight, k)))
+    rims = F.transform(F.array_distinct(F.transform(lengths, lambda n: part(n, 3))), lambda k: F.concat(F.lit("~"), F.left(tight, k), F.lit("~"), F.right(tight, k)))
+    parts = F.concat(heads, tails, rims)
+    core = F.transform("artists", lambda a: F.element_at(F.split(a, r"\|"), 1))
     ends = F.array_distinct(F.flatten(F.transform(core, lambda c: F.array(F.concat(F.lit("^"), F.left(c, F.lit(4))), F.concat(F.lit("$"), F.right(c, F.lit(4)))))))
     bucket = F.floor(F.col("length_s") / BUCKET_S).cast("int")
     near = F.when(bucket.isNotNull(), F.array(bucket - 1, bucket, bucket + 1) if asking else F.array(bucket)).otherwise(F.array().cast("array<int>"))
-    crossed = lambda parts, others: F.flatten(F.transform(parts, lambda p: F.transform(others, lambda o: F.concat_ws("\u0001", p, o.cast("string")))))
-    none = F.array().cast("array<string>")
+    crossed = lambda left, right: F.flatten(F.transform(left, lambda p: F.transform(right, lambda o: F.xxhash64(p, o.cast("string")))))
+    none = F.array().cast("array<bigint>")
     lonely = F.size("artists") == 0 if asking else F.lit(True)
-    first = F.transform(tail, lambda t: F.concat(t, F.left(tight, F.lit(1))))
+    whole = F.array(F.concat(F.lit("="), tight))
+    bare = F.array(F.concat(F.lit("?"), F.concat_ws(",", "versions")))
     keys = F.concat(
-        crossed(F.concat(whole, head, tail, rim), ends), crossed(whole, near), F.when(lonely, crossed(F.concat(head, first, rim), near)).otherwise(none),
-        F.when(lonely & (bucket.isNull() if asking else F.lit(True)), F.transform(whole, lambda w: F.concat(w, F.lit("?")))).otherwise(none),
+        crossed(parts, ends), crossed(whole, near), F.when(lonely, crossed(parts, near)).otherwise(none),
+        F.when(lonely & (bucket.isNull() if asking else F.lit(True)), crossed(whole, bare)).otherwise(none),
     )
     return side.where("tight <> ''").select("id", "reading", F.explode(F.array_distinct(keys)).alias("key"))
 
 
-def _artist_level(left: list[str], right: list[str]) -> int:
-    if not len(left) or not len(right):
-        return 1
+def same_artist(left: list[str], right: list[str], lexicon: Lexicon) -> bool:
+    """Whether two artist fields name one: in some reading, cores alike and other words that agree, or a by-name in their place."""
     for a in left:
-        fa, ca, ga, ra = a.split("|")
+        core_a, others_a, by_a = a.split("|")
         for b in right:
-            fb, cb, gb, rb = b.split("|")
-            if not alike(ca, cb):
+            core_b, others_b, by_b = b.split("|")
+            if not alike(core_a, core_b):
                 continue
-            if fa == fb and (not ga or not gb or set(ga.split(",")) & set(gb.split(","))) and (fa in ("person", "single") or ra == rb):
-                return 0
-            if fa != fb and "single" in (fa, fb) and ca == cb and len(left) + len(right) > 2:
-                return 0
-    return 2
+            x, y = (tuple(filter(None, o.split(","))) for o in (others_a, others_b))
+            if by_a or by_b or lexicon.same_others(x, y):
+                return True
+            # Of several names in a field the first may stand alone.
+            if (not x or not y) and core_a == core_b and len(left) + len(right) > 2:
+                return True
+    return False
+
+
+def _title_level() -> Column:
+    """0 the same letters, 1 one slip (a swap too), 2 two or three in a long title, 3 another title or other numbers."""
+    digits = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"(\d+)"), 1)
+    edits = F.levenshtein("tight_a", "tight_b", 4)
+    longest = F.greatest(F.length("tight_a"), F.length("tight_b"))
+    letters = lambda c: F.array_sort(F.split(F.col(c), ""))
+    slip = (edits <= 1) & (edits >= 0) | (edits == 2) & (letters("tight_a") == letters("tight_b"))
+    return (
+        F.when(F.col("base_a") == F.col("base_b"), 0).when((digits("base_a") != digits("base_b")) | (F.col("tight_a") == "") | (F.col("tight_b") == ""), 3)
+        .when(F.col("tight_a") == F.col("tight_b"), 0).when(slip & (longest >= 5), 1)
+        .when((edits >= 0) & (longest >= 8) & (edits <= F.when(longest >= 12, 4).otherwise(3)), 2).otherwise(3)
+    )
+
 
+def _length_level() -> Column:
+    gap = F.abs(F.col("length_a") - F.col("length_b"))
+    return F.when(gap.isNull(), 4).when(gap <= 0.75, 0).when(gap <= 3.05, 1).when(gap <= 8, 2).otherwise(3)
 
-def _title_level(a: str, b: str) -> int:
-    if a == b:
-        return 0
-    digits = lambda s: re.findall(r"\d+", s)
-    if digits(a) != digits(b) or not a or not b:
-        return 3
-    x, y = a.replace(" ", ""), b.replace(" ", "")
-    if x == y:
-        return 0
-    edits = distance(x, y)
-    longest = max(len(x), len(y))
-    return 1 if edits <= 1 and longest >= 5 else 2 if edits <= (3 if longest >= 12 else 2) and longest >= 8 else 3
+
+def _version_level() -> Column:
+    """0 the same versions (of one remixer or place), 1 some shared, 2 a version beside none, 3 others."""
+    named = (F.col("named_a") == "") | (F.col("named_b") == "") | (F.levenshtein("named_a", "named_b", 2) >= 0)
+    return (
+        F.when(F.col("versions_a") == F.col("versions_b"), F.when(named, 0).otherwise(3)).when(F.arrays_overlap("versions_a", "versions_b"), 1)
+        .when((F.size("versions_a") == 0) | (F.size("versions_b") == 0), 2).otherwise(3)
+    )
 
 
-def _length_level(a: float | None, b: float | None) -> int:
-    if a is None or b is None or pd.isna(a) or pd.isna(b):
-        return 4
-    gap = abs(a - b)
-    return 0 if gap <= 0.75 else 1 if gap <= 3.05 else 2 if gap <= 8 else 3
+def compare(pairs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``input_id, candidate_id, title, artist, length, version`` levels and the gap in seconds of every pair.
 
+    Only artists that differ, with cores near enough to be one, reach Python.
+    """
 
-def _version_level(a: list[str], b: list[str], named_a: str, named_b: str) -> int:
-    if set(a) == set(b):
-        return 0 if not named_a or not named_b or named_a == named_b or distance(named_a, named_b) <= 2 else 3
-    if set(a) & set(b):
-        return 1
-    return 2 if not len(a) or not len(b) else 3
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            yield pd.Series([0 if same_artist(list(a), list(b), lexicon) else 2 for a, b in zip(left, right, strict=True)], dtype="int32")
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    judged = F.pandas_udf(run, "int")
+    core = lambda a: F.element_at(F.split(a, r"\|"), 1)
+    near = F.exists("artists_a", lambda a: F.exists("artists_b", lambda b: F.levenshtein(core(a), core(b), 4) >= 0))
+    known = F.when((F.size("artists_a") == 0) | (F.size("artists_b") == 0), 1).when(F.arrays_overlap("artists_a", "artists_b"), 0).when(~near, 2)
+    levels = pairs.select(
+        "input_id", "candidate_id", _title_level().alias("title"), known.alias("known"), _length_level().alias("length"), _version_level().alias("version"),
+        F.abs(F.col("length_a") - F.col("length_b")).alias("gap"), "artists_a", "artists_b",
+    )
+    keep = ("input_id", "candidate_id", "title", "artist", "length", "version", "gap")
+    easy = levels.where("known is not null").withColumn("artist", F.col("known")).select(*keep)
+    return easy.unionByName(levels.where("known is null").withColumn("artist", judged("artists_a", "artists_b")).select(*keep))
 
 
-def compare(pairs: DataFrame) -> DataFrame:
-    """``input_id, candidate_id, title, artist, length, version`` levels and the gap in seconds of every pair."""
+def fit(patterns: pd.DataFrame, rounds: int = 200) -> tuple[list[dict[str, np.ndarray]], np.ndarray]:
+    """EM over counted level patterns (``title, artist, length, version, n``): level probabilities of the four classes and their shares.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            rows = [
-                (
-                    i, c, _title_level(ta, tb), _artist_level(aa, ab), _length_level(la, lb), _version_level(va, vb, na, nb),
-                    abs(la - lb) if la is not None and lb is not None and not (pd.isna(la) or pd.isna(lb)) else None,
-                )
-                for i, c, ta, tb, aa, ab, la, lb, va, vb, na, nb in zip(
-                    p["input_id"], p["candidate_id"], p["base_a"], p["base_b"], p["artists_a"], p["artists_b"], p["length_a"], p["length_b"],
-                    p["versions_a"], p["versions_b"], p["named_a"], p["named_b"], strict=True,
-                )
-            ]
-            yield pd.DataFrame(rows, columns=["input_id", "candidate_id", "title", "artist", "length", "version", "gap"]).astype({"gap": "float64"})
-
-    return pairs.mapInPandas(run, "input_id bigint, candidate_id bigint, title int, artist int, length int, version int, gap double")
-
-
-def fit(patterns: pd.DataFrame, rounds: int = 50) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], float]:
-    """EM over counted level patterns (``title, artist, length, version, n``): match and non-match probabilities and the match share."""
-    m = {k: np.array(v) for k, v in START_M.items()}
-    u = {k: np.array(v) for k, v in START_U.items()}
-    share = 0.2
+    All probabilities are free; the start counts as ten pairs, so that an empty level keeps a probability.
+    """
+    tables = [{k: np.array(START[k][c]) for k in LEVELS} for c in range(len(SHARES))]
+    shares = np.array(SHARES)
     if not len(patterns):
-        return m, u, share
+        return tables, shares
     counts = patterns["n"].to_numpy(float)
     levels = {k: patterns[k].to_numpy(int) for k in LEVELS}
-    weight = 20 + 0.02 * counts.sum()
+    last = -np.inf
     for _ in range(rounds):
-        log_m = np.log(share) + sum(np.log(m[k][levels[k]]) for k in LEVELS)
-        log_u = np.log(1 - share) + sum(np.log(u[k][levels[k]]) for k in LEVELS)
-        post = 1 / (1 + np.exp(np.clip(log_u - log_m, -500, 500)))
-        for k, size in LEVELS.items():
-            hit = np.array([(post * counts)[levels[k] == i].sum() for i in range(size)])
-            miss = np.array([((1 - post) * counts)[levels[k] == i].sum() for i in range(size)])
-            # The start counts as some pairs, so that an empty level keeps a probability and the two sides their roles.
-            m[k] = (hit + weight * np.array(START_M[k])) / (hit.sum() + weight)
-            u[k] = (miss + weight * np.array(START_U[k])) / (miss.sum() + weight)
-            free = [i for i in range(size) if i not in HELD[k]]
-            held = np.array(START_M[k])
-            m[k][HELD[k]] = held[HELD[k]]
-            m[k][free] *= (1 - held[HELD[k]].sum()) / m[k][free].sum()
-        share = float(np.clip((post * counts).sum() / counts.sum(), 1e-4, 0.95))
-    return m, u, share
-
-
-def _looked_up(table: dict[str, np.ndarray], other: dict[str, np.ndarray]) -> Column:
-    """Sum of log likelihood ratios of a pair's levels."""
-    total = F.lit(0.0)
-    for name in LEVELS:
-        ratios = np.log(table[name] / other[name])
-        total = total + F.element_at(F.array(*[F.lit(float(x)) for x in ratios]), F.col(name) + 1)
-    return total
+        logs = np.stack([np.log(shares[c]) + sum(np.log(tables[c][k][levels[k]]) for k in LEVELS) for c in range(len(SHARES))])
+        top = logs.max(axis=0)
+        total = top + np.log(np.exp(logs - top).sum(axis=0))
+        post = np.exp(logs - total)
+        for c in range(len(SHARES)):
+            weight = post[c] * counts
+            for k, size in LEVELS.items():
+                hit = np.bincount(levels[k], weight, size) + 10 * np.array(START[k][c])
+                tables[c][k] = hit / hit.sum()
+        shares = np.clip((post * counts).sum(axis=1) / counts.sum(), 1e-4, None)
+        shares /= shares.sum()
+        now = float((total * counts).sum())
+        if now - last < 1e-7 * abs(now):
+            break
+        last = now
+    return tables, shares
+
+
+def _odds(tables: list[dict[str, np.ndarray]], shares: np.ndarray) -> Column:
+    """Odds that a pair is a match, from its levels."""
+    one = []
+    for c in range(len(SHARES)):
+        total = F.lit(float(np.log(shares[c])))
+        for name in LEVELS:
+            total = total + F.element_at(F.array(*[F.lit(float(x)) for x in np.log(tables[c][name])]), F.col(name) + 1)
+        one.append(F.exp(total))
+    return one[0] / (one[1] + one[2] + one[3])
+
+
+_COMPARED = [("base", "base"), ("tight", "tight"), ("artists", "artists"), ("length_s", "length"), ("versions", "versions"), ("named", "named")]
 
 
 def link(inputs: DataFrame, candidates: DataFrame) -> DataFrame:
     """``input_id, candidate_id, confidence`` of the best candidate of every input with a proposed pair.
 
-    Repeated inputs count once; a null artist, length or version is a level of its own, a null or empty
+    Repeated inputs count once (of rows that differ under one id the least); a null artist, length or version is a level of its own, a null or empty
     title proposes nothing; ties go to the nearer length, then the smaller candidate id; inputs
     without a pair give no row; extra columns are left out.
     """
-    single = inputs.groupBy("input_id").agg(*[F.first(c).alias(c) for c in ("title", "artist", "duration_s", "qualifiers", "alternate")])
+    single = inputs.groupBy("input_id").agg(F.min(F.struct("title", "artist", "duration_s", "qualifiers", "alternate")).alias("i")).select("input_id", "i.*")
     length = F.when((F.col("duration_s") > 0) & ~F.isnan("duration_s"), F.col("duration_s"))
     reading = lambda n, t, a: F.struct(F.lit(n).alias("reading"), t.alias("title"), a.alias("artist"))
     readings = F.array(reading(0, F.col("title"), F.col("artist")), F.when(F.col("alternate").isNotNull(), reading(1, F.col("alternate.title"), F.col("alternate.artist"))))
     left_rows = single.select(F.col("input_id").alias("id"), "qualifiers", length.alias("length_s"), F.explode(F.filter(readings, lambda r: r.isNotNull())).alias("r"))
-    left = cut(prepare(left_rows.select("id", "r.*", "qualifiers", "length_s")))
+    # Where title and artist may have changed places, nothing is learned from them.
+    fields = inputs.where("alternate is null").select("artist").unionByName(candidates.select("artist"))
+    lexicon = learn(fields.select(F.explode(_credits(F.col("artist"))).alias("artist")))
+    left = cut(prepare(left_rows.select("id", "r.*", "qualifiers", "length_s"), lexicon))
     none = F.lit(None).cast("string")
     recorded = candidates.select(
         F.lit("candidate").alias("tbl"), F.col("candidate_id").alias("rec_id"), F.col("provider").alias("source"), F.date_format("listed_at", "yyyy-MM").alias("period"),
@@ -269,23 +300,18 @@ def link(inputs: DataFrame, candidates: DataFrame) -> DataFrame:
     )
     lengths = resolve_lengths(recorded).select(F.col("rec_id").alias("candidate_id"), (F.col("length_ms") / 1000.0).alias("length_s"))
     right_rows = candidates.select("candidate_id", "title", "artist", "qualifiers").join(lengths, "candidate_id", "left")
-    right = cut(prepare(right_rows.select(F.col("candidate_id").alias("id"), F.lit(0).alias("reading"), "title", "artist", "qualifiers", "length_s")))
+    right = cut(prepare(right_rows.select(F.col("candidate_id").alias("id"), F.lit(0).alias("reading"), "title", "artist", "qualifiers", "length_s"), lexicon))
     proposed = (
         _keys(left, True).select(F.col("id").alias("input_id"), "reading", "key")
         .join(_keys(right, False).select(F.col("id").alias("candidate_id"), "key"), "key")
         .select("input_id", "reading", "candidate_id").distinct()
     )
-    a = left.select(F.col("id").alias("input_id"), "reading", F.col("base").alias("base_a"), F.col("artists").alias("artists_a"), F.col("length_s").alias("length_a"), F.col("versions").alias("versions_a"), F.col("named").alias("named_a"))
-    b = right.select(F.col("id").alias("candidate_id"), F.col("base").alias("base_b"), F.col("artists").alias("artists_b"), F.col("length_s").alias("length_b"), F.col("versions").alias("versions_b"), F.col("named").alias("named_b"))
-    pairs = proposed.join(a, ["input_id", "reading"]).join(b, "candidate_id")
-    # Titles further apart than this are of the last level, which no match has; a swap counts twice here.
-    near = F.levenshtein(F.replace(F.col("base_a"), F.lit(" "), F.lit("")), F.replace(F.col("base_b"), F.lit(" "), F.lit("")), 5) >= 0
-    compared = cut(compare(pairs.where(near)))
+    side = lambda frame, x: frame.select(F.col("id").alias("input_id" if x == "a" else "candidate_id"), *(["reading"] if x == "a" else []), *[F.col(c).alias(f"{n}_{x}") for c, n in _COMPARED])
+    pairs = proposed.join(side(left, "a"), ["input_id", "reading"]).join(side(right, "b"), "candidate_id")
+    compared = cut(compare(pairs, lexicon))
     patterns = compared.groupBy(*LEVELS).agg(F.count("*").alias("n")).toPandas()  # bounded: 240 patterns
-    m, u, share = fit(patterns)
-    odds = F.exp(_looked_up(m, u) + float(np.log(share / (1 - share))))
-    # The same recording has the same version, and a title without a mark is the studio version.
-    scored = compared.where("title < 3 and artist < 2 and version < 2").withColumn("odds", odds)
+    tables, shares = fit(patterns)
+    scored = compared.withColumn("odds", _odds(tables, shares))
     per_pair = scored.groupBy("input_id", "candidate_id").agg(F.max("odds").alias("odds"), F.min("gap").alias("gap"))
     best = per_pair.groupBy("input_id").agg(
         F.sum("odds").alias("all_odds"),

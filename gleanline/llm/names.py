@@ -1,17 +1,20 @@
 """Spellings of one person or group linked: suffix blocking, then longest common subsequence.
 
-A spelling is taken apart into a core (surname, band or stage name) and other fields (given name, kind
-of ensemble, partner band).  Suffixes of the core above a minimum length are indexed, read from either
-end so that a slip near the end is survived; a suffix alone is overly common, so every key is refined
-with the other fields, which must agree anyway, and no key has to be discarded.  Pairs that share a
-key are compared by the ratio of their longest common subsequence.
+A spelling is taken apart into a core (surname, band or stage name) and its other words (given name,
+kind of ensemble, partner band).  Which words are which is learned from the table itself: a word that
+stands beside many unlike words is an ordinary one, so the rarest word is the core.  All suffixes of
+the core above a minimum length are indexed, read from either end so that a slip near the end is
+survived; they are refined with the other words' first letters and the core's length, and only refined
+keys that are still overly common are discarded.  Suffixes of half the core are never discarded: one
+slip leaves one of them whole.  Pairs that share a key are compared by the ratio of their cores'
+longest common subsequence and by whether their other words can stand for each other.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -20,30 +23,51 @@ from pyspark.sql import functions as F
 
 from gleanline.session import cut
 
-# Given names and what people call their bearers.
-GIVEN = {
-    "abigail": "abby gail abbie", "alexander": "alex sandy al lex", "anthony": "tony", "benjamin": "ben benny", "charlotte": "lottie charlie", "christopher": "chris kit topher",
-    "daniel": "dan danny", "deborah": "debbie deb debby", "edward": "ed ted eddie ned", "eleanor": "ellie nell nora", "elizabeth": "liz beth betty lizzie eliza bess", "frederick": "fred freddy freddie",
-    "gregory": "greg", "harold": "harry hal", "ingrid": "", "isabella": "bella izzy", "jennifer": "jen jenny", "jose": "pepe", "joseph": "joe joey jo", "jurgen": "", "katherine": "kate kathy kit katie kitty",
-    "lawrence": "larry", "margaret": "maggie peggy meg", "matthew": "matt", "michael": "mike mick mickey", "nicholas": "nick nicky", "oksana": "", "patricia": "pat trish patty tricia",
-    "quentin": "", "rebecca": "becca becky", "renee": "", "richard": "dick rick rich", "robert": "bob rob bobby robbie", "soren": "", "stephen": "steve", "susannah": "sue susie", "theodore": "ted theo teddy",
-    "thomas": "tom tommy", "ulrich": "", "victoria": "vicky tori", "vincent": "vince vinny", "wanda": "", "william": "bill will billy willy", "yuki": "", "zachary": "zach zack", "zoe": "",
+# Given names with what their bearers are commonly called, from general knowledge of several languages.
+NICKNAMES = {
+    "abigail": "abby abbie gail", "abraham": "abe", "agnes": "aggie", "albert": "al bert bertie", "alexander": "alex al sandy lex sasha xander", "alexandra": "alex sandra sasha lexi",
+    "alfred": "al alf fred", "amanda": "mandy", "andrew": "andy drew", "angela": "angie", "ann": "annie nan nancy", "anthony": "tony", "antonio": "tonio toni", "archibald": "archie",
+    "arthur": "art artie", "barbara": "barb babs barbie", "bartholomew": "bart", "beatrice": "bea trixie", "benjamin": "ben benny benji", "bernard": "bernie", "calvin": "cal", "carolina": "caro lina",
+    "caroline": "carrie caro", "catherine": "cathy cate kate kitty", "cecilia": "cece cissy", "charles": "charlie chuck chas", "charlotte": "lottie charlie lotte", "christina": "chris tina chrissy",
+    "christopher": "chris kit topher", "clarence": "clary", "clifford": "cliff", "constance": "connie", "cynthia": "cindy", "daniel": "dan danny", "david": "dave davey", "deborah": "deb debbie debby",
+    "dolores": "lola", "dominic": "dom nick", "donald": "don donnie", "dorothy": "dot dottie dolly", "douglas": "doug", "edmund": "ed eddie ned ted", "edward": "ed eddie ted teddy ned",
+    "edwin": "ed eddie", "eleanor": "ellie nell nora lenny", "elizabeth": "liz lizzie beth betty bess eliza libby lisa", "emily": "em emmy", "emma": "em emmy", "ernest": "ernie", "eugene": "gene",
+    "evelyn": "evie", "florence": "flo florrie", "frances": "fran frannie", "francis": "frank", "francisco": "paco pancho kiko", "franklin": "frank", "frederick": "fred freddie freddy fritz",
+    "gabriel": "gabe", "geoffrey": "geoff jeff", "george": "georgie", "gerald": "gerry jerry", "gilbert": "gil bert", "giovanni": "gianni vanni", "giuseppe": "beppe pino", "gregory": "greg",
+    "harold": "harry hal", "helen": "nell nellie", "henry": "harry hank hal", "herbert": "herb bert", "hermann": "manni", "hugh": "hughie", "ignacio": "nacho", "isaac": "ike zack", "isabella": "bella izzy isa",
+    "jacob": "jake", "jacqueline": "jackie", "james": "jim jimmy jamie", "jane": "janie jenny", "jeffrey": "jeff", "jennifer": "jen jenny jenna", "jessica": "jess jessie", "johann": "hans hannes",
+    "john": "jack johnny jon", "jonathan": "jon jonny nathan", "jose": "pepe", "joseph": "joe joey jo", "josephine": "jo josie", "joshua": "josh", "judith": "judy", "julia": "julie jules",
+    "katherine": "kate kathy katie kit kitty kat", "kenneth": "ken kenny", "lawrence": "larry laurie", "leonard": "len lenny leo", "leopold": "leo poldi", "lillian": "lil lily", "louis": "lou louie",
+    "louise": "lou lulu", "lucille": "lucy", "madeleine": "maddie", "manuel": "manolo manny", "margaret": "maggie meg peggy madge greta rita", "maria": "mia mitzi", "martha": "marty mattie", "martin": "marty",
+    "mary": "molly polly mae", "matilda": "tilly mattie", "matthew": "matt", "maximilian": "max maxi", "melissa": "mel missy", "michael": "mike mick mickey mikey", "mikhail": "misha", "mildred": "millie",
+    "nathaniel": "nate nat", "nicholas": "nick nicky nico", "oliver": "ollie", "olivia": "liv livvy", "oscar": "ozzie", "pamela": "pam", "patricia": "pat patty trish tricia", "patrick": "pat paddy",
+    "penelope": "penny", "peter": "pete", "philip": "phil pip", "priscilla": "cilla", "prudence": "prue", "rafael": "rafa", "raymond": "ray", "rebecca": "becca becky", "reginald": "reg reggie",
+    "richard": "dick rick rich ricky richie", "robert": "bob bobby rob robbie bert", "roderick": "rod", "rodrigo": "rigo", "roger": "rodge", "ronald": "ron ronnie", "rosemary": "rosie", "rudolf": "rudi",
+    "russell": "russ", "samantha": "sam sammy", "samuel": "sam sammy", "sarah": "sally sadie", "sebastian": "seb basti", "sergei": "seryozha", "simon": "si", "stanley": "stan", "stephanie": "steph",
+    "stephen": "steve stevie", "susan": "sue susie", "susannah": "sue susie suzy", "sylvester": "sly", "tatiana": "tanya", "teresa": "terry tess tessa", "terence": "terry", "theodore": "ted teddy theo",
+    "thomas": "tom tommy", "timothy": "tim timmy", "valentina": "val tina", "valerie": "val", "veronica": "ronnie vera", "victor": "vic", "victoria": "vicky tori vic", "vincent": "vince vinny",
+    "vladimir": "vova volodya", "walter": "walt wally", "wilhelm": "willi", "william": "bill billy will willy liam", "winifred": "winnie", "yevgeny": "zhenya", "zachary": "zach zack",
 }
-# Kinds of ensembles, and bands that go with a leader.
-KINDS = ["brass ensemble", "chamber orchestra", "jazz collective", "string quartet", "street band", "youth choir", "sound system", "philharmonic"]
-PARTNERS = [
-    "beekeepers", "cartographers", "drifters", "ferrymen", "gravediggers", "kingfishers", "lamplighters", "lanterns", "magpies", "orchards",
-    "pickpockets", "signalmen", "tailors", "turnstiles", "understudies", "weathervanes",
-]
+# Words that join names, that stand before them, and that may be left out.
 AND = {"&", "and", "n", "w", "+", "with", "und", "et", "y"}
+ARTICLES = {"the", "thee"}
+TITLES = {"dj", "of"}
 MIN_SUFFIX = 3
 MIN_RATIO = 0.7
-# By-names that stand in quotes beside a given name, or in its place.
-BYNAMES = {"static", "sparks", "duke", "moth", "fuzz", "pepper", "tumbler", "sugar"}
+#: A word is ordinary when it stands beside words of at least so many different beginnings ...
+SPREAD = 3
+#: ... and is at least this share of all words, so that there are at most ``1 / SHARE`` of them at any size.
+SHARE = 0.0002
+#: Of two ordinary words one may be a slip of the other if it stands beside so many times less often.
+RARER = 5
+#: Refined keys of short suffixes that more nodes than this have are overly common.
+COMMON_KEY = 50
 
 
 def fold(text: str) -> str:
     """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
     text = unicodedata.normalize("NFKD", text.replace("ø", "o").replace("Ø", "O").replace("ł", "l").replace("đ", "d").replace("æ", "ae"))
     return "".join(c for c in text if not unicodedata.combining(c)).casefold()
 
@@ -89,7 +113,22 @@ def smooth(word: str) -> str:
     return word[:-1] + "s" if word.endswith("z") and len(word) > 4 else word
 
 
-def _short_for(token: str, word: str) -> bool:
+def alike(a: str, b: str) -> bool:
+    """Whether two cores are one: a long common subsequence and few edits for their length."""
+    if a == b:
+        return True
+    shortest = min(len(a), len(b))
+    if shortest < 4 or abs(len(a) - len(b)) > 2 or ratio(a, b) < MIN_RATIO:
+        return False
+    return distance(a, b) <= (1 if shortest < 7 else 2)
+
+
+def _gone(word: str) -> set[str]:
+    """A word and what is left of it without one letter, as keys for words one or two edits away."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+def _shortens(token: str, word: str) -> bool:
     """Whether a token abbreviates a word: the same first letter, and its letters in order."""
     if not token or token[0] != word[0] or len(token) >= len(word):
         return False
@@ -97,240 +136,328 @@ def _short_for(token: str, word: str) -> bool:
     return all(c in rest for c in token)
 
 
-@lru_cache(maxsize=1 << 16)
-def _is_word(token: str, word: str) -> bool:
-    token = smooth(token)
-    word = smooth(word)
-    return token == word or _short_for(token, word) or len(token) >= 4 and distance(token, word) <= (1 if len(word) < 7 else 2) or token == word + "s"
-
-
-_NICK: dict[str, list[str]] = {}
-for _full, _short in GIVEN.items():
+_CALLED: dict[str, frozenset[str]] = {}
+for _full, _short in NICKNAMES.items():
     for _name in [_full, *_short.split()]:
-        _NICK.setdefault(smooth(_name), []).append(_full)
-
-
-@lru_cache(maxsize=1 << 16)
-def given_names(token: str, dotted: bool = False) -> tuple[str, ...]:
-    """The given names a token may stand for; itself for an unknown one, nothing for a token that is no name."""
-    word = smooth(token)
-    if word in _NICK and not (dotted and len(word) < 3):
-        return tuple(sorted(_NICK[word]))
-    if len(word) <= 4 and (dotted or len(word) == 1):
-        return tuple(sorted(name for name in GIVEN if smooth(name).startswith(word)))
-    near = [(min(distance(word, smooth(name)), distance(token, name)), name) for name in GIVEN if min(abs(len(name) - len(word)), abs(len(name) - len(token))) <= 2]
-    if near and (best := min(near))[0] <= (1 if len(token) < 6 else 2):
-        return tuple(sorted(name for d, name in near if d == best[0]))
-    return ()
-
-
-def _kind_at(tokens: list[str]) -> tuple[int, int, str] | None:
-    """Where in the tokens a kind of ensemble stands."""
-    for kind in KINDS:
-        words = kind.split()
-        if len(words) == 1:
-            for i, token in enumerate(tokens):
-                if len(token) >= 4 and _is_word(token, kind):
-                    return i, i + 1, kind
-            continue
-        joined = "".join(words)
-        for i, token in enumerate(tokens):
-            if len(token) > 7 and distance(smooth(token), smooth(joined)) <= 2:
-                return i, i + 1, kind
-        for i in range(len(tokens) - 1):
-            if _is_word(tokens[i], words[0]) and _is_word(tokens[i + 1], words[1]):
-                return i, i + 2, kind
-    if len(tokens) == 2 and len(tokens[1]) > 4:
-        for kind in KINDS:
-            if " " in kind and len(kind.split()[1]) > 4 and distance(tokens[1], kind.split()[1]) <= 1:
-                return 1, 2, kind
-    return None
+        _CALLED[smooth(_name)] = _CALLED.get(smooth(_name), frozenset()) | {_full}
 
 
 @lru_cache(maxsize=1 << 16)
-def _partner(token: str) -> str | None:
-    word = smooth(token)
-    near = min((distance(word, smooth(p)), p) for p in PARTNERS)
-    return near[1] if near[0] <= 2 and len(word) >= 5 else None
+def lex(artist: str) -> tuple[tuple[str, ...], frozenset[str], bool, frozenset[str], tuple[str, ...]]:
+    """A spelling's words in order (joining signs and articles too), those with a dot, whether there is a comma, those after an article, and quoted words."""
+    quoted = tuple(smooth(w) for part in re.findall(r"[“\"„«]([^”\"“»]*)[”\"“»]", artist) for w in re.findall(r"[^\W\d_]+", fold(part)))
+    text = re.sub(r"[“\"„«][^”\"“»]*[”\"“»]", " ", artist)
+    text = re.sub(r"(?<=[^\W\d_A-Z])(?=[A-ZÀ-ÞŠŽČŘ])", " ", unicodedata.normalize("NFC", text))
+    text = re.sub(r"\bd\.\s?j\.?(?=\W|$)|\bdee\s?jay\b", "dj", fold(text))
+    dotted = frozenset(smooth(w) for w in re.findall(r"([^\W\d_]+)\.", text))
+    tokens = re.findall(r"[^\W_]+|[&+]", re.sub(r"w/", " w ", text).replace("'", "").replace("’", ""))
+    led = frozenset(smooth(b) for a, b in zip(tokens, tokens[1:]) if a in ARTICLES) | ({smooth(tokens[0])} if "," in text and tokens and tokens[-1] in ARTICLES else set())
+    return tuple(t if t in AND or t in ARTICLES else smooth(t) for t in tokens), dotted, "," in text, led, quoted
+
+
+class Lexicon:
+    """What is known of words: the ordinary ones of a table with their spread and number, and by-names seen in quotes.  Both are bounded by ``SHARE``."""
+
+    def __init__(self, ordinary: dict[str, tuple[int, int]] | None = None, bynames: Iterable[str] = ()) -> None:
+        self.ordinary, self.bynames = dict(ordinary or {}), frozenset(bynames)
+        self.known = self.ordinary.keys() | _CALLED.keys()
+        self.near: dict[str, set[str]] = {}
+        self.starts: dict[str, list[str]] = {}
+        for word in sorted(self.known):
+            self.starts.setdefault(word[0], []).append(word)
+            if len(word) >= 3:
+                for key in _gone(word):
+                    self.near.setdefault(key, set()).add(word)
+        self._ranks: dict[tuple[str, bool], tuple[float, int]] = {}
+        self._words: dict[tuple[str, str], bool] = {}
+
+    def __reduce__(self):
+        return Lexicon, (self.ordinary, self.bynames)
+
+    def rank(self, word: str, dotted: bool) -> tuple[float, int]:
+        """How little a word is an ordinary one, from 0 for an initial to 4 for a word that nothing known resembles, then by how few words it stands beside."""
+        key = (word, dotted)
+        if key not in self._ranks:
+            if len(self._ranks) >= 1 << 17:
+                self._ranks.clear()
+            self._ranks[key] = self._rank(word, dotted)
+        return self._ranks[key]
+
+    def _rank(self, word: str, dotted: bool) -> tuple[float, int]:
+        if len(word) == 1 or dotted and len(word) <= 5:
+            return 0.0, 0
+        if word in self.known:
+            return 1.0 if word in _CALLED else 1.5, -self.ordinary.get(word, (0, 0))[0]
+        if (len(word) <= 4 or not re.search("[aeiou]", word)) and any(_shortens(word, w) for w in self.starts.get(word[0], ())):
+            return 1.1, 0
+        if any(word[:i] in self.ordinary and word[i:] in self.ordinary for i in range(3, len(word) - 2)):
+            return 1.6, 0
+        near = self.near_words(word)
+        return min((1.0 if w in _CALLED else 1.5, -self.ordinary.get(w, (0, 0))[0]) for w in near) if near else (4.0, 0)
+
+    def near_words(self, word: str) -> list[str]:
+        """Known words that a word may be a slip of."""
+        if len(word) < 4 or word in self.known:
+            return []
+        most = 1 if len(word) < 7 else 2
+        return sorted({w for key in _gone(word) for w in self.near.get(key, ()) if distance(word, w) <= most})
+
+    def letters(self, others: Iterable[str]) -> list[str]:
+        """First letters that words agreeing with these may have."""
+        out = set()
+        for token in others:
+            bare = token.rstrip(".")
+            for word in (bare, *(self.near_words(bare) if token == bare else ())):
+                out.add(word[0])
+                for full in _CALLED.get(word, ()):
+                    out |= {full[0], *(short[0] for short in NICKNAMES[full].replace("y", "i").split())}
+        return sorted(out or {""})
+
+    def apart(self, artist: str | None) -> tuple[str, tuple[str, ...], bool, bool] | None:
+        """``core, others, by, certain``; None for null and for text without letters.
+
+        ``others`` are the words beside the core that can contradict it, ``by`` tells that a by-name stands
+        in their place, ``certain`` that none of them is shortened.
+        """
+        if not artist or not artist.strip():
+            return None
+        tokens, dotted, comma, led, quoted = lex(artist)
+        article = any(t in ARTICLES for t in tokens)
+        words = [t for t in tokens if t not in ARTICLES]
+        joined = len(words) > 2 and (any(t in AND for t in words[1:-1]) or any(t in AND and len(t) > 1 for t in words)) or any(t in "&+" for t in words)
+        if joined or len(words) > 2:
+            words = [t for i, t in enumerate(words) if not (t in AND and (t in "&+" or 0 < i < len(words) - 1 or len(t) > 1 or article and i == len(words) - 1))] or words
+        words = [t for t in words if t not in "&+"]
+        words = [smooth(t) for t in words if t not in TITLES or len(words) == 1] or words
+        if article and len(words) == 2 and words[1] == "band":
+            words = words[:1]
+        if not words:
+            return None
+        ranks = [self.rank(t, t in dotted) for t in words]
+        if len(words) > 1 and article and not joined and not comma and min(ranks)[0] > 2:
+            words, ranks = ["".join(words)], [(4.0, 0)]
+        order = [(r, t not in led if joined else True, -i if comma or joined else i) for i, (t, r) in enumerate(zip(words, ranks, strict=True))]
+        at = max(range(len(words)), key=order.__getitem__)
+        core, others = words[at], [t + "." if t in dotted else t for i, t in enumerate(words) if i != at]
+        long = [t for t in others if len(t.rstrip(".")) > 1]
+        if long:
+            others = long  # middle initials say less than names
+        called = [t for t in others if t in self.bynames and t not in _CALLED]
+        by = bool(called) and len(called) == len(others)
+        others = [t for t in others if t not in called]
+        if not others:
+            core = core[:-1] if core.endswith("s") and len(core) > 4 else core
+        return core, tuple(others), by, not by and all(len(t) > 2 and not t.endswith(".") for t in others)
+
+    def same_word(self, a: str, b: str) -> bool:
+        """Whether two words beside a core can stand for each other: equal, called so, shortened or a slip; two ordinary words are no slips of each other."""
+        if a == b:
+            return True
+        key = (a, b) if a < b else (b, a)
+        if key not in self._words:
+            self._words[key] = self._same_word(*key)
+        return self._words[key]
+
+    def _same_word(self, a: str, b: str) -> bool:
+        if a.endswith(".") or b.endswith("."):
+            x, y = a.rstrip("."), b.rstrip(".")
+            short, long = (x, y) if len(x) <= len(y) else (y, x)
+            return any(full.startswith(short) or _shortens(short, full) for full in (long, *map(smooth, _CALLED.get(long, ()))))
+        if _CALLED.get(a, frozenset()) & _CALLED.get(b, frozenset()):
+            return True
+        short, long = sorted((a, b), key=len)
+        if len(short) == 1:
+            return any(w[0] == short for w in (long, *map(smooth, _CALLED.get(long, ()))))
+        if a in _CALLED and b in _CALLED:
+            return False
+        if long.startswith(short) and (len(short) >= 3 or long not in _CALLED) or not re.search("[aeiou]", short[1:]) and _shortens(short, long):
+            return True
+        few, many = sorted((self.ordinary.get(a, (0, 0))[1], self.ordinary.get(b, (0, 0))[1]))
+        if a in self.known and b in self.known and few * RARER > many:
+            return False
+        if len(short) <= 4 and _shortens(short, long):
+            return True
+        stem = re.sub(r"(?:ie|i|e|s)$", "", short)
+        if len(stem) >= 3 and long.startswith(stem) and len(long) - len(stem) >= 2:
+            return True
+        if len(short) >= 4 and distance(a, b) <= (1 if len(short) < 7 else 2):
+            return True
+        # A slip in a name that goes by another.
+        near = lambda w: {f for n in self.near_words(w) for f in _CALLED.get(n, ())} | _CALLED.get(w, frozenset())
+        return bool(near(a) & near(b))
+
+    def same_others(self, a: tuple[str, ...], b: tuple[str, ...]) -> bool:
+        """Whether the words beside two equal cores agree: each of the fewer finds a different one of the others; none agree with none only."""
+        if a == b:
+            return True
+        few, many = sorted((tuple(a), tuple(b)), key=len)
+        if not few:
+            return False
+        if len(few) == 1 and len(many) > 1 and (few[0].rstrip(".") == "".join(w[0] for w in many) or len(few[0]) > 7 and distance(few[0], smooth("".join(many))) <= 2):
+            return True
+        left = list(many)
+        for word in sorted(few, key=len, reverse=True):
+            hit = next((w for w in left if w == word), None) or next((w for w in left if self.same_word(word, w)), None)
+            if hit is None:
+                return False
+            left.remove(hit)
+        return True
 
 
-def apart(artist: str | None) -> tuple[str, str, list[str], list[str]] | None:
-    """``family, core, given, refine`` of a spelling; None for null and for text without letters.
+def learn(artists: DataFrame, column: str = "artist") -> Lexicon:
+    """The lexicon of all spellings of a column: ordinary words and by-names by their counts over the whole table.
 
-    ``given`` are the full names its given name may stand for (none for a by-name in its place), ``refine``
-    the values of the other field of which one must be shared.
+    What comes to the driver is bounded: words of at least ``SHARE`` of all words.
     """
-    if not artist or not artist.strip():
-        return None
-    text = re.sub(r"[“\"„«][^”\"“»]*[”\"“»]", " ", artist)
-    text = re.sub(r"(?<=[^\W\d_A-Z])(?=[A-ZÀ-ÞŠŽČŘ])", " ", unicodedata.normalize("NFC", text))
-    text = fold(text)
-    text = re.sub(r"\bd\.\s?j\.?(?=\W|$)|\bdee\s?jay\b", "dj", text)
-    dotted = set(re.findall(r"([^\W\d_]+)\.", text))
-    comma = "," in text
-    tokens = re.findall(r"[^\W_]+|[&+]", re.sub(r"w/", " w ", text).replace("'", "").replace("’", ""))
-    if not any(t.isalnum() for t in tokens):
-        return None
-    words = [t for t in tokens if t not in ("the", "thee")]
-    article = len(words) < len(tokens)
-    if "dj" in words and len(words) > 1:
-        return "single", smooth("".join(t for t in words if t != "dj")), [], [""]
-    found = _kind_at([t for t in words if t != "of"]) if len(words) > 1 else None
-    if found:
-        kept = [t for t in words if t != "of"]
-        core = "".join(kept[: found[0]] + kept[found[1] :])
-        if core:
-            return "ensemble", smooth(core), [], [found[2]]
-    if len(words) > 2 and any(t in AND for t in words):
-        names = [t for t in words if t not in AND]
-        partners = [(p, t) for t in names if (p := _partner(t))]
-        if partners and len(names) > 1:
-            partner, token = partners[-1] if len(partners) == 1 or not comma else partners[0]
-            names.remove(token)
-            return "band", smooth("".join(names)), [], [partner]
-        if len(names) > 1 and article:
-            return "band", smooth("".join(names[:-1])), [], [smooth(names[-1])]
-    if article and len(words) == 2 and words[1] == "band":
-        words = words[:1]
-    if len(words) == 1:
-        core = smooth(words[0])
-        return "single", core[:-1] if core.endswith("s") and len(core) > 4 else core, [], [""]
-    if article:
-        core = smooth("".join(words))
-        return "single", core[:-1] if core.endswith("s") else core, [], [""]
-    # A person: a given name, perhaps middle initials, a surname.
-    long = [t for t in words if len(t) > 1]
-    ranked = []
-    for i, token in enumerate(words):
-        names = given_names(token, token in dotted)
-        if len(token) == 1:
-            rank = 3 if not (i and i < len(words) - 1 and len(long) > 1) else 5
-        elif not names:
-            rank = 4
-        else:
-            exact = smooth(token) in _NICK or token in dotted
-            rank = 0 if exact else 1
-        ranked.append((rank, i if not comma else -i, i, names))
-    best = min(ranked)
-    bynames = [t for t in words if t in BYNAMES]
-    if best[0] >= 4 and len(words) == 2 and len(bynames) == 1:
-        return "person", smooth(next(t for t in words if t not in BYNAMES)), [], []
-    if best[0] >= 4:
-        best = ranked[-1] if comma else ranked[0]
-    at = best[2]
-    names = best[3] or (smooth(words[at]),)
-    rest = [t for i, t in enumerate(words) if i != at and (len(t) > 1 or len(words) == 2)]
-    core = smooth("".join(rest) or words[at])
-    return "person", core, list(names), sorted({n[0] for n in names})
-
-
-_PARTS = "name_id bigint, uses bigint, family string, core string, given array<string>, refine array<string>"
-
-
-def parse(artists: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for artist in batch["artist"]:
+                if not artist:
+                    continue
+                tokens, _, _, _, quoted = lex(artist)
+                words = [t for t in tokens if len(t) > 1 and t not in AND and t not in ARTICLES]
+                for i, word in enumerate(words):
+                    for near in {w[:2] for j, w in enumerate(words[max(0, i - 3) : i + 4], max(0, i - 3)) if j != i and w != word} or {""}:
+                        rows.append((word, near, 1, 0))
+                rows += [(word, "", 0, 1) for word in quoted]
+            yield pd.DataFrame(rows, columns=["word", "near", "n", "quoted"])
+
+    spellings = artists.select(F.col(column).alias("artist")).where("artist is not null").distinct()
+    seen = spellings.mapInPandas(run, "word string, near string, n bigint, quoted bigint").groupBy("word", "near").agg(F.sum("n").alias("n"), F.sum("quoted").alias("quoted"))
+    words = cut(seen.groupBy("word").agg(F.sum(F.expr("if(near <> '' and n > 0, 1, 0)")).alias("spread"), F.sum("n").alias("n"), F.sum("quoted").alias("quoted")))
+    total = words.agg(F.sum("n").alias("n"), F.sum("quoted").alias("q")).first()
+    least, least_quoted = SHARE * (total.n or 0), max(1.0, SHARE * (total.q or 0))
+    kept = words.where(((F.col("spread") >= SPREAD) & (F.col("n") >= least)) | (F.col("quoted") >= least_quoted)).toPandas()
+    usual = kept[(kept.spread >= SPREAD) & (kept.n >= least)]
+    return Lexicon(dict(zip(usual.word, zip(usual.spread.astype(int), usual.n.astype(int)), strict=True)), kept.loc[kept.quoted >= least_quoted, "word"])
+
+
+_PARTS = "name_id bigint, uses bigint, core string, others array<string>, by boolean, certain boolean, refine array<string>"
+
+
+def parse(artists: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Spellings taken apart, a row each; null and blank artists give none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for name_id, artist, uses in zip(batch["name_id"], batch["artist"], batch["uses"], strict=True):
-                parts = apart(artist)
-                if parts and parts[1]:
-                    rows.append((name_id, 0 if pd.isna(uses) else int(uses), *parts))
-            yield pd.DataFrame(rows, columns=["name_id", "uses", "family", "core", "given", "refine"])
+                parts = lexicon.apart(artist)
+                if parts:
+                    rows.append((name_id, 0 if pd.isna(uses) else int(uses), *parts, lexicon.letters(parts[1])))
+            yield pd.DataFrame(rows, columns=["name_id", "uses", "core", "others", "by", "certain", "refine"])
 
     return artists.select("name_id", "artist", "uses").mapInPandas(run, _PARTS)
 
 
-def alike(a: str, b: str) -> bool:
-    """Whether two cores are one: a long common subsequence and few edits for their length."""
-    if a == b:
-        return True
-    edits = distance(a, b)
-    shortest = min(len(a), len(b))
-    return edits <= (1 if shortest < 7 else 2) and shortest >= 4 and ratio(a, b) >= MIN_RATIO
-
-
-def _ratio_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for left, right in batches:
-        yield pd.Series([ratio(a, b) if alike(a, b) else 0.0 for a, b in zip(left, right, strict=True)], dtype="float64")
+_NODE = ("core", "others", "by")
 
 
 def nodes_of(parts: DataFrame) -> DataFrame:
-    """Spellings that come apart equally are one node: its id, uses and whether its given name is certain."""
-    return parts.groupBy("family", "core", "given", "refine").agg(F.min("name_id").alias("node"), F.sum("uses").alias("uses")).withColumn(
-        "certain", F.when(F.col("family") == "person", F.size("given") == 1).otherwise(True)
-    )
+    """Spellings that come apart equally are one node: its id, uses and whether it is certain."""
+    return parts.groupBy(*_NODE).agg(F.min("name_id").alias("node"), F.sum("uses").alias("uses"), F.min("certain").alias("certain"), F.first("refine").alias("refine"))
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a suffix of the core, from either end, and an other field.
+def _keys(nodes: DataFrame) -> DataFrame:
+    """``node, core, others, key, short`` for every blocking key.
 
-    Suffixes are about half the core long, so that one slip leaves one of the two whole.
+    Keys are suffixes of the core, and of the core read backwards, refined by a first letter of the other
+    words.  The two of about half the core (of short cores a letter less than ``MIN_SUFFIX``) carry the
+    core's length or the next, since one edit changes it by one; shorter ones, down to ``MIN_SUFFIX``,
+    carry the letter at the core's other end, and two letters of either end go together.
     """
-    half = F.ceil(F.length("core") / 2).cast("int")
-    lengths = F.array_distinct(F.transform(F.array(half - 1, half), lambda k: F.least(F.greatest(k, F.lit(MIN_SUFFIX)), F.length("core"))))
-    keyed = nodes.select("node", "family", "core", "given", F.explode("refine").alias("other"), lengths.alias("lengths"))
-    keyed = keyed.withColumn("k", F.explode("lengths")).drop("lengths")
-    ends = F.array(
-        F.concat(F.lit("<"), F.expr("right(core, k)")),
-        F.concat(F.lit(">"), F.expr("left(core, k)")),  # suffix of the core read backwards
-    )
-    keyed = keyed.select("node", "family", "other", "core", "given", F.explode(ends).alias("suffix"))
-    # Slips in both halves: the first or last three letters with the letter at the other end.
-    rims = F.array(
-        F.concat(F.lit("<<"), F.expr("left(core, 1)"), F.expr("right(core, 3)")),
-        F.concat(F.lit(">>"), F.expr("right(core, 1)"), F.expr("left(core, 3)")),
-    )
-    keyed = keyed.unionByName(nodes.select("node", "family", F.explode("refine").alias("other"), "core", "given", rims.alias("r")).select("node", "family", "other", "core", "given", F.explode("r").alias("suffix")))
-    # A by-name says nothing of the given name: it meets persons with the whole core only.
-    whole = nodes.where("family = 'person'").select("node", "family", F.lit("*").alias("other"), "core", "given", F.concat(F.lit("="), "core").alias("suffix"))
-    keyed = keyed.unionByName(whole)
-    left = keyed.select("family", "other", "suffix", F.col("node").alias("a"), F.col("core").alias("core_a"), F.col("given").alias("given_a"))
-    right = keyed.select("family", "other", "suffix", F.col("node").alias("b"), F.col("core").alias("core_b"), F.col("given").alias("given_b"))
-    pairs = left.join(right, ["family", "other", "suffix"]).where("a < b")
-    pairs = pairs.where((F.size("given_a") == 0) | (F.size("given_b") == 0) | F.arrays_overlap("given_a", "given_b"))
-    pairs = pairs.where("levenshtein(core_a, core_b, 4) between 0 and 4")
-    return pairs.groupBy("a", "b").agg(F.first("core_a").alias("core_a"), F.first("core_b").alias("core_b"))
-
-
-def edges(nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes whose cores are alike: ``a, b, ratio``."""
-    score = F.pandas_udf(_ratio_batches, "double")
-    return candidate_pairs(nodes).withColumn("ratio", score("core_a", "core_b")).where("ratio > 0").select("a", "b", "ratio")
+    size = F.length("core")
+    half = F.ceil(size / 2).cast("int")
+    least = lambda k: F.least(F.greatest(k, F.lit(MIN_SUFFIX - 1)), size)
+    halves = F.array_distinct(F.array(least(half - 1), least(half)))
+    ends = lambda k: F.array(F.concat(F.lit("<"), F.right("core", k)), F.concat(F.lit(">"), F.left("core", k)))
+    long = F.flatten(F.transform(halves, lambda k: F.flatten(F.transform(ends(k), lambda e: F.array(F.concat_ws("|", e, size.cast("string")), F.concat_ws("|", e, (size + 1).cast("string")))))))
+    shorter = F.when(half - 2 >= MIN_SUFFIX, F.sequence(F.lit(MIN_SUFFIX), half - 2)).otherwise(F.array().cast("array<int>"))
+    shorter = F.array_distinct(F.concat(F.when(size > MIN_SUFFIX, F.array(F.lit(MIN_SUFFIX))).otherwise(F.array().cast("array<int>")), shorter))
+    rims = F.flatten(F.transform(shorter, lambda k: F.array(F.concat(F.lit("<<"), F.right("core", k), F.left("core", F.lit(1))), F.concat(F.lit(">>"), F.left("core", k), F.right("core", F.lit(1))))))
+    rims = F.concat(rims, F.when(size > 4, F.array(F.concat(F.lit("<>"), F.right("core", F.lit(2)), F.left("core", F.lit(2))))).otherwise(F.array().cast("array<string>")))
+    each = nodes.select("node", "core", "others", F.explode("refine").alias("letter"), long.alias("long"), rims.alias("rims"))
+    one = lambda name, short: each.select("node", "core", "others", "letter", F.explode(name).alias("suffix"), F.lit(short).alias("short"))
+    return one("long", False).unionByName(one("rims", True)).withColumn("key", F.concat_ws("|", "letter", "suffix")).drop("letter", "suffix")
 
 
-def classes(artists: DataFrame) -> DataFrame:
-    """``name_id, class_id`` of every spelling with a name in it.
+def candidate_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes that share a key, each once, whose cores are near enough."""
+    keyed = _keys(nodes)
+    usual = keyed.groupBy("key").agg(F.count("*").alias("n"), F.first("short").alias("rim"))
+    usual = usual.where(f"n > 1 and (not rim or n <= {COMMON_KEY})").select("key")
+    kept = keyed.join(usual, "key")
+    left = kept.select("key", F.col("node").alias("a"), F.col("core").alias("core_a"), F.col("others").alias("others_a"))
+    right = kept.select("key", F.col("node").alias("b"), F.col("core").alias("core_b"), F.col("others").alias("others_b"))
+    # A swap counts twice here, so that two edits are four at most.
+    pairs = left.join(right, "key").where("a < b and levenshtein(core_a, core_b, 4) >= 0")
+    return pairs.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("core_a", "core_b", "others_a", "others_b")])
+
+
+def edges(nodes: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Pairs of nodes whose cores are alike and whose other words agree: ``a, b, ratio``."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(
+                [ratio(a, b) if alike(a, b) and lexicon.same_others(tuple(x), tuple(y)) else 0.0 for a, b, x, y in zip(*batch, strict=True)], dtype="float64"
+            )
 
-    Every node points to the most certain, most used node that it is alike to, itself included, and
-    pointers are followed to their ends; since pointers only go to better nodes, two names that share
-    an uncertain spelling don't fall together through it.  Null and blank artists have no class; equal
-    spellings share one; ties go to the smaller id; other columns are left out.
-    """
-    parts = parse(artists)
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    score = F.pandas_udf(run, "double")
+    named = candidate_pairs(nodes.where("not by"))
+    return named.withColumn("ratio", score("core_a", "core_b", "others_a", "others_b")).where("ratio > 0").select("a", "b", "ratio")
+
+
+def _linked(artists: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spellings taken apart, nodes with the node that stands for their class, and edges between nodes."""
+    lexicon = learn(artists)
+    parts = cut(parse(artists, lexicon))
     nodes = cut(nodes_of(parts))
-    both = edges(nodes)
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "ratio"))
-    quality = nodes.select(F.col("node").alias("b"), F.struct("certain", F.col("uses").alias("uses"), (-F.col("node")).alias("least")).alias("quality"))
-    own = nodes.select(F.col("node").alias("a"), F.struct("certain", "uses", (-F.col("node")).alias("least")).alias("own"))
-    better = both.join(quality, "b").join(own, "a").where("quality > own")
-    choice = better.groupBy("a").agg(F.max(F.struct((F.col("ratio") >= 1.0).alias("same"), F.round("ratio", 1).alias("near"), "quality", "b")).alias("best"))
-    pointers = cut(nodes.select(F.col("node").alias("a")).join(choice, "a", "left").select("a", F.coalesce("best.b", "a").alias("to")))
-    for _ in range(20):
+    links = cut(edges(nodes, lexicon))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "ratio"))
+    quality = F.struct("certain", F.col("uses").alias("uses"), (-F.col("node")).alias("least"))
+    better = both.join(nodes.select(F.col("node").alias("b"), quality.alias("quality")), "b").join(nodes.select(F.col("node").alias("a"), quality.alias("own")), "a").where("quality > own")
+    choice = better.groupBy("a").agg(F.max(F.struct((F.col("ratio") >= 1.0).alias("same"), F.round("ratio", 1).alias("near"), "quality", "b")).alias("best")).select("a", "best.b")
+    # A by-name says nothing of the given name: it stands for the surest, most used bearer of the core.
+    bearers = nodes.where("not by and size(others) > 0").groupBy("core").agg(F.max(F.struct("certain", "uses", (-F.col("node")).alias("least"))).alias("best"))
+    by = nodes.where("by").join(bearers, "core").select(F.col("node").alias("a"), (-F.col("best.least")).alias("b"))
+    pointers = cut(nodes.select(F.col("node").alias("a")).join(choice.unionByName(by), "a", "left").select("a", F.coalesce("b", "a").alias("to")))
+    while True:  # pointers go to better nodes only, so they halve their way to the ends
         onward = pointers.select(F.col("a").alias("to"), F.col("to").alias("next"))
         jumped = cut(pointers.join(onward, "to").select("a", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
         moved = jumped.where("moved").limit(1).count()
         pointers = jumped.select("a", "to")
         if not moved:
             break
-    named = nodes.select("family", "core", "given", "refine", F.col("node").alias("a")).join(pointers, "a").drop("a")
-    return parts.join(named, ["family", "core", "given", "refine"]).select("name_id", F.col("to").alias("class_id"))
+    return parts, nodes.join(pointers, F.col("node") == F.col("a")).drop("a"), links.unionByName(by.select("a", "b", F.lit(1.0).alias("ratio")))
+
+
+def _members(parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    return parts.join(nodes.select(*_NODE, F.col("to").alias("class_id")), list(_NODE)).select("name_id", "class_id")
+
+
+def classes(artists: DataFrame) -> DataFrame:
+    """``name_id, class_id, links`` of every spelling with a name in it.
+
+    ``links`` is the number of different spellings (nodes) it was directly found alike with.  Every node
+    points to the surest, most used node that it is alike to, itself included, and pointers are followed
+    to their ends; since pointers only go to better nodes, two names that share an uncertain spelling
+    don't fall together through it.  Null and blank artists have no class; equal spellings share one; ties
+    go to the smaller id; other columns are left out.
+    """
+    parts, nodes, links = _linked(artists)
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    counted = nodes.join(ends, "node", "left").select(*_NODE, F.col("to").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return parts.join(counted, list(_NODE)).select("name_id", "class_id", "links")
 
 
 def found(artists: DataFrame) -> DataFrame:
     """Every pair of rows that name the same person or group, smaller id first."""
-    members = cut(classes(artists))
+    parts, nodes, _ = _linked(artists)
+    members = cut(_members(parts, nodes))
     left = members.select("class_id", F.col("name_id").alias("name_id_a"))
     right = members.select("class_id", F.col("name_id").alias("name_id_b"))
     return left.join(right, "class_id").where("name_id_a < name_id_b").select("name_id_a", "name_id_b")
