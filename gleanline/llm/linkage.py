@@ -28,7 +28,11 @@ VERSIONS = {
 }
 STUDIO = ["remaster", "remastered", "album", "original", "mono", "stereo", "studio"]
 NOISE = ["official", "video", "audio", "lyrics", "lyric", "hq", "hd", "visualizer", "full", "song"]
-BUCKET_S = 4.0
+BUCKET_S = 8.0
+#: Lengths further apart than this are seldom of one recording.
+NEAR_S = 3.05
+#: Titles more edits apart than this are not compared.
+TITLE_EDITS = 4
 LEVELS = {"title": 4, "artist": 3, "length": 5, "version": 4}
 #: Where EM starts, levels from agreement to disagreement (a missing artist is 1, a missing length 4): matches, other
 #: recordings of the same song, songs of the same title by others, and unrelated ones; with their shares.
@@ -132,35 +136,35 @@ def prepare(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
 def _keys(side: DataFrame, asking: bool) -> DataFrame:
     """The side with a row for each blocking key, a hash (a collision only proposes a pair more).
 
-    A title is a key by either half and by its two outer thirds, since one slip spoils one half, or both
-    only in the middle; an asking title also tries the halves of a title one shorter or longer.  Parts of
-    titles are common, so every key is refined: with the first or last letters of an artist's core, with
-    the length bucket (asking rows try the neighbouring ones) where the asking row names no artist, and
-    the whole title with the length bucket in any case.  An asking row with neither field uses the whole
-    title refined by its versions, all that it has.
+    A title is a key by its first and last letters, a multiple of three within the half, and by its two outer
+    thirds, since one slip leaves the beginning or the end, and two in the middle the outer thirds; an asking
+    title also tries the parts of a title one shorter or longer.  Parts of titles are common, so every key is
+    refined: with the first or last letters of an artist's core, with the length bucket (asking rows try all
+    within reach) where the asking row names no artist, and the whole title with the length bucket in any
+    case.  An asking row with neither field uses the whole title refined by its versions, all that it has.
     """
     size, tight = F.length("tight"), F.col("tight")
     lengths = F.filter(F.array(size - 1, size, size + 1), lambda n: n >= 3) if asking else F.array(size)
-    part = lambda n, k: F.ceil(n / k).cast("int")
-    halves = F.array_distinct(F.transform(lengths, lambda n: part(n, 2)))
-    heads = F.transform(halves, lambda k: F.concat(F.lit("<"), F.left(tight, k)))
-    tails = F.transform(halves, lambda k: F.concat(F.lit(">"), F.right(tight, k)))
-    rims = F.transform(F.array_distinct(F.transform(lengths, lambda n: part(n, 3))), lambda k: F.concat(F.lit("~"), F.left(tight, k), F.lit("~"), F.right(tight, k)))
-    parts = F.concat(heads, tails, rims)
+    half = lambda n: F.ceil(n / 2).cast("int")
+    sizes = F.array_distinct(F.transform(lengths, lambda n: F.when(half(n) < 3, half(n)).otherwise(half(n) - half(n) % 3)))
+    heads = F.transform(sizes, lambda k: F.concat(F.lit("<"), F.left(tight, k)))
+    tails = F.transform(sizes, lambda k: F.concat(F.lit(">"), F.right(tight, k)))
+    rims = F.transform(F.array_distinct(F.transform(lengths, lambda n: F.ceil(n / 3).cast("int"))), lambda k: F.concat(F.lit("~"), F.left(tight, k), F.lit("~"), F.right(tight, k)))
     core = F.transform("artists", lambda a: F.element_at(F.split(a, r"\|"), 1))
     ends = F.array_distinct(F.flatten(F.transform(core, lambda c: F.array(F.concat(F.lit("^"), F.left(c, F.lit(4))), F.concat(F.lit("$"), F.right(c, F.lit(4)))))))
-    bucket = F.floor(F.col("length_s") / BUCKET_S).cast("int")
-    near = F.when(bucket.isNotNull(), F.array(bucket - 1, bucket, bucket + 1) if asking else F.array(bucket)).otherwise(F.array().cast("array<int>"))
+    bucket = lambda off: F.floor((F.col("length_s") + off) / BUCKET_S).cast("int")
+    near = F.when(F.col("length_s").isNotNull(), F.array_distinct(F.array(bucket(-NEAR_S), bucket(NEAR_S))) if asking else F.array(bucket(0.0))).otherwise(F.array().cast("array<int>"))
     crossed = lambda left, right: F.flatten(F.transform(left, lambda p: F.transform(right, lambda o: F.xxhash64(p, o.cast("string")))))
     none = F.array().cast("array<bigint>")
     lonely = F.size("artists") == 0 if asking else F.lit(True)
     whole = F.array(F.concat(F.lit("="), tight))
     bare = F.array(F.concat(F.lit("?"), F.concat_ws(",", "versions")))
     keys = F.concat(
-        crossed(parts, ends), crossed(whole, near), F.when(lonely, crossed(parts, near)).otherwise(none),
-        F.when(lonely & (bucket.isNull() if asking else F.lit(True)), crossed(whole, bare)).otherwise(none),
+        crossed(F.concat(heads, tails), ends), crossed(rims, F.filter(ends, lambda e: e.startswith("^"))), crossed(whole, near),
+        F.when(lonely, crossed(F.concat(heads, tails, rims), near)).otherwise(none),
+        F.when(lonely & (F.col("length_s").isNull() if asking else F.lit(True)), crossed(whole, bare)).otherwise(none),
     )
-    return side.where("tight <> ''").select("id", "reading", F.explode(F.array_distinct(keys)).alias("key"))
+    return side.where("tight <> ''").select("id", "reading", "tight", F.explode(F.array_distinct(keys)).alias("key"))
 
 
 def same_artist(left: list[str], right: list[str], lexicon: Lexicon) -> bool:
@@ -183,7 +187,7 @@ def same_artist(left: list[str], right: list[str], lexicon: Lexicon) -> bool:
 def _title_level() -> Column:
     """0 the same letters, 1 one slip (a swap too), 2 two or three in a long title, 3 another title or other numbers."""
     digits = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"(\d+)"), 1)
-    edits = F.levenshtein("tight_a", "tight_b", 4)
+    edits = F.levenshtein("tight_a", "tight_b", TITLE_EDITS)
     longest = F.greatest(F.length("tight_a"), F.length("tight_b"))
     letters = lambda c: F.array_sort(F.split(F.col(c), ""))
     slip = (edits <= 1) & (edits >= 0) | (edits == 2) & (letters("tight_a") == letters("tight_b"))
@@ -196,7 +200,7 @@ def _title_level() -> Column:
 
 def _length_level() -> Column:
     gap = F.abs(F.col("length_a") - F.col("length_b"))
-    return F.when(gap.isNull(), 4).when(gap <= 0.75, 0).when(gap <= 3.05, 1).when(gap <= 8, 2).otherwise(3)
+    return F.when(gap.isNull(), 4).when(gap <= 0.75, 0).when(gap <= NEAR_S, 1).when(gap <= 8, 2).otherwise(3)
 
 
 def _version_level() -> Column:
@@ -301,11 +305,10 @@ def link(inputs: DataFrame, candidates: DataFrame) -> DataFrame:
     lengths = resolve_lengths(recorded).select(F.col("rec_id").alias("candidate_id"), (F.col("length_ms") / 1000.0).alias("length_s"))
     right_rows = candidates.select("candidate_id", "title", "artist", "qualifiers").join(lengths, "candidate_id", "left")
     right = cut(prepare(right_rows.select(F.col("candidate_id").alias("id"), F.lit(0).alias("reading"), "title", "artist", "qualifiers", "length_s"), lexicon))
-    proposed = (
-        _keys(left, True).select(F.col("id").alias("input_id"), "reading", "key")
-        .join(_keys(right, False).select(F.col("id").alias("candidate_id"), "key"), "key")
-        .select("input_id", "reading", "candidate_id").distinct()
-    )
+    asked = _keys(left, True).select(F.col("id").alias("input_id"), "reading", F.col("tight").alias("tight_a"), "key")
+    offered = _keys(right, False).select(F.col("id").alias("candidate_id"), F.col("tight").alias("tight_b"), "key")
+    near = F.levenshtein("tight_a", "tight_b", TITLE_EDITS) >= 0  # before pairs are shuffled
+    proposed = asked.join(offered, "key").where(near).select("input_id", "reading", "candidate_id").distinct()
     side = lambda frame, x: frame.select(F.col("id").alias("input_id" if x == "a" else "candidate_id"), *(["reading"] if x == "a" else []), *[F.col(c).alias(f"{n}_{x}") for c, n in _COMPARED])
     pairs = proposed.join(side(left, "a"), ["input_id", "reading"]).join(side(right, "b"), "candidate_id")
     compared = cut(compare(pairs, lexicon))
