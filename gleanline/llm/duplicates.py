@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from gleanline.session import cut
+
 #: Text that the built-in functions can't compose: combining marks and compatibility forms.
 _COMPOSE = r"[\p{M}\x{FB00}-\x{FB4F}\x{FF00}-\x{FFEF}\x{2100}-\x{218F}\x{2460}-\x{24FF}\x{1D400}-\x{1D7FF}]"
 
@@ -33,15 +35,15 @@ def canonical(rows: DataFrame) -> DataFrame:
 
     Both present: the two in sorted order, so that changed places are one record.  One missing: it stays
     in its place, so a missing artist equals only a missing artist.  An empty text is not a missing one.
+    One pass: only texts with characters to compose leave the JVM, the others go as nulls.
     """
-    bare = lambda frame: frame.withColumn("a", compact(F.col("t"))).withColumn("b", compact(F.col("u")))
-    odd = F.coalesce(F.col("title").rlike(_COMPOSE), F.lit(False)) | F.coalesce(F.col("artist").rlike(_COMPOSE), F.lit(False))
-    plain = bare(rows.where(~odd).withColumns({"t": F.col("title"), "u": F.col("artist")}))
-    composed = bare(rows.where(odd).withColumns({"t": _composed("title"), "u": _composed("artist")}))
+    odd = lambda name: F.coalesce(F.col(name).rlike(_COMPOSE), F.lit(False))
+    text = lambda name: F.coalesce(_composed(F.when(odd(name), F.col(name))), F.col(name))
+    bare = rows.withColumns({"a": text("title"), "b": text("artist")}).withColumns({"a": compact(F.col("a")), "b": compact(F.col("b"))})
     cell = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     key = F.when(both, F.concat_ws("\u0001", F.least("a", "b"), F.greatest("a", "b"))).otherwise(F.concat_ws("\u0001", cell(F.col("a")), F.lit("-"), cell(F.col("b"))))
-    return plain.unionByName(composed).withColumn("key", key).drop("t", "u", "a", "b")
+    return bare.withColumn("key", key).drop("a", "b")
 
 
 def collapse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,11 +60,19 @@ def collapse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def found(lines: DataFrame) -> DataFrame:
     """``first_line_id, copy_line_id``: a row for each further copy of a record.
 
-    Lines find their record again by list and key; a hot list or record is a skewed join side, which
-    adaptive execution splits, not a group in one task.
+    Only survivors have a canonical text: they find their record by list and key, and the raw lines find
+    their survivor by list, title and artist as they stand.  Survivors that are the only line of their
+    record take no part in the joins.  A hot list or record is a skewed join side, which adaptive execution
+    splits, not a group in one task.
     """
-    _, records = collapse(lines)
-    repeated = records.where("copies > 1").select(F.col("list_id").alias("of_list"), F.col("key").alias("of_key"), "first_line_id")
-    keyed = canonical(lines.select("line_id", "list_id", "title", "artist")).select("line_id", "list_id", "key")
-    same = F.col("list_id").eqNullSafe(F.col("of_list")) & (F.col("key") == F.col("of_key"))
-    return keyed.join(repeated, same).where("line_id <> first_line_id").select("first_line_id", F.col("line_id").alias("copy_line_id"))
+    survivors, records = collapse(lines)
+    survivors = cut(survivors.select("list_id", "title", "artist", "key", "first_id", "copies"))
+    records = survivors.groupBy("list_id", "key").agg(F.min("first_id").alias("first_line_id"), F.sum("copies").alias("n"))
+    repeated = records.where("n > 1").select(F.col("list_id").alias("of_list"), F.col("key").alias("of_key"), "first_line_id")
+    homes = survivors.join(repeated, F.col("list_id").eqNullSafe(F.col("of_list")) & (F.col("key") == F.col("of_key")))
+    single = homes.where("copies = 1").select("first_line_id", F.col("first_id").alias("copy_line_id"))
+    several = homes.where("copies > 1").select(F.col("list_id").alias("of_l"), F.col("title").alias("of_t"), F.col("artist").alias("of_a"), "first_line_id")
+    raw = lines.select("line_id", "list_id", "title", "artist")
+    same = F.col("list_id").eqNullSafe(F.col("of_l")) & F.col("title").eqNullSafe(F.col("of_t")) & F.col("artist").eqNullSafe(F.col("of_a"))
+    of_several = raw.join(several, same).select("first_line_id", F.col("line_id").alias("copy_line_id"))
+    return single.unionByName(of_several).where("first_line_id <> copy_line_id")

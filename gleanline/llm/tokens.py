@@ -4,7 +4,8 @@ A text is cut where encoding can't depend on what is on the other side, into fra
 size, so that the work is linear in a text's length and equal fragments are encoded once.  A cut between two characters is certain where the two bytes
 that meet never stand side by side inside a vocabulary token, so that no merge crosses it, and
 where the pre-tokenizer can't tell: its only looks to either side are at white space before and at
-apostrophes, so a cut never follows white space and never touches an apostrophe.
+apostrophes, so a cut never follows white space and never touches an apostrophe.  Bytes of characters
+beyond ASCII are told apart like others.
 """
 
 from __future__ import annotations
@@ -57,27 +58,56 @@ def joined_pairs(path: str) -> frozenset[int]:
     return frozenset(256 * a + b for token in _ranks(path) for a, b in zip(token, token[1:]))
 
 
+def _spans(codes: list[int]) -> str:
+    """Character class of the code points, as ranges."""
+    out, start = [], 0
+    for i, code in enumerate(codes):
+        if i + 1 == len(codes) or codes[i + 1] != code + 1:
+            out.append(f"\\U{codes[start]:08x}-\\U{code:08x}")
+            start = i + 1
+    return "".join(out)
+
+
 @lru_cache(maxsize=4)
 def cut_pattern(path: str) -> re.Pattern:
-    """Matches the empty string at certain cuts between ASCII characters and before or after others.
+    """Matches the empty string at certain cuts: between two characters whose bytes that meet never do so inside a token.
 
-    Only ASCII characters are classed one by one; between two other characters, and at a boundary of
-    the two kinds, the bytes that meet decide: the last byte of the left and the first of the right.
+    The left character's last byte and the right one's first byte decide, whether the two are ASCII or not:
+    right characters with one first byte are a range of code points, left characters with one last byte are
+    those of one remainder by 64, which are listed for the code points below U+3400; a left character
+    beyond counts as all last bytes at once.  The pre-tokenizer looks around only at white space and
+    apostrophes, so neither stands left of a cut, nor an apostrophe right of it.
     """
     joined = joined_pairs(path)
-    rights: dict[str, list[int]] = {}
-    ascii_right = [c for c in range(128) if c != 0x27]
-    for a in range(128):
-        if chr(a).isspace() or a == 0x27:
+    tails = range(0x80, 0xC0)
+
+    def firsts(byte: int) -> tuple[int, int]:
+        """Code points whose UTF-8 starts with ``byte``."""
+        if byte < 0x80:
+            return byte, byte
+        if byte < 0xE0:
+            return (byte & 0x1F) << 6, (byte & 0x1F) << 6 | 0x3F
+        if byte < 0xF0:
+            return max((byte & 0xF) << 12, 0x800), (byte & 0xF) << 12 | 0xFFF
+        return max((byte & 7) << 18, 0x10000), min((byte & 7) << 18 | 0x3FFFF, 0x10FFFF)
+
+    starts = [b for b in [*range(0x80), *range(0xC2, 0xF5)] if b != 0x27]
+    right = lambda free: "".join("\\U{:08x}-\\U{:08x}".format(*firsts(b)) for b in free)
+    groups: dict[str, list[int]] = {}
+    for a in [*range(0x80), *tails]:
+        if a < 0x80 and (chr(a).isspace() or a == 0x27):
             continue
-        free = [b for b in ascii_right if 256 * a + b not in joined]
-        if free:
-            rights.setdefault("".join(map(chr, free)), []).append(a)
-    parts = [f"(?<=[{re.escape(''.join(map(chr, lefts)))}])(?=[{re.escape(free)}])" for free, lefts in rights.items()]
-    # After a character beyond ASCII (its last byte is 0x80 to 0xBF) only ASCII characters that no such byte precedes in any token.
-    after = [b for b in ascii_right if not any(256 * a + b in joined for a in range(0x80, 0xC0))]
-    if after:
-        parts.append(f"(?<=[^\\x00-\\x7f\\s])(?=[{re.escape(''.join(map(chr, after)))}])")
+        if free := [b for b in starts if 256 * a + b not in joined]:
+            groups.setdefault(right(free), []).append(a)
+    always = [b for b in starts if not any(256 * a + b in joined for a in tails)]
+    if always:
+        groups.setdefault(right(always), []).append(-1)
+    parts = []
+    for free, lefts in groups.items():
+        codes = {c for a in lefts if 0 <= a < 0x80 for c in (a,)}
+        codes |= {c for a in lefts if a >= 0x80 for c in range(a & 0x3F | 0x80, 0x3400, 64) if not chr(c).isspace()}
+        left = _spans(sorted(codes)) + ("\\U00003400-\\U0010ffff" if -1 in lefts else "")
+        parts.append(f"(?<=[{left}])(?=[{free}])")
     return re.compile("|".join(parts) or r"(?!)")
 
 

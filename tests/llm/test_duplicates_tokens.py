@@ -73,3 +73,37 @@ def test_corpus(spark):
     assert got[1] == encoding.encode_ordinary("Hello world") and got[2] == [] and got[3] == []
     assert got[4] == encoding.encode_ordinary("  \n") and encoding.decode(got[5]) == "a" * 200000 and 50256 not in got[7]
     assert T.encode_corpus(docs).count() == 8 and T.encode_corpus(docs.limit(0)).count() == 0
+
+
+@needs_vocabulary
+def test_cuts_beside_characters_of_every_kind():
+    rng, encoding = random.Random(5), T.encoder(VOCABULARY)
+    alphabet = " \n\t'’sab19.,!-\x85 　́é語のПереход昨日良。、ΩωЖ한국العहिन्€“”–🎵٣４"
+    for _ in range(20000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 16)))
+        assert T.encode(text, VOCABULARY, None, rng.choice([1, 2, 3])) == encoding.encode_ordinary(text), repr(text)
+    wide = [chr(c) for c in range(0x80, 0x11000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x1F300, 0x1FAFF)]
+    for _ in range(4000):
+        text = "".join(rng.choice(wide) for _ in range(12))
+        assert T.encode(text, VOCABULARY, None, 1) == encoding.encode_ordinary(text), repr(text)
+
+
+@needs_vocabulary
+@pytest.mark.parametrize("text", ["昨日の演奏はとても良かった。予定では曲のはずが、数えたら曲だった。" * 600, "Переходбылсмелым" * 1300, "é" * 3 + "日本の語" * 5000])
+def test_long_texts_beyond_ascii_are_cut(text):
+    pieces = list(T.fragments(text, VOCABULARY))
+    assert "".join(pieces) == text and len(pieces) > 10 and max(map(len, pieces)) < 2 * T.FRAGMENT
+    assert T.encode(text, VOCABULARY) == T.encoder(VOCABULARY).encode_ordinary(text)
+
+
+def test_survivors_find_their_lines(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([1, 1, 2, None]), rng.choice(["A b", "a-b", "AB", "Ｃ", "c", None, ""]), rng.choice(["X", "x!", None, "a b"])) for i in range(400)]
+    homes: dict = {}
+    import unicodedata
+
+    bare = lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKC", s).lower() if c.isalnum())
+    for i, at, title, artist in rows:
+        pair = (bare(title), bare(artist))
+        homes.setdefault((at, tuple(sorted(pair)) if None not in pair else pair), []).append(i)
+    assert records(spark, rows) == {(min(ids), i) for ids in homes.values() for i in ids if i != min(ids)}
