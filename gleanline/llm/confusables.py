@@ -1,9 +1,10 @@
 """Text that looks the same but is made of other characters, brought to one form.
 
 The skeleton decomposes a text, replaces every character by its prototype from the look-alike table
-and decomposes again; texts that look alike have equal skeletons.  The consistent form uses the same
-table word by word: a word keeps the script it is written in, and only its stray characters are
-replaced.  Spaces become plain, invisible characters go, accents are composed.
+and decomposes again; texts that look alike have equal skeletons.  The table is Unicode's own, read
+from the ICU library that Spark ships.  The consistent form uses the same table word by word: a word
+keeps the script it is written in, and only its stray characters are replaced.  Spaces become plain,
+invisible characters go, accents are composed.
 """
 
 from __future__ import annotations
@@ -11,25 +12,21 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Latin letters and what looks like them in the Cyrillic and Greek scripts.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜҺаеѕіјорсухһԛԝԁӏүЗɡ", "ABESIJKMHOPCTYXYGQWHaesijopcyxhqwdlyЗg", strict=True))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳονυϲγκ", "ABEZHIKMNOPTYXCjovucyk", strict=True))
-CYRILLIC.pop("З")
-CYRILLIC.pop("ɡ")
-for _odd in "γκυ":  # alike only at a glance; genuine Greek words are full of them
-    GREEK.pop(_odd)
+# Capital and small letters of everyday Cyrillic and Greek that look exactly like Latin ones.  Only these leave a
+# word's script open; any other letter of a script, a look-alike or not, shows it.
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜҺаеѕіјорсухһԛԝԁӏү", "ABESIJKMHOPCTYXYGQWHaesijopcyxhqwdly", strict=True))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳονϲ", "ABEZHIKMNOPTYXCjovc", strict=True))
 # Letters within the Latin script that look like basic ones.
-LATIN = dict(zip("ɑɡıɩʏᴏᴠᴡᴢᴄꜱʙɢʜɪʟɴʀ", "agiiyovwzcsBGHILNR", strict=True))
-LATIN.pop("ı")  # a letter of its own in Turkish
-TO_LATIN = CYRILLIC | GREEK | LATIN
+LATIN = dict(zip("ɑɡɩʏᴏᴠᴡᴢᴄꜱʙɢʜɪʟɴʀ", "agiyovwzcsBGHILNR", strict=True))
+EVERYDAY = CYRILLIC | GREEK | LATIN
 FROM_LATIN = {"Cyrillic": {}, "Greek": {}}
 for _name, _table in (("Cyrillic", CYRILLIC), ("Greek", GREEK)):
     for _own, _latin in _table.items():
@@ -72,10 +69,10 @@ def plain(char: str) -> str:
     return char
 
 
-def _odd_class() -> str:
+def _odd_class(letters: Iterable[str]) -> str:
     """A character class of everything that ``plain`` or composing may change, and of the letters with look-alikes."""
     odd = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and (plain(chr(c)) != chr(c) or unicodedata.normalize("NFC", chr(c)) != chr(c) or unicodedata.combining(chr(c)))]
-    odd += [ord(c) for c in TO_LATIN]
+    odd += [ord(c) for c in letters]
     odd = sorted(set(odd))
     spans, start = [], odd[0]
     for before, now in zip(odd, [*odd[1:], sys.maxunicode + 2]):
@@ -85,12 +82,6 @@ def _odd_class() -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
 
 
-@lru_cache(maxsize=1)
-def _odd() -> re.Pattern:
-    other = "\u0370-\u052f"
-    return re.compile(f"[{_odd_class()}\x00-\x08\x0b\x0c\x0e-\x1f\x7f\u1100-\u11ff]|[A-Za-z][{other}]|[{other}][A-Za-z]")
-
-
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
 _EMOJI = re.compile(r"[☀-➿⬀-⯿🀀-🫿#*0-9‍️]")
 
@@ -105,7 +96,7 @@ def _verdict(word: str) -> str | None:
         if own == "Latin":
             clear = char not in SHARED
         else:
-            clear = char not in TO_LATIN
+            clear = char not in EVERYDAY
         if clear:
             votes[own] = votes.get(own, 0) + 1
     if not votes:
@@ -113,62 +104,102 @@ def _verdict(word: str) -> str | None:
     return max(votes, key=lambda s: (votes[s], s == "Latin"))
 
 
-def _respell(word: str, target: str) -> str:
-    if target == "Latin":
-        return "".join(TO_LATIN.get(c, c) for c in word)
-    table = FROM_LATIN.get(target)
-    if table is None:
-        return word
-    return "".join(table.get(TO_LATIN.get(c, c), c) if script(c) != target else c for c in word)
-
-
-def _words(line: str) -> str:
-    """Every word in the letters of its script; an unmistakable word nearby decides for one that could be either."""
-    matches = list(_WORD.finditer(line))
-    if not matches:
-        return line
-    verdicts = []
-    for match in matches:
-        scripts = {script(c) for c in match.group()} - {""}
-        verdicts.append(_verdict(match.group()) if scripts & {"Cyrillic", "Greek"} or scripts == {"Latin"} else "other")
-    out, last = [], 0
-    for i, match in enumerate(matches):
-        word, verdict = match.group(), verdicts[i]
-        scripts = {script(c) for c in word} - {""}
-        if scripts & {"Cyrillic", "Greek"} and len(word) >= 1:
-            if verdict is None:
-                near = [(abs(j - i), v != "Latin", v) for j, v in enumerate(verdicts) if v in ("Latin", "Cyrillic", "Greek")]
-                verdict = min(near)[2] if near else "Latin" if "Latin" in scripts else next(iter(sorted(scripts)))
-            word = _respell(word, verdict)
-        out += [line[last : match.start()], word]
-        last = match.end()
-    return "".join(out) + line[last:]
-
-
-def consistent(text: str | None) -> str | None:
-    """The consistent form; null stays null, and text without odd characters is returned as it is."""
-    if not text or not _odd().search(text):
-        return text
-    out = []
-    for i, char in enumerate(text):
-        if char < "\x7f" and (char >= " " or char in "\t\n\r"):
-            out.append(char)
-        elif char in _JOINERS and i and _EMOJI.match(text[i - 1]) and (char in "︎️" or i + 1 < len(text) and _EMOJI.match(text[i + 1])):
-            out.append(char)
-        elif char in "‌‍" and i and 0x0600 <= ord(text[i - 1]) <= 0x0DFF:
-            out.append(char)  # joiners are spelling in these scripts
-        else:
-            out.append(plain(char))
-    lines = unicodedata.normalize("NFC", "".join(out)).split("\n")
-    return unicodedata.normalize("NFC", "\n".join(_words(line) for line in lines))
+class Lookalikes:
+    """Prototypes by character, and what follows from them: skeletons and consistent forms."""
+
+    def __init__(self, prototypes: dict[str, str] | None = None) -> None:
+        self.prototypes = dict(EVERYDAY if prototypes is None else prototypes)
+        basic = {}
+        for latin in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
+            basic.setdefault((self.prototypes.get(latin, latin), latin.isupper()), latin)
+        #: Letters of other scripts and the basic Latin letter of their case that they look like.
+        self.to_latin = {}
+        for char, prototype in self.prototypes.items():
+            if char > "\x7f" and script(char) not in ("", "Latin"):
+                cased = char.isupper() or unicodedata.category(char) == "Lo" and prototype.isupper()
+                if (prototype, cased) in basic:
+                    self.to_latin[char] = basic[prototype, cased]
+        self.to_latin |= EVERYDAY
+        self._pattern: re.Pattern | None = None
+
+    def __reduce__(self):
+        return Lookalikes, (self.prototypes,)
+
+    def odd(self) -> re.Pattern:
+        """Matches text that the consistent form may change."""
+        if self._pattern is None:
+            other = "\u0370-\u052f"
+            self._pattern = re.compile(f"[{_odd_class(self.to_latin)}\x00-\x08\x0b\x0c\x0e-\x1f\x7f\u1100-\u11ff]|[A-Za-z][{other}]|[{other}][A-Za-z]")
+        return self._pattern
+
+    def skeleton(self, text: str | None) -> str | None:
+        """Equal for texts that look alike: decomposed, replaced by prototypes, decomposed again; null stays null."""
+        if text is None:
+            return None
+        apart = unicodedata.normalize("NFD", "".join(plain(c) for c in unicodedata.normalize("NFD", text)))
+        return unicodedata.normalize("NFD", "".join(self.prototypes.get(c, c) for c in apart))
+
+    def consistent(self, text: str | None) -> str | None:
+        """The consistent form; null stays null, and text without odd characters is returned as it is."""
+        if not text or not self.odd().search(text):
+            return text
+        out = []
+        for i, char in enumerate(text):
+            if char < "\x7f" and (char >= " " or char in "\t\n\r"):
+                out.append(char)
+            elif char in _JOINERS and i and _EMOJI.match(text[i - 1]) and (char in "︎️" or i + 1 < len(text) and _EMOJI.match(text[i + 1])):
+                out.append(char)
+            elif char in "‌‍" and i and 0x0600 <= ord(text[i - 1]) <= 0x0DFF:
+                out.append(char)  # joiners are spelling in these scripts
+            else:
+                out.append(plain(char))
+        lines = unicodedata.normalize("NFC", "".join(out)).split("\n")
+        return unicodedata.normalize("NFC", "\n".join(self._words(line) for line in lines))
+
+    def _respell(self, word: str, target: str) -> str:
+        if target == "Latin":
+            return "".join(self.to_latin.get(c, c) for c in word)
+        table = FROM_LATIN.get(target)
+        if table is None:
+            return word
+        return "".join(table.get(EVERYDAY.get(c, c), c) if script(c) != target else c for c in word)
+
+    def _words(self, line: str) -> str:
+        """Every word in the letters of its script; an unmistakable word nearby decides for one that could be either."""
+        matches = list(_WORD.finditer(line))
+        if not matches:
+            return line
+        found = [{script(c) for c in match.group()} - {""} for match in matches]
+        mixed = [bool(s & {"Cyrillic", "Greek"}) or "Latin" in s and len(s) > 1 for s in found]
+        verdicts = [_verdict(m.group()) if x or s == {"Latin"} else "other" for m, s, x in zip(matches, found, mixed, strict=True)]
+        out, last = [], 0
+        for i, match in enumerate(matches):
+            word, verdict = match.group(), verdicts[i]
+            if mixed[i]:
+                if verdict is None:
+                    near = [(abs(j - i), v != "Latin", v) for j, v in enumerate(verdicts) if v in ("Latin", "Cyrillic", "Greek")]
+                    verdict = min(near)[2] if near else "Latin" if "Latin" in found[i] else min(found[i])
+                word = self._respell(word, verdict)
+            out += [line[last : match.start()], word]
+            last = match.end()
+        return "".join(out) + line[last:]
+
+
+EVERYDAY_ONLY = Lookalikes()
 
 
-def skeleton(text: str | None) -> str | None:
-    """Equal for texts that look alike: decomposed, replaced by prototypes, decomposed again."""
-    if text is None:
-        return None
-    apart = "".join(plain(c) for c in unicodedata.normalize("NFD", text))
-    return unicodedata.normalize("NFD", "".join(TO_LATIN.get(c, c) for c in unicodedata.normalize("NFD", apart)))
+@lru_cache(maxsize=1)
+def _icu(jvm) -> Lookalikes:
+    chars = [chr(c) for c in range(0x21, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co", "Cc") and (c < 0x3400 or c > 0x4DBF and not 0x4E00 <= c < 0xA000 and not 0xAC00 <= c < 0xD7B0)]
+    checker = jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    plains = [unicodedata.normalize("NFD", c) for c in chars]
+    whole = checker.getSkeleton(0, "\n".join(chars)).split("\n")
+    return Lookalikes({c: p for c, d, p in zip(chars, plains, whole, strict=True) if p != d and len(d) == 1})
+
+
+def table_of(spark: SparkSession) -> Lookalikes:
+    """Unicode's look-alike table as the session's ICU library has it: some thousands of entries, whatever the data."""
+    return _icu(spark._jvm)
 
 
 def _mapped(function):
@@ -195,25 +226,45 @@ SUSPECT = r"[^\t\n\r\x20-\x7E]"
 
 
 def cleaned(values: DataFrame) -> DataFrame:
-    """``values`` with ``clean`` (consistent form) and ``skeleton``.
+    """``values`` with ``skeleton`` and ``clean`` (consistent form).
 
-    Null stays null and empty stays empty; repeated rows stay repeated.  Plain ASCII never reaches
-    Python and is its own clean form and skeleton; no shuffle.
+    Null stays null and empty stays empty; repeated rows stay repeated.  Plain ASCII is its own clean form,
+    and its skeleton is made in the JVM; no shuffle.
     """
+    looks = table_of(values.sparkSession)
     suspect = F.coalesce(F.col("value").rlike(SUSPECT), F.lit(False))
-    odd = values.where(suspect).withColumns({"clean": _mapped(consistent)("value"), "skeleton": _mapped(skeleton)("value")})
-    return odd.unionByName(values.where(~suspect).withColumns({"clean": F.col("value"), "skeleton": F.col("value")}))
+    odd = values.where(suspect).withColumns({"skeleton": _mapped(looks.skeleton)("value"), "clean": _mapped(looks.consistent)("value")})
+    plain_skeleton = F.col("value")
+    for char, prototype in sorted(looks.prototypes.items(), key=lambda e: (len(e[1]) > 1, e[0])):
+        if char < "\x7f":
+            plain_skeleton = F.replace(plain_skeleton, F.lit(char), F.lit(prototype))
+    return odd.unionByName(values.where(~suspect).withColumns({"skeleton": plain_skeleton, "clean": F.col("value")}))
 
 
 def groups(values: DataFrame) -> DataFrame:
-    """Values grouped by equal skeleton: ``skeleton, forms`` (distinct spellings), ``copies`` and ``clean`` (least clean form)."""
-    distinct = values.groupBy("value").agg(F.count("*").alias("copies"))
-    return cleaned(distinct).where("value is not null").groupBy("skeleton").agg(
-        F.count("*").alias("forms"), F.sum("copies").alias("copies"), F.min("clean").alias("clean")
-    )
+    """Values grouped by equal skeleton: ``skeleton, forms`` (distinct spellings), ``copies`` and ``clean``, the consistent form that most copies have (then the least)."""
+    distinct = values.where("value is not null").groupBy("value").agg(F.count("*").alias("copies"))
+    forms = cleaned(distinct).groupBy("skeleton", "clean").agg(F.count("*").alias("forms"), F.sum("copies").alias("copies"))
+    best = F.min(F.struct((-F.col("copies")).alias("n"), "clean"))["clean"]
+    return forms.groupBy("skeleton").agg(F.sum("forms").alias("forms"), F.sum("copies").alias("copies"), best.alias("clean"))
 
 
 def found(values: DataFrame) -> DataFrame:
-    """Fields with a character to be replaced, composed or removed: ``tbl, rec_id, field_name``."""
-    odd = values.where(F.col("value").rlike(SUSPECT)).withColumn("clean", _mapped(consistent)("value"))
-    return odd.where(F.col("clean") != F.col("value")).select("tbl", "rec_id", "field_name")
+    """Fields with a character to be replaced, composed or removed: ``tbl, rec_id, field_name``.
+
+    Candidates are values that their skeleton changes or that aren't composed; the consistent form, which
+    leaves genuine letters of other scripts alone, is the exact check after it.
+    """
+    looks = table_of(values.sparkSession)
+
+    def verdict(value: str) -> bool:
+        changed = looks.skeleton(value) != value or unicodedata.normalize("NFC", value) != value
+        return changed and looks.consistent(value) != value
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(verdict)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    odd = values.where(F.col("value").rlike(SUSPECT))
+    return odd.where(F.pandas_udf(run, "boolean")("value")).select("tbl", "rec_id", "field_name")

@@ -16,15 +16,31 @@ from gleanline.llm import mojibake as M
         ("Xάρτιvη πόλη", "Χάρτινη πόλη"), ("Зимняя плoщaдь", "Зимняя площадь"), ("\U0001d53aopse", "Copse"), ("Kelvin", "Kelvin"), ("su­per", "super"),
     ],
 )
-def test_consistent(odd, plain):
-    assert C.consistent(odd) == plain
-    assert C.consistent(plain) == plain
-    assert C.skeleton(odd) == C.skeleton(plain)
+def test_consistent(spark, odd, plain):
+    for looks in (C.EVERYDAY_ONLY, C.table_of(spark)):
+        assert looks.consistent(odd) == plain
+        assert looks.consistent(plain) == plain
+        assert looks.skeleton(odd) == looks.skeleton(plain)
 
 
-@pytest.mark.parametrize("text", ["Последняя площадь", "Χάρτινη φωτιά 30", "遠いみなと", "“Quoted” – it’s…", "a\tb\r\nc", "• 🎵 👩‍👩‍👧 ❤️", "Žlutá ulička", "½ ™ ²", "", "Ивановна и я", "نسخه‌ای"])
-def test_genuine_text_stays(text):
-    assert C.consistent(text) == text
+@pytest.mark.parametrize(("odd", "plain"), [("Miρror", "Mipror"), ("Hαrbour", "Harbour"), ("Harbօur", "Harbour"), ("Ꭺnchor", "Anchor"), ("Hⲟrizon", "Horizon"), ("ꓮnchor", "Anchor"), ("𐊠nchor", "Anchor"), ("Nightfаll", "Nightfall"), ("Іcecap’s gates", "Icecap’s gates")])
+def test_the_whole_table(spark, odd, plain):
+    looks = C.table_of(spark)
+    assert len(looks.prototypes) > 3000
+    assert looks.consistent(odd) == plain and looks.skeleton(odd) == looks.skeleton(plain)
+
+
+def test_skeletons_join_what_looks_alike(spark):
+    looks = C.table_of(spark)
+    assert looks.skeleton("O0Il1|") == looks.skeleton("OOlllI") and looks.skeleton("modern") == looks.skeleton("rnodem") and looks.skeleton("a") != looks.skeleton("b")
+
+
+GENUINE = ["Последняя площадь", "Χάρτινη φωτιά 30", "Ο ήχος της νύχτας και το φως", "ουρανός νυν ρυθμός", "遠いみなと", "“Quoted” – it’s…", "a\tb\r\nc", "• 🎵 👩‍👩‍👧 ❤️", "Žlutá ulička", "½ ™ ²", "", "Ивановна и я", "نسخه‌ای", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", "հայերեն լեզու", "ambientをもっと", "O0 Il1 rn m"]
+
+
+@pytest.mark.parametrize("text", GENUINE)
+def test_genuine_text_stays(spark, text):
+    assert C.EVERYDAY_ONLY.consistent(text) == text and C.table_of(spark).consistent(text) == text
 
 
 def test_found(spark):
@@ -36,9 +52,9 @@ def test_found(spark):
 
 
 def test_groups(spark):
-    values = spark.createDataFrame([("Mirror",), ("Μirror",), ("Mirror",), ("Other",), (None,)], "value string")
+    values = spark.createDataFrame([("Mirror",), ("Μirror",), ("Mirror",), ("Other",), (None,), ("Corn 10",), ("Com lO",)], "value string")
     got = {(r.forms, r.copies, r.clean) for r in C.groups(values).collect()}
-    assert got == {(2, 3, "Mirror"), (1, 1, "Other")}
+    assert got == {(2, 3, "Mirror"), (1, 1, "Other"), (2, 2, "Com lO")}
 
 
 TEXTS = ["La liste était effacée, j’ai deviné « Été »", "Schöne Übergänge über Köln", "Последняя площадь была тихой", "昨日の演奏はとても良かった。", "Příště bych rád víc a méně řečí, děkuji", "NÃO TOQUEM ISSO DE MANHÃ, A VIZINHANÇA JÁ RECLAMOU."]
@@ -90,7 +106,7 @@ def test_table(spark):
 
 
 def test_normal_forms_are_stable():
-    assert all(unicodedata.normalize("NFC", C.consistent(t)) == C.consistent(t) for t in TEXTS)
+    assert all(unicodedata.normalize("NFC", C.EVERYDAY_ONLY.consistent(t)) == C.EVERYDAY_ONLY.consistent(t) for t in TEXTS)
 
 
 def test_no_spelt_cyrillic_word_is_garbled():
