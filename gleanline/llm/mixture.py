@@ -10,6 +10,7 @@ landing problem remains.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from gleanline.llm.tokens import token_count
 from gleanline.session import cut
 
-#: Texts that one flight task takes; sources have as many buckets as they need.
+#: Texts that one flight task takes; sources have as many buckets as the largest needs.
 BUCKET = 20_000
 EPS = 1e-9
 
@@ -133,19 +134,25 @@ def _settle(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
 _UNITS = "mix_name string, source string, doc_id bigint, n_tokens int, whole int, chance double"
 
 
-def chosen(texts: DataFrame, planned: DataFrame) -> DataFrame:
-    """``mix_name, source, doc_id, n_tokens, uses`` of every text used at least once."""
+def chosen(texts: DataFrame, planned: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """``mix_name, source, doc_id, n_tokens, uses`` of every text used at least once; ``bucket`` texts fly in one task."""
     rates = planned.where("uses > 0").select("mix_name", "source", F.floor(F.col("uses") + EPS).cast("int").alias("whole"), "uses", "max_uses", "source_texts")
     chance = F.when(F.col("uses") - F.col("whole") > EPS, F.col("uses") - F.col("whole")).otherwise(0.0)
     units = texts.join(rates, "source")
-    units = units.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("source_texts") / BUCKET).cast("long")))
-    units = units.select("mix_name", "source", "doc_id", "n_tokens", "whole", chance.alias("chance"), "bucket")
-    fixed = units.where("chance = 0").drop("bucket")
-    flown = cut(units.where("chance > 0").groupBy("mix_name", "source", "bucket").applyInPandas(lambda p: _settle(p.drop(columns="bucket"), False), _UNITS))
+    units = units.select("mix_name", "source", "doc_id", "n_tokens", "whole", chance.alias("chance"))
+    every, rest = units.where("chance = 0"), units.where("chance > 0")
     still = f"chance > {EPS} and chance < 1 - {EPS}"
-    # Each bucket leaves two open units at most, so a source's rest is a 10,000th of it; it is flown again and landed.
-    landed = flown.where(still).groupBy("mix_name", "source").applyInPandas(lambda p: _settle(p, True), _UNITS)
-    every = fixed.unionByName(flown.where(f"not ({still})")).unionByName(landed)
+    # Each bucket leaves two open units at most: what all buckets of a source left is flown in buckets again, until one is enough.
+    most = rates.agg(F.max("source_texts")).first()[0] or 0
+    while True:
+        buckets = max(1, math.ceil(most / bucket))
+        placed = rest.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(buckets)), F.lit(buckets)))
+        flown = cut(placed.groupBy("mix_name", "source", "bucket").applyInPandas(lambda p: _settle(p.drop(columns="bucket"), False), _UNITS))
+        every, rest = every.unionByName(flown.where(f"not ({still})")), flown.where(still)
+        if buckets == 1 or 2 * buckets <= bucket:
+            break
+        most = 2 * buckets
+    every = every.unionByName(rest.groupBy("mix_name", "source").applyInPandas(lambda p: _settle(p, True), _UNITS))
     return every.select("mix_name", "source", "doc_id", "n_tokens", (F.col("whole") + F.round("chance").cast("int")).alias("uses")).where("uses > 0")
 
 
