@@ -153,12 +153,13 @@ def extract(documents: DataFrame, kinds: DataFrame | None = None, limit: int | N
     from_lines = parsed.join(modes.where("not is_table"), "doc_id").withColumn("m", line).where("m is not null").select(
         "doc_id", "line_no", "m.*", null("string").alias("album"), "isrc", "duration_s", null("int").alias("release_year"), "position", "timestamp_s",
         (F.col("position").isNotNull() | F.col("timestamp_s").isNotNull()).alias("structured"), start.alias("span_start"), (start + F.char_length("core")).cast("int").alias("span_end"),
+        T.slice_span(F.col("line"), (start - F.col("line_offset")).cast("int"), (start - F.col("line_offset") + F.char_length("core")).cast("int")).alias("span_text"),
     )
     bare_line = F.char_length(T.strip(F.col("line")))
-    located = triaged.select("doc_id", "line_no", (F.col("line_offset") + lead).cast("int").alias("span_start"), (F.col("line_offset") + lead + bare_line).cast("int").alias("span_end"))
+    located = triaged.select("doc_id", "line_no", (F.col("line_offset") + lead).cast("int").alias("span_start"), (F.col("line_offset") + lead + bare_line).cast("int").alias("span_end"), T.strip(F.col("line")).alias("span_text"))
     from_tables = table_rows.join(located, ["doc_id", "line_no"]).select(
         "doc_id", "line_no", "title", "artist", "parser", "ambiguous", "featured", "qualifiers", "version_label", null("string").alias("left"), null("string").alias("right"),
-        "album", "isrc", "duration_s", "release_year", "position", null("int").alias("timestamp_s"), F.lit(True).alias("structured"), "span_start", "span_end",
+        "album", "isrc", "duration_s", "release_year", "position", null("int").alias("timestamp_s"), F.lit(True).alias("structured"), "span_start", "span_end", "span_text",
     )
     matches = from_lines.unionByName(from_tables)
     if kinds is not None:
@@ -166,8 +167,8 @@ def extract(documents: DataFrame, kinds: DataFrame | None = None, limit: int | N
         matches = oriented(matches, orientation(matches, kinds))
     else:
         matches = matches.withColumns({"emit_alternate": F.lit(False), "oriented": F.lit(False)})
-    texts = normal.select("doc_id", F.col("text").alias("doc_text"), F.char_length("text").alias("n_chars"))
-    spanned = matches.join(texts, "doc_id").withColumn("span_text", T.slice_span(F.col("doc_text"), F.col("span_start"), F.col("span_end"))).drop("doc_text")
+    # A span lies in its line, so its text came with it; of the document only the length is looked up.
+    spanned = matches.join(normal.select("doc_id", F.char_length("text").alias("n_chars")), "doc_id")
     folded = spanned.withColumns({"fspan": fold(F.col("span_text")), "ftitle": fold(F.col("title")), "fartist": fold(F.col("artist"))})
     checked = cut(reject_reason(folded))
     good = checked.where("reason is null").withColumn(

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanline.functions import text as T
+from gleanline.session import spread
 
 # Fixed values of line triage.
 PROSE_WORDS, BARE_WORDS, SENTENCE_WORDS, LIST_LINES, PROSE_SHARE = 12, 10, 3, 3, 0.3
-ABBREVIATIONS = "mr mrs ms dr st jr sr prof rev gen sgt vs feat ft no vol pt op ch fig inc ltd co corp etc ca approx orig rec".split()
+ABBREVIATIONS = [
+    "mr", "mrs", "ms", "dr", "st", "jr", "sr", "prof", "rev", "gen", "sgt", "vs", "feat", "ft", "no", "vol", "pt", "op", "ch", "fig", "inc", "ltd", "co", "corp", "etc", "ca", "approx", "orig", "rec",
+]
+_S, _NS = f"[{T.SPACE}]", f"[^{T.SPACE}]"
 NOISE = [
-    r"^\s*[-=*_~]{3,}\s*$",
-    r"^\s*#{1,6}\s+\S",
-    r"^\s*(?:```|~~~)",
-    r"^\s*\|?[\s:|-]*\|[\s:|-]*$",
-    r"(?i)^\s*<?(?:https?://|www\.)\S+>?\s*$",
-    r"^\s*<[^>]+>\s*$",
-    r"^\s*\S[^:]{0,40}:\s*$",
+    f"^{_S}*[-=*_~]{{3,}}{_S}*$",
+    f"^{_S}*#{{1,6}}{_S}+{_NS}",
+    f"^{_S}*(?:```|~~~)",
+    f"^{_S}*\\|?[{T.SPACE}:|-]*\\|[{T.SPACE}:|-]*$",
+    f"(?i)^{_S}*<?(?:https?://|www\\.){_NS}+>?{_S}*$",
+    f"^{_S}*<[^>]+>{_S}*$",
+    f"^{_S}*{_NS}[^:]{{0,40}}:{_S}*$",
 ]
 SENTENCE = r"([\p{L}\p{N}_']+)?[.!?]+[)\"'”]?\s+(?=[A-Z0-9\"“])"
 MAX_BYTES = 100 * 1024
@@ -29,14 +33,26 @@ def admit(documents: DataFrame, limit: int = MAX_BYTES) -> tuple[DataFrame, Data
     return documents.where(size <= limit), documents.where(size > limit).withColumn("n_bytes", size)
 
 
+def running_offsets(sizes: Column) -> Column:
+    """Sums of the numbers before each one of an array, within the row: in blocks of about the root of its length, so that no array grows one by one to its whole length."""
+    n = F.size(sizes)
+    block = F.ceil(F.sqrt(n)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1), lambda k: F.slice(sizes, k * block + 1, block))
+    total = lambda numbers: F.aggregate(numbers, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    grown = lambda first, numbers: F.slice(F.aggregate(numbers, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))), 1, F.size(numbers))
+    starts = grown(F.lit(0).cast("bigint"), F.transform(blocks, total))
+    return F.flatten(F.zip_with(starts, blocks, grown))
+
+
 def split_lines(documents: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, line_no, line, line_offset`` of every line; an empty text is one empty line, a null one none.
 
-    Offsets count code points.  The window holds the lines of one text, which came from one row.
+    Offsets count code points.  Narrow: lines and offsets come from their text's own row, without a shuffle.
     """
-    lines = documents.where(F.col(text).isNotNull()).select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("line_offset", F.coalesce(F.sum(F.char_length("line") + 1).over(before), F.lit(0)).cast("bigint"))
+    lines = spread(documents.where(F.col(text).isNotNull()).select("doc_id", text)).select("doc_id", F.split(text, "\n", -1).alias("parts"))
+    placed = lines.select("doc_id", "parts", running_offsets(F.transform("parts", lambda l: F.char_length(l).cast("bigint") + 1)).alias("offsets"))
+    rows = placed.select("doc_id", F.posexplode(F.arrays_zip("parts", "offsets")).alias("line_no", "at"))
+    return rows.select("doc_id", "line_no", F.col("at.parts").alias("line"), F.col("at.offsets").alias("line_offset"))
 
 
 def is_noise(line: Column) -> Column:

@@ -65,11 +65,12 @@ def header_fields(cells: Column) -> Column:
 
 
 def candidate_rows(triaged: DataFrame) -> DataFrame:
-    """Content lines split by each delimiter: ``doc_id, line_no, rank, delim, cells, width``."""
+    """Content lines split by each delimiter they hold: ``doc_id, line_no, rank, delim, cells, width``."""
     tries = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(d).alias("delim")) for i, d in enumerate(DELIMITERS)])
-    rows = triaged.where("not noise").select("doc_id", "line_no", "line", F.inline(tries))
-    # A line without the delimiter is one cell; no document with such a line is a table by it.
-    return rows.withColumn("cells", F.when(F.contains("line", "delim"), split_row(F.when(F.contains("line", "delim"), F.col("line")), F.col("delim"))).otherwise(F.array("line"))).withColumn("width", F.size("cells"))
+    # A line without the delimiter is one cell, and no document with such a line is a table by it: it needs no row.
+    held = F.filter(tries, lambda t: F.contains(F.col("line"), t["delim"]))
+    rows = triaged.where("not noise").select("doc_id", "line_no", "line", F.inline(held))
+    return rows.withColumn("cells", split_row(F.col("line"), F.col("delim"))).withColumn("width", F.size("cells"))
 
 
 def detect(triaged: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +82,8 @@ def detect(triaged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows = candidate_rows(triaged)
     shapes = rows.groupBy("doc_id", "rank", "delim").agg(F.count("*").alias("n"), F.min("width").alias("width"), F.max("width").alias("widest"), F.min("line_no").alias("first"))
-    fits = shapes.where((F.col("n") >= MIN_ROWS) & (F.col("width") == F.col("widest")) & F.col("width").between(2, MAX_COLUMNS))
+    content = triaged.where("not noise").groupBy("doc_id").agg(F.count("*").alias("content"))
+    fits = shapes.join(content, "doc_id").where((F.col("n") >= MIN_ROWS) & (F.col("n") == F.col("content")) & (F.col("width") == F.col("widest")) & F.col("width").between(2, MAX_COLUMNS))
     chosen = fits.groupBy("doc_id").agg(F.min(F.struct("rank", "delim", "width", "first")).alias("c")).select("doc_id", "c.rank", "c.delim", "c.width", "c.first")
     own = rows.select("doc_id", "rank", "line_no", "cells").join(chosen, ["doc_id", "rank"])
     heads = own.where("line_no = first").select("doc_id", header_fields(F.col("cells")).alias("head"))

@@ -50,6 +50,18 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """``frame`` over all cores where a small input came in fewer partitions than there are; otherwise as it is.
+
+    Narrow steps keep their input's partitions, so one small file would be worked on by one core.  Results of a
+    shuffle stay as they are; counting partitions of anything else starts no job.
+    """
+    if frame._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return frame
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the workers, once a session, so that they need no installation of it."""
     context = spark.sparkContext
