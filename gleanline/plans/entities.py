@@ -159,11 +159,6 @@ def _confidence(rows: DataFrame) -> DataFrame:
 
 
 def k1_confidence(spark: SparkSession, folder: str) -> DataFrame:
-    """The lines that its SQL can express, as in all queries here with a sibling ``..._all`` over the whole table."""
-    return _confidence(table(spark, folder, "list_line").where("title is not null and title rlike '^[ -~]*$'"))
-
-
-def k1_confidence_all(spark: SparkSession, folder: str) -> DataFrame:
     return _confidence(table(spark, folder, "list_line").where("title is not null"))
 
 
@@ -199,10 +194,6 @@ def _multiset_f1(lines: DataFrame) -> DataFrame:
 
 
 def g13_multiset_f1(spark: SparkSession, folder: str) -> DataFrame:
-    return _multiset_f1(table(spark, folder, "list_line").where("title is not null and title rlike '^[ -~]*$' and coalesce(artist, '') rlike '^[ -~]*$'"))
-
-
-def g13_multiset_f1_all(spark: SparkSession, folder: str) -> DataFrame:
     return _multiset_f1(table(spark, folder, "list_line").where("title is not null"))
 
 
@@ -335,7 +326,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         g1_daily_rollup, g2_rollup_keys, s14_month_to_date, w2_departures, w7_quota_ledger, g6_projected_usage, g7_estimate, g8_readings, g21_over_allocated, x1_resolve, x3_rematch, j1_isrc_lookup,
-        k3_token_set_ratio, k5_length_similarity, k6_qualifier_similarity, k1_confidence, k1_confidence_all, k8_best_candidate, g15_edit_distance, g12_summary, g13_multiset_f1, g13_multiset_f1_all, g14_set_f1, g18_regressions, j9_unmatched,
+        k3_token_set_ratio, k5_length_similarity, k6_qualifier_similarity, k1_confidence, k8_best_candidate, g15_edit_distance, g12_summary, g13_multiset_f1, g14_set_f1, g18_regressions, j9_unmatched,
         g19_problems, g19_floors, w8_out_of_order, n22_credit_line, n23_tags, f14_usable, w4_first_by_id, w5_capped_harvest, x5_flatten_releases, j17_covered, j18_not_ready, x17_cycles,
         k_stream_rollup, k_stream_once, f12_routed, s21_number_map, s22_sharded,
     )
@@ -388,13 +379,13 @@ ORACLES = {
         select wanted, offered, cast(greatest(0, 1 - 0.25 * len(list_filter(w, lambda x: not list_contains(o, x))) - 0.5 * len(list_filter(o, lambda x: not list_contains(w, x)))) as double) as similarity from p""",
     "k1_confidence": r"""select line_id, round(least(1.0, greatest(0.0, case parser when 'csv' then 0.97 when 'csv_headerless' then 0.8 when 'quoted' then 0.95 when 'by' then 0.92 when 'dash' then 0.9 when 'tab' then 0.93 else 0.55 end
         + case when coalesce(artist, '') = '' then -0.25 else 0 end + case when len(string_split(trim(regexp_replace(title, '\s+', ' ', 'g')), ' ')) = 1 and trim(title) <> '' then -0.05 else 0 end + case when not regexp_matches(title, '[\p{L}\p{N}]') then -0.35 else 0 end
-        + case when regexp_full_match(upper(regexp_replace(hints.isrc, '[\s\-]+', '', 'g')), '[A-Z]{2}[A-Z0-9]{3}[0-9]{7}') then 0.03 else 0 end + case when hints.list_pos is not null then 0.02 else 0 end))::double, 9) as confidence from list_line where title is not null and regexp_full_match(title, '[ -~]*')""",
+        + case when regexp_full_match(upper(regexp_replace(hints.isrc, '[\s\-]+', '', 'g')), '[A-Z]{2}[A-Z0-9]{3}[0-9]{7}') then 0.03 else 0 end + case when hints.list_pos is not null then 0.02 else 0 end))::double, 9) as confidence from list_line where title is not null""",
     "k8_best_candidate": "select l_orderkey, l_linenumber, round(l_discount, 9) as score from lineitem qualify row_number() over (partition by l_orderkey order by round(l_discount, 6) desc, l_quantity desc, l_linenumber) = 1",
     "g15_edit_distance": """with p as (select p_partkey, p_name as a, string_split(p_name, ' ')[-1] || ' ' || string_split(p_name, ' ')[1] as b from part), e as (select p_partkey, levenshtein(a, b) as c, length(a) as n, case when a = b then 0 when len(string_split(a, ' ')) = 2 then 2 else 0 end as w, len(string_split(a, ' ')) as m from p)
         select p_partkey, cast(c as int) as char_errors, cast(w as int) as word_errors, round(c / greatest(n, 1), 9) as cer, round(w / greatest(m, 1), 9) as wer from e""",
     "g12_summary": """select l_returnflag as engine, l_linestatus as class, count(*) as n, round(sum(l_linenumber) / sum(l_quantity), 6)::double as cer, round(sum(l_linenumber) / (count(*) * 10.0), 6)::double as wer, round(avg(l_discount), 6)::double as f1, round(median(l_quantity), 6)::double as median_ms,
         round(avg(case when l_discount < 0.05 then 1.0 else 0.0 end), 6)::double as fallback_share, count(*) filter (where l_linenumber = 1) as empties from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_returnflag))""",
-    "g13_multiset_f1": f"""with r as (select list_id, lower({_strip('title')}) || '|' || lower({_strip("coalesce(artist, '')")}) as k, line_no from list_line where title is not null and regexp_full_match(title, '[ -~]*') and regexp_full_match(coalesce(artist, ''), '[ -~]*')),
+    "g13_multiset_f1": f"""with r as (select list_id, lower({_strip('title')}) || '|' || lower({_strip("coalesce(artist, '')")}) as k, line_no from list_line where title is not null),
         w as (select list_id, k, count(*) as want from r where line_no % 3 < 2 group by 1, 2), g as (select list_id, k, count(*) as got from r where line_no % 3 > 0 group by 1, 2),
         s as (select list_id, cast(sum(least(coalesce(want, 0), coalesce(got, 0))) as bigint) as tp, cast(sum(coalesce(want, 0)) as bigint) as want, cast(sum(coalesce(got, 0)) as bigint) as got from w full join g using (list_id, k) group by 1),
         p as (select *, case when got > 0 then tp / got else 1.0 end as pr, case when want > 0 then tp / want else 1.0 end as rc from s)

@@ -13,6 +13,7 @@ from gleanline.operators import extract as X
 from gleanline.operators import lines as L
 from gleanline.operators import parse as P
 from gleanline.operators import tables as TB
+from gleanline.plans.sql import fold
 from gleanline.session import table
 
 
@@ -90,11 +91,6 @@ def _recording_key(rows: DataFrame, fold: Callable[[Column], Column]) -> DataFra
 
 
 def n14_recording_key(spark: SparkSession, folder: str) -> DataFrame:
-    """The lines that its SQL can express, as in all queries here with a sibling ``..._all`` over the whole table."""
-    return _recording_key(table(spark, folder, "list_line").where("title rlike '^[ -~]*$' and coalesce(artist, '') rlike '^[ -~]*$'"), T.fold_ascii)
-
-
-def n14_recording_key_all(spark: SparkSession, folder: str) -> DataFrame:
     """Keys of every line with a title."""
     return _recording_key(table(spark, folder, "list_line").where("title is not null"), N.fold)
 
@@ -117,10 +113,6 @@ def _keys(rows: DataFrame, fold: Callable[[Column], Column]) -> DataFrame:
 
 
 def n26_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return _keys(table(spark, folder, "match_input").where("title rlike '^[ -~]*$' and coalesce(artist, '') rlike '^[ -~]*$'"), T.fold_ascii)
-
-
-def n26_keys_all(spark: SparkSession, folder: str) -> DataFrame:
     """Keys of every input with a title or a code."""
     return _keys(table(spark, folder, "match_input").where(F.col("title").isNotNull() | T.isrc(F.col("isrc")).isNotNull()), N.fold)
 
@@ -186,7 +178,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         s1_admit, f1_split_lines, f2_noise, f3_sentence_break, f5_list_shape, f7_first_content, n1_normalized, n4_fold, n5_token_counts, n6_split_names, n7_peeled, n9_artist, n12_isrc,
-        n13_clock, n14_recording_key, n14_recording_key_all, n19_copies, n21_non_latin, n25_words, n26_keys, n26_keys_all, n34_month, a10_parsed_lines, a6_dash_sides, t3_tables, t7_table_rows, x0_extract_items,
+        n13_clock, n14_recording_key, n19_copies, n21_non_latin, n25_words, n26_keys, n34_month, a10_parsed_lines, a6_dash_sides, t3_tables, t7_table_rows, x0_extract_items,
         x0_extract_stats, f8_residual, r4_orientation, g3_dedupe_lines,
     )
 }
@@ -199,10 +191,6 @@ def _flat(x: str) -> str:
     return f"trim(regexp_replace({x}, '[{_SP}]+', ' ', 'g'))"
 
 
-def _fold(x: str) -> str:
-    return _flat(f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_\\s]+', ' ', 'g')")
-
-
 _NOISE = (
     "(not regexp_matches(line, '[\\p{L}\\p{N}]') or regexp_matches(line, '^\\s*[-=*_~]{3,}\\s*$') or regexp_matches(line, '^\\s*#{1,6}\\s+\\S') or regexp_matches(line, '^\\s*(?:```|~~~)')"
     " or regexp_matches(line, '^\\s*\\|?[\\s:|-]*\\|[\\s:|-]*$') or regexp_matches(line, '(?i)^\\s*<?(?:https?://|www\\.)\\S+>?\\s*$') or regexp_matches(line, '^\\s*<[^>]+>\\s*$')"
@@ -214,15 +202,16 @@ ORACLES = {
     "f1_split_lines": f"with {_LINES} select doc_id, cast(line_no as int) as line_no, line, cast(coalesce(sum(length(line) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) as bigint) as line_offset from lines",
     "f2_noise": f"with {_LINES} select doc_id, cast(line_no as int) as line_no, {_NOISE} as noise from lines",
     "f7_first_content": f"with {_LINES} select doc_id, cast(coalesce(min(line_no) filter (where not {_NOISE}), 0) as int) as first_content from lines group by doc_id",
-    "n5_token_counts": f"select c_custkey, {_fold('c_name')} as f, cast(len(string_split({_fold('c_name')}, ' ')) as int) as n from customer",
+    "n4_fold": f"select row_id, {fold('title')} as ftitle, {fold('artist')} as fartist from seed_row",
+    "n5_token_counts": f"select c_custkey, {fold('c_name')} as f, cast(len(string_split({fold('c_name')}, ' ')) as int) as n from customer",
     "n12_isrc": r"select line_id, case when regexp_full_match(upper(regexp_replace(hints.isrc, '[\s\-]+', '', 'g')), '[A-Z]{2}[A-Z0-9]{3}[0-9]{7}') then upper(regexp_replace(hints.isrc, '[\s\-]+', '', 'g')) end as isrc from list_line",
     "n13_clock": r"with d as (select line_id, trim(hints.duration_s) as d from list_line) select line_id, case when regexp_full_match(d, '(?:\d{1,2}:)?\d{1,3}:[0-5]\d') then case when len(string_split(d, ':')) = 3 then cast(string_split(d, ':')[1] as double) * 3600 else 0 end + cast(string_split(d, ':')[-2] as double) * 60 + cast(string_split(d, ':')[-1] as double) end as seconds from d",
-    "n14_recording_key": f"select line_id, {_fold('title')} || '|' || coalesce({_fold('artist')}, '') || '|' || coalesce(array_to_string(list_sort(list_distinct(hints.qualifiers)), ','), '') as key from list_line where regexp_full_match(title, '[ -~]*') and regexp_full_match(coalesce(artist, ''), '[ -~]*')",
+    "n14_recording_key": f"select line_id, {fold('title')} || '|' || coalesce({fold('artist')}, '') || '|' || coalesce(array_to_string(list_sort(list_distinct(hints.qualifiers)), ','), '') as key from list_line where title is not null",
     "n19_copies": "select line_id, cast(1 + coalesce(len(duplicates), 0) as int) as mentions from list_line",
     "n21_non_latin": r"select row_id, regexp_matches(title, '[^\x{0}-\x{36f}\x{2000}-\x{2bff}\x{fe00}-\x{fe0f}]') as non_latin from seed_row",
     "n25_words": f"select doc_id, cast(case when {_flat('text')} = '' then 0 else len(string_split({_flat('text')}, ' ')) end as int) as n_words, cast(length({_flat('text')}) as int) as n_collapsed from documents where text is not null",
     "n26_keys": f"""with k as (select input_id, coalesce('isrc#' || case when regexp_full_match(upper(regexp_replace(isrc, '[\\s\\-]+', '', 'g')), '[A-Z]{{2}}[A-Z0-9]{{3}}[0-9]{{7}}') then upper(regexp_replace(isrc, '[\\s\\-]+', '', 'g')) end,
-        'q#' || sha256({_fold('title')} || '|' || coalesce({_fold('artist')}, ''))) as cache_key from match_input where regexp_full_match(title, '[ -~]*') and regexp_full_match(coalesce(artist, ''), '[ -~]*'))
+        'q#' || sha256({fold('title')} || '|' || coalesce({fold('artist')}, ''))) as cache_key from match_input where title is not null or regexp_full_match(upper(regexp_replace(isrc, '[\\s\\-]+', '', 'g')), '[A-Z]{{2}}[A-Z0-9]{{3}}[0-9]{{7}}'))
         select distinct input_id, cache_key, regexp_full_match(cache_key, '(?:q#[0-9a-f]{{64}}|isrc#[A-Z]{{2}}[A-Z0-9]{{3}}[0-9]{{7}})') as neutral from k""",
     "n34_month": "select event_id, cast(date_trunc('month', ts) as date) as month from events",
 }

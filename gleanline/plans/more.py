@@ -13,6 +13,7 @@ from gleanline.functions import text as T
 from gleanline.operators import asof, catalog, extract, match, parse, rollup
 from gleanline.operators import lines as L
 from gleanline.operators import tables as TB
+from gleanline.plans.sql import fold
 from gleanline.session import table
 from gleanline.sources import stores
 
@@ -21,12 +22,6 @@ def _list(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "list_line")
 
 
-def _ascii(frame: DataFrame, *names: str) -> DataFrame:
-    for name in names:
-        frame = frame.where(F.coalesce(name, F.lit("")).rlike("^[ -~]*$"))
-    return frame
-
-
 # Text and keys.
 
 
@@ -40,11 +35,6 @@ def _document(docs: DataFrame) -> DataFrame:
 
 
 def n3_document(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents that its SQL can express; ``n3_document_all`` has every one."""
-    return _document(table(spark, folder, "documents").where("text rlike '^[\\\\n -~]+$'"))
-
-
-def n3_document_all(spark: SparkSession, folder: str) -> DataFrame:
     """Every text in its normal form; empty ones too, null ones have none."""
     return _document(table(spark, folder, "documents").where("text is not null"))
 
@@ -65,11 +55,6 @@ def _strip_chars(rows: DataFrame) -> DataFrame:
 
 
 def n15_strip_chars(spark: SparkSession, folder: str) -> DataFrame:
-    """The lines that its SQL can express, as in all queries here with a sibling ``..._all`` over the whole table."""
-    return _strip_chars(_ascii(_list(spark, folder), "artist"))
-
-
-def n15_strip_chars_all(spark: SparkSession, folder: str) -> DataFrame:
     return _strip_chars(_list(spark, folder))
 
 
@@ -178,11 +163,6 @@ def _grounded(rows: DataFrame, fold: Callable[[Column], Column]) -> DataFrame:
 
 
 def v2_grounded(spark: SparkSession, folder: str) -> DataFrame:
-    """List lines checked against their own text without its first letters."""
-    return _grounded(_ascii(_list(spark, folder), "title", "artist"), T.fold_ascii)
-
-
-def v2_grounded_all(spark: SparkSession, folder: str) -> DataFrame:
     return _grounded(_list(spark, folder), N.fold)
 
 
@@ -201,10 +181,6 @@ def _artist_similarity(rows: DataFrame) -> DataFrame:
 
 
 def k4_artist_similarity(spark: SparkSession, folder: str) -> DataFrame:
-    return _artist_similarity(_ascii(_folded_artists(spark, folder, T.fold_ascii), "a", "b"))
-
-
-def k4_artist_similarity_all(spark: SparkSession, folder: str) -> DataFrame:
     return _artist_similarity(_folded_artists(spark, folder, N.fold))
 
 
@@ -254,11 +230,6 @@ def _absorb(lines: DataFrame, fold: Callable[[Column], Column]) -> DataFrame:
 
 
 def j14_absorb(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines without an artist and the one attributed line of their list with the same title."""
-    return _absorb(_ascii(_list(spark, folder), "title", "artist"), T.fold_ascii)
-
-
-def j14_absorb_all(spark: SparkSession, folder: str) -> DataFrame:
     return _absorb(_list(spark, folder), N.fold)
 
 
@@ -406,9 +377,9 @@ def f13_seed_worthy(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        n2_strip, n3_document, n3_document_all, n10_credits, n11_marked_titles, n15_strip_chars, n15_strip_chars_all, n16_sha256, n17_spans, n18_merged_hints, n20_canonical_json, n29_share_pct, n31_in_basis, n33_large_events, n35_field_checks,
-        a1_prefixes, a2_suffixes, a9_truth_first, t1_cells, t2_header_fields, v1_coverage, v2_grounded, v2_grounded_all, k4_artist_similarity, k4_artist_similarity_all, k7_match_score, j2_cache_lookup, j4_fallback, j6_nearest_before, j7_alias_lookup,
-        j12_semi, j14_absorb, j14_absorb_all, j15_set_difference, f9_residual_text, f10_review_queue, f11_alternates, f13_seed_worthy, f16_needs_fallback, f19_view, g9_over_budget, g20_tally, g22_status_counts, s17_report_rows,
+        n2_strip, n3_document, n10_credits, n11_marked_titles, n15_strip_chars, n16_sha256, n17_spans, n18_merged_hints, n20_canonical_json, n29_share_pct, n31_in_basis, n33_large_events, n35_field_checks,
+        a1_prefixes, a2_suffixes, a9_truth_first, t1_cells, t2_header_fields, v1_coverage, v2_grounded, k4_artist_similarity, k7_match_score, j2_cache_lookup, j4_fallback, j6_nearest_before, j7_alias_lookup,
+        j12_semi, j14_absorb, j15_set_difference, f9_residual_text, f10_review_queue, f11_alternates, f13_seed_worthy, f16_needs_fallback, f19_view, g9_over_budget, g20_tally, g22_status_counts, s17_report_rows,
         w9_alarm_ordinals, w10_first_match, l4_binds_first, o1_array_sets, o5_corpora, x2_cache_expiry, x8_error_kinds, x9_batches, x14_noise, x18_due,
     )
 }
@@ -420,21 +391,12 @@ def _strip(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '^[{_SPACES}]+', ''), '[{_SPACES}]+$', '')"
 
 
-def _fold(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_\\s]+', ' ', 'g'), '[{_SPACES}]+', ' ', 'g'))"
-
-
-def _is_ascii(*names: str) -> str:
-    return " and ".join(f"regexp_full_match(coalesce({n}, ''), '[ -~]*')" for n in names)
-
-
 _WIDE = "".join(chr(ord(c) + 0xFEE0) for c in "abcdefghijklmnopqrstuvwxyz")
 _ALIASES = ", ".join(f"('{label}', '{field}')" for field, labels in TB.ALIASES.items() for label in labels)
 
 ORACLES = {
     "n2_strip": f"select line_id, {_strip('title')} as title, {_strip('artist')} as artist from list_line",
-    "n3_document": f"select doc_id, cast(length(text) as int) as raw_length, sha256(text) as digest, {_strip('text')} as text from documents where regexp_full_match(text, '[\\n -~]+')",
-    "n15_strip_chars": f"select line_id, trim(artist, ' -;.*') as artist from list_line where {_is_ascii('artist')}",
+    "n15_strip_chars": f"select line_id, trim(artist, ' -;.*') as artist from list_line",
     "n16_sha256": "select p_partkey, sha256(p_name) as digest from part",
     "n17_spans": "select doc_id, substring(text, 4, 8) as cut, length(text) >= 500 as fits from documents where text is not null",
     "n20_canonical_json": "select n_nationkey, '{\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' as json from nation",
@@ -447,10 +409,10 @@ ORACLES = {
     "a9_truth_first": "select p_partkey as doc_id, p_name as title, replace(p_brand, '#', ' ') as artist, case p_partkey % 5 when 1 then 'quoted' when 2 then 'by' when 3 then 'tab' else 'dash' end as parser, case p_partkey % 5 when 4 then 'live' else '' end as qualifiers from part",
     "t1_cells": "select p_partkey, 0 as pos, p_name || ', \"x\"' as cell from part union all select p_partkey, 1, p_brand from part union all select p_partkey, 2, cast(p_size as varchar) from part",
     "v1_coverage": "with t as (select a.p_partkey, string_split(a.p_name, ' ') as c, string_split(b.p_name, ' ') as s from part a join part b on b.p_partkey = a.p_partkey + 1) select p_partkey, cast(len(list_filter(c, lambda x: list_contains(s, x))) as double) / len(c) as coverage from t",
-    "v2_grounded": f"""with r as (select line_id, title, artist, string_split({_fold('title')}, ' ') as t, string_split({_fold('artist')}, ' ') as a, string_split({_fold("substring(concat_ws(' ', title, artist), 4)")}, ' ') as s, line_no * 40 as e, {_fold('title')} as ft, {_fold('artist')} as fa from list_line where title is not null and {_is_ascii('title', 'artist')}),
+    "v2_grounded": f"""with r as (select line_id, title, artist, string_split({fold('title')}, ' ') as t, string_split({fold('artist')}, ' ') as a, string_split({fold("substring(concat_ws(' ', title, artist), 4)")}, ' ') as s, line_no * 40 as e, {fold('title')} as ft, {fold('artist')} as fa from list_line where title is not null),
         c as (select *, case when ft = '' then 1.0 else cast(len(list_filter(t, lambda x: list_contains(s, x))) as double) / len(t) end as tc, case when fa = '' then 1.0 else cast(len(list_filter(a, lambda x: list_contains(s, x))) as double) / len(a) end as ac from r)
         select line_id, case when trim(title) = '' then 'empty_title' when length(title) > 300 then 'title_too_long' when e > 2000 then 'span_out_of_range' when e > 400 then 'span_out_of_range' when tc < 0.7 then 'span_text_mismatch' when artist is not null and ac < 0.6 then 'span_text_mismatch' end as reason from c""",
-    "k4_artist_similarity": f"""with r as (select distinct input_id, {_fold('artist')} as a, {_fold('alternate.title')} as b from match_input), t as (select *, list_distinct(string_split(a, ' ')) as x, list_distinct(string_split(b, ' ')) as y from r where {_is_ascii('a', 'b')})
+    "k4_artist_similarity": f"""with r as (select distinct input_id, {fold('artist')} as a, {fold('alternate.title')} as b from match_input), t as (select *, list_distinct(string_split(a, ' ')) as x, list_distinct(string_split(b, ' ')) as y from r)
         select input_id, round(case when a is null or b is null then 0.5 when a = b then 1 else cast(len(list_intersect(x, y)) as double) / least(len(x), len(y)) end, 9) as similarity from t""",
     "k7_match_score": "with r as (select l_orderkey, l_linenumber, round(0.5 * (l_discount * 10) + 0.3 * (l_tax * 12) + 0.1 * (l_quantity / 50) + 0.1, 9) as s from lineitem) select l_orderkey, l_linenumber, s as score, case when s >= 0.8 and l_linenumber <> 1 then 'auto_accept' when s >= 0.5 then 'review' else 'not_found' end as verdict from r",
     "j2_cache_lookup": "select o_orderkey, coalesce(case when c_custkey % 31 < 20 then c_name end, 'miss') as answer from orders left join customer on o_custkey = c_custkey",
@@ -458,7 +420,7 @@ ORACLES = {
     "j6_nearest_before": "with e as (select event_id, user_id, epoch_us(ts) as at from events), p as (select user_id, epoch_us(ts) as at, max(value) as v from events where event_type = 'purchase' group by 1, 2) select event_id, round(p.v, 6) as last_value from e asof left join p on e.user_id = p.user_id and e.at >= p.at",
     "j7_alias_lookup": f"with a(label, field) as (values {_ALIASES}), n as (select case_no, unnest(map_keys(column_map)) as label, unnest(map_values(column_map)) as pos from table_spec) select case_no, label, field, pos from n join a using (label)",
     "j12_semi": "select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'O')",
-    "j14_absorb": f"""with r as (select list_id, line_id, {_fold('title')} as t, {_fold('artist')} as a from list_line where {_is_ascii('title', 'artist')}), h as (select list_id, t, min(line_id) as host_id from r where a is not null group by 1, 2 having count(distinct a) = 1) select line_id, host_id from r join h using (list_id, t) where a is null and t <> ''""",
+    "j14_absorb": f"""with r as (select list_id, line_id, {fold('title')} as t, {fold('artist')} as a from list_line), h as (select list_id, t, min(line_id) as host_id from r where a is not null group by 1, 2 having count(distinct a) = 1) select line_id, host_id from r join h using (list_id, t) where a is null and t <> ''""",
     "j15_set_difference": "select coalesce(c, o) as c_custkey, case when c is null then 'miss' when o is null then 'extra' else 'hit' end as kind from (select distinct c_custkey as c from customer) full join (select distinct o_custkey as o from orders) on c = o",
     "f9_residual_text": "select list_id, string_agg(title, chr(10) order by line_no, title) as residual from list_line where confidence < 0.6 and title is not null group by 1",
     "f10_review_queue": "select line_id, confidence from list_line where confidence < 0.8",

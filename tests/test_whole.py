@@ -51,14 +51,14 @@ def test_search_equals_all_pairs(spark, small, monkeypatch):
 
 
 def test_every_document_in_its_normal_form(spark, small, tmp_path):
-    got = {r.doc_id: (r.raw_length, r.digest, r.text) for r in entry.queries()["n3_document_all"](spark, small).collect()}
+    got = {r.doc_id: (r.raw_length, r.digest, r.text) for r in entry.queries()["n3_document"](spark, small).collect()}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r.text is not None}
     made = {i: N.normalize_text(text) for i, text in texts.items()}
     assert got == {i: (len(texts[i]), hashlib.sha256(text.encode()).hexdigest(), text.strip()) for i, text in made.items()}
     assert any(made[i] != text for i, text in texts.items())
     by_hand = [(1, "a\r\nb\rc"), (2, "\uff21\u200bB\x07\tfi\ufb01"), (3, "e\u0301"), (4, ""), (5, None), (6, " plain ")]
     spark.createDataFrame(by_hand, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.text for r in entry.queries()["n3_document_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.text for r in entry.queries()["n3_document"](spark, str(tmp_path)).collect()}
     assert got == {1: "a\nb\nc", 2: "AB\tfifi", 3: "\u00e9", 4: "", 6: "plain"}
 
 
@@ -77,21 +77,21 @@ def fold(text):
 def test_keys_and_stripped_artists_of_every_row(spark, small):
     lines, inputs = rows_of(spark, small, "list_line"), rows_of(spark, small, "match_input")
     want = {r.line_id: "|".join((fold(r.title), fold(r.artist) or "", ",".join(sorted(set(r.hints.qualifiers or [])) if r.hints else []))) for r in lines if r.title is not None}
-    assert {r.line_id: r.key for r in whole(spark, small, "n14_recording_key_all")} == want
-    got = {r.input_id: r for r in whole(spark, small, "n26_keys_all")}
+    assert {r.line_id: r.key for r in whole(spark, small, "n14_recording_key")} == want
+    got = {r.input_id: r for r in whole(spark, small, "n26_keys")}
     assert set(got) == {r.input_id for r in inputs if r.title is not None} and all(r.neutral for r in got.values())
     for r in inputs:
         if r.title is not None and r.isrc is None:
             assert got[r.input_id].cache_key == "q#" + hashlib.sha256(f"{fold(r.title)}|{fold(r.artist) or ''}".encode()).hexdigest()
-    assert {r.line_id: r.artist for r in whole(spark, small, "n15_strip_chars_all")} == {r.line_id: r.artist and r.artist.strip(" -;.*") for r in lines}
+    assert {r.line_id: r.artist for r in whole(spark, small, "n15_strip_chars")} == {r.line_id: r.artist and r.artist.strip(" -;.*") for r in lines}
 
 
 def test_scores_of_every_row(spark, small):
     lines = [r for r in rows_of(spark, small, "list_line") if r.title is not None]
-    confident = {r.line_id: r.confidence for r in whole(spark, small, "k1_confidence_all")}
+    confident = {r.line_id: r.confidence for r in whole(spark, small, "k1_confidence")}
     assert set(confident) == {r.line_id for r in lines} and all(0 <= c <= 1 for c in confident.values())
-    assert {r.line_id for r in whole(spark, small, "v2_grounded_all")} == {r.line_id for r in lines}
-    got = {r.input_id: r.similarity for r in whole(spark, small, "k4_artist_similarity_all")}
+    assert {r.line_id for r in whole(spark, small, "v2_grounded")} == {r.line_id for r in lines}
+    got = {r.input_id: r.similarity for r in whole(spark, small, "k4_artist_similarity")}
     for r in rows_of(spark, small, "match_input"):
         a, b = fold(r.artist), fold(r.alternate.title if r.alternate else None)
         x, y = set((a or "").split()), set((b or "").split())
@@ -106,10 +106,10 @@ def test_lists_are_compared_whole(spark, small):
         want[r.list_id][key] += r.line_no % 3 < 2
         got[r.list_id][key] += r.line_no % 3 > 0
     counts = {i: (sum((want[i] & got[i]).values()), sum(want[i].values()), sum(got[i].values())) for i in want}
-    assert {r.list_id: (r.tp, r.want, r.got) for r in whole(spark, small, "g13_multiset_f1_all")} == counts
+    assert {r.list_id: (r.tp, r.want, r.got) for r in whole(spark, small, "g13_multiset_f1")} == counts
     hosts = defaultdict(dict)
     for r in sorted(lines, key=lambda r: -r.line_id):
         if r.artist is not None and fold(r.title):
             hosts[r.list_id, fold(r.title)][fold(r.artist)] = r.line_id
     one = {key: min(x.line_id for x in lines if x.artist is not None and (x.list_id, fold(x.title)) == key) for key, names in hosts.items() if len(names) == 1}
-    assert {r.line_id: r.host_id for r in whole(spark, small, "j14_absorb_all")} == {r.line_id: one[key] for r in lines if r.artist is None and (key := (r.list_id, fold(r.title))) in one}
+    assert {r.line_id: r.host_id for r in whole(spark, small, "j14_absorb")} == {r.line_id: one[key] for r in lines if r.artist is None and (key := (r.list_id, fold(r.title))) in one}
