@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-QUOTING, COLUMNS, VALUE = "quoting", "column_count", "invalid_value"
+QUOTING, COLUMNS, VALUE, DELIMITER = "quoting", "column_count", "invalid_value", "delimiter"
 FIELDS = ["title", "artist", "album", "isrc", "duration", "year", "position"]
 # What a cell of a typed field may hold.
 PATTERNS = {
@@ -46,6 +46,8 @@ def read_row(line: str, delim: str) -> list[str] | None:
 
 def judge(line: str, delim: str, width: int, column_map: dict[str, int]) -> tuple[str | None, dict[str, str]]:
     """The first reason against a row and, for a good row, its cells by field."""
+    if len(delim) != 1:
+        return DELIMITER, {}
     cells = read_row(line, delim)
     if cells is None:
         return QUOTING, {}
@@ -61,16 +63,18 @@ def table_lines(cases: DataFrame, specs: DataFrame) -> DataFrame:
     """``case_no, line_no, line`` and the layout of every row of every text that has one.
 
     Lines are split at line feeds; a closing carriage return, blank lines, and lines up to the header
-    are no rows.  Texts without a spec, null and empty texts and specs without a delimiter or columns
+    are no rows.  Rows whose delimiter is longer than a character can't be read and are set apart for it.  Texts without a spec, null and empty texts and specs without a delimiter or columns
     have no rows.  A spec repeated for a case counts once.
     """
-    layout = specs.where("delim is not null and length(delim) = 1 and column_map is not null").select(
+    layout = specs.where("delim is not null and delim <> '' and column_map is not null").select(
         F.col("case_no").alias("spec_case"), "delim", F.coalesce("header_row", F.lit(-1)).alias("header_row"),
         F.array_sort(F.map_entries("column_map")).alias("layout"),
     ).distinct()
-    lines = cases.select("case_no", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    # Texts find their spec before they are split, so texts without one are never taken apart.
+    known = cases.select("case_no", "text").join(layout, F.col("case_no") == F.col("spec_case"))
+    lines = known.select("case_no", "delim", "header_row", "layout", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     lines = lines.withColumn("line", F.regexp_replace("line", "\r$", "")).where(F.col("line").rlike(r"[^\s]"))
-    return lines.join(layout, F.col("case_no") == F.col("spec_case")).where("line_no > header_row").select("case_no", "line_no", "line", "delim", "layout")
+    return lines.where("line_no > header_row").select("case_no", "line_no", "line", "delim", "layout")
 
 
 def parse_rows(cases: DataFrame, specs: DataFrame) -> DataFrame:

@@ -164,6 +164,22 @@ def by_text(items: DataFrame, primary: DataFrame, fallback: DataFrame | None = N
     return best.unionByName(other)
 
 
+def cache_rows(answers: DataFrame, days: int = CACHE_DAYS) -> DataFrame:
+    """``cache_key, recording_id, score, verdict, expires_at`` of answers (with ``made_at``): the newest of each key, living so many days.
+
+    Keys hold no readable text; answers with any other key, or none, are not kept.
+    """
+    newest = F.max(F.struct("made_at", "recording_id", "score", "verdict")).alias("a")
+    kept = answers.where(T.is_neutral_key(F.col("cache_key"))).groupBy("cache_key").agg(newest)
+    return kept.select("cache_key", "a.recording_id", "a.score", "a.verdict", (F.col("a.made_at") + F.make_dt_interval(F.lit(days))).alias("expires_at"))
+
+
+def from_cache(items: DataFrame, cache: DataFrame, now: Column | None = None) -> DataFrame:
+    """``item_id, recording_id, score, verdict`` of items whose ``cache_key`` has a row that hasn't expired."""
+    live = cache.where(F.col("expires_at") > (now if now is not None else F.current_timestamp())).select("cache_key", "recording_id", "score", "verdict")
+    return items.select("item_id", "cache_key").join(live, "cache_key").select("item_id", "recording_id", "score", "verdict")
+
+
 def resolve(items: DataFrame, catalog: DataFrame, cache: DataFrame | None = None, now: Column | None = None, fallback: DataFrame | None = None) -> DataFrame:
     """``item_id, recording_id, score, verdict, source, flipped, outcome`` of every item.
 
@@ -181,8 +197,8 @@ def resolve(items: DataFrame, catalog: DataFrame, cache: DataFrame | None = None
     rest = known
     if cache is not None:
         key = F.coalesce(T.isrc_key(F.col("isrc")), T.text_key(F.col("ftitle"), F.col("fartist")))
-        live = cache.where(F.col("expires_at") > (now if now is not None else F.current_timestamp())).select("cache_key", "recording_id", "score", "verdict")
-        hits = rest.withColumn("cache_key", key).join(live, "cache_key").select("item_id", "recording_id", "score", "verdict", F.lit("cache").alias("source"), F.lit(False).alias("flipped"), F.lit("not_applicable").alias("outcome"))
+        found = from_cache(rest.withColumn("cache_key", key), cache, now)
+        hits = found.select("*", F.lit("cache").alias("source"), F.lit(False).alias("flipped"), F.lit("not_applicable").alias("outcome"))
         stages.append(hits)
         rest = rest.join(hits.select("item_id"), "item_id", "left_anti")
     coded = by_isrc(rest, listed).select("*", F.lit("isrc").alias("source"), F.lit(False).alias("flipped"), F.lit("not_applicable").alias("outcome"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,15 +107,25 @@ def departures(requests: DataFrame, interval_s: float, key: str = "caller") -> D
 def quota_ledger(calls: DataFrame, cap: int) -> DataFrame:
     """``account, call_no, cost, accepted, used``: calls charged in order, refused where they would exceed the cap.
 
-    A refused call is not charged, so a running sum can't say it; an account's calls are folded in order.
+    A refused call is not charged, so a running sum can't say it: calls are read in order, partition by
+    partition, and only the account at hand and its charge are remembered from one batch to the next.  Ties
+    of a number go to the smaller cost.
     """
-    ordered = calls.groupBy("account").agg(F.array_sort(F.collect_list(F.struct("call_no", "cost"))).alias("calls"))  # one account's calls of a period
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<call_no:bigint,cost:bigint,accepted:boolean,used:bigint>>").alias("log"))
-
-    def charge(acc: Column, call: Column) -> Column:
-        fits = acc["used"] + call["cost"] <= cap
-        used = F.when(fits, acc["used"] + call["cost"]).otherwise(acc["used"])
-        entry = F.struct(call["call_no"].cast("bigint").alias("call_no"), call["cost"].cast("bigint").alias("cost"), fits.alias("accepted"), used.cast("bigint").alias("used"))
-        return F.struct(used.cast("bigint").alias("used"), F.concat(acc["log"], F.array(entry)).alias("log"))
 
-    return ordered.select("account", F.inline(F.aggregate("calls", start, charge, lambda a: a["log"])))
+    def charge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        account, used = None, 0
+        for batch in batches:
+            accepted, so_far = [], []
+            for owner, cost in zip(batch["account"].tolist(), batch["cost"].tolist(), strict=True):
+                if owner != account:
+                    account, used = owner, 0
+                fits = used + cost <= cap
+                used += cost if fits else 0
+                accepted.append(fits)
+                so_far.append(used)
+            yield batch.assign(accepted=accepted, used=so_far)
+
+    kind = calls.schema["account"].dataType.simpleString()
+    plain = calls.select("account", F.col("call_no").cast("bigint").alias("call_no"), F.col("cost").cast("bigint").alias("cost"))
+    ordered = plain.where("account is not null and cost is not null").repartition("account").sortWithinPartitions("account", "call_no", "cost")
+    return ordered.mapInPandas(charge, f"account {kind}, call_no bigint, cost bigint, accepted boolean, used bigint")

@@ -295,14 +295,14 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
 def k_stream_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Streaming counterpart of the daily roll-up, replayed to its end."""
     out = flows.tumbling(_stream(spark, folder), "1 day", "3650 days")
-    return flows.replay(out, f"stream_rollup_{abs(hash(folder))}", "complete").select(F.to_date("window_start").alias("day"), "event_type", "events", F.round("value_sum", 4).alias("value_sum"))
+    return flows.replay(out, "complete").select(F.to_date("window_start").alias("day"), "event_type", "events", F.round("value_sum", 4).alias("value_sum"))
 
 
 def k_stream_once(spark: SparkSession, folder: str) -> DataFrame:
     """Redelivered events taken in once."""
     events = _stream(spark, folder)
     twice = events.unionByName(events)
-    return flows.replay(flows.once(twice, "event_id", "3650 days").select("event_id", "event_type"), f"stream_once_{abs(hash(folder))}")
+    return flows.replay(flows.once(twice, "event_id", "3650 days").select("event_id", "event_type"))
 
 
 def f12_routed(spark: SparkSession, folder: str) -> DataFrame:

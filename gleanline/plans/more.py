@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleanline.functions import normalize as N
 from gleanline.functions import score as S
 from gleanline.functions import text as T
-from gleanline.operators import asof, catalog, extract, match, parse, rollup
+from gleanline.operators import asof, catalog, extract, items, match, parse, rollup
 from gleanline.operators import lines as L
 from gleanline.operators import tables as TB
 from gleanline.plans.sql import fold
@@ -188,11 +188,11 @@ def k4_artist_similarity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j2_cache_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders served from a cache of customers that expires, the rest left for the next stage."""
-    cache = table(spark, folder, "customer").select(F.col("c_custkey").alias("cust"), F.col("c_name").alias("cached"), (F.col("c_custkey") % 31).alias("age_days"))
-    live = cache.where(F.col("age_days") < match.CACHE_DAYS - 10)
-    rows = table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("cust"))
-    return rows.join(live, "cust", "left").select("o_orderkey", F.coalesce("cached", F.lit("miss")).alias("answer"))
+    """Inputs with a recording code answered from a cache of the catalog's codes, as of a day; expired answers are none."""
+    answers = table(spark, folder, "seed_row").select(T.isrc_key(F.col("isrc")).alias("cache_key"), F.col("row_id").alias("recording_id"), F.lit(1.0).alias("score"), F.lit("auto_accept").alias("verdict"), F.col("harvested_at").alias("made_at"))
+    cache = match.cache_rows(answers)
+    inputs = table(spark, folder, "match_input").select(F.col("input_id").alias("item_id"), T.isrc_key(F.col("isrc")).alias("cache_key")).distinct()
+    return match.from_cache(inputs, cache, F.lit("2026-01-15 00:00:00").cast("timestamp")).select("item_id", "recording_id")
 
 
 def j4_fallback(spark: SparkSession, folder: str) -> DataFrame:
@@ -245,37 +245,32 @@ def j15_set_difference(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def f10_review_queue(spark: SparkSession, folder: str) -> DataFrame:
-    return _list(spark, folder).where(F.col("confidence") < S.REVIEW).select("line_id", "confidence")
+    return items.below(_list(spark, folder)).select("line_id", "confidence")
 
 
 def f11_alternates(spark: SparkSession, folder: str) -> DataFrame:
     """The swapped reading of tab lines, whose direction is unsure."""
-    rows = _list(spark, folder)
-    swap = F.when((F.col("parser") == "tab") & F.col("artist").isNotNull(), F.struct(F.col("artist").alias("title"), F.col("title").alias("artist")))
-    return rows.select("line_id", swap.alias("s")).select("line_id", F.col("s.title").alias("alt_title"), F.col("s.artist").alias("alt_artist"))
+    rows = items.with_alternates(_list(spark, folder), F.col("parser") == "tab")
+    return rows.select("line_id", F.col("alternate.title").alias("alt_title"), F.col("alternate.artist").alias("alt_artist"))
 
 
 def f16_needs_fallback(spark: SparkSession, folder: str) -> DataFrame:
     """Cases that have no line in the list of their number, or a line below the confidence floor."""
-    low = _list(spark, folder).groupBy("list_id").agg(F.min("confidence").alias("low"))
-    cases = table(spark, folder, "printed_case").select("case_no")
-    return cases.join(low, cases["case_no"] == low["list_id"], "left").select("case_no", F.coalesce(F.col("low") < 0.6, F.lit(True)).alias("fallback"))
+    lines = _list(spark, folder).select(F.col("list_id").alias("case_no"), "confidence")
+    return items.needs_fallback(table(spark, folder, "printed_case"), lines, "case_no")
 
 
 def f19_view(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _list(spark, folder).where("span is not null")
-    return rows.select("line_id", F.concat_ws("-", F.col("span.span_start").cast("string"), F.col("span.span_end").cast("string")).alias("item_key"), F.when(F.col("confidence").isNotNull(), F.format_string("%.2f", "confidence")).alias("shown"))
+    return items.view(_list(spark, folder)).select("line_id", "item_key", "shown")
 
 
 def f9_residual_text(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines below the floor of each list, joined in order; a list's lines come from one text."""
-    rows = _list(spark, folder).where("confidence < 0.6 and title is not null")
-    return rows.groupBy("list_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "title"))), lambda x: x["title"]), "\n").alias("residual"))
+    """Titles below the floor of each list, joined in order."""
+    return items.joined_text(items.below(_list(spark, folder), items.FALLBACK), "list_id", "line_no", "title")
 
 
 def g9_over_budget(spark: SparkSession, folder: str) -> DataFrame:
-    count = table(spark, folder, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return count.select("event_type", "n", F.greatest(F.lit(0), F.col("n") - 100).alias("over"))
+    return items.census(table(spark, folder, "events"), "event_type", 100)
 
 
 def g20_tally(spark: SparkSession, folder: str) -> DataFrame:
@@ -299,14 +294,12 @@ def s17_report_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def w9_alarm_ordinals(spark: SparkSession, folder: str) -> DataFrame:
     """The purchases of a user beyond the tenth."""
-    rows = table(spark, folder, "events").where("event_type = 'purchase'").withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    return rows.where("nth > 10").select("event_id", "nth")
+    return items.beyond(table(spark, folder, "events").where("event_type = 'purchase'"), "user_id", ["ts", "event_id"], 10).select("event_id", "nth")
 
 
 def w10_first_match(spark: SparkSession, folder: str) -> DataFrame:
     """The first attributed line of each list; lines before it are its head."""
-    rows = _list(spark, folder).withColumn("has", F.col("artist").isNotNull())
-    return rows.groupBy("list_id").agg(F.min(F.when(F.col("has"), F.col("line_no"))).alias("first_line"), F.count("*").alias("n"))
+    return items.first_where(_list(spark, folder), "list_id", "line_no", F.col("artist").isNotNull()).withColumnRenamed("first", "first_line")
 
 
 # Sets and order.
@@ -335,9 +328,12 @@ def o5_corpora(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def x2_cache_expiry(spark: SparkSession, folder: str) -> DataFrame:
-    """Match inputs whose cached answer would still live thirty days after it was made."""
-    rows = table(spark, folder, "match_input").select("input_id", "submitted_at", "received_at").distinct()
-    return rows.select("input_id", (F.col("received_at") <= F.col("submitted_at") + F.expr("interval 1 hour")).alias("alive"))
+    """Rows of a cache of inputs' answers: the newest answer of each key, and until when it lives."""
+    keys = N.fold(F.col("title")), N.fold(F.col("artist"))
+    answers = table(spark, folder, "match_input").select(
+        F.coalesce(T.isrc_key(F.col("isrc")), T.text_key(*keys)).alias("cache_key"), F.col("input_id").alias("recording_id"), F.lit(1.0).alias("score"), F.lit("review").alias("verdict"), F.col("submitted_at").alias("made_at")
+    )
+    return match.cache_rows(answers).select("cache_key", "recording_id", F.unix_micros("expires_at").alias("expires_us"))
 
 
 def x8_error_kinds(spark: SparkSession, folder: str) -> DataFrame:
@@ -363,6 +359,23 @@ def x14_noise(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", F.posexplode(dressed).alias("kind", "dressed"))
 
 
+def f17_autonomous(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines as match results: sure ones accepted, tab lines unresolved."""
+    rows = _list(spark, folder).select("line_id", F.when(F.col("confidence") >= S.REVIEW, "auto_accept").otherwise("review").alias("verdict"), F.when(F.col("parser") == "tab", "unresolved").otherwise("resolved").alias("outcome"))
+    return items.autonomous(rows).select("line_id", "autonomous")
+
+
+def f20_wire(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines in wire form."""
+    rows = _list(spark, folder).select("line_id", "title", "artist", "parser", F.col("hints.qualifiers").alias("qualifiers"))
+    return items.wire(rows, ["title", "artist", "parser", "qualifiers"], ["qualifiers"]).select("line_id", "wire")
+
+
+def x4_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The batch of two hundred that each line of a list goes with."""
+    return items.batches(_list(spark, folder), "list_id", "line_no").select("line_id", "batch")
+
+
 def x18_due(spark: SparkSession, folder: str) -> DataFrame:
     """Orders due within a week of a day."""
     return table(spark, folder, "orders").where("cast(o_orderdate as date) between date'1995-03-01' and date'1995-03-07'").select("o_orderkey")
@@ -380,7 +393,7 @@ QUERIES = {
         n2_strip, n3_document, n10_credits, n11_marked_titles, n15_strip_chars, n16_sha256, n17_spans, n18_merged_hints, n20_canonical_json, n29_share_pct, n31_in_basis, n33_large_events, n35_field_checks,
         a1_prefixes, a2_suffixes, a9_truth_first, t1_cells, t2_header_fields, v1_coverage, v2_grounded, k4_artist_similarity, k7_match_score, j2_cache_lookup, j4_fallback, j6_nearest_before, j7_alias_lookup,
         j12_semi, j14_absorb, j15_set_difference, f9_residual_text, f10_review_queue, f11_alternates, f13_seed_worthy, f16_needs_fallback, f19_view, g9_over_budget, g20_tally, g22_status_counts, s17_report_rows,
-        w9_alarm_ordinals, w10_first_match, l4_binds_first, o1_array_sets, o5_corpora, x2_cache_expiry, x8_error_kinds, x9_batches, x14_noise, x18_due,
+        w9_alarm_ordinals, w10_first_match, l4_binds_first, o1_array_sets, o5_corpora, x2_cache_expiry, f17_autonomous, f20_wire, x4_batches, x8_error_kinds, x9_batches, x14_noise, x18_due,
     )
 }
 
@@ -391,6 +404,7 @@ def _strip(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '^[{_SPACES}]+', ''), '[{_SPACES}]+$', '')"
 
 
+_ISRC = r"case when regexp_full_match(upper(regexp_replace({0}, '[\s\-]+', '', 'g')), '[A-Z]{{2}}[A-Z0-9]{{3}}[0-9]{{7}}') then upper(regexp_replace({0}, '[\s\-]+', '', 'g')) end"
 _WIDE = "".join(chr(ord(c) + 0xFEE0) for c in "abcdefghijklmnopqrstuvwxyz")
 _ALIASES = ", ".join(f"('{label}', '{field}')" for field, labels in TB.ALIASES.items() for label in labels)
 
@@ -415,7 +429,8 @@ ORACLES = {
     "k4_artist_similarity": f"""with r as (select distinct input_id, {fold('artist')} as a, {fold('alternate.title')} as b from match_input), t as (select *, list_distinct(string_split(a, ' ')) as x, list_distinct(string_split(b, ' ')) as y from r)
         select input_id, round(case when a is null or b is null then 0.5 when a = b then 1 else cast(len(list_intersect(x, y)) as double) / least(len(x), len(y)) end, 9) as similarity from t""",
     "k7_match_score": "with r as (select l_orderkey, l_linenumber, round(0.5 * (l_discount * 10) + 0.3 * (l_tax * 12) + 0.1 * (l_quantity / 50) + 0.1, 9) as s from lineitem) select l_orderkey, l_linenumber, s as score, case when s >= 0.8 and l_linenumber <> 1 then 'auto_accept' when s >= 0.5 then 'review' else 'not_found' end as verdict from r",
-    "j2_cache_lookup": "select o_orderkey, coalesce(case when c_custkey % 31 < 20 then c_name end, 'miss') as answer from orders left join customer on o_custkey = c_custkey",
+    "j2_cache_lookup": f"""with c as (select {_ISRC.format('isrc')} as code, row_id, harvested_at from seed_row), k as (select code, max_by(row_id, (harvested_at, row_id)) as recording_id, max(harvested_at) as made_at from c where code is not null group by 1),
+        i as (select distinct input_id as item_id, {_ISRC.format('isrc')} as code from match_input) select item_id, recording_id from i join k using (code) where made_at + interval 30 day > timestamp '2026-01-15'""",
     "j4_fallback": "select o_custkey, coalesce(min(o_orderkey) filter (where o_totalprice > 200000), min(o_orderkey)) as order_key, case when count(*) filter (where o_totalprice > 200000) > 0 then 'primary' else 'fallback' end as source from orders group by 1",
     "j6_nearest_before": "with e as (select event_id, user_id, epoch_us(ts) as at from events), p as (select user_id, epoch_us(ts) as at, max(value) as v from events where event_type = 'purchase' group by 1, 2) select event_id, round(p.v, 6) as last_value from e asof left join p on e.user_id = p.user_id and e.at >= p.at",
     "j7_alias_lookup": f"with a(label, field) as (values {_ALIASES}), n as (select case_no, unnest(map_keys(column_map)) as label, unnest(map_values(column_map)) as pos from table_spec) select case_no, label, field, pos from n join a using (label)",
@@ -438,8 +453,12 @@ ORACLES = {
     "o1_array_sets": """with r as (select line_id, coalesce(hints.qualifiers, []) as a from list_line), j as (select x.line_id, x.a, y.a as b from r x join r y on y.line_id = x.line_id + 1)
         select line_id, coalesce(array_to_string(list_sort(list_distinct(list_concat(a, b))), ','), '') as u, coalesce(array_to_string(list_sort(list_intersect(list_distinct(a), b)), ','), '') as i, coalesce(array_to_string(list_sort(list_filter(list_distinct(a), lambda q: not list_contains(b, q))), ','), '') as e from j""",
     "o5_corpora": "select case_no, x.title, x.artist from (select case_no, unnest(expected) as x from printed_case where tier in ('clean', 'noisy'))",
-    "x2_cache_expiry": "select distinct input_id, received_at <= submitted_at + interval 1 hour as alive from match_input",
+    "x2_cache_expiry": f"""with k as (select coalesce('isrc#' || {_ISRC.format('isrc')}, 'q#' || sha256({fold('title')} || '|' || coalesce({fold('artist')}, ''))) as cache_key, input_id, submitted_at from match_input)
+        select cache_key, max_by(input_id, (submitted_at, input_id)) as recording_id, epoch_us(max(submitted_at) + interval 30 day) as expires_us from k where cache_key is not null group by 1""",
     "x8_error_kinds": "select event_id, r as reason, r in ('rateLimited', 'backendError') as retryable, r = 'quotaExceeded' as deferrable from (select event_id, ['quotaExceeded', 'rateLimited', 'notFound', 'backendError'][event_id % 4 + 1] as r from events)",
+    "f17_autonomous": "select line_id, coalesce(confidence >= 0.8 and parser is distinct from 'tab', false) as autonomous from list_line",
+    "f20_wire": """select line_id, cast(to_json(struct_pack(artist := artist, parser := parser, qualifiers := list_sort(list_distinct(coalesce(hints.qualifiers, []))), title := title)) as varchar) as wire from list_line""",
+    "x4_batches": "select line_id, cast(floor((row_number() over (partition by list_id order by line_no) - 1) / 200) as int) as batch from list_line",
     "x9_batches": "select list_id, p as provider, cast(ceil(n / s) as bigint) as batches from (select list_id, count(*) as n from list_line group by 1), (values ('one', 1.0), ('ten', 10.0), ('hundred', 100.0)) v(p, s)",
     "x14_noise": f"select p_partkey, 0 as kind, upper(p_name) as dressed from part union all select p_partkey, 1, translate(p_name, 'abcdefghijklmnopqrstuvwxyz', '{_WIDE}') from part union all select p_partkey, 2, replace(p_name, ' ', chr(8203) || ' ') from part union all select p_partkey, 3, '  ' || replace(p_name, ' ', '   ') from part",
     "x18_due": "select o_orderkey from orders where cast(o_orderdate as date) between date '1995-03-01' and date '1995-03-07'",

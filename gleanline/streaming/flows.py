@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gleanline.session import checkpoint_folder
+
+#: Rows that a stateful step hands on at once.
+CHUNK = 10_000
+
 
 def routed(events: DataFrame, types: list[str], envs: list[str]) -> DataFrame:
     """Events that one consumer subscribed to, by type and environment."""
@@ -50,23 +57,73 @@ def write_days(path: str, dead: str | None = None):
 
 
 def ledger(calls: DataFrame, cap: int) -> DataFrame:
-    """A stream of ``account, call_no, cost`` charged against a cap with state: ``account, call_no, accepted, used``."""
+    """A stream of ``account, call_no, cost`` charged against a cap with state: ``account, call_no, accepted, used``.
+
+    Of an account's calls in one micro-batch only two numbers each are held while they are put in order.
+    """
 
     def charge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used = state.get[0] if state.exists else 0
-        rows = []
-        for call in pd.concat(list(batches)).sort_values("call_no").itertuples():
-            fits = used + int(call.cost) <= cap
-            used += int(call.cost) if fits else 0
-            rows.append((key[0], call.call_no, fits, used))
+        parts = [batch[["call_no", "cost"]].to_numpy("int64") for batch in batches]
+        held = np.concatenate(parts) if parts else np.empty((0, 2), "int64")
+        held = held[np.argsort(held[:, 0], kind="stable")]
+        for start in range(0, len(held), CHUNK):
+            accepted, so_far = [], []
+            for cost in held[start : start + CHUNK, 1].tolist():
+                fits = used + cost <= cap
+                used += cost if fits else 0
+                accepted.append(fits)
+                so_far.append(used)
+            yield pd.DataFrame({"account": key[0], "call_no": held[start : start + CHUNK, 0], "accepted": accepted, "used": so_far})
         state.update((used,))
-        yield pd.DataFrame(rows, columns=["account", "call_no", "accepted", "used"])
 
     return calls.groupBy("account").applyInPandasWithState(charge, "account bigint, call_no bigint, accepted boolean, used bigint", "used bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def replay(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """A finite stream run to its end into memory; for tests and small replays only."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def first_answers(answers: DataFrame, live: str = "30 days") -> DataFrame:
+    """A stream of ``cache_key, recording_id, ts`` as a cache sees it: a row for each answer that had to be made.
+
+    A key that was answered less than ``live`` ago is served from state; its time to live starts with the
+    answer that was made, and state past it is dropped.
+    """
+    span = pd.Timedelta(live)
+
+    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        until = pd.Timestamp(state.get[0], unit="us", tz="UTC") if state.exists else None
+        rows = pd.concat([batch[["recording_id", "ts"]] for batch in batches]).sort_values("ts", kind="stable")
+        made = []
+        for recording, at in rows.itertuples(index=False):
+            at = at.tz_localize("UTC") if at.tzinfo is None else at
+            if until is None or at >= until:
+                until = at + span
+                made.append((key[0], recording, at.tz_localize(None), until.tz_localize(None)))
+        state.update((until.value // 1000,))
+        state.setTimeoutTimestamp(max(until.value // 1_000_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(made, columns=["cache_key", "recording_id", "made_at", "expires_at"])
+
+    watermarked = answers.withWatermark("ts", live)
+    return watermarked.groupBy("cache_key").applyInPandasWithState(keep, "cache_key string, recording_id bigint, made_at timestamp, expires_at timestamp", "until bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """A finite stream run to its end, its batches written to the shared checkpoint folder and read from there.
+
+    In complete mode the last batch is the result.  A stream without rows gives an empty frame.
+    """
+    spark = stream.sparkSession
+    at = f"{checkpoint_folder(spark).rstrip('/')}/replay-{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+        last.append(number)
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(sink).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema).parquet(*(f"{at}/out/batch={n}" for n in (dict.fromkeys(last) if mode == "append" else last[-1:])))
+    return rows

@@ -136,7 +136,7 @@ def test_ledger_as_a_stream(spark, tmp_path):
     for part in range(3):
         spark.createDataFrame(rows[part * 20 : part * 20 + 20], "account bigint, call_no bigint, cost bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "calls"))
     stream = spark.readStream.schema("account bigint, call_no bigint, cost bigint").parquet(str(tmp_path / "calls"))
-    got = flows.replay(flows.ledger(stream, 500), "ledger_test").collect()
+    got = flows.replay(flows.ledger(stream, 500)).collect()
     assert {r.call_no: (r.accepted, r.used) for r in got} == ledger_by_loop(rows, 500)
 
 
@@ -144,7 +144,7 @@ def test_sessions_and_routing(spark, tmp_path):
     rows = [(i, DAY + dt.timedelta(minutes=m), 1, "a.b.c", 1.0, None) for i, m in enumerate((0, 10, 90, 95))]
     spark.createDataFrame(rows, stores.EVENT_SCHEMA).write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema(stores.EVENT_SCHEMA).parquet(str(tmp_path / "e"))
-    got = flows.replay(flows.sessions(stream), "sessions_test", "complete").orderBy("session_start").collect()
+    got = flows.replay(flows.sessions(stream), "complete").orderBy("session_start").collect()
     assert [r.events for r in got] == [2, 2]
     assert spark.createDataFrame(rows, stores.EVENT_SCHEMA).select(flows.domain_of(F.col("event_type"))).first()[0] == "b"
 
