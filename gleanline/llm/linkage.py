@@ -245,6 +245,7 @@ def fit(patterns: pd.DataFrame, rounds: int = 200) -> tuple[list[dict[str, np.nd
     shares = np.array(SHARES)
     if not len(patterns):
         return tables, shares
+    patterns = patterns.sort_values(list(LEVELS))  # sums don't depend on the order in which patterns came
     counts = patterns["n"].to_numpy(float)
     levels = {k: patterns[k].to_numpy(int) for k in LEVELS}
     last = -np.inf
