@@ -107,7 +107,7 @@ def _verdict(word: str) -> str | None:
 class Lookalikes:
     """Prototypes by character, and what follows from them: skeletons and consistent forms."""
 
-    def __init__(self, prototypes: dict[str, str] | None = None) -> None:
+    def __init__(self, prototypes: dict[str, str] | None = None, pattern: str | None = None) -> None:
         self.prototypes = dict(EVERYDAY if prototypes is None else prototypes)
         basic = {}
         for latin in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
@@ -120,10 +120,10 @@ class Lookalikes:
                 if (prototype, cased) in basic:
                     self.to_latin[char] = basic[prototype, cased]
         self.to_latin |= EVERYDAY
-        self._pattern: re.Pattern | None = None
+        self._pattern = pattern and re.compile(pattern)
 
     def __reduce__(self):
-        return Lookalikes, (self.prototypes,)
+        return Lookalikes, (self.prototypes, self.odd().pattern)  # workers needn't work it out again
 
     def odd(self) -> re.Pattern:
         """Matches text that the consistent form may change."""
