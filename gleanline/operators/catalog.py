@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanline.functions import text as T
+from gleanline.session import cut
 
 FEATURING = r"(?i)(?<![\p{L}\p{N}_])(?:feat\.?|featuring|with)(?![\p{L}\p{N}_])"
 FEAT_JOIN = r"(?i)(?<![\p{L}\p{N}_])feat"
@@ -125,3 +126,22 @@ def covered_by(texts: DataFrame, ranges: DataFrame) -> DataFrame:
     wanted = chars.select("cp", F.shiftright("cp", 8).alias("block")).distinct()
     has = wanted.join(blocks, "block").where("cp between low and high").select("cp", "font").distinct()
     return chars.join(has, "cp").groupBy("text_id", "font").agg(F.count("*").alias("have")).join(need, "text_id").where("have = need").select("text_id", "font")
+
+
+def cyclic(edges: DataFrame, source: str = "task_id", target: str = "dep") -> DataFrame:
+    """``node`` of the nodes on a cycle or between two cycles: what is left when sources and sinks are taken away again and again.
+
+    ``edges`` are pairs of a node and one it depends on; nulls and repeated edges count for nothing, an edge to
+    itself is a cycle.  Each round drops the edges whose source nothing leads to or whose target leads nowhere;
+    it ends when a round drops none.
+    """
+    left = cut(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null").distinct())
+    n = left.count()
+    while n:
+        live = left.join(left.select(F.col("t").alias("s")).distinct(), "s", "left_semi")
+        live = live.join(live.select(F.col("s").alias("t")).distinct(), "t", "left_semi")
+        left, before = cut(live.select("s", "t")), n
+        n = left.count()
+        if n == before:
+            break
+    return left.select(F.explode(F.array("s", "t")).alias("node")).distinct()

@@ -279,9 +279,9 @@ def j18_not_ready(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def x17_cycles(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers' nations reached from nation 0 by the step rule, by recursion."""
-    table(spark, folder, "nation").createOrReplaceTempView("gleanline_nation")
-    return spark.sql("with recursive walk(n_nationkey, depth) as (select n_nationkey, 0 from gleanline_nation where n_nationkey = 0 union all select n.n_nationkey, w.depth + 1 from walk w join gleanline_nation n on n.n_nationkey = (w.n_nationkey * 3 + 1) % 25 where w.depth < 12) select cast(n_nationkey as bigint) as n_nationkey, min(depth) as depth, count(*) > 1 as cyclic from walk group by n_nationkey")
+    """Parts as tasks, each depending on the part that a step rule names: those on a cycle."""
+    parts = table(spark, folder, "part").select("p_partkey", F.length("p_name").alias("n"))
+    return C.cyclic(parts.select("p_partkey", ((F.col("p_partkey") * F.col("n") + 1) % 199 + 1).alias("dep")), "p_partkey").select(F.col("node").alias("p_partkey"))
 
 
 # Streams, replayed over the events as files.
@@ -420,7 +420,8 @@ ORACLES = {
         n as (select candidate_id, count(*) as need from c where ch <> '' group by 1), h as (select candidate_id, font, count(distinct ch) as have from c join f on unicode(ch) between low and high where ch <> '' group by 1, 2)
         select candidate_id as text_id, font from h join n using (candidate_id) where have = need""",
     "j18_not_ready": "with d as (select o_orderkey as k from orders where o_orderstatus = 'F'), t as (select o_orderkey as task_id, unnest([o_orderkey - 1, o_orderkey + 1]) as dep from orders) select distinct task_id from t where dep not in (select k from d)",
-    "x17_cycles": "with recursive walk as (select cast(n_nationkey as bigint) as n_nationkey, 0 as depth from nation where n_nationkey = 0 union all select cast(n.n_nationkey as bigint), w.depth + 1 from walk w join nation n on n.n_nationkey = (w.n_nationkey * 3 + 1) % 25 where w.depth < 12) select n_nationkey, min(depth) as depth, count(*) > 1 as cyclic from walk group by n_nationkey",
+    "x17_cycles": """with recursive e as (select p_partkey as s, (p_partkey * length(p_name) + 1) % 199 + 1 as t from part),
+        walk as (select s as origin, t as node from e union select origin, e.t from walk join e on walk.node = e.s) select distinct origin as p_partkey from walk where origin = node""",
     "k_stream_rollup": "select cast(ts as date) as day, event_type, count(*) as events, round(sum(value), 4) as value_sum from events group by 1, 2",
     "k_stream_once": "select distinct event_id, event_type from events",
     "f12_routed": f"select event_id, event_type, {_ENV} as env from events where event_type in ('purchase', 'click') and {_ENV} = 'prod'",

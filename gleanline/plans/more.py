@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanline.functions import noise
 from gleanline.functions import normalize as N
 from gleanline.functions import score as S
 from gleanline.functions import text as T
@@ -351,12 +352,10 @@ def x9_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def x14_noise(spark: SparkSession, folder: str) -> DataFrame:
-    """Part names in other dress: capitals, full width, zero width, ragged blanks."""
-    plain = "abcdefghijklmnopqrstuvwxyz"
-    wide = "".join(chr(ord(c) + 0xFEE0) for c in plain)
-    name = F.col("p_name")
-    dressed = F.array(F.upper(name), F.translate(name, plain, wide), F.regexp_replace(name, "(.) ", "$1​ "), F.concat(F.lit("  "), F.replace(name, F.lit(" "), F.lit("   "))))
-    return table(spark, folder, "part").select("p_partkey", F.posexplode(dressed).alias("kind", "dressed"))
+    """Catalog titles in other dress, each kind a row."""
+    title = F.col("title")
+    kinds = [noise.recase(title, "upper"), noise.recase(title, "turns"), noise.emoji(title), noise.zero_width(title, rate=0.1), noise.full_width(title), noise.typos(title, rate=0.1), noise.ragged(title)]
+    return table(spark, folder, "seed_row").where("title is not null").select("row_id", F.posexplode(F.array(*kinds)).alias("kind", "dressed"))
 
 
 def f17_autonomous(spark: SparkSession, folder: str) -> DataFrame:
@@ -404,6 +403,32 @@ def _strip(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '^[{_SPACES}]+', ''), '[{_SPACES}]+$', '')"
 
 
+def _draw(seed: str, at: str) -> str:
+    return f"(cast('0x' || substr(md5('{seed}|' || title || '|' || ({at})), 1, 6) as int) / 16777216.0)"
+
+
+def _pick(values: list[str], seed: str, at: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][cast(floor({_draw(seed, at)} * {len(values)}) as int) + 1]"
+
+
+def _per_character(change: str) -> str:
+    """SQL of the characters of a title, each changed; ``c`` is the character and ``i`` its place from zero."""
+    return f"coalesce((select string_agg({change}, '' order by i) from (select title, unnest(range(length(title))) as i, unnest(string_split(title, '')) as c)), '')"
+
+
+_SWAPS = lambda i: f"({i} >= 0 and {_draw('typo', i)} < 0.1 and floor({_draw('typo-kind', i)} * 4) = 2 and {i} + 1 < length(title))"
+_TURNED = lambda i: f"({_SWAPS(i)} and not {_SWAPS(f'({i} - 1)')})"
+_KEYED = f"translate(c, '{noise.KEYS + noise.KEYS.upper()}', '{noise.BESIDE + noise.BESIDE.upper()}')"
+_TYPO = f"""case when {_TURNED('(i - 1)')} then '' when {_draw('typo', 'i')} < 0.1 then case floor({_draw('typo-kind', 'i')} * 4) when 0 then '' when 1 then c || c
+    when 2 then case when {_TURNED('i')} then title[i + 2] || c else c end else {_KEYED} end else c end"""
+_FULL = f"case when {_draw('wide', 'i')} < 0.4 and c between '!' and '~' then chr(ascii(c) + 65248) else c end"
+_ZERO = f"case when {_draw('zero', 'i')} < 0.1 then {_pick(noise.ZERO_WIDTH, 'zero-which', 'i')} || c else c end"
+_BLANKS = lambda side: f"case when {_draw(f'ragged-{side}', '0')} < 0.3 then repeat(' ', cast(floor({_draw(f'ragged-{side}-n', '0')} * 3) as int) + 1) else '' end"
+_MARK = _pick(noise.EMOJI, "emoji-which", "0")
+_FACED = f"case when {_draw('emoji', '0')} >= 0.5 then title when {_draw('emoji-where', '0')} < 0.7 then title || ' ' || {_MARK} else {_MARK} || ' ' || title end"
+_DRESSES = ["replace(upper(title), 'ẞ', 'SS')", _per_character("case when i % 2 = 0 then replace(upper(c), 'ẞ', 'SS') else lower(c) end"), _FACED, _per_character(_ZERO), _per_character(_FULL), _per_character(_TYPO), f"{_BLANKS('left')} || title || {_BLANKS('right')}"]
+_BLANK = lambda i, sql: f"case when trim(title) = '' then title else {sql} end" if i in (2, 6) else sql
+_NOISY = " union all ".join(f"select row_id, {i} as kind, {_BLANK(i, sql)} as dressed from seed_row where title is not null" for i, sql in enumerate(_DRESSES))
 _ISRC = r"case when regexp_full_match(upper(regexp_replace({0}, '[\s\-]+', '', 'g')), '[A-Z]{{2}}[A-Z0-9]{{3}}[0-9]{{7}}') then upper(regexp_replace({0}, '[\s\-]+', '', 'g')) end"
 _WIDE = "".join(chr(ord(c) + 0xFEE0) for c in "abcdefghijklmnopqrstuvwxyz")
 _ALIASES = ", ".join(f"('{label}', '{field}')" for field, labels in TB.ALIASES.items() for label in labels)
@@ -460,6 +485,6 @@ ORACLES = {
     "f20_wire": """select line_id, cast(to_json(struct_pack(artist := artist, parser := parser, qualifiers := list_sort(list_distinct(coalesce(hints.qualifiers, []))), title := title)) as varchar) as wire from list_line""",
     "x4_batches": "select line_id, cast(floor((row_number() over (partition by list_id order by line_no) - 1) / 200) as int) as batch from list_line",
     "x9_batches": "select list_id, p as provider, cast(ceil(n / s) as bigint) as batches from (select list_id, count(*) as n from list_line group by 1), (values ('one', 1.0), ('ten', 10.0), ('hundred', 100.0)) v(p, s)",
-    "x14_noise": f"select p_partkey, 0 as kind, upper(p_name) as dressed from part union all select p_partkey, 1, translate(p_name, 'abcdefghijklmnopqrstuvwxyz', '{_WIDE}') from part union all select p_partkey, 2, replace(p_name, ' ', chr(8203) || ' ') from part union all select p_partkey, 3, '  ' || replace(p_name, ' ', '   ') from part",
+    "x14_noise": _NOISY,
     "x18_due": "select o_orderkey from orders where cast(o_orderdate as date) between date '1995-03-01' and date '1995-03-07'",
 }

@@ -261,3 +261,73 @@ def test_stores(spark, tmp_path):
     spark.sql(stores.rollup_ddl("gleanline_rollup", str(tmp_path / "ext")))
     assert spark.table("gleanline_rollup").columns == ["event_type", "events", "sum_k", "env", "occurred_on"]
     spark.sql("drop table gleanline_rollup")
+
+
+def test_cycles(spark):
+    rows = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 1), (7, 7), (None, 1), (8, None), (1, 2), (9, 10)]
+    edges = spark.createDataFrame(rows, "task_id bigint, dep bigint").withColumns({"s": F.lit(1), "node": F.lit("x")})
+    assert {r.node for r in C.cyclic(edges).collect()} == {1, 2, 3, 7}
+    assert C.cyclic(edges.limit(0)).count() == 0
+
+
+def test_quota_of_hot_and_odd_accounts(spark):
+    rng = random.Random(3)
+    rows = [(1 if rng.random() < 0.7 else rng.randint(2, 9), i, rng.choice([1, 50, 100])) for i in range(3000)] + [(None, 1, 5), (3, 9999, None)]
+    got = R.quota_ledger(spark.createDataFrame(rows, "account bigint, call_no bigint, cost bigint").withColumn("used", F.lit("x")), 5000).collect()
+    want, used = {}, {}
+    for account, call, cost in sorted((r for r in rows if None not in r)):
+        fits = used.get(account, 0) + cost <= 5000
+        used[account] = used.get(account, 0) + cost * fits
+        want[account, call] = (fits, used[account])
+    assert {(r.account, r.call_no): (r.accepted, r.used) for r in got} == want
+    assert R.quota_ledger(spark.createDataFrame([], "account string, call_no bigint, cost bigint"), 1).count() == 0
+
+
+def test_offsets_inside_the_row(spark):
+    from gleanline.operators import lines as L
+
+    rng = random.Random(4)
+    texts = [None, "", "\n", "a", "é🎵\n\nxyz", *("\n".join("ab🎵"[: rng.randint(0, 3)] * rng.randint(0, 4) for _ in range(rng.randint(1, 400))) for _ in range(30))]
+    got = {(r.doc_id, r.line_no): (r.line, r.line_offset) for r in L.split_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("parts", F.lit(1))).collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        at = 0
+        for n, line in enumerate(text.split("\n") if text is not None else []):
+            want[i, n] = (line, at)
+            at += len(line) + 1
+    assert got == want
+
+
+def test_cache_keeps_the_newest_answer_while_it_lives(spark):
+    day = dt.datetime(2026, 1, 1)
+    key = "isrc#USABC1234567"
+    rows = [(key, 1, 0.9, "review", day), (key, 2, 1.0, "auto_accept", day + dt.timedelta(days=1)), ("Title|Artist", 3, 1.0, "review", day), (None, 4, 1.0, "review", day)]
+    cache = M.cache_rows(spark.createDataFrame(rows, "cache_key string, recording_id bigint, score double, verdict string, made_at timestamp"))
+    items = spark.createDataFrame([(10, key), (11, "Title|Artist"), (12, None)], "item_id bigint, cache_key string")
+    at = lambda days: [tuple(r) for r in M.from_cache(items, cache, F.lit(day + dt.timedelta(days=days))).collect()]
+    assert at(30) == [(10, 2, 1.0, "auto_accept")] and at(31) == []
+
+
+def test_items_with_nulls(spark):
+    from gleanline.operators import items as I
+
+    rows = [(1, "a", "b", 0.5, "dash"), (2, "c", None, None, "tab"), (3, None, "d", 0.95, "tab"), (3, None, "d", 0.95, "tab")]
+    frame = spark.createDataFrame(rows, "id int, title string, artist string, confidence double, parser string").withColumns({"least": F.lit(1), "batch": F.lit("x")})
+    assert [r.id for r in I.below(frame).collect()] == [1]
+    assert [r.alternate and tuple(r.alternate) for r in I.with_alternates(frame, F.col("parser") == "tab").orderBy("id").collect()] == [None, None, ("d", None), ("d", None)]
+    assert {r.id: r.fallback for r in I.needs_fallback(spark.createDataFrame([(1,), (3,), (9,)], "id int"), frame, "id").collect()} == {1: True, 3: False, 9: True}
+    assert I.wire(frame.limit(1), ["title", "artist"], []).first().wire == '{"artist":"b","title":"a"}'
+    assert [r.batch for r in I.batches(frame, "parser", "id", 2).where("parser = 'tab'").orderBy("id", "batch").collect()] == [0, 0, 1]
+    assert I.needs_fallback(frame.limit(0), frame, "id").count() == 0
+
+
+def test_cache_as_a_stream(spark, tmp_path):
+    day = dt.datetime(2026, 1, 1)
+    at = lambda days: day + dt.timedelta(days=days)
+    parts = [[("k", 1, at(0)), ("k", 2, at(5)), ("m", 9, at(1))], [("k", 3, at(29)), ("k", 4, at(31))], [("k", 5, at(40)), ("m", 8, at(45))]]
+    kind = "cache_key string, recording_id bigint, ts timestamp"
+    for rows in parts:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "answers"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "answers"))
+    got = {(r.cache_key, r.recording_id) for r in flows.replay(flows.first_answers(stream)).collect()}
+    assert got == {("k", 1), ("m", 9), ("k", 4), ("m", 8)}
