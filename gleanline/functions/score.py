@@ -95,3 +95,17 @@ def best_of(scored: Column) -> Column:
 def share_pct(used: Column, allowance: Column) -> Column:
     """Percent of an allowance; using any of none is infinite."""
     return F.when(allowance > 0, 100.0 * used / allowance).when(used > 0, F.lit(float("inf"))).otherwise(0.0)
+
+
+def mark(pct: Column, gate: Column, modelled: Column) -> Column:
+    """How a share of an allowance reads in a report: beyond its gate, beyond two thirds of it, or below; a dot where nothing is modelled."""
+    return F.when(~modelled, "·").when(pct > gate, "FAIL").when(pct > gate * (2.0 / 3.0), "watch").otherwise("ok")
+
+
+def shown_number(value: Column) -> Column:
+    """A number for a report: thousands without decimals, from one two decimals if any, below that two significant figures."""
+    large = F.format_number(value, 0)
+    middle = F.regexp_replace(F.format_string("%.2f", value), r"\.00$", "")
+    places = F.least(F.lit(12), -F.floor(F.log10(F.abs(value))).cast("int") + 1)
+    small = F.format_string("%s", F.round(value * F.pow(F.lit(10.0), places), 0) / F.pow(F.lit(10.0), places))
+    return F.when(value == 0, "0").when(F.abs(value) >= 1000, large).when(F.abs(value) >= 1, middle).when(F.abs(value) == float("inf"), "∞").otherwise(small)

@@ -158,3 +158,13 @@ def merge_structs(left: Column, right: Column, scalars: list[str], lists: list[s
     parts = [F.coalesce(left[f], right[f]).alias(f) for f in scalars]
     parts += [F.array_distinct(F.concat(F.coalesce(left[f], none), F.coalesce(right[f], none))).alias(f) for f in lists]
     return F.struct(*parts)
+
+
+def unicode_checks() -> list[tuple[str, Column]]:
+    """What the engine's regular expressions must know of Unicode, by name, each as a condition that has to hold."""
+    has = lambda char, pattern: F.lit(char).rlike(pattern)
+    return [
+        ("a Greek capital is an upper-case letter", has("\u0394", r"\p{Lu}")), ("Cyrillic is a letter", has("\u041f", r"\p{L}")), ("an ideograph is a letter", has("\u4e16", r"\p{L}")),
+        ("an Arabic-Indic digit is a number", has("\u0663", r"\p{N}")), ("a separator is a control", has("\x1f", r"\p{Cc}")), ("a hyphen is no letter", ~has("-", r"\p{L}")),
+        ("looking behind works", has("x", "(?<![a-z])x") & ~has("ax", "(?<![a-z])x")), ("lengths count code points", F.char_length(F.lit("\U0001f3b5")) == 1),
+    ]

@@ -77,3 +77,19 @@ def first_where(rows: DataFrame, key: str, order: str, test: Column) -> DataFram
 def census(rows: DataFrame, key: str, allowance: int) -> DataFrame:
     """``key, n, over``: rows of each key, and how many are beyond the allowance."""
     return rows.groupBy(key).agg(F.count("*").alias("n")).withColumn("over", F.greatest(F.lit(0), F.col("n") - allowance))
+
+
+def truth_of(expected: Column) -> Column:
+    """The expected pairs that say something: those with a title."""
+    return F.filter(expected, lambda x: x["title"].isNotNull() & (x["title"] != ""))
+
+
+def first_of(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each key for a report, with ``nth``; Spark keeps only those while it sorts."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("nth") <= n)
+
+
+def sampled(rows: DataFrame, key: str, identity: str, n: int, seed: str = "sample") -> DataFrame:
+    """``n`` rows of each key drawn without replacement, the same every time: those with the least digests of seed and identity."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(identity).cast("string")).cast("binary"))
+    return first_of(rows.withColumn("drawn", digest), key, ["drawn", identity], n).drop("drawn")

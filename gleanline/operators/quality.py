@@ -120,3 +120,33 @@ def out_of_order(rows: DataFrame, key: str, order: str) -> DataFrame:
     last = ends.select(F.col("bin").alias("bin_before"), "last_key")
     joined = first.join(bounds.join(last, "bin_before", "left"), "bin", "left")
     return joined.withColumn("before", F.coalesce("before", "last_key")).where(F.col(key) < F.col("before")).select(order, key, "before")
+
+
+def score_images(truths: DataFrame, readings: DataFrame) -> DataFrame:
+    """``image_id`` with error rates, precision, recall and F1 of its items, ``empty`` and ``fallback``: a row for each image with a truth.
+
+    Both sides: ``image_id, lines array<string>, items array<struct<title, artist>>``, readings also ``least``,
+    their lowest confidence.  An image without a reading counts as read empty; a text without letters in its
+    truth can't come out empty.  Everything stays in its image's row but for the join of the two sides.
+    """
+    none, nothing = F.array().cast("array<string>"), F.array().cast("array<struct<title:string,artist:string>>")
+    flat = lambda lines: T.collapse(F.array_join(F.coalesce(lines, none), " "))
+    read = readings.select("image_id", F.col("lines").alias("read_lines"), F.col("items").alias("read_items"), "least")
+    both = truths.select("image_id", "lines", "items").join(read, "image_id", "left")
+    key = lambda x: F.concat_ws("|", F.lower(T.strip(x["title"])), F.lower(T.strip(F.coalesce(x["artist"], F.lit("")))))
+    keys = lambda c: F.array_distinct(F.transform(F.coalesce(c, nothing), key))
+    rows = error_rates(both.withColumns({"reference": flat(F.col("lines")), "reading": flat(F.col("read_lines")), "w": keys(F.col("items")), "g": keys(F.col("read_items"))}))
+    graded = _prf(rows, F.size(F.array_intersect("w", "g")), F.size("g"), F.size("w"))
+    return graded.select(
+        "image_id", "cer", "wer", "precision", "recall", "f1", ((F.col("reference") != "") & (F.col("reading") == "")).alias("empty"), (F.coalesce(F.col("least") < 0.6, F.lit(True)) | (F.size("g") == 0)).alias("fallback")
+    )
+
+
+def field_breaks(rows: DataFrame, key: str, rules: dict[str, tuple[Column, str]]) -> DataFrame:
+    """``key, field, reason`` of every field that breaks its contract: 'missing' for a null, 'shape' for a value its pattern doesn't match.
+
+    ``rules`` names fields with their column and pattern; all are tested in one pass, good rows give none.
+    """
+    said = lambda name, column, shape: F.struct(F.lit(name).alias("field"), F.when(column.isNull(), "missing").when(~column.cast("string").rlike(shape), "shape").alias("reason"))
+    tests = F.array(*[said(name, column, shape) for name, (column, shape) in rules.items()])
+    return rows.select(key, F.inline(F.filter(tests, lambda t: t["reason"].isNotNull())))

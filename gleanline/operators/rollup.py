@@ -129,3 +129,21 @@ def quota_ledger(calls: DataFrame, cap: int) -> DataFrame:
     plain = calls.select("account", F.col("call_no").cast("bigint").alias("call_no"), F.col("cost").cast("bigint").alias("cost"))
     ordered = plain.where("account is not null and cost is not null").repartition("account").sortWithinPartitions("account", "call_no", "cost")
     return ordered.mapInPandas(charge, f"account {kind}, call_no bigint, cost bigint, accepted boolean, used bigint")
+
+
+def spaced(requests: DataFrame, interval_s: float, key: str = "caller") -> DataFrame:
+    """When each request starts if starts of a caller are ``interval_s`` apart and each may start ``overshoot_s`` later than it might: ``start_s``.
+
+    As ``departures``, with the sum of the intervals and overshoots before a request in place of its turn.
+    """
+    order = Window.partitionBy(key).orderBy("arrival_s", "request_id")
+    late = F.coalesce(F.col("overshoot_s"), F.lit(0.0))
+    rows = requests.withColumns({"late": late}).withColumn("before", (F.row_number().over(order) - 1) * F.lit(float(interval_s)) + F.coalesce(F.sum("late").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    lag = F.max(F.col("arrival_s") - F.col("before")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("start_s", lag + F.col("before") + F.col("late")).drop("late", "before")
+
+
+def metric_sums(points: DataFrame, metrics: DataFrame, since: Column, until: Column) -> DataFrame:
+    """``metric, total, points`` of every metric over [since, until); one without points has a null total, not zero."""
+    inside = points.where((F.col("at") >= since) & (F.col("at") < until)).groupBy("metric").agg(F.sum("value").alias("total"), F.count("value").alias("points"))
+    return metrics.select("metric").distinct().join(inside, "metric", "left").select("metric", "total", F.coalesce("points", F.lit(0)).alias("points"))

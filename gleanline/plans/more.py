@@ -11,7 +11,7 @@ from gleanline.functions import noise
 from gleanline.functions import normalize as N
 from gleanline.functions import score as S
 from gleanline.functions import text as T
-from gleanline.operators import asof, catalog, extract, items, match, parse, rollup
+from gleanline.operators import asof, catalog, extract, items, match, parse, quality, rollup
 from gleanline.operators import lines as L
 from gleanline.operators import tables as TB
 from gleanline.plans.sql import fold
@@ -375,6 +375,62 @@ def x4_batches(spark: SparkSession, folder: str) -> DataFrame:
     return items.batches(_list(spark, folder), "list_id", "line_no").select("line_id", "batch")
 
 
+def n30_marks(spark: SparkSession, folder: str) -> DataFrame:
+    """Discounts and taxes as shares of a gate."""
+    rows = table(spark, folder, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", S.mark(F.col("l_discount") * 1000, F.lit(90.0), F.col("l_tax") > 0).alias("mark"), S.shown_number(F.col("l_extendedprice")).alias("shown"))
+
+
+def n35_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields of the catalog that break their contract."""
+    rules = {"recording_mbid": (F.col("recording_mbid"), "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), "isrc": (F.col("isrc"), "^[A-Z]{2}[A-Z0-9]{3}[0-9]{7}$"), "release_date": (F.col("release_date"), "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), "feed": (F.col("feed"), "^[a-z]+$")}
+    return quality.field_breaks(table(spark, folder, "seed_row"), "row_id", rules)
+
+
+def n36_unicode(spark: SparkSession, folder: str) -> DataFrame:
+    """What the engine knows of Unicode: a row for each check."""
+    checks = T.unicode_checks()
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(name).alias("name"), holds.alias("holds")) for name, holds in checks])))
+
+
+def s14_metric_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """Values by type over January, with a metric that has no points."""
+    events = table(spark, folder, "events").select(F.col("event_type").alias("metric"), F.col("ts").alias("at"), "value")
+    metrics = events.select("metric").unionByName(spark.createDataFrame([("never",)], "metric string"))
+    sums = rollup.metric_sums(events, metrics, F.lit("2024-01-01").cast("timestamp"), F.lit("2024-02-01").cast("timestamp"))
+    return sums.select("metric", F.round("total", 4).alias("total"), "points")
+
+
+def w3_spaced(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of a user as requests half an hour apart that start up to 9 minutes late."""
+    rows = table(spark, folder, "events").select("event_id", F.col("event_id").alias("request_id"), F.col("user_id").alias("caller"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("arrival_s"), (F.col("event_id") % 10 * 60.0).alias("overshoot_s"))
+    return rollup.spaced(rows, 1800.0).select("event_id", F.round("start_s", 3).alias("start_s"))
+
+
+def l6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The first ten lines of each list, for a report."""
+    return items.first_of(_list(spark, folder), "list_id", ["line_no"], 10).select("line_id", "nth")
+
+
+def l8_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """Five lines of each list drawn by digest."""
+    return items.sampled(_list(spark, folder), "list_id", "line_id", 5).select("line_id", "nth")
+
+
+def f15_truth(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "printed_case").select("case_no", items.truth_of(F.col("expected")).alias("t"))
+    return rows.select("case_no", F.size("t").alias("n"), F.array_join(F.transform("t", lambda x: x["title"]), "|").alias("titles"))
+
+
+def g17_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Cases as images: their lines read without the first, their items without the last."""
+    cases = table(spark, folder, "printed_case").select(F.col("case_no").alias("image_id"), F.split("text", "\n", -1).alias("lines"), F.col("expected").alias("items"))
+    n, m = F.size("lines"), F.size("items")
+    readings = cases.select("image_id", F.slice("lines", 2, F.greatest(n - 1, F.lit(0))).alias("lines"), F.slice("items", 1, F.greatest(m - 1, F.lit(0))).alias("items"), F.lit(0.5).alias("least"))
+    scores = quality.score_images(cases, stores.paired_readings(cases, readings))
+    return scores.select("image_id", (F.col("cer") == 0).alias("exact"), *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "empty", "fallback")
+
+
 def x18_due(spark: SparkSession, folder: str) -> DataFrame:
     """Orders due within a week of a day."""
     return table(spark, folder, "orders").where("cast(o_orderdate as date) between date'1995-03-01' and date'1995-03-07'").select("o_orderkey")
@@ -392,7 +448,7 @@ QUERIES = {
         n2_strip, n3_document, n10_credits, n11_marked_titles, n15_strip_chars, n16_sha256, n17_spans, n18_merged_hints, n20_canonical_json, n29_share_pct, n31_in_basis, n33_large_events, n35_field_checks,
         a1_prefixes, a2_suffixes, a9_truth_first, t1_cells, t2_header_fields, v1_coverage, v2_grounded, k4_artist_similarity, k7_match_score, j2_cache_lookup, j4_fallback, j6_nearest_before, j7_alias_lookup,
         j12_semi, j14_absorb, j15_set_difference, f9_residual_text, f10_review_queue, f11_alternates, f13_seed_worthy, f16_needs_fallback, f19_view, g9_over_budget, g20_tally, g22_status_counts, s17_report_rows,
-        w9_alarm_ordinals, w10_first_match, l4_binds_first, o1_array_sets, o5_corpora, x2_cache_expiry, f17_autonomous, f20_wire, x4_batches, x8_error_kinds, x9_batches, x14_noise, x18_due,
+        w9_alarm_ordinals, w10_first_match, l4_binds_first, o1_array_sets, o5_corpora, x2_cache_expiry, n30_marks, n35_breaks, n36_unicode, s14_metric_sums, w3_spaced, l6_report, l8_sample, f15_truth, g17_images, f17_autonomous, f20_wire, x4_batches, x8_error_kinds, x9_batches, x14_noise, x18_due,
     )
 }
 
@@ -403,6 +459,13 @@ def _strip(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '^[{_SPACES}]+', ''), '[{_SPACES}]+$', '')"
 
 
+_FLAT = r"trim(regexp_replace(array_to_string({0}, ' '), '[\x09-\x0d\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
+_IMAGES = f"""with c as (select case_no as image_id, string_split(text, chr(10)) as l, list_transform(expected, lambda x: lower(trim(x.title)) || '|' || lower(trim(coalesce(x.artist, '')))) as e from printed_case),
+    r as (select image_id, {_FLAT.format('l')} as a, {_FLAT.format('l[2:]')} as b, list_distinct(e) as w, list_distinct(e[1:len(e) - 1]) as g from c), s as (select *, len(list_intersect(w, g)) as tp from r),
+    p as (select *, case when len(g) > 0 then tp / len(g) else 1.0 end as pr, case when len(w) > 0 then tp / len(w) else 1.0 end as rc from s)
+    select image_id, a = b as exact, round(pr, 9)::double as precision, round(rc, 9)::double as recall, round(case when tp > 0 then 2 * pr * rc / (pr + rc) else 0 end, 9)::double as f1, a <> '' and b = '' as empty, true as fallback from p"""
+
+
 def _draw(seed: str, at: str) -> str:
     return f"(cast('0x' || substr(md5('{seed}|' || title || '|' || ({at})), 1, 6) as int) / 16777216.0)"
 
@@ -484,6 +547,21 @@ ORACLES = {
     "f17_autonomous": "select line_id, coalesce(confidence >= 0.8 and parser is distinct from 'tab', false) as autonomous from list_line",
     "f20_wire": """select line_id, cast(to_json(struct_pack(artist := artist, parser := parser, qualifiers := list_sort(list_distinct(coalesce(hints.qualifiers, []))), title := title)) as varchar) as wire from list_line""",
     "x4_batches": "select line_id, cast(floor((row_number() over (partition by list_id order by line_no) - 1) / 200) as int) as batch from list_line",
+    "n30_marks": """select l_orderkey, l_linenumber, case when l_tax <= 0 then '·' when l_discount * 1000 > 90 then 'FAIL' when l_discount * 1000 > 90 * (2.0 / 3.0) then 'watch' else 'ok' end as mark,
+        case when l_extendedprice >= 1000 then format('{:,.0f}', round_even(l_extendedprice, 0)) else regexp_replace(printf('%.2f', l_extendedprice), '\\.00$', '') end as shown from lineitem""",
+    "n35_breaks": """with r as (select row_id, unnest([{'f': 'recording_mbid', 'v': recording_mbid, 'p': '^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$'}, {'f': 'isrc', 'v': isrc, 'p': '^[A-Z]{2}[A-Z0-9]{3}[0-9]{7}$'},
+        {'f': 'release_date', 'v': release_date, 'p': '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'}, {'f': 'feed', 'v': feed, 'p': '^[a-z]+$'}]) as t from seed_row)
+        select row_id, t.f as field, case when t.v is null then 'missing' else 'shape' end as reason from r where t.v is null or not regexp_matches(t.v, t.p)""",
+    "n36_unicode": "select name, true as holds from (values " + ", ".join(f"('{name}')" for name, _ in (("a Greek capital is an upper-case letter", 1), ("Cyrillic is a letter", 1), ("an ideograph is a letter", 1), ("an Arabic-Indic digit is a number", 1), ("a separator is a control", 1), ("a hyphen is no letter", 1), ("looking behind works", 1), ("lengths count code points", 1))) + ") t(name)",
+    "s14_metric_sums": """with m as (select distinct event_type as metric from events union all select 'never'), s as (select event_type as metric, round(sum(value), 4) as total, count(value) as points from events where ts >= timestamp '2024-01-01' and ts < timestamp '2024-02-01' group by 1)
+        select metric, total, coalesce(points, 0) as points from m left join s using (metric)""",
+    "w3_spaced": """with recursive r as (select event_id, user_id, epoch_us(ts) / 1e6 as a, event_id % 10 * 60.0 as o, row_number() over (partition by user_id order by ts, event_id) as k from events),
+        walk as (select event_id, user_id, k, cast(a + o as double) as s from r where k = 1 union all select r.event_id, r.user_id, r.k, cast(greatest(r.a, w.s + 1800.0) + r.o as double) from walk w join r on r.user_id = w.user_id and r.k = w.k + 1)
+        select event_id, round(s, 3) as start_s from walk""",
+    "l6_report": "select line_id, cast(row_number() over (partition by list_id order by line_no) as int) as nth from list_line qualify nth <= 10",
+    "l8_sample": "select line_id, cast(row_number() over (partition by list_id order by md5('sample|' || line_id), line_id) as int) as nth from list_line qualify nth <= 5",
+    "f15_truth": "select case_no, cast(len(t) as int) as n, array_to_string(list_transform(t, lambda x: x.title), '|') as titles from (select case_no, list_filter(expected, lambda x: x.title is not null and x.title <> '') as t from printed_case)",
+    "g17_images": _IMAGES,
     "x9_batches": "select list_id, p as provider, cast(ceil(n / s) as bigint) as batches from (select list_id, count(*) as n from list_line group by 1), (values ('one', 1.0), ('ten', 10.0), ('hundred', 100.0)) v(p, s)",
     "x14_noise": _NOISY,
     "x18_due": "select o_orderkey from orders where cast(o_orderdate as date) between date '1995-03-01' and date '1995-03-07'",

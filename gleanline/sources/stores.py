@@ -140,3 +140,19 @@ def yaml_budget(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
             limits.append((name, scope, basis, float(entry["total"])))
             splits += [(name, env, float(share)) for env, share in entry["split"].items()]
     return spark.createDataFrame(limits, "limit_name string, scope string, basis string, total double"), spark.createDataFrame(splits, "limit_name string, env string, allowance double")
+
+
+def paired_readings(truths: DataFrame, readings: DataFrame, key: str = "image_id") -> DataFrame:
+    """Readings of images that the manifest knows.  No reading at all is an error, not a pass."""
+    known = readings.join(truths.select(key).distinct(), key, "left_semi")
+    if known.isEmpty():
+        raise ValueError("no readings for any image of the manifest")
+    return known
+
+
+def schema_drift(frame: DataFrame, snapshot: str) -> list[str]:
+    """Differences between a frame's schema and a snapshot of one (its JSON), field by field; none for equal ones."""
+    kept = {f["name"]: f for f in json.loads(snapshot)["fields"]}
+    now = {f["name"]: f for f in json.loads(frame.schema.json())["fields"]}
+    said = [f"{name} is gone" for name in kept if name not in now] + [f"{name} is new" for name in now if name not in kept]
+    return said + [f"{name} has changed" for name in now if name in kept and (now[name]["type"], now[name]["nullable"]) != (kept[name]["type"], kept[name]["nullable"])]

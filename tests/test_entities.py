@@ -331,3 +331,52 @@ def test_cache_as_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "answers"))
     got = {(r.cache_key, r.recording_id) for r in flows.replay(flows.first_answers(stream)).collect()}
     assert got == {("k", 1), ("m", 9), ("k", 4), ("m", 8)}
+
+
+def test_images_are_graded_row_by_row(spark):
+    kind = "image_id int, lines array<string>, items array<struct<title:string,artist:string>>"
+    truths = spark.createDataFrame([(1, ["One", "Two"], [("a", "b"), ("c", None)]), (2, ["x"], []), (3, [" "], None), (4, None, None), (5, ["abcd"], [("t", "u")])], kind)
+    readings = spark.createDataFrame([(1, ["one", "Two"], [("A ", "b")], 0.9), (2, [], [], None), (3, [], None, None), (9, ["z"], [], 1.0), (5, ["abcd"], [("t", "u")], 0.9)], kind + ", least double").withColumn("w", F.lit(1))
+    got = {r.image_id: r for r in Q.score_images(truths, stores.paired_readings(truths, readings)).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and (got[1].precision, got[1].recall, got[1].fallback, got[1].empty) == (1.0, 0.5, False, False)
+    assert round(got[1].cer, 4) == round(1 / 7, 4) and got[2].empty and not got[3].empty and got[2].fallback and got[5].cer == 0 and got[5].f1 == 1
+    with pytest.raises(ValueError, match="no readings"):
+        stores.paired_readings(truths, readings.where("image_id = 9"))
+
+
+def test_small_report_functions(spark):
+    from gleanline.functions import score as S
+    from gleanline.functions import text as T
+
+    numbers = [(0.0, "0"), (12345.6, "12,346"), (12.0, "12"), (12.345, "12.35"), (0.0077, "0.0077"), (0.51234, "0.51"), (float("inf"), "∞")]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n, _ in numbers], "v double").select(S.shown_number(F.col("v"))).collect()]
+    assert got == [text for _, text in numbers]
+    assert [r[0] for r in spark.createDataFrame([(95.0, True), (61.0, True), (60.0, True), (99.0, False)], "p double, m boolean").select(S.mark(F.col("p"), F.lit(90.0), F.col("m"))).collect()] == ["FAIL", "watch", "ok", "·"]
+    assert all(r for r in spark.range(1).select(*[holds for _, holds in T.unicode_checks()]).first())
+    frame = spark.createDataFrame([(1, "a")], "id int, name string")
+    assert stores.schema_drift(frame, frame.schema.json()) == []
+    assert stores.schema_drift(frame.withColumn("id", F.lit("x")).withColumnRenamed("name", "title"), frame.schema.json()) == ["name is gone", "title is new", "id has changed"]
+
+
+def test_spaced_starts_by_loop(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randint(1, 3), float(rng.randint(0, 500)), float(rng.randint(0, 9)) if rng.random() < 0.8 else None) for i in range(200)]
+    got = {r.request_id: r.start_s for r in R.spaced(spark.createDataFrame(rows, "request_id int, caller int, arrival_s double, overshoot_s double"), 10.0).collect()}
+    last, want = {}, {}
+    for i, caller, at, late in sorted(rows, key=lambda r: (r[2], r[0])):
+        last[caller] = max(at, last.get(caller, float("-inf")) + 10.0) + (late or 0.0)
+        want[i] = last[caller]
+    assert got == pytest.approx(want)
+
+
+def test_noise_keeps_what_it_says(spark):
+    from gleanline.functions import noise as Z
+
+    texts = ["Hello wide world", "", "  ", "two\nlines", None, "é🎵x", "a" * 2000]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for change, plain in ((Z.zero_width(F.col("t"), rate=0.5), lambda s: "".join(c for c in s if c not in Z.ZERO_WIDTH)), (Z.recase(F.col("t"), "turns"), str.lower), (Z.ragged(F.col("t"), rate=0.9), lambda s: "\n".join(x.strip() for x in s.split("\n")))):
+        got = [r[0] for r in frame.select(change).collect()]
+        assert [g is None for g in got] == [t is None for t in texts]
+        assert all(plain(g) == plain(t) for g, t in zip(got, texts, strict=True) if t is not None)
+    typed = [r[0] for r in frame.select(Z.typos(F.col("t"), rate=0.5)).collect()]
+    assert typed[3].count("\n") == 1 and typed[0] != texts[0] and typed[1] == "" and typed == [r[0] for r in frame.select(Z.typos(F.col("t"), rate=0.5)).collect()]
