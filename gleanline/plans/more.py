@@ -197,11 +197,13 @@ def j2_cache_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j4_fallback(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers with a large order, and for those without one any order."""
-    orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    best = orders.where("o_totalprice > 200000").groupBy("o_custkey").agg(F.min("o_orderkey").alias("order_key")).withColumn("source", F.lit("primary"))
-    rest = orders.join(best.select("o_custkey"), "o_custkey", "left_anti").groupBy("o_custkey").agg(F.min("o_orderkey").alias("order_key")).withColumn("source", F.lit("fallback"))
-    return best.unionByName(rest)
+    """Inputs by text against one provider's recordings, and against the others' where that one proposes nothing; lengths left out."""
+    none = F.lit(None).cast("double")
+    key = lambda rows: rows.withColumns({"ftitle": N.fold(F.col("title")), "fartist": N.fold(F.col("artist")), "duration_s": none})
+    inputs = key(table(spark, folder, "match_input").select(F.col("input_id").alias("item_id"), "title", "artist", "qualifiers").distinct())
+    listed = key(table(spark, folder, "candidate").select(F.col("candidate_id").alias("recording_id"), "provider", "title", "artist", "qualifiers", "popularity", F.col("candidate_id").alias("pos")))
+    first = F.col("provider") == "nimbus"
+    return match.by_text(inputs, listed.where(first), listed.where(~first)).withColumn("score", F.round("score", 9))
 
 
 def j6_nearest_before(spark: SparkSession, folder: str) -> DataFrame:
@@ -466,6 +468,27 @@ _IMAGES = f"""with c as (select case_no as image_id, string_split(text, chr(10))
     select image_id, a = b as exact, round(pr, 9)::double as precision, round(rc, 9)::double as recall, round(case when tp > 0 then 2 * pr * rc / (pr + rc) else 0 end, 9)::double as f1, a <> '' and b = '' as empty, true as fallback from p"""
 
 
+_TOKENS = "list_distinct(list_filter(string_split({0}, ' '), lambda x: x <> ''))"
+_SHARED = "case when len({0}) = 0 and len({1}) = 0 then 1.0 when len({0}) = 0 or len({1}) = 0 then 0.0 else len(list_intersect({0}, {1})) / least(len({0}), len({1})) end"
+_MISSING = "len(list_filter(list_distinct({0}), lambda x: not list_contains({1}, x)))"
+
+
+def _side(key: str, kind: str, popularity: str, name: str) -> str:
+    return f"coalesce(qualifiers, []) as q from (select distinct {key} as id, {kind} as kind, title, artist, qualifiers, {popularity} as pop, {fold('title')} as t, {fold('artist')} as a from {name})"
+
+
+_MEET = f"""select i.id as item_id, c.id as recording_id, c.pop, case when len(i.tt) > 0 and len(list_intersect(i.tt, c.tt)) > 0 then 1 else 0 end as shares, {_MISSING.format('c.q', 'i.q')} > 0 as unwanted,
+    {S.WEIGHTS['title']} * ({_SHARED.format('i.tt', 'c.tt')}) + {S.WEIGHTS['artist']} * (case when i.a is null or c.a is null then 0.5 when i.a = c.a then 1.0 else {_SHARED.format('i.at', 'c.at')} end)
+    + {S.WEIGHTS['length']} * 0.5 + {S.WEIGHTS['qualifiers']} * greatest(0.0, 1 - 0.25 * {_MISSING.format('i.q', 'c.q')} - 0.5 * {_MISSING.format('c.q', 'i.q')}) as s from i, c where i.t is not null and c.t is not null"""
+_PICK = "select item_id, recording_id, s, unwanted from {0} qualify row_number() over (partition by item_id order by round(s, 6) desc, coalesce(pop, 0) desc, recording_id) = 1"
+_FALLBACK = f"""with i as (select id, t, a, {_TOKENS.format('t')} as tt, coalesce({_TOKENS.format('a')}, []) as at, {_side('input_id', "'x'", '0.0', 'match_input')}),
+    k as (select id, kind, pop, t, a, {_TOKENS.format('t')} as tt, coalesce({_TOKENS.format('a')}, []) as at, {_side('candidate_id', 'provider', 'popularity', 'candidate')}),
+    p as (select * from ({_MEET.replace(' from i, c ', " from i, (select * from k where kind = 'nimbus') c ")}) where shares = 1 or s >= {S.NOT_FOUND} - 1e-9),
+    f as (select * from ({_MEET.replace(' from i, c ', " from (select * from i where id not in (select item_id from p)) i, (select * from k where kind <> 'nimbus') c ")}) where shares = 1 or s >= {S.NOT_FOUND} - 1e-9),
+    b as (select *, 'text' as source from ({_PICK.format('p')}) union all select *, 'fallback' from ({_PICK.format('f')}))
+    select item_id, recording_id, round(s, 9)::double as score, case when s >= {S.REVIEW} - 1e-12 and not unwanted then 'auto_accept' when s >= {S.NOT_FOUND} - 1e-12 then 'review' else 'not_found' end as verdict, source from b"""
+
+
 def _draw(seed: str, at: str) -> str:
     return f"(cast('0x' || substr(md5('{seed}|' || title || '|' || ({at})), 1, 6) as int) / 16777216.0)"
 
@@ -519,7 +542,7 @@ ORACLES = {
     "k7_match_score": "with r as (select l_orderkey, l_linenumber, round(0.5 * (l_discount * 10) + 0.3 * (l_tax * 12) + 0.1 * (l_quantity / 50) + 0.1, 9) as s from lineitem) select l_orderkey, l_linenumber, s as score, case when s >= 0.8 and l_linenumber <> 1 then 'auto_accept' when s >= 0.5 then 'review' else 'not_found' end as verdict from r",
     "j2_cache_lookup": f"""with c as (select {_ISRC.format('isrc')} as code, row_id, harvested_at from seed_row), k as (select code, max_by(row_id, (harvested_at, row_id)) as recording_id, max(harvested_at) as made_at from c where code is not null group by 1),
         i as (select distinct input_id as item_id, {_ISRC.format('isrc')} as code from match_input) select item_id, recording_id from i join k using (code) where made_at + interval 30 day > timestamp '2026-01-15'""",
-    "j4_fallback": "select o_custkey, coalesce(min(o_orderkey) filter (where o_totalprice > 200000), min(o_orderkey)) as order_key, case when count(*) filter (where o_totalprice > 200000) > 0 then 'primary' else 'fallback' end as source from orders group by 1",
+    "j4_fallback": _FALLBACK,
     "j6_nearest_before": "with e as (select event_id, user_id, epoch_us(ts) as at from events), p as (select user_id, epoch_us(ts) as at, max(value) as v from events where event_type = 'purchase' group by 1, 2) select event_id, round(p.v, 6) as last_value from e asof left join p on e.user_id = p.user_id and e.at >= p.at",
     "j7_alias_lookup": f"with a(label, field) as (values {_ALIASES}), n as (select case_no, unnest(map_keys(column_map)) as label, unnest(map_values(column_map)) as pos from table_spec) select case_no, label, field, pos from n join a using (label)",
     "j12_semi": "select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'O')",
