@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanline.functions import score as S
@@ -126,17 +126,11 @@ def j1_isrc_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return M.by_isrc(items, listed)
 
 
-def _part_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    parts = table(spark, folder, "part").select("p_name", "p_brand").distinct()
-    left = parts.select(F.col("p_name").alias("a_name"), F.col("p_brand").alias("a_brand"))
-    right = parts.select(F.col("p_name").alias("b_name"), F.col("p_brand").alias("b_brand"))
-    return left.join(right, F.col("a_brand") == F.col("b_brand"))
-
-
 def k3_token_set_ratio(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _part_pairs(spark, folder)
-    ratio = S.token_set_ratio(T.tokens(F.col("a_name")), T.tokens(F.col("b_name")))
-    return rows.select("a_brand", "a_name", "b_name", ratio.alias("ratio"))
+    """Each part's name beside that of its brand's next part."""
+    after = F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    rows = table(spark, folder, "part").select("p_partkey", "p_name", after.alias("next_name")).where("next_name is not null")
+    return rows.select("p_partkey", S.token_set_ratio(T.tokens(F.col("p_name")), T.tokens(F.col("next_name"))).alias("ratio"))
 
 
 def k5_length_similarity(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,12 +139,10 @@ def k5_length_similarity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def k6_qualifier_similarity(spark: SparkSession, folder: str) -> DataFrame:
-    none = F.array().cast("array<string>")
-    a = table(spark, folder, "candidate").where("size(qualifiers) > 0").select(F.array_join(F.array_sort("qualifiers"), ",").alias("offered")).distinct()
-    b = table(spark, folder, "match_input").where("size(qualifiers) > 0").select(F.array_join(F.array_sort("qualifiers"), ",").alias("wanted")).distinct()
-    pairs = b.join(a, F.substring("wanted", 1, 1) >= F.substring("offered", 1, 1))
-    split = lambda c: F.coalesce(F.split(c, ","), none)
-    return pairs.select("wanted", "offered", S.qualifier_similarity(split("wanted"), split("offered")).alias("similarity"))
+    """Each recording's qualifiers as wanted, beside those of the next recording as offered."""
+    rows = table(spark, folder, "candidate").select("candidate_id", F.coalesce("qualifiers", F.array().cast("array<string>")).alias("wanted"))
+    after = rows.select((F.col("candidate_id") - 1).alias("candidate_id"), F.col("wanted").alias("offered"))
+    return rows.join(after, "candidate_id").select("candidate_id", S.qualifier_similarity(F.col("wanted"), F.col("offered")).alias("similarity"))
 
 
 def _confidence(rows: DataFrame) -> DataFrame:
@@ -371,12 +363,11 @@ ORACLES = {
     "g21_over_allocated": f"with limits as (select limit_name, case limit_name when 'traces' then 60000.0::double else total end as total from {_values(_LIMITS, 'limit_name, scope, basis, total')}), s as (select limit_name, sum(allowance) as shared from {_values(_SPLITS, 'limit_name, env, allowance')} group by 1) select limit_name, total, shared from limits join s using (limit_name) where shared > total",
     "j1_isrc_lookup": r"""with i as (select distinct input_id as item_id, upper(regexp_replace(isrc, '[\s\-]+', '', 'g')) as isrc from match_input), c as (select upper(regexp_replace(isrc, '[\s\-]+', '', 'g')) as isrc, min(row_id) as recording_id from seed_row group by 1)
         select item_id, recording_id, 1.0::double as score, 'auto_accept' as verdict from i join c using (isrc) where regexp_full_match(isrc, '[A-Z]{2}[A-Z0-9]{3}[0-9]{7}')""",
-    "k3_token_set_ratio": """with p as (select distinct p_name, p_brand from part), t as (select a.p_brand as a_brand, a.p_name as a_name, b.p_name as b_name, list_distinct(string_split(a.p_name, ' ')) as x, list_distinct(string_split(b.p_name, ' ')) as y from p a join p b on a.p_brand = b.p_brand)
-        select a_brand, a_name, b_name, cast(len(list_intersect(x, y)) as double) / least(len(x), len(y)) as ratio from t""",
+    "k3_token_set_ratio": """with p as (select p_partkey, p_name, lead(p_name) over (partition by p_brand order by p_partkey) as n from part), t as (select p_partkey, list_distinct(string_split(p_name, ' ')) as x, list_distinct(string_split(n, ' ')) as y from p where n is not null)
+        select p_partkey, cast(len(list_intersect(x, y)) as double) / least(len(x), len(y)) as ratio from t""",
     "k5_length_similarity": "with g as (select l_orderkey, l_linenumber, abs(l_quantity - l_discount * 400) as gap from lineitem) select l_orderkey, l_linenumber, round(case when gap is null then 0.5 when gap <= 3 then 1 else greatest(0, 1 - (gap - 3) / 9) end, 9) as similarity from g",
-    "k6_qualifier_similarity": """with a as (select distinct array_to_string(list_sort(qualifiers), ',') as offered from candidate where len(qualifiers) > 0), b as (select distinct array_to_string(list_sort(qualifiers), ',') as wanted from match_input where len(qualifiers) > 0),
-        p as (select wanted, offered, string_split(wanted, ',') as w, string_split(offered, ',') as o from b join a on substring(wanted, 1, 1) >= substring(offered, 1, 1))
-        select wanted, offered, cast(greatest(0, 1 - 0.25 * len(list_filter(w, lambda x: not list_contains(o, x))) - 0.5 * len(list_filter(o, lambda x: not list_contains(w, x)))) as double) as similarity from p""",
+    "k6_qualifier_similarity": """with c as (select candidate_id, list_distinct(coalesce(qualifiers, [])) as q from candidate), p as (select a.candidate_id, a.q as w, b.q as o from c a join c b on b.candidate_id = a.candidate_id + 1)
+        select candidate_id, cast(greatest(0, 1 - 0.25 * len(list_filter(w, lambda x: not list_contains(o, x))) - 0.5 * len(list_filter(o, lambda x: not list_contains(w, x)))) as double) as similarity from p""",
     "k1_confidence": r"""select line_id, round(least(1.0, greatest(0.0, case parser when 'csv' then 0.97 when 'csv_headerless' then 0.8 when 'quoted' then 0.95 when 'by' then 0.92 when 'dash' then 0.9 when 'tab' then 0.93 else 0.55 end
         + case when coalesce(artist, '') = '' then -0.25 else 0 end + case when len(string_split(trim(regexp_replace(title, '\s+', ' ', 'g')), ' ')) = 1 and trim(title) <> '' then -0.05 else 0 end + case when not regexp_matches(title, '[\p{L}\p{N}]') then -0.35 else 0 end
         + case when regexp_full_match(upper(regexp_replace(hints.isrc, '[\s\-]+', '', 'g')), '[A-Z]{2}[A-Z0-9]{3}[0-9]{7}') then 0.03 else 0 end + case when hints.list_pos is not null then 0.02 else 0 end))::double, 9) as confidence from list_line where title is not null""",
