@@ -361,10 +361,10 @@ def _repair_layers(line: str) -> tuple[str, int]:
     return (_layers_remembered if len(line) <= 1000 else _layers_undone)(line)
 
 
-#: Lines of these characters alone, without a pair that UTF-8 read wrongly makes and without four accented letters
-#: side by side, show no garbling; most lines are.
+#: Lines of these characters alone, without a pair that UTF-8 read wrongly makes, without four accented letters side by
+#: side and without one at every other place, show no garbling; most lines are.
 _PLAIN = re.compile("[\x00-\x7fáéíóúýàâêôèëîïûœäöüßñçãõÁÉÍÓÚÀÂÊÈÄÖÜÑÇÃÕěščřžůťďň«»¿¡“”„’–—…€♭♯→]*")
-_PAIRED = re.compile("[À-ÿ][\x80-\xbf‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸ€]|[à-ÿÀ-ß]{4}")
+_PAIRED = re.compile(r"[À-ÿ][\x80-\xbf‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸ€]|[à-ÿÀ-ß]{4}|([À-ÿ]).\1.\1")
 
 
 def _is_plain(line: str) -> bool:

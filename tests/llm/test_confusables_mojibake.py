@@ -1,4 +1,5 @@
 import itertools
+import re
 import unicodedata
 
 import pytest
@@ -145,3 +146,17 @@ def test_what_is_half_restored_is_not_complete():
 def test_loss_is_a_rule_of_its_own():
     assert M.shows_loss("d?j? vu caf?s na?ve gar?on") is True and M.shows_loss("why? not") is False
     assert M.shows_loss("D�j� vu") and M.shows_loss("a\x81\x8db") and not M.shows_loss("Déjà vu")
+
+
+def test_gates_lose_nothing(monkeypatch):
+    texts = set(TEXTS) | {"Überall Größe", "naïve café", "Příliš žluťoučký kůň", "Щука ела ёжика", "Ξύλινη λίμνη της Αθήνας"}
+    for text, right, wrong in itertools.product(sorted(texts), ["utf-8", "cp1250", "cp1251", "cp1252", "koi8-r", "cp932"], ["latin-1", "cp1252", "cp1251", "mac_roman", "cp437", "cp932"]):
+        try:
+            texts.add(text.encode(right).decode(wrong))
+        except UnicodeError:
+            continue
+    texts = sorted(texts | {f"plain line\n{t}\nanother line" for t in texts})
+    gated = [M.repair(t) for t in texts]
+    assert all(re.search(M.SUSPECT, t) for t, r in zip(texts, gated, strict=True) if r[0])
+    monkeypatch.setattr(M, "_is_plain", lambda line: line.isascii())
+    assert [t for t, r in zip(texts, gated, strict=True) if M.repair(t) != r] == []
