@@ -65,14 +65,10 @@ def recode(run: str, wrong: str) -> bytes | None:
             return run.encode(wrong)
         except UnicodeEncodeError:
             return None
-    table, _ = _tables(wrong)
-    out = bytearray()
-    for char in run:
-        byte = ord(char) if ord(char) < 128 else table.get(ord(char))
-        if byte is None:
-            return None
-        out.append(byte)
-    return bytes(out)
+    table, chars = _tables(wrong)
+    if not {c for c in run if c >= "\x80"} <= chars:
+        return None
+    return run.translate(table).encode("latin-1")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -308,8 +304,11 @@ def _repair_line(line: str) -> tuple[str, int]:
     before = cost(line)
     if before <= 1.12 * len(odd):
         return line, 0
+    encoded: dict[str, bytes | None] = {}
     for wrong, right in OTHER_PAIRS:
-        data = recode(line, wrong)
+        if wrong not in encoded:
+            encoded[wrong] = recode(line, wrong)
+        data = encoded[wrong]
         if data is None:
             continue
         try:
