@@ -17,7 +17,7 @@ from gleanline.functions.normalize import fold, normalize_document
 from gleanline.operators import lines as L
 from gleanline.operators import parse as P
 from gleanline.operators import tables as TB
-from gleanline.session import cut
+from gleanline.session import cut, merged
 
 # Fixed values of grounding, orientation and rescue.
 TITLE_COVERAGE, ARTIST_COVERAGE, MAX_SPAN, MAX_TITLE = 0.7, 0.6, 400, 300
@@ -70,7 +70,7 @@ def orientation(matches: DataFrame, kinds: DataFrame) -> DataFrame:
     cue = F.when(F.col("parser").isin("by", "quoted"), 1)
     seen = matches.where("parser in ('by', 'quoted', 'dash')").withColumns({"l": fold(F.coalesce("left", "title")), "r": fold(F.coalesce("right", "artist"))})
     signals = seen.groupBy("doc_id").agg(F.sum(cue).alias("cues"), F.count("*").alias("n"), F.countDistinct("l").alias("lefts"), F.countDistinct("r").alias("rights"))
-    joined = kinds.where("source_kind is not null").join(signals, "doc_id", "left")
+    joined = kinds.where("source_kind is not null").join(merged(signals), "doc_id", "left")
     repeats = (F.col("n") >= 2) & (F.col("lefts") != F.col("rights"))
     way = lambda first: F.when(first, "artist_first").otherwise("title_first")
     said = (
@@ -86,7 +86,7 @@ def oriented(matches: DataFrame, verdicts: DataFrame) -> DataFrame:
 
     A title that carries a version mark stays the title, since marks say which side it is.
     """
-    joined = matches.join(verdicts.select("doc_id", "orientation", "emit_alternate"), "doc_id", "left")
+    joined = matches.join(merged(verdicts.select("doc_id", "orientation", "emit_alternate")), "doc_id", "left")
     now = F.when(F.col("left").isNotNull() & (F.col("parser") == "dash"), F.when(F.col("artist") == F.col("left"), "artist_first").otherwise("title_first"))
     plain = (F.size("qualifiers") == 0) & (F.size("featured") == 0) & F.col("version_label").isNull() & F.col("artist").isNotNull()
     turn = F.coalesce((now != F.col("orientation")) & plain, F.lit(False))
@@ -105,7 +105,7 @@ def dedupe(items: DataFrame) -> DataFrame:
     scalars, arrays = ["album", "isrc", "duration_s", "release_year", "version_label", "position", "timestamp_s"], ["featured", "qualifiers"]
     span = F.struct(F.col("span_start").alias("start"), F.col("span_end").alias("end"))
 
-    def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
+    def united_by(rows: DataFrame, keys: list[str]) -> DataFrame:
         """Each group's first row by rank, scalars filled from the next ones, arrays united."""
         order = F.struct("rank", "span_start")
         filled = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in scalars]
@@ -120,12 +120,12 @@ def dedupe(items: DataFrame) -> DataFrame:
         "key": T.recording_key(F.col("ftitle"), F.col("fartist"), F.col("qualifiers")),
         "duplicates": none, "first_start": F.col("span_start"), "rank": -F.col("confidence"),
     })
-    single = merged(ranked, ["doc_id", "key"])
+    single = united_by(ranked, ["doc_id", "key"])
     attributed = single.where("artist is not null").groupBy("doc_id", "ftitle").agg(F.count("*").alias("n"), F.min("key").alias("host")).where("n = 1").drop("n")
-    hosted = single.join(attributed, ["doc_id", "ftitle"], "left")
+    hosted = single.join(merged(attributed), ["doc_id", "ftitle"], "left")
     hosted = hosted.withColumns({"host": F.when(F.col("artist").isNull() & F.col("host").isNotNull(), F.col("host")).otherwise(F.col("key")), "rank": F.when(F.col("artist").isNull() & F.col("host").isNotNull(), 1.0).otherwise(0.0)})
     hosted = hosted.withColumn("first_start", F.when(F.col("rank") == 0.0, F.col("first_start")))  # the host keeps its own place
-    return merged(hosted, ["doc_id", "host"]).withColumnRenamed("host", "key")
+    return united_by(hosted, ["doc_id", "host"]).withColumnRenamed("host", "key")
 
 
 def extract(documents: DataFrame, kinds: DataFrame | None = None, limit: int | None = L.MAX_BYTES) -> Extraction:
@@ -143,21 +143,21 @@ def extract(documents: DataFrame, kinds: DataFrame | None = None, limit: int | N
     layout = cut(layout)
     table_rows = TB.read_rows(layout, rows)
     strict_n = parsed.where("strict is not null").groupBy("doc_id").agg(F.count("*").alias("strict_n"))
-    modes = shape.join(strict_n, "doc_id", "left").join(layout.select("doc_id", F.lit(True).alias("is_table"), "header_line"), "doc_id", "left")
+    modes = shape.join(merged(strict_n), "doc_id", "left").join(merged(layout.select("doc_id", F.lit(True).alias("is_table"), "header_line")), "doc_id", "left")
     rescue = F.col("list_shaped") & (F.col("content") > 0) & (F.coalesce("strict_n", F.lit(0)) / F.col("content") < RESCUE_BELOW)
     modes = modes.select("doc_id", F.coalesce("is_table", F.lit(False)).alias("is_table"), "header_line", F.coalesce(rescue, F.lit(False)).alias("rescue"))
     null = lambda kind: F.lit(None).cast(kind)
     line = F.coalesce(F.col("strict"), F.when(F.col("rescue"), F.col("bare")))
     lead = F.char_length(F.regexp_extract("line", f"^[{T.SPACE}]*", 0))
     start = (F.col("line_offset") + F.greatest(F.col("consumed"), lead)).cast("int")
-    from_lines = parsed.join(modes.where("not is_table"), "doc_id").withColumn("m", line).where("m is not null").select(
+    from_lines = parsed.join(merged(modes.where("not is_table")), "doc_id").withColumn("m", line).where("m is not null").select(
         "doc_id", "line_no", "m.*", null("string").alias("album"), "isrc", "duration_s", null("int").alias("release_year"), "position", "timestamp_s",
         (F.col("position").isNotNull() | F.col("timestamp_s").isNotNull()).alias("structured"), start.alias("span_start"), (start + F.char_length("core")).cast("int").alias("span_end"),
         T.slice_span(F.col("line"), (start - F.col("line_offset")).cast("int"), (start - F.col("line_offset") + F.char_length("core")).cast("int")).alias("span_text"),
     )
     bare_line = F.char_length(T.strip(F.col("line")))
     located = triaged.select("doc_id", "line_no", (F.col("line_offset") + lead).cast("int").alias("span_start"), (F.col("line_offset") + lead + bare_line).cast("int").alias("span_end"), T.strip(F.col("line")).alias("span_text"))
-    from_tables = table_rows.join(located, ["doc_id", "line_no"]).select(
+    from_tables = table_rows.join(merged(located), ["doc_id", "line_no"]).select(
         "doc_id", "line_no", "title", "artist", "parser", "ambiguous", "featured", "qualifiers", "version_label", null("string").alias("left"), null("string").alias("right"),
         "album", "isrc", "duration_s", "release_year", "position", null("int").alias("timestamp_s"), F.lit(True).alias("structured"), "span_start", "span_end", "span_text",
     )
@@ -168,7 +168,7 @@ def extract(documents: DataFrame, kinds: DataFrame | None = None, limit: int | N
     else:
         matches = matches.withColumns({"emit_alternate": F.lit(False), "oriented": F.lit(False)})
     # A span lies in its line, so its text came with it; of the document only the length is looked up.
-    spanned = matches.join(normal.select("doc_id", F.char_length("text").alias("n_chars")), "doc_id")
+    spanned = matches.join(merged(normal.select("doc_id", F.char_length("text").alias("n_chars"))), "doc_id")
     folded = spanned.withColumns({"fspan": fold(F.col("span_text")), "ftitle": fold(F.col("title")), "fartist": fold(F.col("artist"))})
     checked = cut(reject_reason(folded))
     good = checked.where("reason is null").withColumn(
@@ -179,11 +179,11 @@ def extract(documents: DataFrame, kinds: DataFrame | None = None, limit: int | N
     items = items.withColumn("alternate", swapped).drop("emit_alternate")
     rejected = checked.where("reason is not null").select("doc_id", "line_no", "title", "artist", "parser", "reason", "detail", "span_start", "span_end")
     claimed = checked.select("doc_id", "line_no").unionByName(modes.where("is_table and header_line is not null").select("doc_id", F.col("header_line").alias("line_no"))).distinct()
-    residual = triaged.where("not noise").join(claimed, ["doc_id", "line_no"], "left_anti").select("doc_id", "line_no", "line", "line_offset")
+    residual = triaged.where("not noise").join(merged(claimed), ["doc_id", "line_no"], "left_anti").select("doc_id", "line_no", "line", "line_offset")
     count = lambda frame, name: frame.groupBy("doc_id").agg(F.count("*").alias(name))
     stats = count(triaged, "lines_total")
     for frame, name in ((checked, "lines_parsed"), (residual, "lines_residual"), (good, "items_before_dedupe"), (items, "items_after_dedupe"), (rejected, "rejected")):
-        stats = stats.join(count(frame, name), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+        stats = stats.join(merged(count(frame, name)), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
     claimed_n, left_n = F.col("lines_parsed"), F.col("lines_residual")
     stats = stats.withColumn("coverage", F.coalesce(claimed_n / F.nullif(claimed_n + left_n, F.lit(0)), F.lit(1.0)))
     return Extraction(items, rejected, residual, stats)

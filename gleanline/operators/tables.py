@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from gleanline.functions import text as T
 from gleanline.functions.normalize import fold, peel_title
+from gleanline.session import merged
 
 # Fixed values of table detection.
 DELIMITERS = [",", "\t", ";", "|"]
@@ -83,9 +84,9 @@ def detect(triaged: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = candidate_rows(triaged)
     shapes = rows.groupBy("doc_id", "rank", "delim").agg(F.count("*").alias("n"), F.min("width").alias("width"), F.max("width").alias("widest"), F.min("line_no").alias("first"))
     content = triaged.where("not noise").groupBy("doc_id").agg(F.count("*").alias("content"))
-    fits = shapes.join(content, "doc_id").where((F.col("n") >= MIN_ROWS) & (F.col("n") == F.col("content")) & (F.col("width") == F.col("widest")) & F.col("width").between(2, MAX_COLUMNS))
+    fits = shapes.join(merged(content), "doc_id").where((F.col("n") >= MIN_ROWS) & (F.col("n") == F.col("content")) & (F.col("width") == F.col("widest")) & F.col("width").between(2, MAX_COLUMNS))
     chosen = fits.groupBy("doc_id").agg(F.min(F.struct("rank", "delim", "width", "first")).alias("c")).select("doc_id", "c.rank", "c.delim", "c.width", "c.first")
-    own = rows.select("doc_id", "rank", "line_no", "cells").join(chosen, ["doc_id", "rank"])
+    own = rows.select("doc_id", "rank", "line_no", "cells").join(merged(chosen), ["doc_id", "rank"])
     heads = own.where("line_no = first").select("doc_id", header_fields(F.col("cells")).alias("head"))
     has_title = F.map_contains_key("head", F.lit("title")) | (F.map_contains_key("head", F.lit("artist")) & (F.size("head") >= 2))
     heads = heads.withColumn("is_header", F.coalesce(has_title, F.lit(False)))
@@ -96,7 +97,7 @@ def detect(triaged: DataFrame) -> tuple[DataFrame, DataFrame]:
     columns = stats.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "n", "distinct_n", "is_isrc", "is_duration", "is_year"))).alias("cols"))  # at most 24 a document
     at_type = lambda f: F.element_at(F.transform(F.filter("cols", lambda c: c[f"is_{f}"] >= TYPED_SHARE), lambda c: c["at"]), 1)
     first_of = lambda f: F.when(F.exists("cols", lambda c: c[f"is_{f}"] >= TYPED_SHARE), at_type(f))
-    spec = chosen.join(heads, "doc_id").join(columns, "doc_id", "left")
+    spec = chosen.join(merged(heads), "doc_id").join(merged(columns), "doc_id", "left")
     spec = spec.withColumns({f"at_{f}": first_of(f) for f in TYPED})
     free = F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda i: ~F.coalesce(i == F.col("at_isrc"), F.lit(False)) & ~F.coalesce(i == F.col("at_duration"), F.lit(False)) & ~F.coalesce(i == F.col("at_year"), F.lit(False)))
     spec = spec.withColumn("free", free)
@@ -133,7 +134,7 @@ def read_rows(layout: DataFrame, rows: DataFrame) -> DataFrame:
 
     The header line and rows without a title are none.
     """
-    joined = rows.join(layout, "doc_id").where("header_line is null or line_no <> header_line")
+    joined = rows.join(merged(layout), "doc_id").where("header_line is null or line_no <> header_line")
     cell = lambda f: F.nullif(F.try_element_at("cells", F.try_element_at("columns", F.lit(f)) + 1), F.lit(""))
     read = joined.select("doc_id", "line_no", "header_line", "ambiguous", *[cell(f).alias(f) for f in ALIASES]).where("title is not null")
     read = read.withColumn("p", peel_title(F.col("title"))).withColumn("c", T.credits(F.col("artist"))).where("p.base <> ''")
