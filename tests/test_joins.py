@@ -29,3 +29,7 @@ def plans(spark, tmp_path_factory):
 
 def test_residual_broadcasts_no_table_that_grows_with_the_texts(plans):
     assert any("SortMergeJoin" in p for p in plans["residual"]) and not any("Broadcast" in p for p in plans["residual"])
+
+
+def test_items_broadcast_no_table_that_grows_with_the_texts(plans):
+    assert not any("Broadcast" in p for p in plans["steps"] + plans["items"] + plans["rejected"])
