@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanline.functions import text as T
-from gleanline.session import cut
+from gleanline.session import cut, merged
 
 FEATURING = r"(?i)(?<![\p{L}\p{N}_])(?:feat\.?|featuring|with)(?![\p{L}\p{N}_])"
 FEAT_JOIN = r"(?i)(?<![\p{L}\p{N}_])feat"
@@ -118,14 +118,16 @@ def covered_by(texts: DataFrame, ranges: DataFrame) -> DataFrame:
     """``text_id, font`` of each text that a font's code-point ranges cover wholly.
 
     ``texts(text_id, text)``, ``ranges(font, low, high)``.  Distinct characters meet the ranges through
-    blocks of 256 code points, an equi join.
+    blocks of 256 code points, an equi join; the fonts of each character are what may be
+    broadcast, never the texts: an outer join keeps to that side, and an inner one would be made of it by ``explode``.
     """
     chars = texts.where("text is not null").select("text_id", F.explode(F.array_distinct(F.split("text", ""))).alias("c")).where("c <> ''").select("text_id", F.ascii("c").alias("cp"))
     need = chars.groupBy("text_id").agg(F.count("*").alias("need"))
     blocks = ranges.withColumn("block", F.explode(F.sequence(F.shiftright("low", 8), F.shiftright("high", 8))))
     wanted = chars.select("cp", F.shiftright("cp", 8).alias("block")).distinct()
-    has = wanted.join(blocks, "block").where("cp between low and high").select("cp", "font").distinct()
-    return chars.join(has, "cp").groupBy("text_id", "font").agg(F.count("*").alias("have")).join(need, "text_id").where("have = need").select("text_id", "font")
+    has = wanted.join(blocks, "block").where("cp between low and high").groupBy("cp").agg(F.collect_set("font").alias("fonts"))
+    have = chars.join(has, "cp", "left").select("text_id", F.explode_outer("fonts").alias("font")).where("font is not null").groupBy("text_id", "font").agg(F.count("*").alias("have"))
+    return have.join(merged(need), "text_id").where("have = need").select("text_id", "font")
 
 
 def cyclic(edges: DataFrame, source: str = "task_id", target: str = "dep") -> DataFrame:
