@@ -43,3 +43,7 @@ def test_covered_never_broadcasts_the_characters_of_the_texts(spark, tmp_path):
     joins = [line for line in plan_of(got).splitlines() if "Join [" in line and "Join [block#" not in line]
     assert len(joins) == 2 and not any("Broadcast" in line for line in joins)
     assert {tuple(r) for r in got.collect()} == {(1, "latin"), (1, "cyrillic"), (2, "cyrillic"), (3, "cyrillic")}
+
+
+def test_stats_broadcast_no_table_that_grows_with_the_texts(plans):
+    assert any("SortMergeJoin" in p for p in plans["stats"]) and not any("Broadcast" in p for p in plans["stats"])
