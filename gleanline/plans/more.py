@@ -156,9 +156,10 @@ def v1_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _grounded(rows: DataFrame, fold: Callable[[Column], Column]) -> DataFrame:
+    both = F.concat_ws(" ", "title", "artist")
     folded = rows.where("title is not null").select(
         "line_id", "title", "artist", fold(F.col("title")).alias("ftitle"), fold(F.col("artist")).alias("fartist"),
-        fold(F.substring(F.concat_ws(" ", "title", "artist"), 4, 100000)).alias("fspan"), F.lit(0).alias("span_start"), (F.col("line_no") * 40).alias("span_end"), F.lit(2000).alias("n_chars"),
+        fold(both.substr(F.lit(4), F.char_length(both))).alias("fspan"), F.lit(0).alias("span_start"), (F.col("line_no").cast("bigint") * 40).alias("span_end"), F.lit(2000).alias("n_chars"),
     )
     return extract.reject_reason(folded).select("line_id", "reason")
 

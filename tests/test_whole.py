@@ -113,3 +113,11 @@ def test_lists_are_compared_whole(spark, small):
             hosts[r.list_id, fold(r.title)][fold(r.artist)] = r.line_id
     one = {key: min(x.line_id for x in lines if x.artist is not None and (x.list_id, fold(x.title)) == key) for key, names in hosts.items() if len(names) == 1}
     assert {r.line_id: r.host_id for r in whole(spark, small, "j14_absorb")} == {r.line_id: one[key] for r in lines if r.artist is None and (key := (r.list_id, fold(r.title))) in one}
+
+
+def test_grounding_of_far_lines_and_long_credits(spark, tmp_path):
+    long = " ".join(f"{i:020}" for i in range(9_000))
+    rows = [(1, 60_000_000, "Blue Room", "Ann Lee"), (2, 1, "Oh Blue Room Door Song", long), (3, 1, "Blue Room", None)]
+    spark.createDataFrame(rows, "line_id long, line_no int, title string, artist string").write.parquet(f"{tmp_path}/list_line.parquet")
+    got = {r.line_id: r.reason for r in whole(spark, str(tmp_path), "v2_grounded")}
+    assert got == {1: "span_out_of_range", 2: None, 3: "span_text_mismatch"}
