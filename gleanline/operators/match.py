@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,23 +23,87 @@ def _folded(rows: DataFrame, title: str, artist: str, prefix: str) -> DataFrame:
     return rows.withColumns({f"{prefix}title": fold(F.col(title)), f"{prefix}artist": fold(F.col(artist))})
 
 
-ITEM_BLOCK, CATALOG_BLOCK = 16_384, 65_536  # rows of a block: what one task holds and searches
+ITEM_BLOCK, CATALOG_BLOCK = 262_144, 2_097_152  # rows of a block: what one task holds and searches
+LONG = 200  # rows of a token from which those with no other token are left out first
+NEAR = 1e-6  # scores further apart are never equal
 
 
-def _postings(rows: Iterable[str | None]) -> dict[str, np.ndarray]:
-    """Row numbers of each token; an empty text has the empty token."""
-    found: dict[str, list[int]] = {}
-    for i, text in enumerate(rows):
-        if text is not None:
-            for token in set(text.split(" ")):
-                found.setdefault(token, []).append(i)
-    return {token: np.array(rows, dtype=np.int32) for token, rows in found.items()}
+def _tokens(texts: pa.ChunkedArray, known: pa.Array | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The dictionary of tokens, and rows and numbers of each row's different tokens, in order of row.
 
-
-def _shared(postings: dict[str, np.ndarray], text: str | None, n: int) -> np.ndarray:
-    """How many tokens of a text each row has."""
-    hit = [postings[token] for token in set(text.split(" ")) if token in postings] if text else []
-    return np.bincount(np.concatenate(hit), minlength=n) if hit else np.zeros(n, dtype=np.int64)
+    Tokens beyond ``known`` have numbers after its own; an empty text has the empty token, a null none.
+    """
+    split = pc.split_pattern(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, " ")
+    row, flat = pc.list_parent_indices(split).to_numpy().astype(np.int64), pc.list_flatten(split)
+    coded = pc.dictionary_encode(flat)
+    names, number = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    if known is not None:
+        at = pc.fill_null(pc.index_in(names, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = len(known) + np.arange((at < 0).sum())
+        number = at[number] if len(at) else number
+    width = int(number.max()) + 1 if len(number) else 1
+    both = np.sort(row * width + number, kind="stable")  # nearly in order already
+    both = both[np.diff(both, prepend=-1) != 0]
+    return names, both // width, both % width
+
+
+class _Field:
+    """Titles or artists of a block of the catalog: tokens of each row, rows of each token, rows of small token sets."""
+
+    def __init__(self, texts: pa.ChunkedArray):
+        n = len(texts)
+        self.names, row, number = _tokens(texts)
+        self.size = np.bincount(row, minlength=n).astype(np.int32)
+        self.words = len(self.names)
+        self.table = np.full((n, max(1, int(self.size.max(initial=0)))), self.words, dtype=np.int32)
+        self.table[row, np.arange(len(row)) - np.repeat(np.cumsum(self.size) - self.size, self.size)] = number
+        order = np.argsort(number, kind="stable")
+        self.rows, self.starts = row[order].astype(np.int32), np.searchsorted(number[order], np.arange(self.words + 1))
+        self.mark = np.zeros(self.words + 1, dtype=np.int8)
+        self.wide: dict[int, np.ndarray] = {}  # of tokens in every fiftieth row and more, whether a row has it
+        for token in np.flatnonzero(np.diff(self.starts) * 50 > n).tolist():
+            self.wide[token] = np.zeros(n, dtype=bool)
+            self.wide[token][self.having(token)] = True
+        self.small: dict[int, np.ndarray] = {}  # by the one token, or by both
+        few = np.flatnonzero((self.size == 1) | (self.size == 2))
+        if len(few):
+            pair = self.table[few, : min(2, self.table.shape[1])].astype(np.int64)
+            key = np.where(self.size[few] == 1, -1 - pair[:, 0], pair[:, 0] * (self.words + 1) + pair[:, -1])
+            order = np.argsort(key, kind="stable")
+            keys, first = np.unique(key[order], return_index=True)
+            self.small = dict(zip(keys.tolist(), np.split(few[order], first[1:])))
+
+    def having(self, token: int) -> np.ndarray:
+        return self.rows[self.starts[token] : self.starts[token + 1]]
+
+    def among(self, token: int, rows: np.ndarray, scratch: np.ndarray) -> np.ndarray:
+        """Whether each row has the token; ``scratch`` is false for all rows, and is again afterwards."""
+        if token in self.wide:
+            return self.wide[token][rows]
+        having = self.having(token)
+        scratch[having] = True
+        found = scratch[rows]
+        scratch[having] = False
+        return found
+
+    def within(self, tokens: list[int]) -> list[np.ndarray]:
+        """Rows whose one or two tokens are all among ``tokens``."""
+        keys = [-1 - t for t in tokens] + [min(t, u) * (self.words + 1) + max(t, u) for i, t in enumerate(tokens) for u in tokens[:i]]
+        return [self.small[k] for k in keys if k in self.small]
+
+    def shared(self, tokens: list[int], rows: np.ndarray, scratch: np.ndarray) -> np.ndarray:
+        """How many of ``tokens`` each row has."""
+        if len(rows) > 5 * LONG:
+            return sum((self.among(t, rows, scratch).astype(np.int32) for t in tokens), np.zeros(len(rows), dtype=np.int32))
+        self.mark[tokens] = 1
+        found = self.mark[self.table[rows]].sum(axis=1, dtype=np.int32)
+        self.mark[tokens] = 0
+        return found
+
+
+def _most(left: int, size: int) -> float:
+    """No row of three tokens or more, or with a token beyond the text's, is more alike to a text of ``size`` tokens by ``left`` of them."""
+    return left / size if size < 3 or not left else (0.5, 2 / 3, 1.0)[min(left, 3) - 1]
 
 
 def _first_best(score: np.ndarray, popularity: np.ndarray) -> int:
@@ -54,53 +119,107 @@ def _first_best(score: np.ndarray, popularity: np.ndarray) -> int:
     return best
 
 
-def _best_in_block(items: pd.DataFrame, catalog: pd.DataFrame) -> pd.DataFrame:
-    """Each item's best recording of a block of the catalog, by the scores of ``score_pairs``."""
-    catalog = catalog.sort_values(["pos", "recording_id"], na_position="first")
-    n, w = len(catalog), S.WEIGHTS
-    title_of, artist_of = _postings(catalog["ftitle"]), _postings(t or None for t in catalog["fartist"])
-    sizes = lambda column: np.array([len(set(t.split(" "))) if t else 0 for t in column])
-    n_title, n_artist = np.maximum(sizes(catalog["ftitle"]), 1), sizes(catalog["fartist"])
-    unknown = catalog["fartist"].isna().to_numpy()
-    same_artist = {name: np.asarray(rows) for name, rows in catalog.reset_index(drop=True).groupby("fartist").indices.items()}
-    length, popularity = catalog["duration_s"].to_numpy(dtype=float), catalog["popularity"].fillna(0.0).to_numpy(dtype=float)
-    kinds: dict[frozenset, int] = {}
-    kind = np.array([kinds.setdefault(frozenset(q if q is not None else ()), len(kinds)) for q in catalog["qualifiers"]], dtype=np.int32)
-    number, agreed, enough = catalog["recording_id"].to_numpy(), {}, {}
-    out = []
-    for item, title, artist, seconds, wanted in zip(items["item_id"], items["ftitle"], items["fartist"], items["duration_s"], items["qualifiers"]):
-        wanted = frozenset(wanted if wanted is not None else ())
-        if wanted not in agreed:
-            agreed[wanted] = np.array([max(0.0, 1 - 0.25 * len(wanted - k) - 0.5 * len(k - wanted)) for k in kinds])
-        titles = _shared(title_of, title, n) if title else np.bincount(title_of.get("", np.array([], dtype=np.int32)), minlength=n)
-        keep = titles > 0
-        if artist:
-            artists, k = _shared(artist_of, artist, n), len(set(artist.split(" ")))
-            if k not in enough:
-                enough[k] = np.maximum(np.minimum(n_artist, k), 1)
-            keep |= artists >= enough[k]  # may reach 'review' without the title
-        elif artist is not None:
-            artists = np.zeros(n, dtype=np.int64)
-            keep[same_artist.get(artist, [])] = True
-        rows = np.flatnonzero(keep)
-        if not len(rows):
-            continue
-        title_sim = titles[rows] / np.minimum(n_title[rows], max(len(set(title.split(" "))), 1))
-        if artist is None:
-            artist_sim = np.full(len(rows), 0.5)
-        else:
-            least = np.minimum(n_artist[rows], len(set(artist.split(" "))) if artist else 0)
-            artist_sim = np.where(unknown[rows], 0.5, artists[rows] / np.maximum(least, 1))
-            if not artist:
-                artist_sim[np.isin(rows, same_artist.get(artist, []))] = 1.0
-        gap = np.abs(seconds - length[rows])
-        length_sim = np.where(np.isnan(gap), 0.5, np.clip(1 - (gap - 3.0) / 9.0, 0.0, 1.0))
-        score = w["title"] * title_sim + w["artist"] * artist_sim + w["length"] * length_sim + w["qualifiers"] * agreed[wanted][kind[rows]]
-        fit = (titles[rows] > 0) | (score >= S.NOT_FOUND - S.TIE)
-        if fit.any():
-            rows, score = rows[fit], score[fit]
-            out.append((item, number[rows[_first_best(score, popularity[rows])]]))
-    return pd.DataFrame(out, columns=["item_id", "recording_id"])
+def _best_in_block(items: pa.Table, catalog: pa.Table) -> pa.Table:
+    """Each item's best recording of a block of the catalog, by the scores of ``score_pairs``.
+
+    An item's tokens are taken from the rarest on; a recording with none of those taken so far can't be better
+    than the tokens that are left allow, and the search ends when that is less than the best found.  Recordings
+    of one or two common tokens, which those alone make wholly alike, are looked up by the set.
+    """
+    kinds = pa.schema([pa.field("item_id", items.schema.field("item_id").type), pa.field("recording_id", catalog.schema.field("recording_id").type)])
+    if not len(items) or not len(catalog):
+        return kinds.empty_table()
+    order = catalog.select(["pos", "recording_id"]).to_pandas().sort_values(["pos", "recording_id"], na_position="first").index.to_numpy()
+    catalog = catalog.take(pa.array(order))
+    w, title, artist = S.WEIGHTS, _Field(catalog["ftitle"]), _Field(catalog["fartist"])
+    numbers = lambda column: column.to_pandas().to_numpy(dtype=float, na_value=np.nan)
+    unknown, length, popularity = artist.size == 0, numbers(catalog["duration_s"]), np.nan_to_num(numbers(catalog["popularity"]))
+    sets = catalog["kind"].combine_chunks().dictionary_encode()
+    kind, offered, agreed = sets.indices.to_numpy(), [set(json.loads(k)) for k in sets.dictionary.to_pylist()], {}
+    same = items.select(["ftitle", "fartist", "duration_s", "kind"]).to_pandas().groupby(["ftitle", "fartist", "duration_s", "kind"], dropna=False, sort=False).ngroup().to_numpy()
+    _, first, same = np.unique(same, return_index=True, return_inverse=True)
+    own = items.take(pa.array(first))
+    tokens = []
+    for field, name in ((title, "ftitle"), (artist, "fartist")):
+        _, row, number = _tokens(own[name], field.names)
+        tokens.append((number.tolist(), np.searchsorted(row, np.arange(len(own) + 1)).tolist()))
+    silent = pc.is_null(own["fartist"]).to_pylist()
+    found, scratch = np.full(len(own), -1), np.zeros(len(catalog), dtype=bool)
+
+    for i, (seconds, wants) in enumerate(zip(numbers(own["duration_s"]).tolist(), own["kind"].to_pylist())):
+        if wants not in agreed:
+            wanted = set(json.loads(wants))
+            agreed[wants] = np.array([max(0.0, 1 - 0.25 * len(wanted - k) - 0.5 * len(k - wanted)) for k in offered])
+        agree, bare = agreed[wants], seconds != seconds
+        every = [number[at[i] : at[i + 1]] for number, at in tokens]
+        mine = [[t for t in ts if t < field.words] for ts, field in zip(every, (title, artist))]
+        n_title, n_artist = len(every[0]), len(every[1])
+        rest = w["length"] * (0.5 if bare else 1.0) + w["qualifiers"] * agree.max()
+        terms = sorted((f.starts[t + 1] - f.starts[t], k, t) for k, f in enumerate((title, artist)) for t in mine[k])
+        left, best, near = [set(mine[0]), set(mine[1])], -1.0, []
+
+        def take(rows: np.ndarray) -> None:
+            nonlocal best, near
+            if not len(rows):
+                return
+            titles = title.shared(mine[0], rows, scratch)
+            score = w["title"] * (titles / np.minimum(np.maximum(title.size[rows], 1), n_title))
+            if silent[i]:
+                score = score + w["artist"] * 0.5
+            else:
+                alike = artist.shared(mine[1], rows, scratch) / np.maximum(np.minimum(artist.size[rows], n_artist), 1)
+                score = score + w["artist"] * np.where(unknown[rows], 0.5, alike)
+            if bare:
+                score = score + w["length"] * 0.5
+            else:
+                gap = np.abs(seconds - length[rows])
+                score = score + w["length"] * np.where(np.isnan(gap), 0.5, np.clip(1 - (gap - 3.0) / 9.0, 0.0, 1.0))
+            score = score + w["qualifiers"] * agree[kind[rows]]
+            score[(titles == 0) & (score < S.NOT_FOUND - S.TIE)] = -1.0
+            top = score.max()
+            if top >= 0 and top >= best - NEAR:
+                best = max(best, top)
+                keep = score >= best - NEAR
+                near.append((rows[keep], score[keep]))
+
+        def holding(rows: np.ndarray, k: int) -> np.ndarray:
+            """Which rows have a token that is left."""
+            more = np.zeros(len(rows), dtype=bool)
+            for t in left[k]:
+                more |= (title, artist)[k].among(t, rows, scratch)
+            return more
+
+        def beyond(t: float, a: float) -> bool:
+            """Nothing with these similarities is as good as the best, or a candidate."""
+            floor = max(best, 0.0) if t > 0 else max(best, S.NOT_FOUND)
+            return w["title"] * t + w["artist"] * a + rest < floor - NEAR
+
+        for size, k, token in terms:
+            t, a = _most(len(left[0]), n_title), 0.5 if silent[i] else max(0.5, _most(len(left[1]), max(n_artist, 1)))
+            if beyond(t, a):
+                break
+            field, rows = (title, artist)[k], (title, artist)[k].having(token)
+            left[k].remove(token)
+            if size > LONG:  # with this token alone a row is seldom good enough, unless it is the whole of the row's
+                more = holding(rows, 0) | holding(rows, 1)
+                take(np.concatenate([rows[more], field.small.get(-1 - token, rows[:0])]))
+                rows = rows[:0] if (beyond(_most(1, n_title), 0.5) if k == 0 else beyond(0.0, _most(1, n_artist))) else rows[~more]
+            take(rows)
+        t, whole = _most(len(left[0]), n_title), 1.0 if left[1] else 0.5
+        if left[0] and not beyond(1.0, whole):
+            for rows in title.within(list(left[0])):
+                take(rows[holding(rows, 1)] if len(rows) > LONG and beyond(1.0, 0.5) else rows)
+        if left[1] and not beyond(t, whole):
+            for rows in artist.within(list(left[1])):
+                take(rows[holding(rows, 0)] if len(rows) > LONG and beyond(0.0, 1.0) else rows)
+        if near:
+            rows, score = np.concatenate([r for r, _ in near]), np.concatenate([s for _, s in near])
+            rows, at = np.unique(rows, return_index=True)
+            found[i] = rows[_first_best(score[at], popularity[rows])]
+
+    found = found[same]
+    hit = np.flatnonzero(found >= 0)
+    return pa.Table.from_arrays([items["item_id"].take(pa.array(hit)), catalog["recording_id"].take(pa.array(found[hit]))], schema=kinds)
 
 
 def search(items: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -109,18 +228,23 @@ def search(items: DataFrame, catalog: DataFrame) -> DataFrame:
     ``items``: ``item_id, ftitle, fartist, duration_s, qualifiers``; ``catalog``: ``recording_id, ftitle,
     fartist, duration_s, qualifiers, popularity, pos``.  A recording is a candidate if it shares a title
     token, however common, or if its score is enough for 'review' without one.  Every block of items meets
-    every block of the catalog, so no token needs to be rare; in a task, lists of rows by token keep the work
-    to the recordings that share one.
+    every block of the catalog, so no token needs to be rare; in a task, the search of an item ends when
+    nothing that is left can be as good as what it has.  Of recordings that only differ in popularity and
+    place, the one that wins ties is searched.
     """
-    left = items.where("ftitle is not null").select("item_id", "ftitle", "fartist", F.col("duration_s").cast("double").alias("duration_s"), "qualifiers")
-    right = catalog.where("ftitle is not null").select("recording_id", "ftitle", "fartist", F.col("duration_s").cast("double").alias("duration_s"), "qualifiers", F.col("popularity").cast("double").alias("popularity"), "pos")
+    kind = F.to_json(F.array_sort(F.array_distinct(F.coalesce("qualifiers", F.array().cast("array<string>"))))).alias("kind")
+    told = ["ftitle", "fartist", F.col("duration_s").cast("double").alias("duration_s"), kind]
+    left = items.where("ftitle is not null").select("item_id", *told)
+    right = catalog.where("ftitle is not null").select("recording_id", *told, F.coalesce(F.col("popularity").cast("double"), F.lit(0.0)).alias("popularity"), "pos")
+    same = ["ftitle", "fartist", "duration_s", "kind"]
+    right = cut(right.groupBy(*same).agg(F.min_by(F.struct("recording_id", "popularity", "pos"), F.struct(-F.col("popularity"), "pos", "recording_id")).alias("c")).select(*same, "c.*"))
     down = max(1, -(-right.count() // CATALOG_BLOCK))
     across = max(-(-left.count() // ITEM_BLOCK), -(-items.sparkSession.sparkContext.defaultParallelism // down))
-    left = left.withColumns({"a": F.pmod(F.xxhash64("item_id"), F.lit(across)), "b": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(down - 1).cast("bigint")))})
+    left = left.withColumns({"a": F.pmod(F.xxhash64(*same), F.lit(across)), "b": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(down - 1).cast("bigint")))})
     right = right.withColumns({"b": F.pmod(F.xxhash64("recording_id"), F.lit(down)), "a": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(across - 1).cast("bigint")))})
     kinds = {f.name: f.dataType.simpleString() for f in [*items.schema, *catalog.schema]}
     blocks = [rows.repartition(across * down, "a", "b").groupBy("a", "b") for rows in (left, right)]
-    return blocks[0].cogroup(blocks[1]).applyInPandas(_best_in_block, f"item_id {kinds['item_id']}, recording_id {kinds['recording_id']}")
+    return blocks[0].cogroup(blocks[1]).applyInArrow(_best_in_block, f"item_id {kinds['item_id']}, recording_id {kinds['recording_id']}")
 
 
 def score_pairs(pairs: DataFrame, items: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from gleanline.operators import asof, catalog, extract, items, match, parse, qua
 from gleanline.operators import lines as L
 from gleanline.operators import tables as TB
 from gleanline.plans.sql import fold
-from gleanline.session import table
+from gleanline.session import cut, table
 from gleanline.sources import stores
 
 
@@ -201,8 +201,9 @@ def j4_fallback(spark: SparkSession, folder: str) -> DataFrame:
     """Inputs by text against one provider's recordings, and against the others' where that one proposes nothing; lengths left out."""
     none = F.lit(None).cast("double")
     key = lambda rows: rows.withColumns({"ftitle": N.fold(F.col("title")), "fartist": N.fold(F.col("artist")), "duration_s": none})
-    inputs = key(table(spark, folder, "match_input").select(F.col("input_id").alias("item_id"), "title", "artist", "qualifiers").distinct())
-    listed = key(table(spark, folder, "candidate").select(F.col("candidate_id").alias("recording_id"), "provider", "title", "artist", "qualifiers", "popularity", F.col("candidate_id").alias("pos")))
+    # Folded once: both sides serve several joins.
+    inputs = cut(key(table(spark, folder, "match_input").select(F.col("input_id").alias("item_id"), "title", "artist", "qualifiers").distinct()))
+    listed = cut(key(table(spark, folder, "candidate").select(F.col("candidate_id").alias("recording_id"), "provider", "title", "artist", "qualifiers", "popularity", F.col("candidate_id").alias("pos"))))
     first = F.col("provider") == "nimbus"
     return match.by_text(inputs, listed.where(first), listed.where(~first)).withColumn("score", F.round("score", 9))
 
