@@ -57,3 +57,14 @@ def test_common_tokens_are_not_searched_where_a_rare_one_settles(monkeypatch):
     got = M._best_in_block(pa.Table.from_arrays([pa.array(c) for c in zip(*items)], schema=ITEM), pa.Table.from_arrays([pa.array(c) for c in zip(*listed)], schema=RECORDING))
     assert got["recording_id"].to_pylist() == got["item_id"].to_pylist() == [i[0] for i in items]
     assert sum(scored) < 10 * len(items)  # all that share a token: 5,000 an item
+
+
+def test_an_item_without_artist_ends_early_too(monkeypatch):
+    scored = []
+    shared = M._Field.shared
+    monkeypatch.setattr(M._Field, "shared", lambda self, tokens, rows, scratch: (scored.append(len(rows)), shared(self, tokens, rows, scratch))[1])
+    listed = [(i, f"the {'red' if i % 2 else 'blue'} w{i}", f"the {'bo' if i % 3 else 'ann'} a{i}", 100.0 + i, "[]", 0.5, i) for i in range(5000)]
+    items = [(i, listed[i][1], None, listed[i][3], "[]") for i in range(0, 5000, 50)]
+    got = M._best_in_block(pa.Table.from_arrays([pa.array(c) for c in zip(*items)], schema=ITEM), pa.Table.from_arrays([pa.array(c) for c in zip(*listed)], schema=RECORDING))
+    assert got["recording_id"].to_pylist() == [i[0] for i in items]
+    assert sum(scored) < 10 * len(items)
