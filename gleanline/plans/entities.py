@@ -13,7 +13,7 @@ from gleanline.operators import quality as Q
 from gleanline.operators import rollup as R
 from gleanline.operators.units import resolve_lengths
 from gleanline.sources import stores
-from gleanline.session import table
+from gleanline.session import cut, table
 from gleanline.streaming import flows
 
 ENV = "case user_id % 3 when 0 then 'dev' when 1 then 'stage' else 'prod' end"
@@ -115,7 +115,7 @@ def x1_resolve(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def x3_rematch(spark: SparkSession, folder: str) -> DataFrame:
-    fresh = M.resolve(_items(spark, folder), _catalog(spark, folder))
+    fresh = cut(M.resolve(_items(spark, folder), _catalog(spark, folder)))  # compared with what is stored of it
     stored = fresh.where("item_id % 10 > 0").withColumn("verdict", F.when(F.col("item_id") % 10 == 1, "review").otherwise(F.col("verdict")))
     return M.rematch(stored, fresh)
 

@@ -6,6 +6,7 @@ import pytest
 
 from gleanline.functions import score as S
 from gleanline.operators import match as M
+from gleanline.plans import entities as E
 
 ITEM = pa.schema([("item_id", pa.int64()), ("ftitle", pa.string()), ("fartist", pa.string()), ("duration_s", pa.float64()), ("kind", pa.string())])
 RECORDING = pa.schema([("recording_id", pa.int64()), *[(f.name, f.type) for f in ITEM][1:], ("popularity", pa.float64()), ("pos", pa.int64())])
@@ -68,3 +69,8 @@ def test_an_item_without_artist_ends_early_too(monkeypatch):
     got = M._best_in_block(pa.Table.from_arrays([pa.array(c) for c in zip(*items)], schema=ITEM), pa.Table.from_arrays([pa.array(c) for c in zip(*listed)], schema=RECORDING))
     assert got["recording_id"].to_pylist() == [i[0] for i in items]
     assert sum(scored) < 10 * len(items)
+
+
+def test_rematch_resolves_once(spark, small):
+    plan = E.x3_rematch(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join " in line for line in plan.splitlines()) == 1  # of what is stored and what is new; not those of two resolutions
