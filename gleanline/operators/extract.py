@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanline.functions import score as S
@@ -17,7 +17,7 @@ from gleanline.functions.normalize import fold, normalize_document
 from gleanline.operators import lines as L
 from gleanline.operators import parse as P
 from gleanline.operators import tables as TB
-from gleanline.session import cut, merged
+from gleanline.session import dealt, merged, placed
 
 # Fixed values of grounding, orientation and rescue.
 TITLE_COVERAGE, ARTIST_COVERAGE, MAX_SPAN, MAX_TITLE = 0.7, 0.6, 400, 300
@@ -121,9 +121,12 @@ def dedupe(items: DataFrame) -> DataFrame:
         "duplicates": none, "first_start": F.col("span_start"), "rank": -F.col("confidence"),
     })
     single = united_by(ranked, ["doc_id", "key"])
-    attributed = single.where("artist is not null").groupBy("doc_id", "ftitle").agg(F.count("*").alias("n"), F.min("key").alias("host")).where("n = 1").drop("n")
-    hosted = single.join(merged(attributed), ["doc_id", "ftitle"], "left")
-    hosted = hosted.withColumns({"host": F.when(F.col("artist").isNull() & F.col("host").isNotNull(), F.col("host")).otherwise(F.col("key")), "rank": F.when(F.col("artist").isNull() & F.col("host").isNotNull(), 1.0).otherwise(0.0)})
+    # Within a document's title, not joined to it: a null is no title.
+    same = Window.partitionBy("doc_id", "ftitle")
+    named = F.when(F.col("artist").isNotNull() & F.col("doc_id").isNotNull() & F.col("ftitle").isNotNull(), F.col("key"))
+    one = single.withColumns({"hosts": F.count(named).over(same), "host": F.min(named).over(same)})
+    joins = F.col("artist").isNull() & (F.col("hosts") == 1)
+    hosted = one.withColumns({"host": F.when(joins, F.col("host")).otherwise(F.col("key")), "rank": F.when(joins, 1.0).otherwise(0.0)}).drop("hosts")
     hosted = hosted.withColumn("first_start", F.when(F.col("rank") == 0.0, F.col("first_start")))  # the host keeps its own place
     return united_by(hosted, ["doc_id", "host"]).withColumnRenamed("host", "key")
 
@@ -135,55 +138,60 @@ def extract(documents: DataFrame, kinds: DataFrame | None = None, limit: int | N
     null texts give nothing; repeated ids are not allowed; extra columns are left out.
     """
     admitted = documents if limit is None else L.admit(documents, limit)[0]
-    normal = admitted.select("doc_id", T.strip(normalize_document(F.col("text"))).alias("text"))
-    triaged = cut(L.triage(L.split_lines(normal)))
-    parsed = cut(P.parse_lines(triaged))
-    shape = L.list_shape(triaged)
-    layout, rows = TB.detect(triaged)
-    layout = cut(layout)
-    table_rows = TB.read_rows(layout, rows)
+    # A document's lines are in one partition from here on: all that follows groups and joins within it.
+    normal = dealt(admitted.select("doc_id", T.strip(normalize_document(F.col("text"))).alias("text")), "doc_id")
+    triaged = placed(L.triage(L.split_lines(normal)).sortWithinPartitions("doc_id", "line_no"))
+    parsed = placed(P.parse_lines(triaged))
+    n_chars = F.max(F.col("line_offset") + F.char_length("line")).cast("int").alias("n_chars")
+    shape = L.list_shape(triaged, F.count("*").alias("lines_total"), n_chars)
+    layout, _ = TB.detect(triaged)
     strict_n = parsed.where("strict is not null").groupBy("doc_id").agg(F.count("*").alias("strict_n"))
-    modes = shape.join(merged(strict_n), "doc_id", "left").join(merged(layout.select("doc_id", F.lit(True).alias("is_table"), "header_line")), "doc_id", "left")
+    modes = shape.join(merged(strict_n), "doc_id", "left").join(merged(layout.withColumn("is_table", F.lit(True))), "doc_id", "left")
     rescue = F.col("list_shaped") & (F.col("content") > 0) & (F.coalesce("strict_n", F.lit(0)) / F.col("content") < RESCUE_BELOW)
-    modes = modes.select("doc_id", F.coalesce("is_table", F.lit(False)).alias("is_table"), "header_line", F.coalesce(rescue, F.lit(False)).alias("rescue"))
+    modes = placed(modes.select(
+        "doc_id", "lines_total", "content", "n_chars", F.coalesce("is_table", F.lit(False)).alias("is_table"), "header_line", F.coalesce(rescue, F.lit(False)).alias("rescue"), "delim", "columns", "ambiguous",
+    ))
     null = lambda kind: F.lit(None).cast(kind)
     line = F.coalesce(F.col("strict"), F.when(F.col("rescue"), F.col("bare")))
     lead = F.char_length(F.regexp_extract("line", f"^[{T.SPACE}]*", 0))
     start = (F.col("line_offset") + F.greatest(F.col("consumed"), lead)).cast("int")
-    from_lines = parsed.join(merged(modes.where("not is_table")), "doc_id").withColumn("m", line).where("m is not null").select(
+    from_lines = parsed.join(merged(modes.where("not is_table").select("doc_id", "rescue", "n_chars")), "doc_id").withColumn("m", line).where("m is not null").select(
         "doc_id", "line_no", "m.*", null("string").alias("album"), "isrc", "duration_s", null("int").alias("release_year"), "position", "timestamp_s",
         (F.col("position").isNotNull() | F.col("timestamp_s").isNotNull()).alias("structured"), start.alias("span_start"), (start + F.char_length("core")).cast("int").alias("span_end"),
-        T.slice_span(F.col("line"), (start - F.col("line_offset")).cast("int"), (start - F.col("line_offset") + F.char_length("core")).cast("int")).alias("span_text"),
+        T.slice_span(F.col("line"), (start - F.col("line_offset")).cast("int"), (start - F.col("line_offset") + F.char_length("core")).cast("int")).alias("span_text"), "n_chars",
     )
     bare_line = F.char_length(T.strip(F.col("line")))
-    located = triaged.select("doc_id", "line_no", (F.col("line_offset") + lead).cast("int").alias("span_start"), (F.col("line_offset") + lead + bare_line).cast("int").alias("span_end"), T.strip(F.col("line")).alias("span_text"))
-    from_tables = table_rows.join(merged(located), ["doc_id", "line_no"]).select(
+    first = F.col("line_offset") + lead
+    cells = TB.table_rows(triaged.select("doc_id", "line_no", "line", "line_offset", "noise"), modes.where("is_table").select("doc_id", "n_chars", "header_line", "delim", "columns", "ambiguous"))
+    located = cells.withColumns({"span_start": first.cast("int"), "span_end": (first + bare_line).cast("int"), "span_text": T.strip(F.col("line"))})
+    from_tables = TB.read_cells(located, "span_start", "span_end", "span_text", "n_chars").select(
         "doc_id", "line_no", "title", "artist", "parser", "ambiguous", "featured", "qualifiers", "version_label", null("string").alias("left"), null("string").alias("right"),
-        "album", "isrc", "duration_s", "release_year", "position", null("int").alias("timestamp_s"), F.lit(True).alias("structured"), "span_start", "span_end", "span_text",
+        "album", "isrc", "duration_s", "release_year", "position", null("int").alias("timestamp_s"), F.lit(True).alias("structured"), "span_start", "span_end", "span_text", "n_chars",
     )
     matches = from_lines.unionByName(from_tables)
     if kinds is not None:
-        matches = cut(matches)
+        matches = placed(matches)
         matches = oriented(matches, orientation(matches, kinds))
     else:
         matches = matches.withColumns({"emit_alternate": F.lit(False), "oriented": F.lit(False)})
-    # A span lies in its line, so its text came with it; of the document only the length is looked up.
-    spanned = matches.join(merged(normal.select("doc_id", F.char_length("text").alias("n_chars"))), "doc_id")
-    folded = spanned.withColumns({"fspan": fold(F.col("span_text")), "ftitle": fold(F.col("title")), "fartist": fold(F.col("artist"))})
-    checked = cut(reject_reason(folded))
+    folded = matches.withColumns({"fspan": fold(F.col("span_text")), "ftitle": fold(F.col("title")), "fartist": fold(F.col("artist"))})
+    checked = placed(reject_reason(folded))
     good = checked.where("reason is null").withColumn(
         "confidence", S.confidence(F.col("parser"), F.col("title"), F.col("artist"), F.col("isrc").isNotNull(), F.col("duration_s") > 0, F.col("ambiguous"), F.col("structured"))
     )
-    items = cut(dedupe(good))
+    items = placed(dedupe(dealt(good, "doc_id")))  # folded in Python, which leaves no mark of the partitions
     swapped = F.when(F.col("emit_alternate") & F.col("artist").isNotNull(), F.struct(F.col("artist").alias("title"), F.col("title").alias("artist")))
     items = items.withColumn("alternate", swapped).drop("emit_alternate")
     rejected = checked.where("reason is not null").select("doc_id", "line_no", "title", "artist", "parser", "reason", "detail", "span_start", "span_end")
     claimed = checked.select("doc_id", "line_no").unionByName(modes.where("is_table and header_line is not null").select("doc_id", F.col("header_line").alias("line_no"))).distinct()
     residual = triaged.where("not noise").join(merged(claimed), ["doc_id", "line_no"], "left_anti").select("doc_id", "line_no", "line", "line_offset")
-    count = lambda frame, name: frame.groupBy("doc_id").agg(F.count("*").alias(name))
-    stats = count(triaged, "lines_total")
-    for frame, name in ((checked, "lines_parsed"), (residual, "lines_residual"), (good, "items_before_dedupe"), (items, "items_after_dedupe"), (rejected, "rejected")):
-        stats = stats.join(merged(count(frame, name)), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    # A line gives one match at most, so what is left of a document's content needs no look at its lines.
+    told = [F.count("*").alias("lines_parsed"), F.count_if(F.col("reason").isNull()).alias("items_before_dedupe"), F.count_if(F.col("reason").isNotNull()).alias("rejected")]
+    stats = modes.join(merged(checked.groupBy("doc_id").agg(*told)), "doc_id", "left").join(merged(items.groupBy("doc_id").agg(F.count("*").alias("items_after_dedupe"))), "doc_id", "left")
+    stats = stats.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("lines_parsed", "items_before_dedupe", "items_after_dedupe", "rejected")})
+    headers = F.when(F.col("is_table") & F.col("header_line").isNotNull(), 1).otherwise(0)
+    stats = stats.withColumn("lines_residual", F.col("content") - F.col("lines_parsed") - headers)
+    stats = stats.select("doc_id", "lines_total", "lines_parsed", "lines_residual", "items_before_dedupe", "items_after_dedupe", "rejected")
     claimed_n, left_n = F.col("lines_parsed"), F.col("lines_residual")
     stats = stats.withColumn("coverage", F.coalesce(claimed_n / F.nullif(claimed_n + left_n, F.lit(0)), F.lit(1.0)))
     return Extraction(items, rejected, residual, stats)

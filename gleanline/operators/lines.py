@@ -81,8 +81,8 @@ def triage(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"noise": is_noise(F.col("line")), "n_words": T.word_count(F.col("line")), "prose": is_prose(F.col("line"))})
 
 
-def list_shape(triaged: DataFrame) -> DataFrame:
-    """``doc_id, content, median_words, prose_share, list_shaped, first_content`` of every document with lines.
+def list_shape(triaged: DataFrame, *more: Column) -> DataFrame:
+    """``doc_id, content, median_words, prose_share, list_shaped, first_content`` of every document with lines, and ``more`` aggregates.
 
     The median is exact.  Documents of noise only have no median and are no lists; their first content line is 0.
     """
@@ -91,7 +91,7 @@ def list_shape(triaged: DataFrame) -> DataFrame:
         F.count_if(real).alias("content"),
         F.median(F.when(real, F.col("n_words"))).alias("median_words"),
         F.avg(F.when(real, F.col("prose").cast("int"))).alias("prose_share"),
-        F.coalesce(F.min(F.when(real, F.col("line_no"))), F.lit(0)).alias("first_content"),
+        F.coalesce(F.min(F.when(real, F.col("line_no"))), F.lit(0)).alias("first_content"), *more,
     )
     shaped = (F.col("content") >= LIST_LINES) & (F.col("median_words") <= BARE_WORDS) & (F.col("prose_share") < PROSE_SHARE)
     return grouped.withColumn("list_shaped", F.coalesce(shaped, F.lit(False)))

@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from gleanline.functions import text as T
 from gleanline.functions.normalize import fold, peel_title
-from gleanline.session import merged
+from gleanline.session import merged, placed
 
 # Fixed values of table detection.
 DELIMITERS = [",", "\t", ";", "|"]
@@ -66,12 +66,17 @@ def header_fields(cells: Column) -> Column:
 
 
 def candidate_rows(triaged: DataFrame) -> DataFrame:
-    """Content lines split by each delimiter they hold: ``doc_id, line_no, rank, delim, cells, width``."""
+    """Content lines by each delimiter they hold: ``doc_id, line_no, rank, delim, width``."""
     tries = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(d).alias("delim")) for i, d in enumerate(DELIMITERS)])
     # A line without the delimiter is one cell, and no document with such a line is a table by it: it needs no row.
     held = F.filter(tries, lambda t: F.contains(F.col("line"), t["delim"]))
     rows = triaged.where("not noise").select("doc_id", "line_no", "line", F.inline(held))
-    return rows.withColumn("cells", split_row(F.col("line"), F.col("delim"))).withColumn("width", F.size("cells"))
+    return rows.select("doc_id", "line_no", "rank", "delim", F.size(split_row(F.col("line"), F.col("delim"))).alias("width"))
+
+
+def table_rows(triaged: DataFrame, layout: DataFrame) -> DataFrame:
+    """Content lines of the documents in ``layout`` with its columns and their ``cells``, split by the document's ``delim``."""
+    return triaged.where("not noise").join(merged(layout), "doc_id").withColumn("cells", split_row(F.col("line"), F.col("delim")))
 
 
 def detect(triaged: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,10 +89,11 @@ def detect(triaged: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = candidate_rows(triaged)
     shapes = rows.groupBy("doc_id", "rank", "delim").agg(F.count("*").alias("n"), F.min("width").alias("width"), F.max("width").alias("widest"), F.min("line_no").alias("first"))
     content = triaged.where("not noise").groupBy("doc_id").agg(F.count("*").alias("content"))
-    fits = shapes.join(merged(content), "doc_id").where((F.col("n") >= MIN_ROWS) & (F.col("n") == F.col("content")) & (F.col("width") == F.col("widest")) & F.col("width").between(2, MAX_COLUMNS))
-    chosen = fits.groupBy("doc_id").agg(F.min(F.struct("rank", "delim", "width", "first")).alias("c")).select("doc_id", "c.rank", "c.delim", "c.width", "c.first")
-    own = rows.select("doc_id", "rank", "line_no", "cells").join(merged(chosen), ["doc_id", "rank"])
-    heads = own.where("line_no = first").select("doc_id", header_fields(F.col("cells")).alias("head"))
+    # No equality beyond that of documents, else the joins would shuffle by it: there are no more rows than content lines, and none before the first.
+    fits = shapes.join(merged(content), "doc_id").where((F.col("n") >= MIN_ROWS) & (F.col("n") >= F.col("content")) & (F.col("width") == F.col("widest")) & F.col("width").between(2, MAX_COLUMNS))
+    chosen = placed(fits.groupBy("doc_id").agg(F.min(F.struct("rank", "delim", "width", "first")).alias("c")).select("doc_id", "c.delim", "c.width", "c.first"))
+    own = table_rows(triaged.select("doc_id", "line_no", "line", "noise"), chosen)
+    heads = own.where("line_no <= first").select("doc_id", header_fields(F.col("cells")).alias("head"))
     has_title = F.map_contains_key("head", F.lit("title")) | (F.map_contains_key("head", F.lit("artist")) & (F.size("head") >= 2))
     heads = heads.withColumn("is_header", F.coalesce(has_title, F.lit(False)))
     cells = own.select("doc_id", F.posexplode("cells").alias("at", "cell")).where("cell <> ''")
@@ -134,13 +140,20 @@ def read_rows(layout: DataFrame, rows: DataFrame) -> DataFrame:
 
     The header line and rows without a title are none.
     """
-    joined = rows.join(merged(layout), "doc_id").where("header_line is null or line_no <> header_line")
+    return read_cells(rows.join(merged(layout), "doc_id"))
+
+
+def read_cells(rows: DataFrame, *keep: str) -> DataFrame:
+    """As ``read_rows``, of rows that have their layout's columns already; columns in ``keep`` stay."""
+    joined = rows.where("header_line is null or line_no <> header_line")
     cell = lambda f: F.nullif(F.try_element_at("cells", F.try_element_at("columns", F.lit(f)) + 1), F.lit(""))
-    read = joined.select("doc_id", "line_no", "header_line", "ambiguous", *[cell(f).alias(f) for f in ALIASES]).where("title is not null")
-    read = read.withColumn("p", peel_title(F.col("title"))).withColumn("c", T.credits(F.col("artist"))).where("p.base <> ''")
+    read = joined.select("doc_id", "line_no", *keep, "header_line", "ambiguous", *[cell(f).alias(f) for f in ALIASES]).where("title is not null")
+    # By a generator of one row, as in parse: named further up, the peeling would be repeated.
+    peeled = F.inline(F.array(F.struct(peel_title(F.col("title")).alias("p"), T.credits(F.col("artist")).alias("c"))))
+    read = read.select("*", peeled).where("p.base <> ''")
     none = F.array().cast("array<string>")
     return read.select(
-        "doc_id", "line_no", F.col("p.base").alias("title"), F.nullif(F.col("c.primary"), F.lit("")).alias("artist"),
+        "doc_id", "line_no", *keep, F.col("p.base").alias("title"), F.nullif(F.col("c.primary"), F.lit("")).alias("artist"),
         F.when(F.col("header_line").isNotNull() | ~F.col("ambiguous"), "csv").otherwise("csv_headerless").alias("parser"), "ambiguous",
         F.array_distinct(F.concat("p.featured", F.coalesce("c.featured", none))).alias("featured"), "p.qualifiers", "p.version_label",
         "album", T.isrc(F.col("isrc")).alias("isrc"), cell_seconds(F.col("duration")).alias("duration_s"),

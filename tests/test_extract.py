@@ -119,3 +119,13 @@ def test_edges(spark):
     stats = {r.doc_id: r for r in e.stats.collect()}
     assert set(stats) == {2, 3, 4} and stats[4].items_before_dedupe == 500 and stats[4].items_after_dedupe == 1 and stats[2].coverage == 1.0
     assert X.extract(docs(spark, *[]).limit(0)).items.count() == 0
+
+
+def test_lines_stay_in_the_partition_of_their_document(spark, monkeypatch):
+    from gleanline import session
+
+    seen, cut = [], session.cut
+    monkeypatch.setattr(session, "cut", lambda frame: seen.append(frame._jdf.queryExecution().executedPlan().toString().count("Exchange")) or cut(frame))
+    X.extract(docs(spark, "A - B\nC - D\nE - F", "t,a\nx,y\nz,w", 'title,artist\n"x, y",z'))
+    # The texts, the shapes of the lines by delimiter, the columns of tables by cell, the items: nothing else is moved.
+    assert 0 < len(seen) and sum(seen) <= 7
