@@ -7,7 +7,7 @@ import json
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanline.functions import score as S
@@ -222,6 +222,16 @@ def _best_in_block(items: pa.Table, catalog: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([items["item_id"].take(pa.array(hit)), catalog["recording_id"].take(pa.array(found[hit]))], schema=kinds)
 
 
+def _apart(spark: SparkSession, n: int) -> list[int]:
+    """``n`` numbers whose rows a shuffle by them puts into a partition each."""
+    found, tried = {}, 0
+    while len(found) < n:
+        tried = 20 * (tried + n)
+        rows = spark.range(tried).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id"))
+        found = {r["at"]: r["id"] for r in rows.collect()}
+    return [found[i] for i in range(n)]
+
+
 def search(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """Pairs of each item and its best recording in every block of the catalog; the best of all is among them.
 
@@ -243,7 +253,9 @@ def search(items: DataFrame, catalog: DataFrame) -> DataFrame:
     left = left.withColumns({"a": F.pmod(F.xxhash64(*same), F.lit(across)), "b": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(down - 1).cast("bigint")))})
     right = right.withColumns({"b": F.pmod(F.xxhash64("recording_id"), F.lit(down)), "a": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(across - 1).cast("bigint")))})
     kinds = {f.name: f.dataType.simpleString() for f in [*items.schema, *catalog.schema]}
-    blocks = [rows.repartition(across * down, "a", "b").groupBy("a", "b") for rows in (left, right)]
+    # Each pair of blocks in a partition of its own: by the hash of both numbers some would hold several and others none.
+    own = F.element_at(F.array(*map(F.lit, _apart(items.sparkSession, across * down))), (F.col("a") * down + F.col("b") + 1).cast("int"))
+    blocks = [rows.withColumn("block", own).drop("a", "b").repartition(across * down, "block").groupBy("block") for rows in (left, right)]
     return blocks[0].cogroup(blocks[1]).applyInArrow(_best_in_block, f"item_id {kinds['item_id']}, recording_id {kinds['recording_id']}")
 
 

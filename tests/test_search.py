@@ -74,3 +74,15 @@ def test_an_item_without_artist_ends_early_too(monkeypatch):
 def test_rematch_resolves_once(spark, small):
     plan = E.x3_rematch(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Join " in line for line in plan.splitlines()) == 1  # of what is stored and what is new; not those of two resolutions
+
+
+def test_every_pair_of_blocks_has_a_partition_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(M, "CATALOG_BLOCK", 5)
+    monkeypatch.setattr(M, "ITEM_BLOCK", 5)
+    kinds = "duration_s double, qualifiers array<string>"
+    items = spark.createDataFrame([(i, f"t{i}", f"a{i}", None, []) for i in range(40)], f"item_id bigint, ftitle string, fartist string, {kinds}")
+    listed = spark.createDataFrame([(i, f"t{i}", f"a{i}", None, [], 0.0, i) for i in range(20)], f"recording_id bigint, ftitle string, fartist string, {kinds}, popularity double, pos bigint")
+    assert sorted(map(tuple, M.search(items, listed).where("item_id = recording_id").collect())) == [(i, i) for i in range(20)]
+    for n in (1, 6, 32):
+        rows = spark.createDataFrame([(k,) for k in M._apart(spark, n)], "block bigint").repartition(n, "block")
+        assert [len(part) for part in rows.rdd.glom().collect()] == [1] * n
