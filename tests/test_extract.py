@@ -127,5 +127,11 @@ def test_lines_stay_in_the_partition_of_their_document(spark, monkeypatch):
     seen, cut = [], session.cut
     monkeypatch.setattr(session, "cut", lambda frame: seen.append(frame._jdf.queryExecution().executedPlan().toString().count("Exchange")) or cut(frame))
     X.extract(docs(spark, "A - B\nC - D\nE - F", "t,a\nx,y\nz,w", 'title,artist\n"x, y",z'))
-    # The texts, the shapes of the lines by delimiter, the columns of tables by cell, the items: nothing else is moved.
-    assert 0 < len(seen) and sum(seen) <= 7
+    # The texts, what Python split or folded (shapes by delimiter, cells of tables, items): nothing else is moved.
+    assert 0 < len(seen) and sum(seen) <= 9
+
+
+def test_counts_move_no_lines(spark):
+    stats = X.extract(docs(spark, "A - B\nC - D\nplain words, not a song. No.", "title,artist\nx,y\nz,w")).stats
+    assert stats._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    assert [(r.lines_total, r.lines_parsed, r.lines_residual, r.items_after_dedupe) for r in stats.orderBy("doc_id").collect()] == [(3, 2, 1, 2), (3, 2, 0, 2)]
