@@ -7,6 +7,7 @@ join and nothing is searched by offset.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ from gleanline.functions.normalize import fold, normalize_document
 from gleanline.operators import lines as L
 from gleanline.operators import parse as P
 from gleanline.operators import tables as TB
-from gleanline.session import dealt, merged, placed
+from gleanline.session import dealt, merged
+from gleanline.session import placed as cut
 
 # Fixed values of grounding, orientation and rescue.
 TITLE_COVERAGE, ARTIST_COVERAGE, MAX_SPAN, MAX_TITLE = 0.7, 0.6, 400, 300
@@ -27,12 +29,47 @@ TITLE_FIRST_KINDS = ["scan_handwriting", "scan_print", "screenshot"]
 
 @dataclass
 class Extraction:
-    """The result star: four tables keyed by ``doc_id``."""
+    """The result star: four tables keyed by ``doc_id``, each made when it is first asked for.
 
-    items: DataFrame
-    rejected: DataFrame
-    residual: DataFrame
-    stats: DataFrame
+    ``triaged`` are all lines, ``modes`` what was found of each document, ``matches`` what lines and cells say.
+    """
+
+    triaged: DataFrame
+    modes: DataFrame
+    matches: DataFrame
+
+    @cached_property
+    def checked(self) -> DataFrame:
+        return cut(grounded(self.matches))
+
+    @cached_property
+    def items(self) -> DataFrame:
+        # Folded in Python, which leaves no mark of the partitions.
+        items = cut(dedupe(dealt(self.checked.where("reason is null"), "doc_id")))
+        swapped = F.when(F.col("emit_alternate") & F.col("artist").isNotNull(), F.struct(F.col("artist").alias("title"), F.col("title").alias("artist")))
+        return items.withColumn("alternate", swapped).drop("emit_alternate")
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        return self.checked.where("reason is not null").select("doc_id", "line_no", "title", "artist", "parser", "reason", "detail", "span_start", "span_end")
+
+    @cached_property
+    def residual(self) -> DataFrame:
+        headers = self.modes.where("is_table and header_line is not null").select("doc_id", F.col("header_line").alias("line_no"))
+        claimed = self.checked.select("doc_id", "line_no").unionByName(headers).distinct()
+        return self.triaged.where("not noise").join(merged(claimed), ["doc_id", "line_no"], "left_anti").select("doc_id", "line_no", "line", "line_offset")
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        # Neither checked matches nor items are stored for their counts.
+        stats = self.modes.join(merged(cut(counted(grounded(self.matches)))), "doc_id", "left")
+        stats = stats.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("lines_parsed", "items_before_dedupe", "items_after_dedupe", "rejected")})
+        # A line gives one match at most, so what is left of a document's content needs no look at its lines.
+        headers = F.when(F.col("is_table") & F.col("header_line").isNotNull(), 1).otherwise(0)
+        stats = stats.withColumn("lines_residual", F.col("content") - F.col("lines_parsed") - headers)
+        stats = stats.select("doc_id", "lines_total", "lines_parsed", "lines_residual", "items_before_dedupe", "items_after_dedupe", "rejected")
+        claimed_n, left_n = F.col("lines_parsed"), F.col("lines_residual")
+        return stats.withColumn("coverage", F.coalesce(claimed_n / F.nullif(claimed_n + left_n, F.lit(0)), F.lit(1.0)))
 
 
 def coverage(claim: Column, source: Column) -> Column:
@@ -131,6 +168,35 @@ def dedupe(items: DataFrame) -> DataFrame:
     return united_by(hosted, ["doc_id", "host"]).withColumnRenamed("host", "key")
 
 
+def grounded(matches: DataFrame) -> DataFrame:
+    """Matches with their folded texts, ``reason, detail`` as ``reject_reason`` gives them, and ``confidence``."""
+    folded = matches.withColumns({"fspan": fold(F.col("span_text")), "ftitle": fold(F.col("title")), "fartist": fold(F.col("artist"))})
+    return reject_reason(folded).withColumn(
+        "confidence", S.confidence(F.col("parser"), F.col("title"), F.col("artist"), F.col("isrc").isNotNull(), F.col("duration_s") > 0, F.col("ambiguous"), F.col("structured"))
+    )
+
+
+def counted(checked: DataFrame) -> DataFrame:
+    """``doc_id, lines_parsed, items_before_dedupe, items_after_dedupe, rejected`` of every document with a match.
+
+    As many items are left as ``dedupe`` gives, without making them: a key each, but for those without an artist that join a host.
+    """
+    good = F.col("reason").isNull()
+    key = T.recording_key(F.col("ftitle"), F.col("fartist"), F.col("qualifiers"))
+    named = F.col("artist").isNotNull() & F.col("doc_id").isNotNull() & F.col("ftitle").isNotNull()
+    told = checked.select(
+        "doc_id", good.alias("good"), F.when(good, F.col("ftitle")).alias("ftitle"), F.when(good, key).alias("key"), F.col("artist").isNull().alias("nameless"), named.alias("named"),
+        F.struct((-F.col("confidence")).alias("rank"), "span_start").alias("order"),
+    )
+    # A key holds its title, so that one sort serves all three steps.
+    keys = dealt(told, "doc_id").groupBy("doc_id", "good", "ftitle", "key").agg(F.count("*").alias("n"), *[F.min_by(c, "order").alias(c) for c in ("nameless", "named")])
+    titles = keys.groupBy("doc_id", "good", "ftitle").agg(F.sum("n").alias("n"), (F.count("*") - F.when(F.count_if("named") == 1, F.count_if("nameless")).otherwise(0)).alias("items"))
+    of = lambda kind, c: F.coalesce(F.sum(F.when(kind, F.col(c))), F.lit(0))
+    return titles.groupBy("doc_id").agg(
+        F.sum("n").alias("lines_parsed"), of(F.col("good"), "n").alias("items_before_dedupe"), of(F.col("good"), "items").alias("items_after_dedupe"), of(~F.col("good"), "n").alias("rejected")
+    )
+
+
 def extract(documents: DataFrame, kinds: DataFrame | None = None, limit: int | None = L.MAX_BYTES) -> Extraction:
     """``doc_id, text`` to an extraction.
 
@@ -140,15 +206,15 @@ def extract(documents: DataFrame, kinds: DataFrame | None = None, limit: int | N
     admitted = documents if limit is None else L.admit(documents, limit)[0]
     # A document's lines are in one partition from here on: all that follows groups and joins within it.
     normal = dealt(admitted.select("doc_id", T.strip(normalize_document(F.col("text"))).alias("text")), "doc_id")
-    triaged = placed(L.triage(L.split_lines(normal)).sortWithinPartitions("doc_id", "line_no"))
-    parsed = placed(P.parse_lines(triaged))
+    triaged = cut(L.triage(L.split_lines(normal)).sortWithinPartitions("doc_id", "line_no"))
+    parsed = cut(P.parse_lines(triaged))
     n_chars = F.max(F.col("line_offset") + F.char_length("line")).cast("int").alias("n_chars")
     shape = L.list_shape(triaged, F.count("*").alias("lines_total"), n_chars)
     layout, _ = TB.detect(triaged)
     strict_n = parsed.where("strict is not null").groupBy("doc_id").agg(F.count("*").alias("strict_n"))
     modes = shape.join(merged(strict_n), "doc_id", "left").join(merged(layout.withColumn("is_table", F.lit(True))), "doc_id", "left")
     rescue = F.col("list_shaped") & (F.col("content") > 0) & (F.coalesce("strict_n", F.lit(0)) / F.col("content") < RESCUE_BELOW)
-    modes = placed(modes.select(
+    modes = cut(modes.select(
         "doc_id", "lines_total", "content", "n_chars", F.coalesce("is_table", F.lit(False)).alias("is_table"), "header_line", F.coalesce(rescue, F.lit(False)).alias("rescue"), "delim", "columns", "ambiguous",
     ))
     null = lambda kind: F.lit(None).cast(kind)
@@ -170,28 +236,8 @@ def extract(documents: DataFrame, kinds: DataFrame | None = None, limit: int | N
     )
     matches = from_lines.unionByName(from_tables)
     if kinds is not None:
-        matches = placed(matches)
+        matches = cut(matches)
         matches = oriented(matches, orientation(matches, kinds))
     else:
         matches = matches.withColumns({"emit_alternate": F.lit(False), "oriented": F.lit(False)})
-    folded = matches.withColumns({"fspan": fold(F.col("span_text")), "ftitle": fold(F.col("title")), "fartist": fold(F.col("artist"))})
-    checked = placed(reject_reason(folded))
-    good = checked.where("reason is null").withColumn(
-        "confidence", S.confidence(F.col("parser"), F.col("title"), F.col("artist"), F.col("isrc").isNotNull(), F.col("duration_s") > 0, F.col("ambiguous"), F.col("structured"))
-    )
-    items = placed(dedupe(dealt(good, "doc_id")))  # folded in Python, which leaves no mark of the partitions
-    swapped = F.when(F.col("emit_alternate") & F.col("artist").isNotNull(), F.struct(F.col("artist").alias("title"), F.col("title").alias("artist")))
-    items = items.withColumn("alternate", swapped).drop("emit_alternate")
-    rejected = checked.where("reason is not null").select("doc_id", "line_no", "title", "artist", "parser", "reason", "detail", "span_start", "span_end")
-    claimed = checked.select("doc_id", "line_no").unionByName(modes.where("is_table and header_line is not null").select("doc_id", F.col("header_line").alias("line_no"))).distinct()
-    residual = triaged.where("not noise").join(merged(claimed), ["doc_id", "line_no"], "left_anti").select("doc_id", "line_no", "line", "line_offset")
-    # A line gives one match at most, so what is left of a document's content needs no look at its lines.
-    told = [F.count("*").alias("lines_parsed"), F.count_if(F.col("reason").isNull()).alias("items_before_dedupe"), F.count_if(F.col("reason").isNotNull()).alias("rejected")]
-    stats = modes.join(merged(checked.groupBy("doc_id").agg(*told)), "doc_id", "left").join(merged(items.groupBy("doc_id").agg(F.count("*").alias("items_after_dedupe"))), "doc_id", "left")
-    stats = stats.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("lines_parsed", "items_before_dedupe", "items_after_dedupe", "rejected")})
-    headers = F.when(F.col("is_table") & F.col("header_line").isNotNull(), 1).otherwise(0)
-    stats = stats.withColumn("lines_residual", F.col("content") - F.col("lines_parsed") - headers)
-    stats = stats.select("doc_id", "lines_total", "lines_parsed", "lines_residual", "items_before_dedupe", "items_after_dedupe", "rejected")
-    claimed_n, left_n = F.col("lines_parsed"), F.col("lines_residual")
-    stats = stats.withColumn("coverage", F.coalesce(claimed_n / F.nullif(claimed_n + left_n, F.lit(0)), F.lit(1.0)))
-    return Extraction(items, rejected, residual, stats)
+    return Extraction(triaged, modes, matches)

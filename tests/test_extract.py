@@ -135,3 +135,17 @@ def test_counts_move_no_lines(spark):
     stats = X.extract(docs(spark, "A - B\nC - D\nplain words, not a song. No.", "title,artist\nx,y\nz,w")).stats
     assert stats._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
     assert [(r.lines_total, r.lines_parsed, r.lines_residual, r.items_after_dedupe) for r in stats.orderBy("doc_id").collect()] == [(3, 2, 1, 2), (3, 2, 0, 2)]
+
+
+def test_counts_are_those_of_the_items_without_making_them(spark, monkeypatch):
+    made, dedupe = [], X.dedupe
+    monkeypatch.setattr(X, "dedupe", lambda items: made.append(1) or dedupe(items))
+    texts = ["Aphex Twin - Xtal\nAPHEX TWIN - XTAL!\nXtal\nA - Heroes\nB - Heroes\nHeroes\nx\ny\nz\nu\nv", "A - " + "t" * 301 + "\nC - D\nE - F", "", "!!! - Song\nB - C\nSong\nD - E\nF", "title,artist\nx,y\nX,Y\nx,"]
+    e = X.extract(docs(spark, *texts))
+    stats = {r.doc_id: r for r in e.stats.collect()}
+    assert not made
+    left = {r.doc_id: r["count"] for r in e.items.groupBy("doc_id").count().collect()}
+    assert made and {d: r.items_after_dedupe for d, r in stats.items()} == {d: left.get(d, 0) for d in range(1, 6)}
+    refused = {r.doc_id: r["count"] for r in e.rejected.groupBy("doc_id").count().collect()}
+    assert refused == {2: 1} and {d: r.rejected for d, r in stats.items() if r.rejected} == refused
+    assert all(r.items_before_dedupe + r.rejected == r.lines_parsed for r in stats.values()) and stats[5].items_before_dedupe == 3 and stats[5].items_after_dedupe == 1
