@@ -146,7 +146,8 @@ def x0_extract_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def f8_residual(spark: SparkSession, folder: str) -> DataFrame:
-    return X.extract(_cases(spark, folder)).residual
+    """Lines left over of every text, whatever its size."""
+    return X.extract(_cases(spark, folder), limit=None).residual
 
 
 def x0_extract_stats(spark: SparkSession, folder: str) -> DataFrame:
