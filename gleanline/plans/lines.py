@@ -142,7 +142,8 @@ def t7_table_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def x0_extract_items(spark: SparkSession, folder: str) -> DataFrame:
-    return X.extract(_cases(spark, folder)).items.select("doc_id", "title", "artist", "parser", "confidence", "position", "isrc", "duration_s", "first_start", F.size("duplicates").alias("n_duplicates"))
+    """Items of every text, whatever its size."""
+    return X.extract(_cases(spark, folder), limit=None).items.select("doc_id", "title", "artist", "parser", "confidence", "position", "isrc", "duration_s", "first_start", F.size("duplicates").alias("n_duplicates"))
 
 
 def f8_residual(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,3 +23,11 @@ def test_lines_left_over_of_texts_beyond_the_size_cap(run):
     got = {(r.doc_id, r.line_no): (r.line, r.line_offset) for r in run("f8_residual", "\n".join(prose), prose[0])}
     starts = [sum(len(line) + 1 for line in prose[:i]) for i in range(len(prose))]
     assert got == {(1, i): (line, starts[i]) for i, line in enumerate(prose)} | {(2, 0): (prose[0], 0)}
+
+
+def test_items_of_texts_beyond_the_size_cap(run):
+    entries = [f"{i % 900 + 1}. Band of {i} - Song of {i}" for i in range(5000)]
+    table = ["artist,title", *(f"Group {i},Tune {i}" for i in range(7000))]
+    assert min(len("\n".join(entries)), len("\n".join(table))) > L.MAX_BYTES
+    got = {(r.doc_id, r.title, r.artist, r.parser) for r in run("x0_extract_items", "\n".join(entries), "\n".join(table), "A - B")}
+    assert got == {(1, f"Song of {i}", f"Band of {i}", "dash") for i in range(5000)} | {(2, f"Tune {i}", f"Group {i}", "csv") for i in range(7000)} | {(3, "B", "A", "dash")}
