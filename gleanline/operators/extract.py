@@ -200,8 +200,8 @@ def counted(checked: DataFrame) -> DataFrame:
 def extract(documents: DataFrame, kinds: DataFrame | None = None, limit: int | None = L.MAX_BYTES) -> Extraction:
     """``doc_id, text`` to an extraction.
 
-    ``kinds`` (``doc_id, source_kind``) turns the orientation pass on.  Texts beyond the size cap and
-    null texts give nothing; repeated ids are not allowed; extra columns are left out.
+    ``kinds`` (``doc_id, source_kind``) turns the orientation pass on.  Null texts and texts beyond
+    ``limit`` bytes (none for None) give nothing; repeated ids are not allowed; extra columns are left out.
     """
     admitted = documents if limit is None else L.admit(documents, limit)[0]
     # A document's lines are in one partition from here on: all that follows groups and joins within it.

@@ -31,3 +31,11 @@ def test_items_of_texts_beyond_the_size_cap(run):
     assert min(len("\n".join(entries)), len("\n".join(table))) > L.MAX_BYTES
     got = {(r.doc_id, r.title, r.artist, r.parser) for r in run("x0_extract_items", "\n".join(entries), "\n".join(table), "A - B")}
     assert got == {(1, f"Song of {i}", f"Band of {i}", "dash") for i in range(5000)} | {(2, f"Tune {i}", f"Group {i}", "csv") for i in range(7000)} | {(3, "B", "A", "dash")}
+
+
+def test_counts_of_texts_beyond_the_size_cap(run):
+    entries = "\n".join(f"Band of {i % 4000} - Song of {i % 4000}" for i in range(5000))
+    accents = "é - è\n" * 17000
+    assert L.MAX_BYTES < len(entries) and len(accents) <= L.MAX_BYTES < len(accents.encode())
+    got = {r.doc_id: (r.lines_total, r.lines_parsed, r.lines_residual, r.items_before_dedupe, r.items_after_dedupe, r.rejected, r.coverage) for r in run("x0_extract_stats", entries, accents, "A - B", "x" * 200000, None)}
+    assert got == {1: (5000, 5000, 0, 5000, 4000, 0, 1.0), 2: (17000, 17000, 0, 17000, 1, 0, 1.0), 3: (1, 1, 0, 1, 1, 0, 1.0), 4: (1, 0, 1, 0, 0, 0, 0.0)}
