@@ -121,21 +121,27 @@ INLINE_GUEST = f"(?i){_S}+(?:feat\\.|ft\\.|featuring){_S}+(.+)$"
 DASH = r"\-\x{2010}-\x{2015}\x{2212}"
 
 
-def _known(inside: str, end: str) -> str:
-    """Matches an annotation of characters ``inside`` up to ``end`` that says something of version or guests."""
+def _known(inside: str, end: str, ahead: Callable[[str], str]) -> str:
+    """Matches an annotation up to ``end`` that says something of version or guests, which ``ahead`` looks for; a guest begins with a character ``inside``."""
     versions = "|".join(pattern for name, pattern in QUALIFIERS.items() if name != "remix")
     own = f"(?!{OWN_MIX}{_S}*{end})"
-    said = f"(?={inside}*?(?:{versions}))|{own}(?={inside}*?(?:{QUALIFIERS['remix']}))|(?={BARE_VERSION}{_S}*{end})|(?={GUEST}{inside})"
+    said = f"{ahead(versions)}|{own}{ahead(QUALIFIERS['remix'])}|(?={BARE_VERSION}{_S}*{end})|(?={GUEST}{inside})"
     return f"(?:{said})"
 
 
+# Java's stack grows with the turns of a loop over alternatives, so that a long line ends the process: loops are over one class of characters, or possessive.
 _IN_BRACKET, _IN_DASH = r"[^()\[\]]", f"[^{DASH}]"
-_BRACKET = f"[(\\[]{_S}*(?:{_known(_IN_BRACKET, '[)\\]]')}{_IN_BRACKET}*)?[)\\]]{_S}*"
+_BRACKET = f"[(\\[]{_S}*(?:{_known(_IN_BRACKET, '[)\\]]', lambda said: f'(?={_IN_BRACKET}*?(?:{said}))')}{_IN_BRACKET}*)?[)\\]]{_S}*"
 # Brackets count as words of a dashed annotation where words follow them.
-_IN_WORDS = f"(?:[^{DASH}()\\[\\]]|[()\\[\\]](?={_IN_DASH}*[^{DASH}{T.SPACE})\\]]{_S}*(?:$|{_S}[{DASH}]{_S})))"
+_PLAIN = f"[^{DASH}()\\[\\]]"
+_WORDS_FOLLOW = f"(?={_IN_DASH}*[^{DASH}{T.SPACE})\\]]{_S}*(?:$|{_S}[{DASH}]{_S}))"
+_IN_WORDS = f"(?:{_PLAIN}|[()\\[\\]]{_WORDS_FOLLOW})"
 # After a dash: up to the next dash, the end or bracketed annotations of its own.
-_DASHED = f"(?<={_S})[{DASH}]{_S}+{_known(_IN_WORDS, f'(?:$|[(\\[]|{_S}[{DASH}]{_S})')}{_IN_DASH}*?[^{DASH}{T.SPACE})\\]]{_S}*(?=$|[(\\[]|[{DASH}]{_S})"
-ANNOTATIONS = f"(?i)(?:{_BRACKET}|{_DASHED})+$"
+_AFTER_DASH = f"(?<={_S})[{DASH}]{_S}+" + _known(_IN_WORDS, f"(?:$|[(\\[]|{_S}[{DASH}]{_S})", lambda said: f"(?:(?={_PLAIN}*?(?:{said}))|{_WORDS_FOLLOW}(?={_IN_DASH}*?(?:{said})))")
+_DASHED = f"{_AFTER_DASH}{_IN_DASH}*?[^{DASH}{T.SPACE})\\]]{_S}*(?=$|[(\\[]|[{DASH}]{_S})"
+# Without a bracket there is one end only.
+_DASHED_PLAIN = f"{_AFTER_DASH}{_PLAIN}*?[^{DASH}{T.SPACE}()\\[\\]]{_S}*(?=$|[{DASH}]{_S})"
+ANNOTATIONS = f"(?i)(?:(?:{_BRACKET})++|(?:{_DASHED_PLAIN})++|{_DASHED})+$"
 _OPEN_END = f"[(\\[][^()\\[\\]]*[)\\]]{_S}*$|{_S}[{DASH}]{_S}+[^{DASH}]+$"
 
 
@@ -160,7 +166,7 @@ def _annotations(tail: Column) -> Column:
     pieces = F.split(tail, f"(?:^|(?<={_S}))[{DASH}]{_S}+")
     in_brackets = lambda brackets: F.regexp_extract_all(brackets, F.lit(r"[(\[]([^()\[\]]*)[)\]]"), 1)
     apart = lambda piece, brackets: F.concat(F.array(piece.substr(F.lit(1), F.char_length(piece) - F.char_length(brackets))), in_brackets(brackets))
-    closing = f"((?:[(\\[][^()\\[\\]]*[)\\]]{_S}*)*)$"
+    closing = f"((?:[(\\[][^()\\[\\]]*[)\\]]{_S}*)*+)$"
     parts = F.flatten(F.transform(pieces, lambda piece: apart(piece, F.regexp_extract(piece, closing, 1))))
     return F.reverse(F.filter(F.transform(parts, T.strip), lambda part: part != ""))
 

@@ -16,7 +16,8 @@ INVISIBLE = r"\xad\x{200b}-\x{200f}\x{2060}-\x{2064}\x{202a}-\x{202e}\x{2066}-\x
 
 def strip(text: Column) -> Column:
     """A text without white space at its ends, of any script's kind."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    # From the start of a run of white space only: from each of its characters, long runs would take the square of their length.
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}](?<![{SPACE}]{{2}})[{SPACE}]*+$", "")
 
 
 def strip_chars(text: Column, chars: str) -> Column:

@@ -23,7 +23,7 @@ NOISE = [
     f"^{_S}*<[^>]+>{_S}*$",
     f"^{_S}*{_NS}[^:]{{0,40}}:{_S}*$",
 ]
-SENTENCE = r"([\p{L}\p{N}_']+)?[.!?]+[)\"'”]?\s+(?=[A-Z0-9\"“])"
+SENTENCE = r"(?:(?<![\p{L}\p{N}_'])([\p{L}\p{N}_']++)|(?<![.!?]))[.!?]++[)\"'”]?\s+(?=[A-Z0-9\"“])"
 MAX_BYTES = 100 * 1024
 
 
@@ -35,13 +35,14 @@ def admit(documents: DataFrame, limit: int = MAX_BYTES) -> tuple[DataFrame, Data
 
 def running_offsets(sizes: Column) -> Column:
     """Sums of the numbers before each one of an array, within the row: in blocks of about the root of its length, so that no array grows one by one to its whole length."""
-    n = F.size(sizes)
-    block = F.ceil(F.sqrt(n)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1), lambda k: F.slice(sizes, k * block + 1, block))
+    # As lambda variables, sizes and blocks are computed once, not for every block.
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    block = lambda numbers: F.ceil(F.sqrt(F.size(numbers))).cast("int")
+    cut = lambda numbers, length: F.transform(F.sequence(F.lit(0), F.ceil(F.size(numbers) / length).cast("int") - 1), lambda k: F.slice(numbers, k * length + 1, length))
     total = lambda numbers: F.aggregate(numbers, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
     grown = lambda first, numbers: F.slice(F.aggregate(numbers, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))), 1, F.size(numbers))
-    starts = grown(F.lit(0).cast("bigint"), F.transform(blocks, total))
-    return F.flatten(F.zip_with(starts, blocks, grown))
+    offsets = lambda blocks: F.flatten(F.zip_with(grown(F.lit(0).cast("bigint"), F.transform(blocks, total)), blocks, grown))
+    return let(sizes, lambda numbers: let(cut(numbers, block(numbers)), offsets))
 
 
 def split_lines(documents: DataFrame, text: str = "text") -> DataFrame:

@@ -10,11 +10,9 @@ from gleanline.functions.normalize import peel_title
 from gleanline.operators.lines import BARE_WORDS, is_prose
 
 # List scaffolding before and after an entry.
-_BULLET = r"\s*[-*•‣·◦⁃∙>+]\s+"
-_LEAD = r"\s*[|–—]\s+"
 _ORDINAL = r"(?:\s*#?\s*(\d{1,3})\s*[.)\]:–—-]\s+|\s*[\[(]\s*(\d{1,3})\s*[\])]\s*[.)–—-]?\s+)"
 _STAMP = r"\s*[\[(]?\s*((?:\d{1,2}:)?\d{1,2}:[0-5]\d)\s*[\])]?\s*[.)–—-]?\s+"
-_LOOSE = f"(?:{_BULLET}|{_LEAD})*"
+_LOOSE = r"(?:\s*[-*•‣·◦⁃∙>+|–—]\s+)*+"
 PREFIX = f"^{_LOOSE}(?:{_ORDINAL}{_LOOSE}(?:{_STAMP}{_LOOSE})?|{_STAMP}{_LOOSE}(?:{_ORDINAL}{_LOOSE})?)?[{T.SPACE}]*"
 LENGTH_END = r"\s*[\[(]\s*((?:\d{1,2}:)?\d{1,2}:[0-5]\d)\s*[\])]\s*$"
 ISRC_END = r"\s*[\[(]?\s*(?:ISRC[:\s]*)?([A-Za-z]{2}[A-Za-z0-9]{3}[-\s]?\d{2}[-\s]?\d{5})\s*[\])]?\s*$"

@@ -39,3 +39,16 @@ def test_counts_of_texts_beyond_the_size_cap(run):
     assert L.MAX_BYTES < len(entries) and len(accents) <= L.MAX_BYTES < len(accents.encode())
     got = {r.doc_id: (r.lines_total, r.lines_parsed, r.lines_residual, r.items_before_dedupe, r.items_after_dedupe, r.rejected, r.coverage) for r in run("x0_extract_stats", entries, accents, "A - B", "x" * 200000, None)}
     assert got == {1: (5000, 5000, 0, 5000, 4000, 0, 1.0), 2: (17000, 17000, 0, 17000, 1, 0, 1.0), 3: (1, 1, 0, 1, 1, 0, 1.0), 4: (1, 0, 1, 0, 0, 0, 0.0)}
+
+
+LONG = {
+    "one word after a dash": ("A - " + "x" * 120000, (1, 1, 0, 0, 0, 1)), "words after a dash": ("A - " + "word " * 24000, (1, 0, 1, 0, 0, 0)), "bullets": ("- " * 60000 + "x", (1, 0, 1, 0, 0, 0)),
+    "annotations in brackets": ("A - B " + "(live) " * 18000, (1, 1, 0, 0, 0, 1)), "annotations after dashes": ("A" + " - live" * 18000, (1, 1, 0, 0, 0, 1)), "few words, one long": ("a b c d " + "x" * 120000, (1, 0, 1, 0, 0, 0)),
+    "brackets never closed": ("A - B " + "(" * 120000, (1, 1, 0, 0, 0, 1)), "empty lines": ("A - B" + "\n" * 600000 + "C - D", (600001, 2, 0, 2, 2, 0)),
+}
+
+
+def test_long_lines_end(run):
+    """Patterns that loop over alternatives end the process by Java's stack at a few thousand characters, and the session with it."""
+    got = {r.doc_id: (r.lines_total, r.lines_parsed, r.lines_residual, r.items_before_dedupe, r.items_after_dedupe, r.rejected) for r in run("x0_extract_stats", *[text for text, _ in LONG.values()])}
+    assert {what: got[i] for i, what in enumerate(LONG, 1)} == {what: counts for what, (_, counts) in LONG.items()}
